@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 # dotted/dotless capitals that a plain lower() would turn into another letter or two code points.
 FOLD_FROM, FOLD_TO = "İI", "iı"
-# What separates the letters of a word after folding.
-LETTER_GAP = "[^a-zß-öø-ÿœğışâîû]+"
+# The letters of a word after folding.
+LETTERS = "a-zß-öø-ÿœğışâîû"
 BLANKS = r"[ \t\n\r\f]+"
 # Words that say nothing about what a duty is about.
 LEXICAL_STOPWORDS = (
@@ -30,22 +30,23 @@ def squash(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, BLANKS, " "))
 
 
-def words(text: Column) -> Column:
-    """Folded runs of letters in order, with repeats."""
-    return F.filter(F.split(F.regexp_replace(fold(text), LETTER_GAP, " "), " "), lambda w: w != "")
+def words(text: Column, minimum: int = 1) -> Column:
+    """Folded runs of at least ``minimum`` letters in order, with repeats."""
+    return F.regexp_extract_all(fold(text), F.lit(f"[{LETTERS}]{{{minimum},}}"), F.lit(0))
+
+
+def _without(found: Column, stopwords) -> Column:
+    return F.array_except(found, F.array(*[F.lit(w) for w in stopwords]))
 
 
 def lexical_terms(text: Column, stopwords=LEXICAL_STOPWORDS) -> Column:
     """Distinct words of three letters or more that are not function words."""
-    long_enough = F.filter(words(text), lambda w: F.length(w) >= LEXICAL_MIN_LETTERS)
-    return F.array_except(long_enough, F.array(*[F.lit(w) for w in stopwords]))
+    return _without(words(text, LEXICAL_MIN_LETTERS), stopwords)
 
 
 def stems(text: Column, stopwords=LEXICAL_STOPWORDS) -> Column:
     """Distinct content stems: the first five letters of words of four letters or more."""
-    content = F.array_except(
-        F.filter(words(text), lambda w: F.length(w) >= STEM_MIN_LETTERS), F.array(*[F.lit(w) for w in stopwords])
-    )
+    content = _without(words(text, STEM_MIN_LETTERS), stopwords)
     return F.array_distinct(F.transform(content, lambda w: F.substring(w, 1, STEM_LETTERS)))
 
 
@@ -59,7 +60,7 @@ def containment(a: Column, b: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(F.filter(F.split(squash(text), " "), lambda w: w != ""))
+    return F.when(squash(text) == "", F.lit(0)).otherwise(F.size(F.split(squash(text), " ")))
 
 
 def letters(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("retrieval",)
+MODULES = ("retrieval", "scoring")
 
 
 def load_all():

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 
 def passages(spark: SparkSession, sf: str) -> DataFrame:
     """One row per non-empty line of a document."""
-    docs = table(spark, sf, "documents")
-    lines = docs.select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    docs = spread(table(spark, sf, "documents"))
+    lines = docs.select("doc_id", "source", "lang", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "text"))
     return lines.withColumn("line_no", F.col("line_no").cast("bigint")).filter(F.trim("text") != "")
 
 
@@ -34,3 +34,71 @@ def vector_passages(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").join(vectors, F.col("doc_id") == F.col("vec_id")).select(
         F.col("doc_id").alias("passage_id"), F.col("embedding").alias("vector"),
         tx.lexical_terms(F.col("text")).alias("terms"), "text", "label")
+
+
+def scored(spark: SparkSession, sf: str) -> DataFrame:
+    """Expectations (labels) beside the predictions of a length rule, one row per labelled document."""
+    joined = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars"), "doc_id")
+    good, toxic, size = F.col("quality") == 1, F.col("toxic") == 1, F.col("n_chars")
+    return joined.select(
+        "doc_id", "lang", "source", "n_chars", "quality", "toxic",
+        F.when(good & ~toxic, "APPLIES").when(~good & ~toxic, "DOES_NOT_APPLY").otherwise("UNKNOWN").alias("expected"),
+        F.when(size >= 2000, "APPLIES").when(size >= 900, "DOES_NOT_APPLY").when(size >= 300, "UNKNOWN").otherwise("UNREAD").alias("predicted"),
+        F.when(F.col("lang") == "en", "HUMAN_REVIEWED").when(F.col("lang") == "fr", "MANUAL_LEGAL_READING").alias("row_source"),
+        F.when(F.col("source") == "src3", "SYNTHETIC_CONTROLLED").alias("field_source"))
+
+
+def calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Events read as a log of model calls."""
+    e = table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+    k, user = F.col("k"), F.col("user_id")
+    failed = F.col("event_type") == "error"
+    return e.select(
+        F.col("event_id").alias("call_id"), F.col("ts").alias("at"), F.concat(F.lit("run_"), user % 5).alias("run_id"),
+        F.when(F.col("event_type") == "view", "judge.passage").when(F.col("event_type") == "click", "judge.scope")
+        .otherwise(F.col("event_type")).alias("task"),
+        F.concat(F.lit("model_"), user % 3).alias("model"), (F.lit(4096) * (user % 2 + 1)).cast("bigint").alias("num_ctx"),
+        F.round(F.col("value") * 1000).cast("bigint").alias("elapsed_ms"), (k % 5 == 0).alias("cache_hit"), (k % 3 == 0).alias("thinking"),
+        F.when(failed & (k % 7 == 0), "CIRCUIT_OPEN").when(failed, "FAILED").otherwise("OK").alias("status"),
+        F.when(failed & (k % 2 == 0), F.concat(F.lit("E_"), (k % 4).cast("string"))).alias("failure_code"),
+        F.when(failed & (k % 2 == 0), "time limit reached").when(failed, "bad answer").alias("error"),
+        (k % 4).alias("retry_count"), k.alias("prompt_tokens"), (k % 17).alias("output_tokens"), (k * 10).alias("load_duration_ms"),
+        F.when(k % 6 != 0, F.when(k % 2 == 0, F.lit(1.0)).otherwise(F.lit(0.8))).alias("gpu_fraction"),
+        (k % 23).cast("double").alias("tokens_per_second"),
+        F.element_at(F.array(*[F.lit(a) for a in ("fits", "compressed", "fallback_large", "trimmed")]), (k % 4 + 1).cast("int"))
+        .alias("window_action"), user.alias("user_id"), F.date_trunc("hour", "ts").alias("hour"))
+
+
+def captures(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders read as captures of official texts: a regulation per customer, content and parser per order."""
+    o = table(spark, sf, "orders")
+    return o.select(
+        F.col("o_custkey").alias("regulation_id"), F.col("o_orderkey").alias("capture_id"), F.col("o_orderdate").alias("fetched_at"),
+        F.sha2(F.concat("o_orderstatus", F.substring("o_orderpriority", 1, 1)), 256).alias("content_hash"),
+        F.concat(F.lit("parser-"), F.when(F.col("o_orderdate") >= "1998-06-01", 2).otherwise(1)).alias("parser_version"),
+        F.date_trunc("year", "o_orderdate").alias("year"))
+
+
+def provisions(spark: SparkSession, sf: str, later: bool = False) -> DataFrame:
+    """Lineitems rendered as provisions of a version (an order). ``later`` is the next snapshot: some provisions are gone,
+    some have another quantity, some are new."""
+    x = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("version_id"), F.col("l_returnflag").alias("section"), F.col("l_linenumber").alias("number"),
+        "l_partkey", "l_suppkey", "l_linestatus", "l_quantity", "l_discount", "l_extendedprice", "l_shipdate")
+    if later:
+        x = x.filter(F.col("l_partkey") % 10 != 0).withColumn(
+            "l_quantity", F.when(F.col("l_suppkey") % 7 == 0, F.col("l_quantity") + 1).otherwise(F.col("l_quantity")))
+        x = x.withColumn("number", F.explode(F.when(F.col("l_partkey") % 11 == 0, F.array("number", F.col("number") + 10))
+                                             .otherwise(F.array("number"))))
+    quantity, reference = F.floor("l_quantity"), F.col("l_partkey") % 9 + 1
+    text = (
+        F.when(F.col("section") == "A", F.concat(
+            F.lit("A firm must report within "), quantity, F.lit(" days of the event, unless exempted under article "), reference, F.lit(".")))
+        .when(F.col("section") == "N", F.concat(
+            F.lit("The rate must not exceed "), F.floor(F.col("l_discount") * 100 + 0.5), F.lit("% of GBP "), F.floor("l_extendedprice"),
+            F.lit(" where article "), reference, F.lit(" applies.")))
+        .otherwise(F.concat(
+            F.lit("A firm may keep the record for at least "), quantity, F.lit(" years in accordance with article "), reference, F.lit(".")))
+    )
+    return x.select("version_id", "section", F.col("number").cast("bigint").alias("number"), text.alias("text"), "l_partkey", "l_suppkey",
+                    "l_linestatus", "l_quantity", "l_discount", "l_extendedprice", F.col("l_shipdate").alias("dated"))

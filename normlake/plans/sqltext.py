@@ -1,6 +1,6 @@
 """SQL fragments shared by the reference queries: text expressions and the model tables derived from the given tables."""
 
-from ..functions.text import LETTER_GAP, LEXICAL_STOPWORDS
+from ..functions.text import LETTERS, LEXICAL_STOPWORDS
 
 STOP_LIST = "[" + ", ".join(f"'{w}'" for w in LEXICAL_STOPWORDS) + "]"
 
@@ -10,7 +10,7 @@ def fold(x: str) -> str:
 
 
 def words(x: str) -> str:
-    return f"list_filter(string_split(regexp_replace({fold(x)}, '{LETTER_GAP}', ' ', 'g'), ' '), lambda w: w <> '')"
+    return f"regexp_extract_all({fold(x)}, '[{LETTERS}]+')"
 
 
 def lexical_terms(x: str) -> str:
@@ -48,3 +48,55 @@ PASSAGES = """passages AS (
                generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)
   WHERE trim(line) <> ''
 )"""
+
+
+SCORED = """scored AS (
+  SELECT doc_id, lang, source, n_chars, quality, toxic,
+    CASE WHEN quality = 1 AND toxic <> 1 THEN 'APPLIES' WHEN toxic <> 1 THEN 'DOES_NOT_APPLY' ELSE 'UNKNOWN' END AS expected,
+    CASE WHEN n_chars >= 2000 THEN 'APPLIES' WHEN n_chars >= 900 THEN 'DOES_NOT_APPLY' WHEN n_chars >= 300 THEN 'UNKNOWN' ELSE 'UNREAD' END AS predicted,
+    CASE WHEN lang = 'en' THEN 'HUMAN_REVIEWED' WHEN lang = 'fr' THEN 'MANUAL_LEGAL_READING' END AS row_source,
+    CASE WHEN source = 'src3' THEN 'SYNTHETIC_CONTROLLED' END AS field_source
+  FROM labels JOIN documents USING (doc_id)
+)"""
+
+CALLS = """ev AS (SELECT *, json_extract_string(props, '$.k')::BIGINT AS k, event_type = 'error' AS failed FROM events),
+calls AS (
+  SELECT event_id AS call_id, ts AS at, 'run_' || (user_id % 5) AS run_id,
+    CASE event_type WHEN 'view' THEN 'judge.passage' WHEN 'click' THEN 'judge.scope' ELSE event_type END AS task,
+    'model_' || (user_id % 3) AS model, (4096 * (user_id % 2 + 1))::BIGINT AS num_ctx, round(value * 1000)::BIGINT AS elapsed_ms,
+    k % 5 = 0 AS cache_hit, k % 3 = 0 AS thinking,
+    CASE WHEN failed AND k % 7 = 0 THEN 'CIRCUIT_OPEN' WHEN failed THEN 'FAILED' ELSE 'OK' END AS status,
+    CASE WHEN failed AND k % 2 = 0 THEN 'E_' || (k % 4) END AS failure_code,
+    CASE WHEN failed AND k % 2 = 0 THEN 'time limit reached' WHEN failed THEN 'bad answer' END AS error,
+    k % 4 AS retry_count, k AS prompt_tokens, k % 17 AS output_tokens, k * 10 AS load_duration_ms,
+    CASE WHEN k % 6 <> 0 THEN CASE WHEN k % 2 = 0 THEN 1.0 ELSE 0.8 END END::DOUBLE AS gpu_fraction,
+    (k % 23)::DOUBLE AS tokens_per_second,
+    ['fits', 'compressed', 'fallback_large', 'trimmed'][k % 4 + 1] AS window_action, user_id
+  FROM ev
+)"""
+
+
+def f1(p: str, r: str) -> str:
+    return (f"CASE WHEN {p} IS NULL OR {r} IS NULL THEN NULL WHEN {p} + {r} = 0 THEN 0.0::DOUBLE "
+            f"ELSE round_even(2.0::DOUBLE * {p} * {r} / ({p} + {r}), 4) END")
+
+CAPTURES = """captures AS (
+  SELECT o_custkey AS regulation_id, o_orderkey AS capture_id, o_orderdate AS fetched_at,
+    sha256(o_orderstatus || substring(o_orderpriority, 1, 1)) AS content_hash,
+    'parser-' || CASE WHEN o_orderdate >= TIMESTAMP '1998-06-01' THEN 2 ELSE 1 END AS parser_version FROM orders
+)"""
+
+
+def provisions(name: str, later: bool = False) -> str:
+    source = "SELECT *, l_linenumber::BIGINT AS number, l_quantity AS q FROM lineitem"
+    if later:
+        source = ("SELECT *, unnest(CASE WHEN l_partkey % 11 = 0 THEN [l_linenumber, l_linenumber + 10] ELSE [l_linenumber] END)::BIGINT AS number, "
+                  "CASE WHEN l_suppkey % 7 = 0 THEN l_quantity + 1 ELSE l_quantity END AS q FROM lineitem WHERE l_partkey % 10 <> 0")
+    return f"""{name} AS (
+  SELECT l_orderkey AS version_id, l_returnflag AS section, number,
+    CASE l_returnflag
+      WHEN 'A' THEN 'A firm must report within ' || floor(q)::BIGINT || ' days of the event, unless exempted under article ' || (l_partkey % 9 + 1) || '.'
+      WHEN 'N' THEN 'The rate must not exceed ' || floor(l_discount * 100 + 0.5)::BIGINT || '% of GBP ' || floor(l_extendedprice)::BIGINT || ' where article ' || (l_partkey % 9 + 1) || ' applies.'
+      ELSE 'A firm may keep the record for at least ' || floor(q)::BIGINT || ' years in accordance with article ' || (l_partkey % 9 + 1) || '.' END AS text,
+    l_partkey, l_suppkey, l_linestatus, q AS l_quantity, l_discount, l_extendedprice, l_shipdate AS dated FROM ({source})
+)"""
