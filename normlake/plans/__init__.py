@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("retrieval", "scoring")
+MODULES = ("retrieval", "scoring", "versions")
 
 
 def load_all():
