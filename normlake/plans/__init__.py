@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("retrieval", "scoring", "versions")
+MODULES = ("retrieval", "scoring", "versions", "routing")
 
 
 def load_all():

@@ -102,3 +102,49 @@ def provisions(spark: SparkSession, sf: str, later: bool = False) -> DataFrame:
     )
     return x.select("version_id", "section", F.col("number").cast("bigint").alias("number"), text.alias("text"), "l_partkey", "l_suppkey",
                     "l_linestatus", "l_quantity", "l_discount", "l_extendedprice", F.col("l_shipdate").alias("dated"))
+
+
+def entities(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as legal entities of a group (their nation) with class lists that may be incomplete."""
+    c = table(spark, sf, "customer").join(F.broadcast(table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    key = F.col("c_custkey")
+    activities = F.array(F.lit("PRODUCE"), F.lit("IMPORT"), F.lit("SELL"), F.lit("STORE"))
+    return c.select(
+        key.alias("target_id"), F.col("c_nationkey").alias("group_id"), F.col("n_regionkey").alias("pack_id"),
+        F.array("c_mktsegment").alias("entity_classes"), (F.col("c_acctbal") > 0).alias("complete"),
+        F.when(key % 7 != 0, F.slice(activities, (key % 4 + 1).cast("int"), 1)).alias("activity_classes"),
+        (F.col("c_acctbal") > 4000).alias("activities_complete"))
+
+
+def entity_scopes(spark: SparkSession, sf: str) -> DataFrame:
+    """One scope per region and market segment."""
+    segments = table(spark, sf, "customer").select("c_mktsegment").distinct()
+    s = table(spark, sf, "region").join(segments)
+    key = F.col("r_regionkey")
+    wanted = (
+        F.when(key % 3 == 0, F.array(F.lit("SELL"))).when(key % 3 == 1, F.array(F.lit("IMPORT"), F.lit("STORE")))
+        .otherwise(F.array().cast("array<string>")))
+    return s.select(
+        F.concat_ws("/", "r_name", "c_mktsegment").alias("scope_id"), key.alias("pack_id"), F.array("c_mktsegment").alias("needs_entity"),
+        wanted.alias("needs_activity"), (key == 4).alias("unclear"), (key != 2).alias("binding"))
+
+
+def products(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part")
+    return p.select(
+        F.col("p_partkey").alias("target_id"), F.col("p_type").alias("product_class"), F.split("p_name", " ").alias("tags"),
+        (F.col("p_size") % 3 != 0).alias("tags_complete"),
+        F.when(F.col("p_partkey") % 5 != 0, F.col("p_size").cast("double")).alias("size"),
+        F.when(F.col("p_partkey") % 4 != 0, F.col("p_retailprice")).alias("price"),
+        (F.substring("p_brand", 7, 5).cast("bigint") % 5).alias("pack_id"))
+
+
+def product_scopes(spark: SparkSession, sf: str) -> DataFrame:
+    """One product scope per product class and pack, with a size condition, a price exception and a tag."""
+    types = table(spark, sf, "part").select("p_type").distinct()
+    s = types.join(table(spark, sf, "region").select("r_regionkey"))
+    key = F.col("r_regionkey").cast("bigint")
+    return s.select(
+        F.concat_ws("/", "p_type", "r_regionkey").alias("scope_id"), key.alias("pack_id"), F.col("p_type").alias("needs_class"),
+        (key * 5 + 5).cast("double").alias("min_size"), F.lit(1500.0).alias("exempt_price"),
+        F.when(key == 3, F.array(F.lit("red"), F.lit("blue"), F.lit("green"))).otherwise(F.array().cast("array<string>")).alias("needs_tags"))

@@ -100,3 +100,49 @@ def provisions(name: str, later: bool = False) -> str:
       ELSE 'A firm may keep the record for at least ' || floor(q)::BIGINT || ' years in accordance with article ' || (l_partkey % 9 + 1) || '.' END AS text,
     l_partkey, l_suppkey, l_linestatus, q AS l_quantity, l_discount, l_extendedprice, l_shipdate AS dated FROM ({source})
 )"""
+
+
+ENTITIES = """entities AS (
+  SELECT c_custkey AS target_id, c_nationkey AS group_id, n_regionkey AS pack_id, [c_mktsegment] AS entity_classes, c_acctbal > 0 AS complete,
+    CASE WHEN c_custkey % 7 <> 0 THEN [['PRODUCE', 'IMPORT', 'SELL', 'STORE'][c_custkey % 4 + 1]] END AS activity_classes, c_acctbal > 4000 AS activities_complete
+  FROM customer JOIN nation ON c_nationkey = n_nationkey
+),
+scopes AS (
+  SELECT r_name || '/' || c_mktsegment AS scope_id, r_regionkey AS pack_id, [c_mktsegment] AS needs_entity,
+    CASE r_regionkey % 3 WHEN 0 THEN ['SELL'] WHEN 1 THEN ['IMPORT', 'STORE'] ELSE []::VARCHAR[] END AS needs_activity, r_regionkey = 4 AS unclear, r_regionkey <> 2 AS binding
+  FROM region, (SELECT DISTINCT c_mktsegment FROM customer)
+),
+facts AS (
+  SELECT s.scope_id, e.target_id, e.group_id, s.unclear, s.binding, s.needs_activity, e.activity_classes, e.entity_classes, s.needs_entity,
+    CASE WHEN list_has_any(entity_classes, needs_entity) THEN true WHEN complete THEN false END AS fe,
+    len(needs_activity) > 0 AS ca, CASE WHEN coalesce(list_has_any(activity_classes, needs_activity), false) THEN true WHEN activities_complete THEN false END AS fa
+  FROM entities e JOIN scopes s USING (pack_id)
+),
+decisions AS (
+  SELECT *, CASE WHEN unclear THEN 'UNKNOWN' WHEN fe = false OR (ca AND fa = false) THEN 'DOES_NOT_APPLY' WHEN fe IS NULL OR (ca AND fa IS NULL) THEN 'UNKNOWN' ELSE 'APPLIES' END AS status,
+    CASE WHEN unclear THEN 'REGULATORY_SCOPE_UNCLEAR'
+      WHEN fe = false OR (ca AND fa = false) THEN concat_ws('; ', CASE WHEN fe = false THEN 'ENTITY_MISMATCH' END, CASE WHEN ca AND fa = false THEN 'ACTIVITY_MISMATCH' END)
+      WHEN fe IS NULL OR (ca AND fa IS NULL) THEN 'PROFILE_INCOMPLETE'
+      ELSE concat_ws('; ', 'ENTITY_MATCH', CASE WHEN ca THEN 'ACTIVITY_MATCH' END) END || CASE WHEN binding THEN '' ELSE '; GUIDANCE_ONLY' END AS reasons
+  FROM facts
+)"""
+
+PRODUCTS = """products AS (
+  SELECT p_partkey AS target_id, p_type AS product_class, string_split(p_name, ' ') AS tags, p_size % 3 <> 0 AS tags_complete,
+    CASE WHEN p_partkey % 5 <> 0 THEN p_size::DOUBLE END AS size, CASE WHEN p_partkey % 4 <> 0 THEN p_retailprice END AS price,
+    substring(p_brand, 7, 5)::BIGINT % 5 AS pack_id FROM part
+),
+pscopes AS (
+  SELECT p_type || '/' || r_regionkey AS scope_id, r_regionkey::BIGINT AS pack_id, p_type AS needs_class, (r_regionkey * 5 + 5)::DOUBLE AS min_size, 1500.0::DOUBLE AS exempt_price,
+    CASE WHEN r_regionkey = 3 THEN ['red', 'blue', 'green'] ELSE []::VARCHAR[] END AS needs_tags
+  FROM (SELECT DISTINCT p_type FROM part), region
+),
+pfacts AS (
+  SELECT scope_id, target_id, product_class = needs_class AS fc, size >= min_size AS fs, price > exempt_price AS fx,
+    CASE WHEN len(needs_tags) = 0 THEN true WHEN list_has_any(tags, needs_tags) THEN true WHEN tags_complete THEN false END AS ft
+  FROM products JOIN pscopes USING (pack_id)
+),
+pdecisions AS (
+  SELECT *, CASE WHEN fc AND fs AND NOT coalesce(fx, false) AND ft THEN 'APPLIES'
+    WHEN (fc AND fs AND NOT coalesce(fx, false) AND ft) IS NULL THEN 'UNKNOWN' ELSE 'DOES_NOT_APPLY' END AS status FROM pfacts
+)"""
