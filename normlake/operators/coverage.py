@@ -122,3 +122,61 @@ def combine(rule: Column, reasons: Column, model: Column, adjudicated: Column) -
         .when((rule == "UNKNOWN") | (model == "UNKNOWN"), row(rule, "RULE_ONLY", True))
         .otherwise(row(rule, F.when(rule == model, "BOTH_READINGS").otherwise("RULE_ONLY"), False))
     )
+
+
+def element_coverage(readings: DataFrame, duties: DataFrame, by: str, strong_gate: bool = True) -> DataFrame:
+    """Coverage by elements: do the favourable passages, alone or together, state every critical element and number?
+
+    ``readings(<by>, relation, is_control, uncertainty, covered, missing, strong, rejected, failed)`` where ``covered`` and
+    ``missing`` are element ids, ``strong`` says a strong reader has read the passage, ``rejected`` that it found a favourable
+    one to be about something else and ``failed`` that its confirmation failed. ``duties(<by>, critical, numbers)`` are the
+    element ids of a duty (its numbers must be met, the rest stated). A duty has a handful of elements, so the distinct
+    readings kept per duty stay few however many passages were read.
+    """
+    policy = ~F.col("is_control")
+    favourable = policy & F.col("relation").isin("SUPPORTS", "PARTIAL")
+    distinct_readings = F.collect_set(F.when(favourable, F.struct("relation", "covered", "missing", "strong", "numbers_met")))
+    seen = readings.groupBy(by).agg(
+        F.count(F.lit(1)).alias("n_read"), F.count_if(F.col("relation") == "CONFLICTS").alias("conflicts"),
+        F.count_if((F.col("relation") == "UNCLEAR") & F.col("uncertainty").eqNullSafe("strong")).alias("open_conflicts"),
+        F.count_if((F.col("relation") == "UNCLEAR") & ~F.col("uncertainty").eqNullSafe("strong")).alias("weak"),
+        F.count_if(favourable).alias("favourable"), F.count_if(policy & F.col("rejected")).alias("rejected"),
+        F.count_if(F.col("failed")).alias("failed"), distinct_readings.alias("_r"))
+    rows = duties.join(seen, by, "left").fillna(0, ["n_read", "conflicts", "open_conflicts", "weak", "favourable", "rejected", "failed"])
+    rows = rows.withColumn("_r", F.coalesce("_r", F.expr("array()").cast(dict(seen.dtypes)["_r"])))
+    verified = F.filter("_r", lambda r: r["strong"]) if strong_gate else F.col("_r")
+    gather = lambda array, field: F.array_distinct(F.flatten(F.transform(array, lambda r: r[field])))
+    met = gather(F.col("_r"), "numbers_met")
+    rows = rows.withColumn("_met", met).withColumn("_unmet", F.array_except("numbers", met))
+    rows = rows.withColumn("_fast", F.array_union(gather(F.col("_r"), "covered"), F.col("_met"))).withColumn(
+        "_union", F.array_union(gather(verified, "covered"), F.col("_met")))
+
+    def covering(union: str) -> Column:
+        states_rest = lambda r: F.size(F.array_except(F.array_intersect(r["missing"], F.col("critical")), F.col(union))) == 0
+        return F.exists("_r", lambda r: (r["relation"] == "SUPPORTS") & states_rest(r))
+
+    def joint(union: str) -> Column:
+        missed = F.array_except(F.array_intersect(gather(F.col("_r"), "missing"), F.col("critical")), F.col(union))
+        return (F.col("favourable") > 1) & (F.size("critical") > 0) & (F.size(F.array_except("critical", F.col(union))) == 0) & (F.size(missed) == 0)
+
+    numbers_ok = F.size("_unmet") == 0
+    proposed = (covering("_fast") | joint("_fast")) & numbers_ok
+    stands = (covering("_union") | joint("_union")) & numbers_ok
+    any_strong = F.exists("_r", lambda r: r["strong"])
+    decisive_strong = F.when(covering("_fast"), F.exists("_r", lambda r: r["strong"] & (r["relation"] == "SUPPORTS"))).otherwise(any_strong)
+    gate_on = F.lit(strong_gate)
+    rows = rows.withColumn("_unconfirmed", proposed & gate_on & ~decisive_strong)
+    unread = gate_on & (F.col("favourable") > 0) & ~any_strong
+    coverage = (
+        F.when(F.col("n_read") == 0, "NO_EVIDENCE").when(F.col("conflicts") > 0, "CONFLICT").when(F.col("open_conflicts") > 0, "UNKNOWN")
+        .when(unread & (F.col("rejected") > 0) & (F.col("failed") == 0), "NO_EVIDENCE")
+        .when(unread & F.col("_unconfirmed") & (F.col("failed") > 0), "UNKNOWN")
+        .when(stands & ~F.col("_unconfirmed"), "COVERS_TEXT").when(F.col("favourable") > 0, "PARTIAL")
+        .when(F.col("weak") > 0, "UNKNOWN").otherwise("NO_EVIDENCE"))
+    settled = (F.col("conflicts") == 0) & (F.col("open_conflicts") == 0) & (F.col("n_read") > 0)
+    flags = F.array_compact(F.array(
+        F.when(F.col("open_conflicts") > 0, F.lit("POSSIBLE_CONFLICT_UNRESOLVED")),
+        F.when(settled & F.col("_unconfirmed"), F.lit("COVERS_UNCONFIRMED")),
+        F.when(settled & unread & ~F.col("_unconfirmed"), F.lit("PARTIAL_UNCONFIRMED")),
+        F.when(settled & unread & F.col("_unconfirmed") & (F.col("failed") > 0), F.lit("VERIFIER_FAILED"))))
+    return rows.select(by, coverage.alias("coverage"), F.array_join(flags, "; ").alias("flags"))

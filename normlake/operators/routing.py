@@ -100,8 +100,9 @@ def select_packs(profiles: DataFrame, packs: DataFrame, products: DataFrame, lic
     """
     by_product = products.join(pack_products, "product_class").select("profile_id", "pack_id", F.lit(True).alias("_p")).distinct()
     by_licence = licences.join(exclusive_licences(pack_licences), "licence").select("profile_id", "pack_id", F.lit(True).alias("_l")).distinct()
-    # packs are a registry of a few rows: every profile states one status for each
-    grid = profiles.withColumn("pack_id", F.explode(F.array(*[F.lit(p["pack_id"]) for p in packs.limit(10000).collect()])))
+    # the registry of packs is one small list; every profile states one status for each entry
+    registry = packs.agg(F.collect_set("pack_id").alias("_packs"))
+    grid = profiles.join(F.broadcast(registry)).withColumn("pack_id", F.explode("_packs")).drop("_packs")
     joined = grid.join(by_product, ["profile_id", "pack_id"], "left").join(by_licence, ["profile_id", "pack_id"], "left")
     hit = F.array_compact(F.array(F.when(F.col("_p"), F.lit("PRODUCT_MATCH")), F.when(F.col("_l"), F.lit("LICENSE_MATCH"))))
     status = F.when(F.size(hit) > 0, "SELECTED").when(F.col("products_complete"), "NOT_SELECTED").otherwise("UNKNOWN")

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("retrieval", "scoring", "versions", "routing")
+MODULES = ("retrieval", "scoring", "versions", "routing", "gaps")
 
 
 def load_all():

@@ -148,3 +148,25 @@ def product_scopes(spark: SparkSession, sf: str) -> DataFrame:
         F.concat_ws("/", "p_type", "r_regionkey").alias("scope_id"), key.alias("pack_id"), F.col("p_type").alias("needs_class"),
         (key * 5 + 5).cast("double").alias("min_size"), F.lit(1500.0).alias("exempt_price"),
         F.when(key == 3, F.array(F.lit("red"), F.lit("blue"), F.lit("green"))).otherwise(F.array().cast("array<string>")).alias("needs_tags"))
+
+
+def readings(spark: SparkSession, sf: str) -> DataFrame:
+    """Lineitems read as relations between a duty (order) and a passage (part)."""
+    x = table(spark, sf, "lineitem")
+    flag, status, number = F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_linenumber")
+    relation = (
+        F.when((flag == "R") & (status == "O") & (F.col("l_quantity") > 45), "CONFLICTS")
+        .when((flag == "A") & (status == "F"), "SUPPORTS").when((flag == "R") & (status == "F"), "SUPPORTS")
+        .when((flag == "A") | (flag == "R"), "PARTIAL").when(status == "F", "UNCLEAR").otherwise("UNRELATED"))
+    ids = F.array(F.lit("act_1"), F.lit("deadline_1"), F.lit("item_1"))
+    part = F.col("l_partkey")
+    bit = lambda n: (F.floor(part / n) % 2 == 1)
+    pick = lambda on: F.array_compact(F.array(*[F.when(on(n), F.get(ids, F.lit(i))) for i, n in enumerate((1, 2, 4))]))
+    return x.select(
+        F.col("l_orderkey").alias("duty_id"), part.alias("passage_id"), number.alias("number"), relation.alias("relation"),
+        (F.col("l_suppkey") % 5 == 0).alias("is_control"), F.concat(F.lit("R"), number).alias("reason"),
+        F.when(F.col("l_suppkey") % 3 == 0, "strong").otherwise("weak").alias("uncertainty"),
+        pick(bit).alias("covered"), pick(lambda n: ~bit(n)).alias("missing"),
+        F.when(part % 3 == 0, F.array(F.lit("deadline_1"))).otherwise(F.array().cast("array<string>")).alias("numbers_met"),
+        (F.col("l_suppkey") % 2 == 0).alias("strong"), ((part % 7 == 0) & (relation == "UNRELATED")).alias("rejected"),
+        (part % 11 == 0).alias("failed"), "l_suppkey", "l_quantity", "l_discount", "l_extendedprice", "l_shipdate")

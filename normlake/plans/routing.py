@@ -128,16 +128,16 @@ def agg33_resolution(spark, sf):
 
 
 @query("jon12_guidance_conflicts", "JON12", sql=f"""
-WITH {sq.PRODUCTS}, d AS (SELECT scope_id, target_id, status, scope_id NOT LIKE '%/3' AND scope_id NOT LIKE '%/4' AS binding FROM pdecisions),
-all_d AS (SELECT *, split_part(scope_id, '/', 1) AS topic FROM d)
-SELECT DISTINCT g.topic, g.target_id FROM all_d g JOIN all_d b USING (target_id)
-WHERE NOT g.binding AND g.status = 'UNKNOWN' AND NOT b.binding AND b.status = 'DOES_NOT_APPLY' AND b.topic = 'PROMO'""")
+WITH {sq.PRODUCTS}, d AS (SELECT *, split_part(scope_id, '/', 1) AS topic, split_part(scope_id, '/', 2) AS pack FROM pdecisions)
+SELECT DISTINCT g.scope_id, g.target_id FROM d g JOIN d b ON b.target_id = g.target_id AND b.pack = g.pack
+  AND b.topic = CASE g.topic WHEN 'PROMO' THEN 'SMALL' WHEN 'LARGE' THEN 'MEDIUM' END
+WHERE g.status = 'APPLIES' AND b.status = 'DOES_NOT_APPLY'""")
 def jon12_guidance_conflicts(spark, sf):
-    d = product_decisions(spark, sf).select("scope_id", "target_id", "status")
-    loose = d.filter("scope_id LIKE '%/3' OR scope_id LIKE '%/4'").withColumn("topic", F.split("scope_id", "/")[0])
-    guidance = loose.filter("status = 'UNKNOWN'").select("topic", "target_id")
-    against = loose.filter("status = 'DOES_NOT_APPLY' AND topic = 'PROMO'").select("target_id")
-    return guidance.join(against, "target_id", "left_semi").distinct()
+    topic, pack = F.split("scope_id", "/")[0], F.split("scope_id", "/")[1]
+    d = product_decisions(spark, sf).select("scope_id", "target_id", "status", (~topic.isin("PROMO", "LARGE")).alias("binding"))
+    about = F.when(topic == "PROMO", "SMALL").when(topic == "LARGE", "MEDIUM")
+    interprets = ad.product_scopes(spark, sf).select("scope_id", F.concat(about, F.lit("/"), pack).alias("interpreted")).filter("interpreted IS NOT NULL")
+    return ro.guidance_conflicts(d, interprets)
 
 
 INFORCE_SQL = f"""{sq.ENTITIES},

@@ -146,3 +146,15 @@ pdecisions AS (
   SELECT *, CASE WHEN fc AND fs AND NOT coalesce(fx, false) AND ft THEN 'APPLIES'
     WHEN (fc AND fs AND NOT coalesce(fx, false) AND ft) IS NULL THEN 'UNKNOWN' ELSE 'DOES_NOT_APPLY' END AS status FROM pfacts
 )"""
+
+READINGS = """readings AS (
+  SELECT l_orderkey AS duty_id, l_partkey AS passage_id, l_linenumber AS number,
+    CASE WHEN l_returnflag = 'R' AND l_linestatus = 'O' AND l_quantity > 45 THEN 'CONFLICTS' WHEN l_returnflag IN ('A', 'R') AND l_linestatus = 'F' THEN 'SUPPORTS'
+      WHEN l_returnflag IN ('A', 'R') THEN 'PARTIAL' WHEN l_linestatus = 'F' THEN 'UNCLEAR' ELSE 'UNRELATED' END AS relation,
+    l_suppkey % 5 = 0 AS is_control, 'R' || l_linenumber AS reason, CASE WHEN l_suppkey % 3 = 0 THEN 'strong' ELSE 'weak' END AS uncertainty,
+    list_filter([CASE WHEN l_partkey & 1 > 0 THEN 'act_1' END, CASE WHEN l_partkey & 2 > 0 THEN 'deadline_1' END, CASE WHEN l_partkey & 4 > 0 THEN 'item_1' END], lambda x: x IS NOT NULL) AS covered,
+    list_filter([CASE WHEN l_partkey & 1 = 0 THEN 'act_1' END, CASE WHEN l_partkey & 2 = 0 THEN 'deadline_1' END, CASE WHEN l_partkey & 4 = 0 THEN 'item_1' END], lambda x: x IS NOT NULL) AS missing,
+    l_partkey % 3 = 0 AS number_met, l_suppkey % 2 = 0 AS strong,
+    l_partkey % 7 = 0 AND l_returnflag = 'N' AND l_linestatus = 'O' AS rejected, l_partkey % 11 = 0 AS failed, l_suppkey, l_quantity, l_discount, l_extendedprice, l_shipdate
+  FROM lineitem
+)"""
