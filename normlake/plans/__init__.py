@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("retrieval", "scoring", "versions", "routing", "gaps")
+MODULES = ("retrieval", "scoring", "versions", "routing", "gaps", "documents")
 
 
 def load_all():
