@@ -227,7 +227,7 @@ def jon06_missing_sources(spark, sf):
 @query("jon02_context_packets", "JON02", sql=f"""
 WITH RECURSIVE {REFS_SQL},
 one AS (SELECT version_id, number, min(section) AS section, min(text) AS text FROM p GROUP BY ALL HAVING count(*) = 1),
-refs AS (SELECT DISTINCT version_id, from_number AS number, number AS item, 0 AS priority, resolved_to AS text FROM res JOIN one ON one.version_id = res.version_id AND one.number = res.from_number WHERE status = 'RESOLVED' AND res.number <> res.from_number),
+refs AS (SELECT DISTINCT res.version_id, res.from_number AS number, res.number AS item, 0 AS priority, resolved_to AS text FROM res JOIN one ON one.version_id = res.version_id AND one.number = res.from_number WHERE status = 'RESOLVED' AND res.number <> res.from_number),
 nb AS (SELECT a.version_id, a.number, b.number AS item, 1 AS priority, b.text FROM one a JOIN one b ON a.version_id = b.version_id AND abs(a.number - b.number) = 1),
 items AS (SELECT version_id, number, item, min(priority) AS priority, min(text) AS text FROM (SELECT version_id, number, item, priority, text FROM refs UNION ALL SELECT * FROM nb) GROUP BY version_id, number, item),
 o AS (SELECT *, length(text) AS chars, row_number() OVER (PARTITION BY version_id, number ORDER BY priority, item) AS k FROM items),

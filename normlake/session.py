@@ -37,3 +37,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     import tempfile
 
     return tempfile.mkdtemp(prefix="normlake-checkpoint-")
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Checkpoints go to the folder the session names; a run that names none (tests) gets a temporary one."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
