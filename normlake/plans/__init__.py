@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("retrieval", "scoring", "versions", "routing", "gaps", "documents", "analysis")
+MODULES = ("retrieval", "scoring", "versions", "routing", "gaps", "documents", "analysis", "reading")
 
 
 def load_all():
