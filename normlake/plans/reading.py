@@ -25,7 +25,7 @@ duty AS (SELECT *, CASE WHEN m = '' THEN 'NO_EXPLICIT_OBLIGATION' WHEN trim(b) =
 
 
 def duties(spark, sf):
-    return ad.provisions(spark, sf).withColumn("d", ex.read_duty(F.col("text")))
+    return ex.read_duties(ad.provisions(spark, sf))
 
 
 @query("fun29_extract_duties", "FUN29", "FUN45", sql=f"""
@@ -183,7 +183,7 @@ def _rerank(spark, sf):
 
 
 @query("top05_reranked_head", "TOP05", "UDF02", sql=f"""
-WITH {RERANK_SQL.replace('k AS (SELECT *, rank() OVER', 'k AS (SELECT *, rank() OVER', 1).replace('k AS (SELECT *, bool_and', 'kk AS (SELECT *, bool_and')}
+WITH {RERANK_SQL.replace('k AS (SELECT *, bool_and', 'kk AS (SELECT *, bool_and')}
 SELECT query_id, passage_id, CASE WHEN complete THEN row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fused DESC, passage_id) ELSE position END::BIGINT AS rerank FROM kk""")
 def top05_reranked_head(spark, sf):
     return _rerank(spark, sf)[0].select("query_id", "passage_id", F.col("rerank").cast("bigint").alias("rerank"))
