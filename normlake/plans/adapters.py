@@ -50,7 +50,11 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
 
 def calls(spark: SparkSession, sf: str) -> DataFrame:
     """Events read as a log of model calls."""
-    e = table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+    return as_calls(table(spark, sf, "events"))
+
+
+def as_calls(events: DataFrame) -> DataFrame:
+    e = events.withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
     k, user = F.col("k"), F.col("user_id")
     failed = F.col("event_type") == "error"
     return e.select(
@@ -71,8 +75,11 @@ def calls(spark: SparkSession, sf: str) -> DataFrame:
 
 def captures(spark: SparkSession, sf: str) -> DataFrame:
     """Orders read as captures of official texts: a regulation per customer, content and parser per order."""
-    o = table(spark, sf, "orders")
-    return o.select(
+    return as_captures(table(spark, sf, "orders"))
+
+
+def as_captures(orders: DataFrame) -> DataFrame:
+    return orders.select(
         F.col("o_custkey").alias("regulation_id"), F.col("o_orderkey").alias("capture_id"), F.col("o_orderdate").alias("fetched_at"),
         F.sha2(F.concat("o_orderstatus", F.substring("o_orderpriority", 1, 1)), 256).alias("content_hash"),
         F.concat(F.lit("parser-"), F.when(F.col("o_orderdate") >= "1998-06-01", 2).otherwise(1)).alias("parser_version"),
@@ -82,7 +89,11 @@ def captures(spark: SparkSession, sf: str) -> DataFrame:
 def provisions(spark: SparkSession, sf: str, later: bool = False) -> DataFrame:
     """Lineitems rendered as provisions of a version (an order). ``later`` is the next snapshot: some provisions are gone,
     some have another quantity, some are new."""
-    x = table(spark, sf, "lineitem").select(
+    return as_provisions(table(spark, sf, "lineitem"), later)
+
+
+def as_provisions(lineitem: DataFrame, later: bool = False) -> DataFrame:
+    x = lineitem.select(
         F.col("l_orderkey").alias("version_id"), F.col("l_returnflag").alias("section"), F.col("l_linenumber").alias("number"),
         "l_partkey", "l_suppkey", "l_linestatus", "l_quantity", "l_discount", "l_extendedprice", "l_shipdate")
     if later:
@@ -170,3 +181,8 @@ def readings(spark: SparkSession, sf: str) -> DataFrame:
         F.when(part % 3 == 0, F.array(F.lit("deadline_1"))).otherwise(F.array().cast("array<string>")).alias("numbers_met"),
         (F.col("l_suppkey") % 2 == 0).alias("strong"), ((part % 7 == 0) & (relation == "UNRELATED")).alias("rejected"),
         (part % 11 == 0).alias("failed"), "l_suppkey", "l_quantity", "l_discount", "l_extendedprice", "l_shipdate")
+
+
+def with_utc(df: DataFrame, column: str) -> DataFrame:
+    """The wall-clock column as an instant, which event-time windows and watermarks need (the session zone is UTC)."""
+    return df.withColumn(column, F.col(column).cast("timestamp"))

@@ -288,7 +288,7 @@ def jon38_error_rows(spark, sf):
 
 @query("jon29_quotes_to_passages", "JON29", sql=f"""
 WITH {sq.PASSAGES}, q AS (SELECT item_id, {sq.squash("string_split(text, chr(10))[1]")} AS quote FROM benchmark), t AS (SELECT doc_id || ':' || line_no AS passage_id, {sq.squash('text')} AS body FROM passages)
-SELECT item_id, count(*)::BIGINT AS passages, min(passage_id) AS first_passage FROM q JOIN t ON contains(body, quote) WHERE len(string_split(quote, ' ')) > 2 GROUP BY item_id""")
+SELECT item_id, count(*)::BIGINT AS passages, min(passage_id) AS first_passage FROM q JOIN t ON contains(body, quote) WHERE quote <> '' GROUP BY item_id""")
 def jon29_quotes_to_passages(spark, sf):
     quotes = ad.duties(spark, sf).select("item_id", F.get(F.split("text", "\n"), F.lit(0)).alias("needle"))
     texts = ad.passages(spark, sf).select(F.concat_ws(":", "doc_id", "line_no").alias("passage_id"), "text")
