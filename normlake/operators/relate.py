@@ -191,3 +191,20 @@ def interleaved(df: DataFrame, document: str, order: list[Column], limit: int |
     turn = Window.partitionBy(document).orderBy(*order)
     rows = df.withColumn("turn", F.row_number().over(turn))
     return rows if limit is None else rows.orderBy("turn", document).limit(limit)
+
+
+def conflict_gate(same_object: Column, same_actor: Column, opposed: Column, same_scope: Column) -> Column:
+    """First stage at which a claimed conflict fails (NULL = the claim holds): object, actor, effect, scope."""
+    return (
+        F.when(~same_object, "OBJECT").when(~same_actor, "ACTOR").when(~opposed, "EFFECT").when(~same_scope, "SCOPE"))
+
+
+def anchor_audit(dimensions: dict[str, tuple[Column, Column]], shared_act: Column) -> Column:
+    """struct(mismatches, overall): each dimension MATCH when equal, MISMATCH when both sides state something else.
+
+    Any explicit mismatch decides; a shared act or object alone matches; otherwise the anchor is unresolved.
+    """
+    differs = F.array_compact(F.array(*[
+        F.when(a.isNotNull() & b.isNotNull() & (a != b), F.lit(name)) for name, (a, b) in dimensions.items()]))
+    overall = F.when(F.size(differs) > 0, "MISMATCH").when(shared_act, "MATCH").otherwise("UNRESOLVED")
+    return F.struct(F.array_join(differs, "; ").alias("mismatches"), overall.alias("overall"))
