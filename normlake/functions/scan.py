@@ -16,6 +16,16 @@ def _before(keys: list[str], block: str):
     return Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
 
 
+def _attach(df: DataFrame, summary: DataFrame, on: list[str]) -> DataFrame:
+    """Joins the block summary back; a key that is NULL keeps its rows."""
+    side = summary.select(*[F.col(c).alias(f"_on_{c}") for c in on], *[c for c in summary.columns if c not in on])
+    condition = None
+    for c in on:
+        same = F.col(c).eqNullSafe(F.col(f"_on_{c}"))
+        condition = same if condition is None else condition & same
+    return df.join(side, condition).drop(*[f"_on_{c}" for c in on])
+
+
 def _inside(keys: list[str], block: str, order: list[Column]):
     return Window.partitionBy(*keys, block).orderBy(*order)
 
@@ -24,7 +34,7 @@ def row_number(df: DataFrame, keys: list[str], block: str, order: list[Column],
     """Gap-free 1-based position of every row inside its key."""
     sizes = df.groupBy(*keys, block).agg(F.count(F.lit(1)).alias("_size"))
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_size").over(_before(keys, block)), F.lit(0))).drop("_size")
-    placed = df.join(starts, [*keys, block])
+    placed = _attach(df, starts, [*keys, block])
     return placed.withColumn(out, (F.col("_start") + F.row_number().over(_inside(keys, block, order))).cast("bigint")).drop("_start")
 
 
@@ -33,7 +43,7 @@ def running_sum(df: DataFrame, keys: list[str], block: str, order: list[Column],
     totals = df.groupBy(*keys, block).agg(F.sum(value).alias("_total"))
     starts = totals.withColumn("_start", F.coalesce(F.sum("_total").over(_before(keys, block)), F.lit(0))).drop("_total")
     window = _inside(keys, block, order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.join(starts, [*keys, block]).withColumn(out, F.col("_start") + F.sum(value).over(window)).drop("_start")
+    return _attach(df, starts, [*keys, block]).withColumn(out, F.col("_start") + F.sum(value).over(window)).drop("_start")
 
 
 def previous(df: DataFrame, keys: list[str], block: str, order: list[Column], value: str, out: str) -> DataFrame:
@@ -41,7 +51,7 @@ def previous(df: DataFrame, keys: list[str], block: str, order: list[Column], va
     tail = df.groupBy(*keys, block).agg(F.max_by(value, F.struct(*order)).alias("_tail"))
     borders = tail.withColumn("_border", F.lag("_tail").over(Window.partitionBy(*keys).orderBy(block))).drop("_tail")
     inside = F.lag(value).over(_inside(keys, block, order))
-    return df.join(borders, [*keys, block]).withColumn(out, F.coalesce(inside, F.col("_border"))).drop("_border")
+    return _attach(df, borders, [*keys, block]).withColumn(out, F.coalesce(inside, F.col("_border"))).drop("_border")
 
 
 def carry_forward(df: DataFrame, keys: list[str], block: str, order: list[Column], value: str, out: str) -> DataFrame:
@@ -50,4 +60,4 @@ def carry_forward(df: DataFrame, keys: list[str], block: str, order: list[Column
     borders = tail.withColumn("_border", F.last("_tail", ignorenulls=True).over(_before(keys, block))).drop("_tail")
     window = _inside(keys, block, order).rowsBetween(Window.unboundedPreceding, 0)
     inside = F.last(value, ignorenulls=True).over(window)
-    return df.join(borders, [*keys, block]).withColumn(out, F.coalesce(inside, F.col("_border"))).drop("_border")
+    return _attach(df, borders, [*keys, block]).withColumn(out, F.coalesce(inside, F.col("_border"))).drop("_border")

@@ -76,16 +76,24 @@ def strongest(readings: DataFrame, by: list[str]) -> DataFrame:
     return readings.groupBy(*by).agg(F.max_by(F.struct("relation", "reasons"), F.struct(order, "reasons")).alias("_b")).select(*by, "_b.*")
 
 
-def later_deadline(duty: Column, offered: Column) -> Column:
-    """LATER / NOT_LATER from two arrays of deadlines in days, paired from the shortest; a statement with more or fewer
-    deadlines than the duty is decided only where every pairing agrees."""
-    due, given = F.array_sort(duty), F.array_sort(offered)
-    paired = F.slice(F.zip_with(due, given, lambda d, g: F.struct(d.alias("d"), g.alias("g"))), F.lit(1), F.greatest(F.least(F.size(due), F.size(given)), F.lit(1)))
-    later = F.exists(paired, lambda p: p["g"] > p["d"])
-    return (
-        F.when((F.size(due) == 0) | (F.size(given) == 0), F.lit(None).cast("string"))
-        .when(F.size(due) == F.size(given), F.when(later, "LATER").otherwise("NOT_LATER"))
-        .when(F.array_max(given) <= F.array_min(due), "NOT_LATER").when(F.array_min(given) > F.array_max(due), "LATER").otherwise("UNRESOLVED"))
+def later_deadlines(duty: DataFrame, offered: DataFrame, by: list[str], days: str) -> DataFrame:
+    """LATER / NOT_LATER / UNRESOLVED per group from the deadlines of both sides, paired from the shortest.
+
+    With equally many, some pair is later exactly when at some length fewer of the offered deadlines have run out than of the
+    duty's; otherwise only ranges that do not overlap decide. Deadlines stay counts per length, no list is gathered.
+    """
+    count = lambda df, name: df.groupBy(*by, days).agg(F.count(F.lit(1)).alias(name))
+    both = count(duty, "_d").join(count(offered, "_g"), [*by, days], "full_outer").fillna(0, ["_d", "_g"])
+    upto = Window.partitionBy(*by).orderBy(days).rowsBetween(Window.unboundedPreceding, 0)
+    behind = both.withColumn("_lead", F.sum(F.col("_g") - F.col("_d")).over(upto))
+    only = lambda side: F.when(F.col(side) > 0, F.col(days))
+    t = behind.groupBy(*by).agg(
+        F.sum("_d").alias("_nd"), F.sum("_g").alias("_ng"), F.min("_lead").alias("_worst"), F.min(only("_d")).alias("_dmin"), F.max(only("_d")).alias("_dmax"),
+        F.min(only("_g")).alias("_gmin"), F.max(only("_g")).alias("_gmax")).filter("_nd > 0 AND _ng > 0")
+    verdict = (
+        F.when(F.col("_nd") == F.col("_ng"), F.when(F.col("_worst") < 0, "LATER").otherwise("NOT_LATER"))
+        .when(F.col("_gmax") <= F.col("_dmin"), "NOT_LATER").when(F.col("_gmin") > F.col("_dmax"), "LATER").otherwise("UNRESOLVED"))
+    return t.select(*by, verdict.alias("verdict"))
 
 
 def replay(statements: DataFrame, records: DataFrame, key: str) -> DataFrame:

@@ -132,15 +132,33 @@ def call_costs_rollup(calls: DataFrame, *by: str) -> DataFrame:
         F.count_if(strong).alias("strong_model_calls"))
 
 
+def exact_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by..., median): from the counts of the distinct values, so equal values are one row before they are ordered."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    ordered = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.withColumn("_upto", F.sum("_n").over(ordered)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*by)))
+    at = lambda place: F.min(F.when(F.col("_upto") >= place, F.col(value)))
+    low, high = at(F.floor((F.col("_all") + 1) / 2)), at(F.floor(F.col("_all") / 2) + 1)
+    return placed.groupBy(*by).agg(((low + high) / 2).alias("median"))
+
+
 def runtime_breakdown(calls: DataFrame, run: str) -> DataFrame:
     """Live model time by model, by window and by both, with the share of calls that ran fully on the GPU."""
     live = calls.filter(~F.col("cache_hit"))
+    view = lambda name, model, ctx: F.struct(
+        F.lit(name).alias("_view"), (F.col("model") if model else F.lit("*")).alias("_model"), (F.col("num_ctx") if ctx else F.lit(0)).cast("bigint").alias("_ctx"))
+    views = F.array(view("model", True, False), view("window", False, True), view("both", True, True))
+    rows = live.select(run, "elapsed_ms", "gpu_fraction", "tokens_per_second", F.explode(views).alias("_v")).select(run, "elapsed_ms", "gpu_fraction", "tokens_per_second", "_v.*")
+    by = [run, "_view", "_model", "_ctx"]
     seen = F.col("gpu_fraction").isNotNull()
-    return live.groupingSets([(run, "model"), (run, "num_ctx"), (run, "model", "num_ctx")], run, "model", "num_ctx").agg(
+    totals = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("live_calls"), F.sum("elapsed_ms").alias("model_ms"), F.count_if(seen).alias("observed"),
         F.count_if(F.col("gpu_fraction") >= FULL_GPU).alias("full_gpu"),
-        ratio4(F.count_if(F.col("gpu_fraction") >= FULL_GPU), F.count_if(seen)).alias("full_gpu_share"),
-        F.percentile("tokens_per_second", 0.5).alias("median_rate"))
+        ratio4(F.count_if(F.col("gpu_fraction") >= FULL_GPU), F.count_if(seen)).alias("full_gpu_share"))
+    out = totals.join(exact_median(rows, by, "tokens_per_second"), by, "left")
+    return out.select(
+        run, F.when(F.col("_view") != "window", F.col("_model")).alias("model"), F.when(F.col("_view") != "model", F.col("_ctx")).alias("num_ctx"),
+        "live_calls", "model_ms", "observed", "full_gpu", "full_gpu_share", F.col("median").alias("median_rate"))
 
 
 def model_switches(calls: DataFrame, run: str, block: str) -> DataFrame:
@@ -163,10 +181,11 @@ def stage_costs(predictions: DataFrame, stages) -> DataFrame:
     each = rows.select(F.explode(F.transform(F.array(*[F.lit(s) for s in stages]), lambda s: F.struct(
         s.alias("stage"), F.coalesce(F.try_element_at("timings_ms", s), F.lit(0)).alias("ms"),
         F.map_contains_key("timings_ms", s).alias("ran")))).alias("e")).select("e.*")
-    return each.groupBy("stage").agg(
+    totals = each.groupBy("stage").agg(
         F.count_if("ran").alias("obligations"), F.bround(F.avg("ms") / 1000, 2).alias("mean_s"),
-        F.bround(F.percentile("ms", 0.5) / 1000, 2).alias("median_s"), F.bround(F.max("ms") / 1000, 2).alias("max_s"),
-        F.bround(F.sum("ms") / 1000, 1).alias("total_s"))
+        F.bround(F.max("ms") / 1000, 2).alias("max_s"), F.bround(F.sum("ms") / 1000, 1).alias("total_s"))
+    return totals.join(exact_median(each, ["stage"], "ms"), "stage").select(
+        "stage", "obligations", "mean_s", F.bround(F.col("median") / 1000, 2).alias("median_s"), "max_s", "total_s")
 
 
 def gate_checks(run: DataFrame, baseline: DataFrame, limits: DataFrame) -> DataFrame:

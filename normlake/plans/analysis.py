@@ -78,11 +78,8 @@ SELECT version_id, CASE WHEN len(ds) = len(gs) THEN CASE WHEN len(list_filter(li
   WHEN list_max(gs) <= list_min(ds) THEN 'NOT_LATER' WHEN list_min(gs) > list_max(ds) THEN 'LATER' ELSE 'UNRESOLVED' END AS verdict FROM d JOIN o USING (version_id)""")
 def jon39_deadlines(spark, sf):
     p = ad.provisions(spark, sf)
-    # the deadlines of one text: a list as long as its duties
-    listed = lambda section, name: p.filter(F.col("section") == section).groupBy("version_id").agg(
-        F.collect_list(F.floor("l_quantity").cast("double")).alias(name))
-    return listed("A", "due").join(listed("R", "given"), "version_id").select(
-        "version_id", rl.later_deadline(F.col("due"), F.col("given")).alias("verdict"))
+    days = lambda section: p.filter(F.col("section") == section).select("version_id", F.floor("l_quantity").cast("double").alias("days"))
+    return rl.later_deadlines(days("A"), days("R"), ["version_id"], "days")
 
 
 REPLAY_SQL = """rec AS (SELECT sha256(text) AS key, doc_id AS seq, CASE WHEN doc_id % 9 = 0 THEN NULL WHEN quality = 1 THEN 'STATES_DUTY' ELSE 'OTHER' END AS answer,

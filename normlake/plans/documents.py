@@ -333,7 +333,7 @@ def agg29_definition_ranking(spark, sf):
         "item_id", "def_id", "shared", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("jon08_relevant_definitions", "JON08", sql=f"""
+@query("jon08_relevant_definitions", "JON08", "UDF06", sql=f"""
 WITH g AS (SELECT DISTINCT p_name AS term FROM part UNION SELECT DISTINCT lower(regexp_extract(text, '^([A-Za-z]+ [a-z]+)', 1)) FROM documents WHERE lang = 'en'),
 w AS (SELECT item_id, {sq.words('text')} AS ws FROM benchmark),
 i AS (SELECT item_id, ws, unnest(generate_series(1, len(ws))) AS pos FROM w),

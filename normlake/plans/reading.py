@@ -345,13 +345,12 @@ def fil21_tenant_rows(spark, sf):
 
 @query("src14_obligation_view", "SRC14", sql=f"""
 WITH {sq.provisions('p')}, run AS (SELECT version_id, max(extract(year FROM dated))::BIGINT AS run_id FROM p GROUP BY ALL), o AS (SELECT p.*, run_id FROM p JOIN run USING (version_id) WHERE extract(year FROM dated) = run_id)
-SELECT version_id, run_id, number, section, count(*)::BIGINT AS obligations, string_agg(text, ' | ' ORDER BY text, l_partkey, l_suppkey) AS evidence FROM o GROUP BY version_id, run_id, number, section""")
+SELECT version_id, run_id, number, section, count(*)::BIGINT AS obligations, string_agg(DISTINCT text, ' | ' ORDER BY text) AS evidence FROM o GROUP BY version_id, run_id, number, section""")
 def src14_obligation_view(spark, sf):
     p = ad.provisions(spark, sf).withColumn("run_id", F.year("dated").cast("bigint"))
     latest = p.groupBy("version_id").agg(F.max("run_id").alias("run_id"))
-    listed = F.array_sort(F.collect_list(F.struct("text", "l_partkey", "l_suppkey")))       # the evidence of one printed number
     return p.join(latest, ["version_id", "run_id"]).groupBy("version_id", "run_id", "number", "section").agg(
-        F.count(F.lit(1)).alias("obligations"), F.array_join(F.transform(listed, lambda x: x["text"]), " | ").alias("evidence"))
+        F.count(F.lit(1)).alias("obligations"), F.array_join(F.array_sort(F.collect_set("text")), " | ").alias("evidence"))
 
 
 @query("src23_export_manifest", "SRC23", sql="""

@@ -25,10 +25,9 @@ pairs AS (SELECT item_id, passage_id, count(*) AS shared, max(n) AS n_terms FROM
 
 
 def lexical_pairs(spark, sf):
-    p = ad.passages(spark, sf).select(
-        F.concat_ws(":", "doc_id", "line_no").alias("passage_id"), tx.lexical_terms(F.col("text")).alias("terms"))
+    p = ad.passages(spark, sf).select(F.concat_ws(":", "doc_id", "line_no").alias("passage_id"), "text")
     d = ad.duties(spark, sf).select("item_id", tx.lexical_terms(F.col("text")).alias("terms"))
-    return rt.containment_pairs(d, p, "item_id", "passage_id", PARTIAL_SHARE)
+    return rt.containment_pairs(d, p, "item_id", "passage_id", PARTIAL_SHARE, tx.lexical_terms)
 
 
 @query("duty_coverage", "JON17", "AGG01", "TOP03", sql=f"""

@@ -323,7 +323,7 @@ SELECT version_id, CASE WHEN rn > 1 THEN number || '~' || rn ELSE number::VARCHA
 def win12_duplicate_locators(spark, sf):
     from ..functions import scan
 
-    p = ad.provisions(spark, sf).withColumn("block", F.substring(F.md5("text"), 1, 0))
+    p = ad.provisions(spark, sf).withColumn("block", F.col("text"))
     numbered = scan.row_number(p, ["version_id", "number"], "block", [F.col("text"), F.col("l_partkey"), F.col("l_suppkey")], "rn")
     locator = F.when(F.col("rn") > 1, F.concat_ws("~", "number", "rn")).otherwise(F.col("number").cast("string"))
     return numbered.select("version_id", locator.alias("locator"), "text")
