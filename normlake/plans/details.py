@@ -248,3 +248,86 @@ def top01_question_items(spark, sf):
         "source_id", F.length("text").cast("bigint").alias("chars"),
         tx.shared(tx.lexical_terms(F.col("text")), tx.lexical_terms(F.lit(QUESTION))).cast("bigint").alias("lexical")).withColumn("_order", -F.col("lexical"))
     return dc.greedy_within_budget(scored, ["_order", "source_id"], "chars", 10, 7000).select("source_id", "lexical", "chars")
+
+
+@query("fil16_skipped_units", "FIL16", sql=f"""
+WITH {sq.provisions('p')}, k AS (SELECT version_id, CASE WHEN regexp_matches(text, '(?i)(must|shall) not') THEN 'PROHIBITION' WHEN regexp_matches(text, '(?i)(^|[^a-z])(must|shall)([^a-z]|$)') THEN 'OBLIGATION' ELSE 'PERMISSION' END AS kind FROM p)
+SELECT version_id, CASE WHEN kind = 'PERMISSION' THEN 'CLASSIFIED_PERMISSION' ELSE 'EXTRACTED' END AS outcome, count(*)::BIGINT AS units FROM k GROUP BY ALL""")
+def fil16_skipped_units(spark, sf):
+    kind = dc.classify(F.col("text"))["kind"]
+    rows = ad.provisions(spark, sf).select("version_id", kind.alias("kind"))
+    outcome = F.when(F.col("kind").isin(*dc.NOT_EXTRACTED), F.concat(F.lit("CLASSIFIED_"), "kind")).otherwise("EXTRACTED")
+    return rows.groupBy("version_id", outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("units"))
+
+
+@query("fil14_institutions", "FIL14", sql="""
+WITH u AS (SELECT page_id, regexp_extract(url, '([a-z0-9-]+[.][a-z]+)(?:[/?#]|$)', 1) AS domain, starts_with(url, 'https://') AS secure FROM pages), allow(domain, institution, authority) AS (VALUES ('example.org', 'REGULATOR', 'BINDING'), ('example.com', 'GAZETTE', 'OFFICIAL'))
+SELECT coalesce(institution, 'NOT_ALLOWED') AS institution, authority, count(*)::BIGINT AS pages, count(*) FILTER (secure)::BIGINT AS secure FROM u LEFT JOIN allow USING (domain) GROUP BY ALL""")
+def fil14_institutions(spark, sf):
+    allow = spark.createDataFrame(
+        [("example.org", "REGULATOR", "BINDING"), ("example.com", "GAZETTE", "OFFICIAL")], "domain string, institution string, authority string")
+    pages = table(spark, sf, "pages").select(
+        F.substring_index(F.expr("parse_url(url, 'HOST')"), ".", -2).alias("domain"), F.col("url").startswith("https://").alias("secure"))
+    return pages.join(F.broadcast(allow), "domain", "left").groupBy(F.coalesce("institution", F.lit("NOT_ALLOWED")).alias("institution"), "authority").agg(
+        F.count(F.lit(1)).alias("pages"), F.count_if("secure").alias("secure"))
+
+
+@query("fun36_error_layers", "FUN36", sql=f"""
+WITH {sq.CALLS} SELECT run_id, CASE WHEN status <> 'OK' THEN 'MODEL' WHEN retry_count > 2 THEN 'GROUNDING' WHEN output_tokens < 3 THEN 'VALIDATOR' WHEN cache_hit THEN 'RETRIEVAL' ELSE 'RULE' END AS layer, count(*)::BIGINT AS n FROM calls GROUP BY ALL""")
+def fun36_error_layers(spark, sf):
+    layer = (
+        F.when(F.col("status") != "OK", "MODEL").when(F.col("retry_count") > 2, "GROUNDING").when(F.col("output_tokens") < 3, "VALIDATOR")
+        .when(F.col("cache_hit"), "RETRIEVAL").otherwise("RULE"))
+    return ad.calls(spark, sf).groupBy("run_id", layer.alias("layer")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("jon42_engines", "JON42", sql=f"""
+WITH {sq.PRODUCTS} SELECT pack_id, scope_id, count(*)::BIGINT AS decisions, count(*) FILTER (status = 'APPLIES')::BIGINT AS applies, count(*) FILTER (status = 'UNKNOWN')::BIGINT AS unknown
+FROM pdecisions JOIN pscopes USING (scope_id) GROUP BY ALL""")
+def jon42_engines(spark, sf):
+    from .routing import product_decisions
+
+    # one plan over all packs, the pack is a column
+    return product_decisions(spark, sf).groupBy("pack_id", "scope_id").agg(
+        F.count(F.lit(1)).alias("decisions"), F.count_if(F.col("status") == "APPLIES").alias("applies"), F.count_if(F.col("status") == "UNKNOWN").alias("unknown"))
+
+
+@query("agg38_operator_packet", "AGG38", sql=f"""
+WITH {sq.provisions('old_p')}, {sq.provisions('new_p', later=True)}, o AS (SELECT version_id, number, min(text) AS was FROM old_p GROUP BY ALL), n AS (SELECT version_id, number, min(text) AS now, bool_or(l_suppkey % 3 = 0) AS quoted, bool_and(l_linestatus = 'F') AS fields FROM new_p GROUP BY ALL)
+SELECT CASE WHEN NOT fields THEN 'FIELDS_OPEN' WHEN NOT quoted THEN 'QUOTE_MISSING' ELSE 'READY' END AS status, CASE WHEN was IS NULL THEN 'NO_BASELINE' WHEN was = now THEN 'UNCHANGED' ELSE 'SOURCE_CHANGED' END AS change, count(*)::BIGINT AS packets FROM n LEFT JOIN o USING (version_id, number) GROUP BY ALL""")
+def agg38_operator_packet(spark, sf):
+    old = ad.provisions(spark, sf).groupBy("version_id", "number").agg(F.min("text").alias("was"))
+    new = ad.provisions(spark, sf, later=True).groupBy("version_id", "number").agg(
+        F.min("text").alias("now"), F.bool_or(F.col("l_suppkey") % 3 == 0).alias("quoted"), F.bool_and(F.col("l_linestatus") == "F").alias("fields"))
+    status = F.when(~F.col("fields"), "FIELDS_OPEN").when(~F.col("quoted"), "QUOTE_MISSING").otherwise("READY")
+    change = F.when(F.col("was").isNull(), "NO_BASELINE").when(F.col("was") == F.col("now"), "UNCHANGED").otherwise("SOURCE_CHANGED")
+    return new.join(old, ["version_id", "number"], "left").groupBy(status.alias("status"), change.alias("change")).agg(F.count(F.lit(1)).alias("packets"))
+
+
+@query("win11_changes_since", "WIN11", sql=f"""
+WITH {sq.provisions('p')}, n AS (SELECT version_id, section, max(dated) AS latest, arg_max(l_linestatus, (dated, l_linestatus)) AS kind FROM p WHERE dated >= TIMESTAMP '2000-06-01' GROUP BY ALL)
+SELECT version_id, section, latest::DATE::VARCHAR AS since, CASE WHEN kind = 'O' THEN 'ADDED' ELSE 'MODIFIED' END AS kind FROM n""")
+def win11_changes_since(spark, sf):
+    recent = ad.provisions(spark, sf).filter("dated >= '2000-06-01'")
+    n = recent.groupBy("version_id", "section").agg(F.max("dated").alias("_at"), F.max_by("l_linestatus", F.struct("dated", "l_linestatus")).alias("_k"))
+    return n.select("version_id", "section", F.to_date("_at").cast("string").alias("since"), F.when(F.col("_k") == "O", "ADDED").otherwise("MODIFIED").alias("kind"))
+
+
+@query("src31_rewritten_catalogue", "SRC31", sql=f"""
+WITH {sq.CAPTURES}, h AS (SELECT regulation_id, arg_max(content_hash, (fetched_at, capture_id)) AS hash, max(fetched_at)::DATE AS effective, count(*)::BIGINT AS versions FROM captures GROUP BY ALL)
+SELECT c_custkey AS regulation_id, CASE WHEN h.hash IS NULL THEN 'UNVERIFIED' WHEN c_custkey % 6 = 0 THEN 'TITLE_DIFFERS' ELSE 'VERIFIED' END AS status, hash, effective::VARCHAR AS effective, coalesce(versions, 0) AS versions FROM customer LEFT JOIN h ON regulation_id = c_custkey""")
+def src31_rewritten_catalogue(spark, sf):
+    heads = ad.captures(spark, sf).groupBy("regulation_id").agg(
+        F.max_by("content_hash", F.struct("fetched_at", "capture_id")).alias("hash"), F.to_date(F.max("fetched_at")).cast("string").alias("effective"),
+        F.count(F.lit(1)).alias("versions"))
+    entries = table(spark, sf, "customer").select(F.col("c_custkey").alias("regulation_id"))
+    status = F.when(F.col("hash").isNull(), "UNVERIFIED").when(F.col("regulation_id") % 6 == 0, "TITLE_DIFFERS").otherwise("VERIFIED")
+    return entries.join(heads, "regulation_id", "left").select(
+        "regulation_id", status.alias("status"), "hash", "effective", F.coalesce("versions", F.lit(0)).cast("bigint").alias("versions"))
+
+
+@query("src28_prediction_rows", "SRC28", sql=f"""
+WITH {sq.READINGS}, d AS (SELECT DISTINCT duty_id, number, passage_id FROM readings) SELECT duty_id, number::BIGINT AS rank, count(*)::BIGINT AS passages, min(passage_id) AS first_passage FROM d GROUP BY ALL""")
+def src28_prediction_rows(spark, sf):
+    distinct = ad.readings(spark, sf).select("duty_id", "number", "passage_id").distinct()
+    return distinct.groupBy("duty_id", F.col("number").cast("bigint").alias("rank")).agg(F.count(F.lit(1)).alias("passages"), F.min("passage_id").alias("first_passage"))

@@ -149,7 +149,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(cosin
 WITH {CAND_SQL} SELECT query_id, passage_id, lexical, cosine, channels, rank::BIGINT AS rank FROM r WHERE rank <= 3 OR EXISTS (SELECT 1 FROM labels WHERE doc_id = passage_id AND toxic = 1)""")
 def jon16_candidates(spark, sf):
     q, p = ad.vector_duties(spark, sf), ad.vector_passages(spark, sf)
-    lexical = rt.gram_similarity(rt.gram_profile(q, "query_id", "text"), rt.gram_profile(p, "passage_id", "text"), "query_id", "passage_id", rt.LEXICAL_FLOOR)
+    lexical = rt.gram_similarity(q, p, "query_id", "passage_id", rt.LEXICAL_FLOOR)
     semantic = rt.vector_pairs(q.select("query_id", "vector"), p.select("passage_id", "vector"), rt.ANCHOR_FLOOR)
     anchors = semantic.join(q.select("query_id", tx.stems(F.col("text")).alias("a")), "query_id").join(
         p.select("passage_id", tx.stems(F.col("text")).alias("b")), "passage_id").select("query_id", "passage_id", tx.shared(F.col("a"), F.col("b")).alias("shared"))

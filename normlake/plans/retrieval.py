@@ -117,9 +117,7 @@ SELECT item_id, turn_id, round_even(sum(a.w * b.w), 4) AS similarity FROM a JOIN
 GROUP BY ALL HAVING round_even(sum(a.w * b.w), 4) >= {rt.LEXICAL_FLOOR}""")
 def fun05_gram_similarity(spark, sf):
     turns = table(spark, sf, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("turn_id"), "text")
-    left = rt.gram_profile(ad.duties(spark, sf), "item_id", "text")
-    right = rt.gram_profile(turns, "turn_id", "text")
-    return rt.gram_similarity(left, right, "item_id", "turn_id", rt.LEXICAL_FLOOR)
+    return rt.gram_similarity(ad.duties(spark, sf), turns, "item_id", "turn_id", rt.LEXICAL_FLOOR)
 
 
 @query("fun06_cosine", "FUN06", sql="""
