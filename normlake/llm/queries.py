@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from normlake.llm.common import table
+from normlake.llm.decontaminate import contamination
 from normlake.llm.exact_dedup import exact_dedup
+from normlake.llm.url_filter import filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -30,3 +33,54 @@ def register(name: str, sql: str | None = None):
     FROM t""")
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+@register("op5_decontamination", sql=r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    p AS (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0),
+    v AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM p),
+    s AS (SELECT doc_id, w, unnest((SELECT list(DISTINCT n) FROM v)) AS n FROM d),
+    q AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM s WHERE len(w) >= n),
+    h AS (SELECT DISTINCT q.doc_id, v.item_id, q.n, q.i FROM q JOIN v ON q.n = v.n AND array_to_string(q.w[q.i:q.i + q.n - 1], ' ') = v.phrase),
+    hit AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS place FROM h) GROUP BY doc_id),
+    items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS joined
+              FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM h) GROUP BY doc_id)
+    SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+           sha256(coalesce(joined, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""")
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+#: The rounds are fixed, so SQL can run them too; scores are compared through the verdict only.
+@register("op9_url_filter", sql=r"""
+    WITH RECURSIVE p AS (
+      SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+    r(rule, verdict) AS (VALUES ('org/', 'allow'), ('example.org/es/', 'block'), ('example.org/en/1', 'block'), ('com/fr/', 'allow'), ('com/de/', 'block')),
+    j AS (SELECT p.*, (SELECT max_by(rule, len(rule)) FROM r WHERE (p.host = split_part(rule, '/', 1) OR ends_with(p.host, '.' || split_part(rule, '/', 1)))
+                         AND starts_with(p.path, substr(rule, strpos(rule, '/')))) AS rule FROM p),
+    l AS (SELECT src, translate(regexp_extract(link, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst
+          FROM (SELECT host AS src, unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']?([a-z][a-z0-9+.-]*://[^"''\s>]+)', 1)) AS link FROM p WHERE host != '')),
+    hosts AS (SELECT host FROM p WHERE host != '' UNION SELECT dst FROM l WHERE dst != '' AND dst != src),
+    tree AS (SELECT host, array_to_string(string_split(host, '.')[2:], '.') AS up FROM hosts WHERE len(string_split(host, '.')) > 2),
+    e AS (SELECT src, dst, sum(w) AS w FROM (SELECT src, dst, 1.0::DOUBLE AS w FROM l WHERE dst != '' AND dst != src
+          UNION ALL SELECT host, up, 1.0 FROM tree UNION ALL SELECT up, host, 1.0 FROM tree) GROUP BY src, dst),
+    s AS (SELECT host, count(*) FILTER (verdict = 'allow') AS a, count(*) FILTER (verdict = 'block') AS b FROM j JOIN r USING (rule) WHERE host != '' GROUP BY host),
+    seed AS (SELECT 'a' AS kind, host, a / sum(a) OVER () AS v FROM s WHERE a > 0 UNION ALL SELECT 'b', host, b / sum(b) OVER () FROM s WHERE b > 0),
+    ways AS (SELECT 'a' AS kind, src, dst, w / sum(w) OVER (PARTITION BY src) AS share FROM e
+             UNION ALL SELECT 'b', dst, src, w / sum(w) OVER (PARTITION BY dst) FROM e),
+    walk AS (SELECT 0 AS n, kind, host, v FROM seed
+             UNION ALL SELECT n + 1, kind, host, sum(v) FROM (
+               SELECT walk.n, walk.kind, ways.dst AS host, walk.v * ways.share * 0.85 AS v FROM walk JOIN ways ON walk.kind = ways.kind AND walk.host = ways.src WHERE walk.n < 10
+               UNION ALL SELECT k.n, seed.kind, seed.host, seed.v * (1 - 0.85) FROM seed JOIN (SELECT DISTINCT n, kind FROM walk WHERE n < 10) k USING (kind)) GROUP BY n, kind, host),
+    score AS (SELECT host, coalesce(sum(v) FILTER (kind = 'a'), 0) AS trust, coalesce(sum(v) FILTER (kind = 'b'), 0) AS distrust FROM walk WHERE n = 10 GROUP BY host)
+    SELECT page_id, j.host, path, j.rule, coalesce(r.verdict, CASE WHEN distrust > trust * 4 THEN 'block' ELSE 'allow' END) AS verdict
+    FROM j LEFT JOIN r ON j.rule = r.rule LEFT JOIN score ON j.host = score.host""")
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
