@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from normlake.llm.common import table
 from normlake.llm.decontaminate import contamination
 from normlake.llm.exact_dedup import exact_dedup
+from normlake.llm.substring_dedup import substring_dedup
 from normlake.llm.url_filter import filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +85,18 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM j LEFT JOIN r ON j.rule = r.rule LEFT JOIN score ON j.host = score.host""")
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@register("op3_substring_dedup", sql=r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    p AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS phrase FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) > 12)),
+    hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY phrase) AS low FROM p) WHERE low < doc_id),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS place FROM hit),
+    lost AS (SELECT doc_id, list(place) AS places, count(*) AS n FROM gone GROUP BY doc_id),
+    kept AS (SELECT doc_id, string_agg(w[place], ' ' ORDER BY place) AS body FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS place FROM d)
+             ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id)
+    SELECT d.doc_id, len(w) AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+    FROM d LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)""")
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
