@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from normlake.llm.common import table
 from normlake.llm.decontaminate import contamination
 from normlake.llm.exact_dedup import exact_dedup
+from normlake.llm.sentencepiece_codec import encode
 from normlake.llm.substring_dedup import substring_dedup
 from normlake.llm.url_filter import filter_urls
 
@@ -100,3 +101,8 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@register("op1_sentencepiece")
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"))
