@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from normlake.llm import license_scan
 from normlake.llm.common import table
 from normlake.llm.decontaminate import contamination
 from normlake.llm.exact_dedup import exact_dedup
@@ -106,3 +107,32 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op1_sentencepiece")
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"))
+
+
+def _license_sql() -> str:
+    values = ", ".join(f"({n}, '{label}', {p}, '{k}', '{x}', {b})" for n, label, p, k, x, b in license_scan.rules())
+    matches = " UNION ALL ".join(f"SELECT row, {n} AS rule, regexp_extract_all(body, '{x}') AS hits, string_split_regex(body, '{x}') AS gaps FROM d WHERE contains(body, '{k}')"
+                                 for n, _, _, k, x, _ in license_scan.rules())
+    covered = " OR ".join(f"(priority = {p} AND coalesce(max(CASE WHEN priority >= {p} THEN last END) OVER o >= last, false))" for p in range(1, license_scan.PRIORITIES + 1))
+    return rf"""
+    WITH r(rule, label, priority, keyword, regex, base) AS (VALUES {values}),
+    t AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{license_scan.WORD}') AS w,
+          regexp_matches(coalesce(text, ''), '(?i){"|".join(license_scan.STEMS)}') AS gate FROM documents),
+    d AS MATERIALIZED (SELECT row, ' ' || array_to_string(w, '  ') || ' ' AS body FROM t WHERE gate),
+    m AS ({matches}),
+    e AS (SELECT row, rule, i, (length(gaps[i]) - length(replace(gaps[i], ' ', '')))::BIGINT AS before, (length(hits[i]) - length(replace(hits[i], ' ', '')))::BIGINT AS size
+          FROM (SELECT row, rule, hits, gaps, unnest(range(1, len(hits) + 1)) AS i FROM m WHERE len(hits) > 0)),
+    s AS (SELECT row, rule, size, (sum(before + size) OVER (PARTITION BY row, rule ORDER BY i) / 2)::BIGINT AS last FROM e),
+    p AS (SELECT s.row, label, priority, base, last, last - (size / 2)::BIGINT AS first, s.rule FROM s JOIN r USING (rule)),
+    c AS (SELECT *, NOT ({covered}) AS stays FROM p WINDOW o AS (PARTITION BY row ORDER BY first, last DESC, priority DESC, rule ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    g AS (SELECT row, count(*) FILTER (base) AS n_base, min(first) FILTER (base) AS first_word, max(first) FILTER (base) AS last_word,
+          string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base OR stays) AS labels,
+          max(priority) FILTER (stays) / {float(license_scan.PRIORITIES)} AS score FROM c GROUP BY row)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+           coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+    FROM t LEFT JOIN g USING (row)"""
+
+
+@register("op2_license_scan", sql=_license_sql())
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
