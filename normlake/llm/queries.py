@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normlake.llm import license_scan
+from normlake.llm import license_scan, pii
 from normlake.llm.common import table
 from normlake.llm.decontaminate import contamination
 from normlake.llm.exact_dedup import exact_dedup
@@ -136,3 +136,9 @@ def _license_sql() -> str:
 @register("op2_license_scan", sql=_license_sql())
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@register("op8_pii")
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[f"n_{kind}" for kind in pii.BASE], F.sha2("base_spans", 256).alias("base_sha256"), "spans")

@@ -90,10 +90,10 @@ def host_trust(pages: DataFrame, rules=RULES, url_col: str = "url", html_col: st
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     decided = pages.select(host.alias("host"), rule_verdict(longest_rule(host, path, rules), rules).alias("verdict")).where("verdict IS NOT NULL AND host != ''")
     counts = decided.groupBy("host").agg(F.count_if(F.col("verdict") == "allow").alias("allowed"), F.count_if(F.col("verdict") == "block").alias("blocked"))
-    sums = counts.agg(F.sum("allowed").alias("all_allowed"), F.sum("blocked").alias("all_blocked"))
-    seeds = counts.crossJoin(F.broadcast(sums)).checkpoint()  # one row of sums
-    trusted = seeds.where("allowed > 0").select("host", (F.col("allowed") / F.col("all_allowed")).alias("seed"))
-    blocked = seeds.where("blocked > 0").select("host", (F.col("blocked") / F.col("all_blocked")).alias("seed"))
+    counts = counts.checkpoint()
+    allowed, refused = counts.agg(F.sum("allowed"), F.sum("blocked")).first()
+    trusted = counts.where("allowed > 0").select("host", (F.col("allowed") / F.lit(allowed)).alias("seed"))
+    blocked = counts.where("blocked > 0").select("host", (F.col("blocked") / F.lit(refused)).alias("seed"))
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     trust = _spread_out(edges, trusted, rounds, damping).withColumnRenamed("score", "trust")
     distrust = _spread_out(back, blocked, rounds, damping).withColumnRenamed("score", "distrust")
