@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normlake.llm import license_scan, pii
+from normlake.llm import license_scan, pii, quality
 from normlake.llm.common import table
 from normlake.llm.decontaminate import contamination
 from normlake.llm.exact_dedup import exact_dedup
@@ -142,3 +142,9 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     return found.select("doc_id", *[f"n_{kind}" for kind in pii.BASE], F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+@register("op7_quality")
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "evidence", "host_share", "path_share", "posterior", "kept")
