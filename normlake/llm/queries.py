@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normlake.llm import license_scan, pii, quality
+from normlake.llm import kneser_ney, license_scan, pii, quality
 from normlake.llm.common import table
 from normlake.llm.decontaminate import contamination
 from normlake.llm.exact_dedup import exact_dedup
@@ -148,3 +148,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "evidence", "host_share", "path_share", "posterior", "kept")
+
+
+@register("op10_kneser_ney")
+def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(7)) == 2
+    scored = kneser_ney.score(table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
