@@ -152,7 +152,8 @@ def detections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     n_words = F.regexp_count("text", F.lit(_ANY_CASE_WORD)).cast("bigint")
     gate = F.col("text").rlike("(?i)" + "|".join(STEMS))
     body = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(WORD), F.lit(0)), "  "), F.lit(" "))
-    gated = read.select("row", "doc_id", n_words.alias("n_words"), F.when(gate, body).alias("body"))
+    # a generated column is computed once per row; a projected one would be put into the filter below and computed per rule
+    gated = read.select("row", "doc_id", F.explode(F.array(F.struct(n_words.alias("n_words"), F.when(gate, body).alias("body")))).alias("read")).select("row", "doc_id", "read.*")
     tried = F.filter(_rule_array(), lambda r: F.contains(F.col("body"), r["keyword"]))
     paired = gated.select("*", F.explode_outer(F.when(F.col("body").isNotNull(), tried)).alias("r"))
     found = paired.select("row", "doc_id", "n_words", "r", F.regexp_extract_all("body", F.col("r.regex"), F.lit(0)).alias("hits"), F.split("body", F.col("r.regex"), -1).alias("gaps"))
