@@ -13,6 +13,7 @@ from normlake.llm.exact_dedup import drop_copies
 from normlake.llm.jaccard_join import drop_near_copies
 from normlake.llm.quality import keep_good
 from normlake.llm.sentencepiece_codec import encode
+from normlake.session import ensure_checkpoint_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +47,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another, each on the plan of the one before."""
+    """The stages one after another; what each keeps is written to the shared folder once, as the next reads it more than once."""
+    ensure_checkpoint_dir(spark)
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        docs = docs if name == STAGES[-1][0] else docs.checkpoint()
     return docs

@@ -227,9 +227,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_cover
     found = contamination(docs, benchmark, window, max_coverage, id_col=id_col, text_col=text_col, **names).where("n_hit > 0")
     found = found.select(F.col("doc_id").alias("_hit_id"), F.col("text").alias("_hit_text"), "contaminated",
                          cut("text", "spans").alias("_clean")).dropDuplicates(["_hit_id", "_hit_text"])
-    same = docs[id_col].cast("bigint").eqNullSafe(F.col("_hit_id")) & (docs[text_col] == F.col("_hit_text"))
-    joined = docs.join(found, same, "left").where(F.coalesce(~F.col("contaminated"), F.lit(True)))
-    return joined.select(*[F.coalesce("_clean", docs[c]).alias(c) if c == text_col else docs[c] for c in docs.columns])
+    same = docs[id_col].cast("bigint").eqNullSafe(found["_hit_id"]) & (docs[text_col] == found["_hit_text"])
+    joined = docs.join(found, same, "left").where(F.coalesce(~found["contaminated"], F.lit(True)))
+    return joined.select(*[F.coalesce(found["_clean"], docs[c]).alias(c) if c == text_col else docs[c] for c in docs.columns])
 
 
 def _cut_all(texts, spans):

@@ -122,4 +122,4 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts (the smallest id); columns as they were."""
     stays = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(stays, docs[id_col].cast("bigint").eqNullSafe(F.col("_kept_id")), "left_semi")
+    return docs.join(stays, docs[id_col].cast("bigint").eqNullSafe(stays["_kept_id"]), "left_semi")

@@ -369,4 +369,4 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", **names) -> DataFrame:
     """``docs`` with one row of each component (the smallest id); columns as they were. Rows without an id all stay."""
     stays = jaccard_join(docs, id_col=id_col, **names).where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(stays, docs[id_col].cast("bigint") == F.col("_kept_id"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    return docs.join(stays, docs[id_col].cast("bigint") == stays["_kept_id"], "left_semi").unionByName(docs.where(F.col(id_col).isNull()))

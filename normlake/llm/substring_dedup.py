@@ -57,11 +57,12 @@ def _smallest_inside(hashes: np.ndarray, left: np.ndarray, short: int, window: i
 
 def _distinct(keys: list[np.ndarray], ids: np.ndarray):
     """Sorted distinct keys with the smallest and the largest id of each."""
+    if not len(ids):
+        return keys, ids, ids
     order = np.lexsort([ids, *keys[::-1]])
     keys, ids = [k[order] for k in keys], ids[order]
     new = np.ones(len(ids), dtype=bool)
-    if len(ids):
-        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
     begin = np.flatnonzero(new)
     end = np.append(begin[1:], len(ids)) - 1
     return [k[begin] for k in keys], ids[begin], ids[end]
