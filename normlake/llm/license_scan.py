@@ -27,61 +27,61 @@ STEMS = tuple(stem.replace(" ", _BETWEEN) for stem in (
 #: Phrases that count as base places, with their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: label: (keyword, names). A name is words; a word may be a regex for one word, ``?`` after a word makes it optional.
+#: label: names. A name is words; a word may be a regex for one word, ``?`` after a word makes it optional.
 LICENSES = {
-    "mit": ("mit", ("mit licen[cs]e", "mit expat licen[cs]e", "x11 mit licen[cs]e")),
-    "mit-0": ("attribution", ("mit no attribution licen[cs]e?", "mit 0 licen[cs]e")),
-    "x11": ("x11", ("x11 licen[cs]e",)),
-    "apache": ("apache", ("apache software? licen[cs]e", "asl 2 0?")),
-    "gpl": ("general", ("gnu? general public licen[cs]e", "gpl v?[0-9]+")),
-    "lgpl": ("general", ("gnu? lesser general public licen[cs]e", "gnu? library general public licen[cs]e")),
-    "agpl": ("affero", ("gnu? affero general public licen[cs]e", "agpl v?[0-9]+")),
-    "gfdl": ("documentation", ("gnu? free documentation licen[cs]e",)),
-    "bsd": ("bsd", ("bsd licen[cs]e", "bsd style licen[cs]e", "berkeley software distribution licen[cs]e")),
-    "bsd-2": ("bsd", ("bsd 2 clause licen[cs]e?", "simplified bsd licen[cs]e", "two clause bsd licen[cs]e?", "freebsd licen[cs]e")),
-    "bsd-3": ("bsd", ("bsd 3 clause licen[cs]e?", "new bsd licen[cs]e", "modified bsd licen[cs]e", "revised bsd licen[cs]e")),
-    "bsd-4": ("bsd", ("bsd 4 clause licen[cs]e?", "original bsd licen[cs]e", "old bsd licen[cs]e")),
-    "isc": ("isc", ("isc licen[cs]e",)),
-    "zlib": ("zlib", ("zlib licen[cs]e", "zlib libpng licen[cs]e")),
-    "mpl": ("mozilla", ("mozilla public licen[cs]e",)),
-    "epl": ("eclipse", ("eclipse public licen[cs]e",)),
-    "edl": ("eclipse", ("eclipse distribution licen[cs]e",)),
-    "cpl": ("common", ("common public licen[cs]e",)),
-    "cddl": ("distribution", ("common development and distribution licen[cs]e",)),
-    "eupl": ("european", ("european union public licen[cs]e",)),
-    "cecill": ("cecill", ("cecill [abc]? licen[cs]e",)),
-    "artistic": ("artistic", ("artistic licen[cs]e",)),
-    "boost": ("boost", ("boost software licen[cs]e",)),
-    "psf": ("python", ("python software foundation licen[cs]e", "psf licen[cs]e agreement?")),
-    "ruby": ("ruby", ("ruby licen[cs]e",)),
-    "php": ("php", ("php licen[cs]e",)),
-    "openssl": ("openssl", ("openssl licen[cs]e",)),
-    "unlicense": ("unlicense", ("unlicense",)),
-    "wtfpl": ("wtfpl", ("wtfpl",)),
-    "zero-bsd": ("0bsd", ("0bsd",)),
-    "ms-pl": ("microsoft", ("microsoft public licen[cs]e",)),
-    "ms-rl": ("microsoft", ("microsoft reciprocal licen[cs]e",)),
-    "ofl": ("font", ("sil? open font licen[cs]e",)),
-    "odbl": ("database", ("open database licen[cs]e",)),
-    "odc-by": ("commons", ("open data commons attribution licen[cs]e",)),
-    "ncsa": ("ncsa", ("university of illinois ncsa open source licen[cs]e", "ncsa open source licen[cs]e")),
-    "upl": ("universal", ("universal permissive licen[cs]e",)),
-    "osl": ("open", ("open software licen[cs]e",)),
-    "afl": ("academic", ("academic free licen[cs]e",)),
-    "bsl": ("business", ("business source licen[cs]e",)),
-    "sspl": ("server", ("server side public licen[cs]e",)),
-    "elastic": ("elastic", ("elastic licen[cs]e",)),
-    "llama": ("llama", ("llama [0-9]? community licen[cs]e agreement?",)),
-    "rail": ("rail", ("open? rail m? licen[cs]e", "bigscience rail licen[cs]e")),
-    "cc0": ("cc0", ("cc0", "cc zero")),
-    "cc-by": ("by", ("cc by", "creative commons attribution")),
-    "cc-by-sa": ("sa", ("cc by sa",)),
-    "cc-by-nc": ("nc", ("cc by nc",)),
-    "cc-by-nd": ("nd", ("cc by nd",)),
-    "cc-by-nc-sa": ("nc", ("cc by nc sa",)),
-    "cc-by-nc-nd": ("nc", ("cc by nc nd",)),
-    "cc-share-alike": ("alike", ("creative commons attribution share alike", "creative commons attribution sharealike")),
-    "cc-noncommercial": ("commercial", ("creative commons attribution non commercial", "creative commons attribution noncommercial")),
+    "mit": ("mit licen[cs]e", "mit expat licen[cs]e", "x11 mit licen[cs]e"),
+    "mit-0": ("mit no attribution licen[cs]e?", "mit 0 licen[cs]e"),
+    "x11": ("x11 licen[cs]e",),
+    "apache": ("apache software? licen[cs]e", "asl 2 0?"),
+    "gpl": ("gnu? general public licen[cs]e", "gpl v?[0-9]+"),
+    "lgpl": ("gnu? lesser general public licen[cs]e", "gnu? library general public licen[cs]e"),
+    "agpl": ("gnu? affero general public licen[cs]e", "agpl v?[0-9]+"),
+    "gfdl": ("gnu? free documentation licen[cs]e",),
+    "bsd": ("bsd licen[cs]e", "bsd style licen[cs]e", "berkeley software distribution licen[cs]e"),
+    "bsd-2": ("bsd 2 clause licen[cs]e?", "simplified bsd licen[cs]e", "two clause bsd licen[cs]e?", "freebsd licen[cs]e"),
+    "bsd-3": ("bsd 3 clause licen[cs]e?", "new bsd licen[cs]e", "modified bsd licen[cs]e", "revised bsd licen[cs]e"),
+    "bsd-4": ("bsd 4 clause licen[cs]e?", "original bsd licen[cs]e", "old bsd licen[cs]e"),
+    "isc": ("isc licen[cs]e",),
+    "zlib": ("zlib licen[cs]e", "zlib libpng licen[cs]e"),
+    "mpl": ("mozilla public licen[cs]e",),
+    "epl": ("eclipse public licen[cs]e",),
+    "edl": ("eclipse distribution licen[cs]e",),
+    "cpl": ("common public licen[cs]e",),
+    "cddl": ("common development and distribution licen[cs]e",),
+    "eupl": ("european union public licen[cs]e",),
+    "cecill": ("cecill [abc]? licen[cs]e",),
+    "artistic": ("artistic licen[cs]e",),
+    "boost": ("boost software licen[cs]e",),
+    "psf": ("python software foundation licen[cs]e", "psf licen[cs]e agreement?"),
+    "ruby": ("ruby licen[cs]e",),
+    "php": ("php licen[cs]e",),
+    "openssl": ("openssl licen[cs]e",),
+    "unlicense": ("unlicense",),
+    "wtfpl": ("wtfpl",),
+    "zero-bsd": ("0bsd",),
+    "ms-pl": ("microsoft public licen[cs]e",),
+    "ms-rl": ("microsoft reciprocal licen[cs]e",),
+    "ofl": ("sil? open font licen[cs]e",),
+    "odbl": ("open database licen[cs]e",),
+    "odc-by": ("open data commons attribution licen[cs]e",),
+    "ncsa": ("university of illinois ncsa open source licen[cs]e", "ncsa open source licen[cs]e"),
+    "upl": ("universal permissive licen[cs]e",),
+    "osl": ("open software licen[cs]e",),
+    "afl": ("academic free licen[cs]e",),
+    "bsl": ("business source licen[cs]e",),
+    "sspl": ("server side public licen[cs]e",),
+    "elastic": ("elastic licen[cs]e",),
+    "llama": ("llama [0-9]? community licen[cs]e agreement?",),
+    "rail": ("open? rail m? licen[cs]e", "bigscience rail licen[cs]e"),
+    "cc0": ("cc0", "cc zero"),
+    "cc-by": ("cc by", "creative commons attribution"),
+    "cc-by-sa": ("cc by sa",),
+    "cc-by-nc": ("cc by nc",),
+    "cc-by-nd": ("cc by nd",),
+    "cc-by-nc-sa": ("cc by nc sa",),
+    "cc-by-nc-nd": ("cc by nc nd",),
+    "cc-share-alike": ("creative commons attribution share alike", "creative commons attribution sharealike"),
+    "cc-noncommercial": ("creative commons attribution non commercial", "creative commons attribution noncommercial"),
 }
 #: (form, priority): ``{}`` is the name. A longer form covers the shorter ones inside it.
 FORMS = (
@@ -91,24 +91,24 @@ FORMS = (
     ("{} version v?[0-9]+ [0-9]?", 3),
     ("{}", 2),
 )
-#: (label, keyword, phrase, priority): sentences of license bodies and notices.
+#: (label, phrase, priority): sentences of license bodies and notices.
 PHRASES = (
-    ("mit", "hereby", "permission is hereby granted free of charge to any person obtaining a copy", 4),
-    ("isc", "fee", "permission to use copy modify and or? distribute this software for any purpose with or without fee is hereby granted", 4),
-    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted", 4),
-    ("zlib", "misrepresented", "the origin of this software must not be misrepresented", 4),
-    ("gpl", "redistribute", "you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e", 4),
-    ("lgpl", "lesser", "you can redistribute it and or modify it under the terms of the gnu lesser general public licen[cs]e", 5),
-    ("boost", "hereby", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software", 5),
-    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain", 4),
-    ("public-domain", "domain", "(?: released | dedicated | placed ) (?: into | to | in ) the public domain", 3),
-    ("mpl", "mozilla", "this source code form is subject to the terms of the mozilla public licen[cs]e", 4),
-    ("apache", "compliance", "you may not use this file except in compliance with the licen[cs]e", 3),
-    ("warranty-disclaimer", "warranty", "(?: as is )? without warranty of any kind", 1),
-    ("warranty-disclaimer", "merchantability", "warranties of merchantability", 1),
-    ("all-rights-reserved", "reserved", "all rights reserved", 1),
-    ("proprietary", "proprietary", "proprietary and confidential", 2),
-    ("copyright-notice", "copyright", "copyright (?: c )? [12][0-9][0-9][0-9]", 1),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", 4),
+    ("isc", "permission to use copy modify and or? distribute this software for any purpose with or without fee is hereby granted", 4),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", 4),
+    ("zlib", "the origin of this software must not be misrepresented", 4),
+    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e", 4),
+    ("lgpl", "you can redistribute it and or modify it under the terms of the gnu lesser general public licen[cs]e", 5),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software", 5),
+    ("unlicense", "this is free and unencumbered software released into the public domain", 4),
+    ("public-domain", "(?: released | dedicated | placed ) (?: into | to | in ) the public domain", 3),
+    ("mpl", "this source code form is subject to the terms of the mozilla public licen[cs]e", 4),
+    ("apache", "you may not use this file except in compliance with the licen[cs]e", 3),
+    ("warranty-disclaimer", "(?: as is )? without warranty of any kind", 1),
+    ("warranty-disclaimer", "warranties of merchantability", 1),
+    ("all-rights-reserved", "all rights reserved", 1),
+    ("proprietary", "proprietary and confidential", 2),
+    ("copyright-notice", "copyright (?: c )? [12][0-9][0-9][0-9]", 1),
 )
 PRIORITIES = 5
 
@@ -126,13 +126,22 @@ def word_regex(phrase: str) -> str:
     return "".join(out)
 
 
+def keyword_of(phrase: str) -> str:
+    """The longest word that every match of a phrase holds."""
+    words, depth = [], 0
+    for word in phrase.split():
+        depth += (word == "(?:") - word.startswith(")")
+        if not depth and word.isalnum():
+            words.append(word)
+    return max(words, key=len)
+
+
 def rules() -> list[tuple[int, str, int, str, str, bool]]:
     """(number, label, priority, keyword, regex, base) in order; the base phrases come first."""
-    made = [(label, 2, phrase.split()[0], word_regex(phrase), True) for phrase, label in BASE]
-    made += [(label, priority, keyword, word_regex(form.format(name)), False)
-             for form, priority in FORMS for label, (keyword, names) in LICENSES.items() for name in names]
-    made += [(label, priority, keyword, word_regex(phrase), False) for label, keyword, phrase, priority in PHRASES]
-    return [(number, *rule) for number, rule in enumerate(made)]
+    made = [(label, 2, phrase, True) for phrase, label in BASE]
+    made += [(label, priority, form.format(name), False) for form, priority in FORMS for label, names in LICENSES.items() for name in names]
+    made += [(label, priority, phrase, False) for label, phrase, priority in PHRASES]
+    return [(number, label, priority, keyword_of(phrase), word_regex(phrase), base) for number, (label, priority, phrase, base) in enumerate(made)]
 
 
 def _rule_array() -> Column:
