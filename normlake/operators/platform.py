@@ -60,7 +60,7 @@ def tenant_rows(df: DataFrame, tenant: Column, roles: DataFrame, granted: DataFr
 def manifest(df: DataFrame, by: list[str], content: Column) -> DataFrame:
     """Row count, size and order-independent hash per exported part."""
     digest = F.sha2(content, 256)
-    part = lambda start: F.sum(F.conv(F.substring(digest, start, 12), 16, 10).cast("bigint"))
+    part = lambda start: F.sum(F.conv(F.substring(digest, start, 12), 16, 10).cast("decimal(38,0)"))
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("records"), F.sum(F.length(content)).alias("chars"), part(1).alias("_a"), part(13).alias("_b")).select(
         *by, "records", "chars", F.sha2(F.concat_ws(":", "records", "_a", "_b"), 256).alias("sha256"))
 

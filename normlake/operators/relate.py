@@ -80,19 +80,20 @@ def later_deadlines(duty: DataFrame, offered: DataFrame, by: list[str], days: st
     """LATER / NOT_LATER / UNRESOLVED per group from the deadlines of both sides, paired from the shortest.
 
     With equally many, some pair is later exactly when at some length fewer of the offered deadlines have run out than of the
-    duty's; otherwise only ranges that do not overlap decide. Deadlines stay counts per length, no list is gathered.
+    duty's. With unequal counts the pairing can be shifted by the difference: LATER where even the shift most favourable to
+    the statement leaves a later pair, UNRESOLVED where only the least favourable one does. A shift is a constant added to
+    the number that has run out, so deadlines stay counts per length and no list is gathered.
     """
     count = lambda df, name: df.groupBy(*by, days).agg(F.count(F.lit(1)).alias(name))
     both = count(duty, "_d").join(count(offered, "_g"), [*by, days], "full_outer").fillna(0, ["_d", "_g"])
     upto = Window.partitionBy(*by).orderBy(days).rowsBetween(Window.unboundedPreceding, 0)
-    behind = both.withColumn("_lead", F.sum(F.col("_g") - F.col("_d")).over(upto))
-    only = lambda side: F.when(F.col(side) > 0, F.col(days))
-    t = behind.groupBy(*by).agg(
-        F.sum("_d").alias("_nd"), F.sum("_g").alias("_ng"), F.min("_lead").alias("_worst"), F.min(only("_d")).alias("_dmin"), F.max(only("_d")).alias("_dmax"),
-        F.min(only("_g")).alias("_gmin"), F.max(only("_g")).alias("_gmax")).filter("_nd > 0 AND _ng > 0")
-    verdict = (
-        F.when(F.col("_nd") == F.col("_ng"), F.when(F.col("_worst") < 0, "LATER").otherwise("NOT_LATER"))
-        .when(F.col("_gmax") <= F.col("_dmin"), "NOT_LATER").when(F.col("_gmin") > F.col("_dmax"), "LATER").otherwise("UNRESOLVED"))
+    whole = Window.partitionBy(*by)
+    behind = both.withColumns({"_gone_d": F.sum("_d").over(upto), "_gone_g": F.sum("_g").over(upto), "_nd": F.sum("_d").over(whole), "_ng": F.sum("_g").over(whole)})
+    fewer, more = F.greatest(F.col("_nd") - F.col("_ng"), F.lit(0)), F.greatest(F.col("_ng") - F.col("_nd"), F.lit(0))
+    late_at_best = F.col("_gone_g") < F.col("_gone_d") - fewer
+    late_at_worst = (F.col("_gone_d") > 0) & (F.col("_gone_g") < F.least(F.col("_gone_d"), F.col("_ng")) + more)
+    t = behind.filter("_nd > 0 AND _ng > 0").groupBy(*by).agg(F.bool_or(late_at_best).alias("_best"), F.bool_or(late_at_worst).alias("_worst"))
+    verdict = F.when(F.col("_best"), "LATER").when(F.col("_worst"), "UNRESOLVED").otherwise("NOT_LATER")
     return t.select(*by, verdict.alias("verdict"))
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 # The reason code each dimension answers with.
 CODE_OF = {"entity_classes": "ENTITY", "activity_classes": "ACTIVITY", "sales_channels": "CHANNEL", "license_classes": "LICENSE"}
 POSITIVE = ("APPLIES", "PARTIAL")
@@ -132,18 +134,22 @@ def documents_in_force(documents: DataFrame, targets: DataFrame) -> DataFrame:
     return reached.select("target_id", "document_id", "owner_level", covers.alias("covers"))
 
 
-def include_closure(includes: DataFrame, packs: DataFrame, depth: int = 3) -> DataFrame:
+def include_closure(includes: DataFrame, packs: DataFrame) -> DataFrame:
     """(pack_id, member): every pack with the packs it includes, directly or through others, each once.
 
-    Includes form a shallow graph without cycles; ``depth`` joins reach its end.
+    Joins go on until one finds no pair that is not known yet, so chains of any length and cycles come to an end.
     """
+    ensure_checkpoint_dir(packs.sparkSession)
     edges = includes.select(F.col("pack_id").alias("member"), F.col("included").alias("_next"))
     reached = packs.select("pack_id", F.col("pack_id").alias("member"))
+    reached = reached.distinct().checkpoint()
     frontier = reached
-    for _ in range(depth):
-        frontier = frontier.join(edges, "member").select("pack_id", F.col("_next").alias("member"))
-        reached = reached.unionByName(frontier)
-    return reached.distinct()
+    while True:
+        further = frontier.join(edges, "member").select("pack_id", F.col("_next").alias("member")).distinct()
+        frontier = further.join(reached, ["pack_id", "member"], "left_anti").checkpoint()
+        if frontier.isEmpty():
+            return reached
+        reached = reached.unionByName(frontier).checkpoint()
 
 
 def duplicates(df: DataFrame, key: list[str], problem: str) -> DataFrame:
@@ -184,7 +190,3 @@ def profile_questions(missing: DataFrame) -> DataFrame:
     return each.groupBy("target_id", "gate").agg(
         F.count_distinct("review_id").alias("blocked_reviews"), F.array_join(asked, "; ").alias("asked"))
 
-
-def most_recent(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    window = Window.partitionBy(*key).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(window)).filter("_rn = 1").drop("_rn")

@@ -9,8 +9,11 @@ from ..functions import scan
 
 
 def canonical(*columns: Column) -> Column:
-    """One string per row that two engines agree on: values in the given order, NULL spelled out."""
-    return F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("~")) for c in columns])
+    """One string per row that two engines agree on: values in the given order, NULL as ``~``.
+
+    A ``\\``, ``|`` or ``~`` inside a value is written behind a ``\\``, so different rows have different strings.
+    """
+    return F.concat_ws("|", *[F.coalesce(F.regexp_replace(c.cast("string"), r"([\\|~])", r"\\$1"), F.lit("~")) for c in columns])
 
 
 def fingerprint(*columns: Column) -> Column:
@@ -69,7 +72,7 @@ def group_reviews(items: DataFrame) -> DataFrame:
     and an order-independent mark of its children, never the list of them.
     """
     key = ["review_type", "cause", "department", "subject"]
-    part = lambda start: F.sum(F.conv(F.substring("fingerprint", start, 12), 16, 10).cast("bigint"))
+    part = lambda start: F.sum(F.conv(F.substring("fingerprint", start, 12), 16, 10).cast("decimal(38,0)"))
     return items.groupBy(*key).agg(
         F.count(F.lit(1)).alias("children"), F.count_distinct("clause").alias("clauses"), F.count_distinct("entity").alias("entities"),
         F.count_distinct("target").alias("targets"), part(1).alias("_a"), part(13).alias("_b")).select(
@@ -161,7 +164,3 @@ def overlay_labels(labels: DataFrame, entries: DataFrame, key: str) -> DataFrame
     return entries.join(targets, key, "left").withColumn("outcome", outcome).withColumn(
         "label", F.when(F.col("outcome") == "APPLIED", F.col("to_label")).otherwise(F.col("_now"))).drop("_targets", "_now")
 
-
-def top_reasons(df: DataFrame, by: list[str], reason: str, k: int) -> DataFrame:
-    window = Window.partitionBy(*by).orderBy(F.desc("n"), reason)
-    return df.groupBy(*by, reason).agg(F.count(F.lit(1)).alias("n")).withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)

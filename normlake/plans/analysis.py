@@ -73,9 +73,10 @@ d AS (SELECT version_id, list_sort(list(floor(l_quantity)::DOUBLE)) AS ds FROM p
 
 
 @query("jon39_deadlines", "JON39", sql=f"""
-WITH {DEADLINES_SQL}
-SELECT version_id, CASE WHEN len(ds) = len(gs) THEN CASE WHEN len(list_filter(list_zip(ds, gs), lambda x: x[2] > x[1])) > 0 THEN 'LATER' ELSE 'NOT_LATER' END
-  WHEN list_max(gs) <= list_min(ds) THEN 'NOT_LATER' WHEN list_min(gs) > list_max(ds) THEN 'LATER' ELSE 'UNRESOLVED' END AS verdict FROM d JOIN o USING (version_id)""")
+WITH {DEADLINES_SQL},
+n AS (SELECT *, least(len(ds), len(gs)) AS n FROM d JOIN o USING (version_id))
+SELECT version_id, CASE WHEN len(list_filter(list_zip(ds[len(ds) - n + 1:], gs[:n]), lambda x: x[2] > x[1])) > 0 THEN 'LATER'
+  WHEN len(list_filter(list_zip(ds[:n], gs[len(gs) - n + 1:]), lambda x: x[2] > x[1])) > 0 THEN 'UNRESOLVED' ELSE 'NOT_LATER' END AS verdict FROM n""")
 def jon39_deadlines(spark, sf):
     p = ad.provisions(spark, sf)
     days = lambda section: p.filter(F.col("section") == section).select("version_id", F.floor("l_quantity").cast("double").alias("days"))

@@ -196,7 +196,7 @@ def review_items(spark, sf):
 @query("agg06_review_tasks", "AGG06", sql=f"""
 WITH {TASKS_SQL},
 g AS (SELECT review_type, cause, department, subject, count(*)::BIGINT AS children, count(DISTINCT clause)::BIGINT AS clauses, count(DISTINCT entity)::BIGINT AS entities, count(DISTINCT target)::BIGINT AS targets,
-   sum(('0x' || substring(fingerprint, 1, 12))::BIGINT)::BIGINT AS a, sum(('0x' || substring(fingerprint, 13, 12))::BIGINT)::BIGINT AS b FROM items GROUP BY ALL)
+   sum(('0x' || substring(fingerprint, 1, 12))::BIGINT) AS a, sum(('0x' || substring(fingerprint, 13, 12))::BIGINT) AS b FROM items GROUP BY ALL)
 SELECT 'TASK:' || substring(sha256(review_type || '|' || cause || '|' || department || '|' || subject), 1, 16) AS task_id, * EXCLUDE (a, b), sha256(children || ':' || a || ':' || b) AS fingerprint FROM g""")
 def agg06_review_tasks(spark, sf):
     return wf.group_reviews(review_items(spark, sf))
@@ -358,11 +358,14 @@ def fil18_autonomous_gate(spark, sf):
 
 
 @query("fun08_canonical_hash", "FUN08", sql="""
-SELECT c_custkey, sha256(c_custkey || '|' || c_name || '|' || c_nationkey || '|' || CASE WHEN c_acctbal < 0 THEN '~' ELSE c_mktsegment END) AS fingerprint FROM customer""")
+WITH x AS (SELECT *, replace(c_name, '#', CASE c_custkey % 3 WHEN 0 THEN '|' WHEN 1 THEN '~' ELSE chr(92) END) AS name FROM customer)
+SELECT c_custkey, sha256(c_custkey || '|' || replace(replace(replace(name, chr(92), chr(92) || chr(92)), '|', chr(92) || '|'), '~', chr(92) || '~') || '|' || c_nationkey || '|' ||
+  CASE WHEN c_acctbal < 0 THEN '~' ELSE c_mktsegment END) AS fingerprint FROM x""")
 def fun08_canonical_hash(spark, sf):
     segment = F.when(F.col("c_acctbal") < 0, F.lit(None)).otherwise(F.col("c_mktsegment"))
+    sign = F.when(F.col("c_custkey") % 3 == 0, "|").when(F.col("c_custkey") % 3 == 1, "~").otherwise("\\")
     return table(spark, sf, "customer").select(
-        "c_custkey", wf.fingerprint(F.col("c_custkey"), F.col("c_name"), F.col("c_nationkey"), segment).alias("fingerprint"))
+        "c_custkey", wf.fingerprint(F.col("c_custkey"), F.replace(F.col("c_name"), F.lit("#"), sign), F.col("c_nationkey"), segment).alias("fingerprint"))
 
 
 @query("fun46_evidence_numbers", "FUN46", sql="""

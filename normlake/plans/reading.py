@@ -280,12 +280,12 @@ def fil12_redacted_calls(spark, sf):
 
 
 @query("fil13_scrubbed_text", "FIL13", sql="""
-WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line FROM documents WHERE NOT regexp_matches(text, '[\\r\\t"“”«»\\[\\]{}=]')),
+WITH m AS (SELECT doc_id, string_split(regexp_replace(text, '([\\r\\n\\t"“”«»\\[\\]{}=])', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS parts FROM documents),
+l AS (SELECT doc_id, generate_subscripts(parts, 1) AS i, unnest(parts) AS line FROM m),
 s AS (SELECT doc_id, i, CASE WHEN length(trim(regexp_replace(line, '[ \\t]+', ' ', 'g'))) > 200 AND (len(string_split(trim(regexp_replace(line, '[ \\t]+', ' ', 'g')), ' ')) >= 20 OR len(string_split(trim(regexp_replace(line, '[ \\t]+', ' ', 'g')), ' ')) = 1) THEN '[redacted ' || length(line) || ' chars]' ELSE line END AS line FROM l)
-SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY i)) AS scrubbed FROM s GROUP BY doc_id""")
+SELECT doc_id, md5(string_agg(line, '' ORDER BY i)) AS scrubbed FROM s GROUP BY doc_id""")
 def fil13_scrubbed_text(spark, sf):
-    plain = table(spark, sf, "documents").filter(~F.col("text").rlike("[\\r\\t\"“”«»\\[\\]{}=]"))
-    return plain.select("doc_id", F.md5(pf.scrub(F.col("text"))).alias("scrubbed"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(pf.scrub(F.col("text"))).alias("scrubbed"))
 
 
 @query("fil15_affirmed_kinds", "FIL15", sql=f"""
@@ -355,7 +355,7 @@ def src14_obligation_view(spark, sf):
 
 @query("src23_export_manifest", "SRC23", sql="""
 WITH h AS (SELECT event_type, sha256(event_id || '|' || props) AS d, length(event_id || '|' || props) AS n FROM events)
-SELECT event_type, count(*)::BIGINT AS records, sum(n)::BIGINT AS chars, sha256(count(*)::BIGINT || ':' || sum(('0x' || substring(d, 1, 12))::BIGINT)::BIGINT || ':' || sum(('0x' || substring(d, 13, 12))::BIGINT)::BIGINT) AS sha256 FROM h GROUP BY event_type""")
+SELECT event_type, count(*)::BIGINT AS records, sum(n)::BIGINT AS chars, sha256(count(*)::BIGINT || ':' || sum(('0x' || substring(d, 1, 12))::BIGINT) || ':' || sum(('0x' || substring(d, 13, 12))::BIGINT)) AS sha256 FROM h GROUP BY event_type""")
 def src23_export_manifest(spark, sf):
     return pf.manifest(table(spark, sf, "events"), ["event_type"], F.concat_ws("|", "event_id", "props"))
 

@@ -270,16 +270,14 @@ def jon33_addressees(spark, sf):
 
 
 @query("set04_pack_closure", "SET04", sql="""
-WITH e AS (SELECT n_name AS pack_id, 'NATION_' || (n_nationkey - 8) AS included FROM nation WHERE n_nationkey >= 8),
+WITH RECURSIVE e AS (SELECT n_name AS pack_id, 'NATION_' || (n_nationkey - 3) AS included FROM nation WHERE n_nationkey >= 3),
 p AS (SELECT n_name AS pack_id FROM nation),
-c AS (SELECT pack_id, pack_id AS member FROM p UNION SELECT pack_id, included FROM e
-  UNION SELECT a.pack_id, b.included FROM e a JOIN e b ON a.included = b.pack_id
-  UNION SELECT a.pack_id, d.included FROM e a JOIN e b ON a.included = b.pack_id JOIN e d ON b.included = d.pack_id)
+c(pack_id, member) AS (SELECT pack_id, pack_id FROM p UNION SELECT c.pack_id, e.included FROM c JOIN e ON c.member = e.pack_id)
 SELECT pack_id, member, count(DISTINCT c_custkey)::BIGINT AS regulations FROM c JOIN nation ON member = n_name LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL""")
 def set04_pack_closure(spark, sf):
     n = table(spark, sf, "nation")
     packs = n.select(F.col("n_name").alias("pack_id"))
-    includes = n.filter("n_nationkey >= 8").select(F.col("n_name").alias("pack_id"), F.concat(F.lit("NATION_"), F.col("n_nationkey") - 8).alias("included"))
+    includes = n.filter("n_nationkey >= 3").select(F.col("n_name").alias("pack_id"), F.concat(F.lit("NATION_"), F.col("n_nationkey") - 3).alias("included"))
     members = ro.include_closure(includes, packs).join(n, F.col("member") == F.col("n_name"))
     per_nation = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.count_distinct("c_custkey").alias("regulations"))
     return members.join(per_nation, F.col("n_nationkey") == F.col("c_nationkey"), "left").select(

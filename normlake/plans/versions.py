@@ -82,15 +82,17 @@ c AS (SELECT regulation_id, capture_id AS version_id, CASE WHEN capture_id % 97
 
 
 @query("win02_version_chain", "WIN02", sql=f"""
-WITH {CHAIN_SQL},
+WITH RECURSIVE {CHAIN_SQL},
+w AS (SELECT regulation_id, version_id FROM c WHERE previous_version_id IS NULL UNION SELECT c.regulation_id, c.version_id FROM c JOIN w ON c.regulation_id = w.regulation_id AND c.previous_version_id = w.version_id),
+k AS (SELECT regulation_id, count(*) AS reached FROM w GROUP BY ALL),
 n AS (SELECT regulation_id, count(*)::BIGINT AS versions, count(*) FILTER (previous_version_id IS NULL)::BIGINT AS roots FROM c GROUP BY ALL),
 u AS (SELECT regulation_id, count(*)::BIGINT AS unknown_predecessors FROM c WHERE previous_version_id IS NOT NULL
       AND NOT EXISTS (SELECT 1 FROM c d WHERE d.regulation_id = c.regulation_id AND d.version_id = c.previous_version_id) GROUP BY ALL),
 t AS (SELECT regulation_id, count(*)::BIGINT AS replaced_twice FROM (SELECT regulation_id, previous_version_id FROM c WHERE previous_version_id IS NOT NULL
       GROUP BY ALL HAVING count(*) > 1) GROUP BY ALL)
 SELECT regulation_id, versions, roots, coalesce(unknown_predecessors, 0) AS unknown_predecessors, coalesce(replaced_twice, 0) AS replaced_twice,
-  roots = 1 AND coalesce(unknown_predecessors, 0) = 0 AND coalesce(replaced_twice, 0) = 0 AS one_chain
-FROM n LEFT JOIN u USING (regulation_id) LEFT JOIN t USING (regulation_id)""")
+  roots = 1 AND coalesce(unknown_predecessors, 0) = 0 AND coalesce(replaced_twice, 0) = 0 AND coalesce(reached, 0) = versions AS one_chain
+FROM n LEFT JOIN k USING (regulation_id) LEFT JOIN u USING (regulation_id) LEFT JOIN t USING (regulation_id)""")
 def win02_version_chain(spark, sf):
     from ..functions import scan
 
@@ -222,7 +224,7 @@ def set07_duty_changes(spark, sf):
 @query("agg24_multiset_fingerprint", "AGG24", "UDAF02", sql=f"""
 WITH {sq.provisions('p')},
 h AS (SELECT version_id, sha256(number || ':' || text) AS d FROM p),
-s AS (SELECT version_id, count(*)::BIGINT AS members, sum(('0x' || substring(d, 1, 12))::BIGINT)::BIGINT AS a, sum(('0x' || substring(d, 13, 12))::BIGINT)::BIGINT AS b FROM h GROUP BY ALL)
+s AS (SELECT version_id, count(*)::BIGINT AS members, sum(('0x' || substring(d, 1, 12))::BIGINT) AS a, sum(('0x' || substring(d, 13, 12))::BIGINT) AS b FROM h GROUP BY ALL)
 SELECT version_id, members, sha256(members || ':' || a || ':' || b) AS fingerprint FROM s""")
 def agg24_multiset_fingerprint(spark, sf):
     return vs.multiset_fingerprint(ad.provisions(spark, sf), ["version_id"], F.concat_ws(":", "number", "text"))
@@ -303,7 +305,7 @@ def jon36_failure_lists(spark, sf):
 
 @query("agg40_idempotent_runs", "AGG40", sql=f"""
 WITH {sq.provisions('p')},
-h AS (SELECT version_id, sha256(count(*)::BIGINT || ':' || sum(('0x' || substring(sha256(text), 1, 12))::BIGINT)::BIGINT || ':' || sum(('0x' || substring(sha256(text), 13, 12))::BIGINT)::BIGINT) AS input_hash,
+h AS (SELECT version_id, sha256(count(*)::BIGINT || ':' || sum(('0x' || substring(sha256(text), 1, 12))::BIGINT) || ':' || sum(('0x' || substring(sha256(text), 13, 12))::BIGINT)) AS input_hash,
         bool_or(l_discount > 0.09) AS failed FROM p GROUP BY ALL),
 runs AS (SELECT version_id, input_hash FROM h WHERE version_id % 3 = 0)
 SELECT h.version_id, CASE WHEN runs.input_hash IS NOT NULL THEN 'UNCHANGED' WHEN failed THEN 'FAILED' ELSE 'NEW_RUN' END AS status

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import SparkSession
 
@@ -30,10 +31,16 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a folder of our own only where it is unset (tests)."""
+    """The shared folder the cluster names in spark.checkpoint.dir; a folder of our own only in a local session (tests).
+
+    On a cluster that names none this raises: rows that executors write to disks of their own would be missing on reading.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    master = spark.sparkContext.master
+    if not re.match(r"local(\[|$)", master):
+        raise ValueError(f"spark.checkpoint.dir is not set for {master}; it must name a folder that all executors share")
     import tempfile
 
     return tempfile.mkdtemp(prefix="normlake-checkpoint-")

@@ -132,8 +132,3 @@ def page_paragraphs(pages: DataFrame) -> DataFrame:
 
     return pages.select("page_id", "html").mapInPandas(read, SCHEMA)
 
-
-def published_on(html):
-    """Publication date a page states in machine-readable metadata; never read from prose."""
-    stated = F.regexp_extract(html, "<meta [^>]*(?:published_time|published-date|name=\"date\")[^>]*content=\"([0-9]{4}[-/][0-9]{2}[-/][0-9]{2})", 1)
-    return F.try_to_timestamp(F.nullif(F.translate(stated, "/", "-"), F.lit("")), F.lit("yyyy-MM-dd")).cast("date")
