@@ -24,16 +24,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Spark's own estimate of a plan's size (file sizes for scans); no job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def scanned_bytes(df: DataFrame) -> int:
+    """Bytes of the files a plan scans, from the plan's own statistics; no job. (Estimates of joins are products and no guide.)"""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    files = [leaf for leaf in (leaves.apply(i) for i in range(leaves.size())) if leaf.getClass().getSimpleName() == "LogicalRelation"]
+    return sum(int(str(leaf.stats().sizeInBytes())) for leaf in files)
 
 
 def tasks_for(df: DataFrame, target_bytes: int = 64 << 20) -> int:
     """At least the session's shuffle partitions; more where the input is larger than those can hold."""
     session = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    estimate = estimated_bytes(df)
-    return max(session, -(-estimate // target_bytes) if estimate < 1 << 55 else 0)
+    return max(session, -(-scanned_bytes(df) // target_bytes))
 
 
 def spread(key: Column, n: int) -> Column:
