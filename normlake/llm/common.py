@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +53,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def by_size(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
+    """A batch in runs of rows of about ``most`` bytes of text (one row at least)."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    borders = np.flatnonzero(np.diff(size // most, prepend=0, append=-1) != 0)
+    at = 0
+    for to in (int(b) + 1 for b in borders[borders < batch.num_rows]):
+        yield pa.Table.from_batches([batch.slice(at, to - at)])
+        at = to
+    if at < batch.num_rows:
+        yield pa.Table.from_batches([batch.slice(at)])
+
+
 _LETTER = mix(np.arange(1, 257, dtype=WIDE) * WIDE(0x9E3779B97F4A7C15))
 _STEP = 0x9E3779B97F4A7C15 | 1
 _POWERS = np.ones(1, dtype=WIDE)

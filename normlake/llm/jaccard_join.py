@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from normlake.llm.common import NO_ID, WIDE, cuts, ids_of, mix, pack_sorted, planes, room, spread, tasks_for, text_of_word, unpack_sorted, unplanes, window_hash, words_of
+from normlake.llm.common import NO_ID, WIDE, by_size, cuts, ids_of, mix, pack_sorted, planes, room, spread, tasks_for, text_of_word, unpack_sorted, unplanes, window_hash, words_of
 from normlake.llm.components import components
 from normlake.session import ensure_checkpoint_dir
 
@@ -75,13 +75,16 @@ def shingle_sets(table: pa.Table, length: int):
 
 
 def _sign(length: int):
-    def sign(key, table):
-        text, shingle, size = shingle_sets(table, length)
-        one, two = np.zeros(len(size), dtype=WIDE), np.zeros(len(size), dtype=WIDE)
-        np.add.at(one, text, mix(shingle))
-        np.add.at(two, text, mix(shingle ^ WIDE(0x5851F42D4C957F2D)))
-        return pa.Table.from_arrays([pa.array(np.full(len(size), key[0].as_py(), dtype=np.int32)), table.column("doc_id").combine_chunks(), pa.array(size.astype(np.int64)),
-                                     pa.array(mix(one).view(np.int64)), pa.array(mix(two).view(np.int64))], schema=_SIGNED)
+    """The size and a 128-bit fingerprint of each row's set, straight from the scan."""
+
+    def sign(batches):
+        for table in (part for batch in batches for part in by_size(batch, "text")):
+            text, shingle, size = shingle_sets(table, length)
+            one, two = np.zeros(len(size), dtype=WIDE), np.zeros(len(size), dtype=WIDE)
+            np.add.at(one, text, mix(shingle))
+            np.add.at(two, text, mix(shingle ^ WIDE(0x5851F42D4C957F2D)))
+            columns = [table.column("chunk"), table.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(mix(one).view(np.int64)), pa.array(mix(two).view(np.int64))]
+            yield from pa.Table.from_arrays(columns, schema=_SIGNED).to_batches()
 
     return sign
 
@@ -352,8 +355,9 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     n = tasks_for(docs)
     chunks = shares = 2 * n
     dealt = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    by_chunk = dealt.withColumn("chunk", spread(F.struct("doc_id", F.length("text")), chunks)).repartition(n, "chunk").groupBy("chunk")
-    signed = by_chunk.applyInArrow(_sign(shingle), _SIGNED_SQL)
+    dealt = dealt.withColumn("chunk", spread(F.struct("doc_id", F.length("text")), chunks))
+    by_chunk = dealt.repartition(n, "chunk").groupBy("chunk")
+    signed = dealt.mapInArrow(_sign(shingle), _SIGNED_SQL).checkpoint()
     classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("one", "two").agg(F.min(F.struct("doc_id", "chunk")).alias("low"))
     stand = classes.select("low.chunk", "low.doc_id", F.lit(None).cast("int").alias("share"), F.lit(None).cast("binary").alias("answer"))
     asked = by_chunk.cogroup(stand.groupBy("chunk")).applyInArrow(_send_shingles(shingle, shares), _SENT_SQL)
