@@ -222,7 +222,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     empty result.
     """
     n = tasks_for(docs)
-    chunks, shares = 2 * n, 2 * n
+    chunks, shares = n, 2 * n
     level = levels(window)
     short = level[0]
     dealt = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
