@@ -14,7 +14,8 @@ HEADLINE = (
     "duty_coverage", "win04_rank_fusion", "agg01_counted_coverage", "agg02_element_coverage", "jon09_route_entities", "agg05_rollup_products",
     "jon34_export_rows", "jon31_apply_approvals", "src10_append_versions", "jon27_earlier_with_other_bytes", "jon19_provision_changes",
     "jon35_row_fates", "agg10_classification", "agg15_runtime", "agg15_model_switches", "agg23_gate_checks", "agg24_multiset_fingerprint",
-    "win09_chain_breaks",
+    "win09_chain_breaks", "jon16_candidates", "fun05_gram_similarity", "top05_reranked_head", "top02_passages_to_judge", "jon20_pair_predictions",
+    "top01_question_items",
 )
 
 

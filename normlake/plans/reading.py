@@ -29,10 +29,12 @@ def duties(spark, sf):
 
 
 @query("fun29_extract_duties", "FUN29", "FUN45", sql=f"""
-WITH {DUTIES_SQL} SELECT version_id, number, status, subject, modality, action, cond AS condition, exc AS exception, count(*)::BIGINT AS n FROM duty GROUP BY ALL""")
+WITH {DUTIES_SQL} SELECT version_id, number, status, subject, modality, action, cond AS condition, exc AS exception,
+  CASE WHEN status <> 'EXTRACTED' THEN status WHEN NOT contains(text, subject) THEN 'SUBJECT_NOT_IN_SOURCE' WHEN NOT contains(text, action) THEN 'ACTION_NOT_IN_SOURCE'
+       WHEN NOT contains(text, coalesce(cond, '')) OR NOT contains(text, coalesce(exc, '')) THEN 'QUALIFIER_NOT_IN_SOURCE' END AS problem, count(*)::BIGINT AS n FROM duty GROUP BY ALL""")
 def fun29_extract_duties(spark, sf):
     d = duties(spark, sf).withColumn("problem", ex.grounded(F.col("d"), F.col("text")))
-    return d.groupBy("version_id", "number", "d.status", "d.subject", "d.modality", "d.action", "d.condition", "d.exception").agg(F.count(F.lit(1)).alias("n"))
+    return d.groupBy("version_id", "number", "d.status", "d.subject", "d.modality", "d.action", "d.condition", "d.exception", "problem").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("fun28_duty_elements", "FUN28", "FUN12", sql=f"""

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scan
 from ..functions.text import ratio4
+from ..sources.tables import table
 from ..streaming import feeds as fd
 from . import adapters as ad
 from . import sqltext as sq
@@ -58,13 +60,15 @@ def str05_call_monitor(spark, sf):
 
 
 @query("str06_audit_continuity", "STR06", sql="""
-WITH l AS (SELECT user_id, event_id, ts, sha256(event_id || '|' || event_type) AS h, lag(sha256(event_id || '|' || event_type)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events)
-SELECT user_id, event_id FROM l WHERE b IS DISTINCT FROM NULL""")
+WITH l AS (SELECT user_id, event_id, lag(sha256(event_id || '|' || event_type)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events)
+SELECT user_id, event_id FROM l WHERE CASE WHEN event_id % 97 = 0 THEN 'tampered' ELSE b END IS DISTINCT FROM b""")
 def str06_audit_continuity(spark, sf):
-    # the stored links are empty here, so every entry but the first of a log is a break
-    log = fd.read_feed(spark, sf, "events").select(
-        "user_id", "event_id", "ts", F.date_trunc("hour", "ts").alias("hour"), F.sha2(F.concat_ws("|", "event_id", "event_type"), 256).alias("entry_hash"),
-        F.lit(None).cast("string").alias("previous_hash"))
+    # the log stores the hash of the entry before; every 97th link has been tampered with
+    entry = F.sha2(F.concat_ws("|", "event_id", "event_type"), 256).alias("entry_hash")
+    written = table(spark, sf, "events").select("user_id", "event_id", "ts", F.date_trunc("hour", "ts").alias("hour"), entry)
+    chained = scan.previous(written, ["user_id"], "hour", [F.col("ts"), F.col("event_id")], "entry_hash", "_before")
+    links = chained.select("event_id", F.when(F.col("event_id") % 97 == 0, "tampered").otherwise(F.col("_before")).alias("previous_hash"))
+    log = fd.read_feed(spark, sf, "events").select("user_id", "event_id", "ts", F.date_trunc("hour", "ts").alias("hour"), entry).join(links, "event_id")
     return fd.run_incremental(log, fd.work_folder(spark, "audit"), fd.continuity_step)
 
 

@@ -68,9 +68,16 @@ def run_incremental(stream: DataFrame, folder: str, step: Step) -> DataFrame:
 def capture_step(batch: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """Version capture of new files: the state holds the latest version of every regulation, one row each.
 
-    Captures of a batch follow the state in time order; a capture equal to the one before it opens no version.
+    Captures of a batch follow the state in time order; a capture equal to the one before it opens no version. A capture
+    that arrives after a later one of its regulation was stored is named LATE and opens none: numbers once given stay.
     """
     columns = ["regulation_id", "capture_id", "fetched_at", "content_hash", "parser_version", "year"]
+    place, late = F.struct("fetched_at", "capture_id"), None
+    if state is not None:
+        heads = state.select("regulation_id", place.alias("_head"))
+        placed = batch.join(heads, "regulation_id", "left").withColumn("_late", F.coalesce(place <= F.col("_head"), F.lit(False)))
+        late = placed.filter("_late").select(*columns, F.lit("LATE").alias("change_origin"), F.lit(None).cast("bigint").alias("version_no"))
+        batch = placed.filter("NOT _late").select(*columns)
     rows = batch.select(*columns, F.lit(False).alias("_seed"), F.lit(0).cast("bigint").alias("_base"))
     if state is not None:
         seeds = state.select(*columns, F.lit(True).alias("_seed"), F.col("version_no").alias("_base"))
@@ -88,6 +95,7 @@ def capture_step(batch: DataFrame, state: DataFrame | None) -> tuple[DataFrame,
     opened = named.withColumn("_new", F.when(F.col("_seed"), F.col("_base")).when(F.col("change_origin") == "UNCHANGED", 0).otherwise(1))
     numbered = scan.running_sum(opened, ["regulation_id"], "year", order, "_new", "version_no")
     out = numbered.filter(~F.col("_seed")).select(*columns, "change_origin", "version_no")
+    out = out if late is None else out.unionByName(late)
     everything = numbered.select(*columns, "version_no")
     if state is not None:
         everything = everything.unionByName(state.select(*columns, "version_no").join(batch.select("regulation_id").distinct(), "regulation_id", "left_anti"))
@@ -109,7 +117,12 @@ def continuity_step(batch: DataFrame, state: DataFrame | None) -> tuple[DataFram
 
 
 def windowed(stream: DataFrame, at: str, delay: str, width: str, slide: str | None, by: list[str], *aggregates: Column) -> DataFrame:
-    """Counts per event-time window; rows later than ``delay`` behind the newest are dropped once their window has closed."""
+    """Counts per event-time window.
+
+    In complete mode, which the reports here use, every window stays in the state and late rows are counted, so the state
+    grows with the number of windows; in append or update mode rows more than ``delay`` behind the newest are dropped once
+    their window has closed.
+    """
     window = F.window(at, width, slide) if slide else F.window(at, width)
     counted = stream.withWatermark(at, delay).groupBy(window.alias("w"), *by).agg(*aggregates)
     return counted.select(F.col("w.start").alias("window_start"), *[c for c in counted.columns if c != "w"])

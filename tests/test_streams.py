@@ -39,3 +39,15 @@ def test_continuity_over_several_batches(spark):
     got = fd.run_incremental(chained(fd.read_feed(spark, folder, "events", 1)), tempfile.mkdtemp(prefix="normlake-run-") + "/x", fd.continuity_step)
     events = spark.read.parquet(f"{SF_DIR}/events.parquet")
     assert got.count() == events.count() - events.select("user_id").distinct().count()
+
+
+def test_late_captures_open_no_version(spark):
+    captures = ad.captures(spark, SF_DIR).cache()
+    middle = captures.selectExpr("percentile_disc(0.5) WITHIN GROUP (ORDER BY fetched_at) AS m").first().m
+    newer, older = captures.filter(F.col("fetched_at") > middle), captures.filter(F.col("fetched_at") <= middle)
+    _, state = fd.capture_step(newer, None)
+    known = {r.regulation_id: (r.capture_id, r.version_no) for r in state.collect()}
+    out, after = fd.capture_step(older, state)
+    assert all((r.change_origin == "LATE") == (r.regulation_id in known) for r in out.collect())
+    heads = {r.regulation_id: (r.capture_id, r.version_no) for r in after.collect()}
+    assert all(heads[k] == v for k, v in known.items())
