@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from normlake.session import ensure_checkpoint_dir
 
 #: Labelled rows that fit the classifier, at most (the smallest by a hash of the id).
-SAMPLE = 20_000
+SAMPLE = 10_000
 #: Words of the lexicon of toxic documents, at most, and the different words a word must follow to be considered.
 LEXICON, CONTEXTS = 200, 4
 #: A word enters where its log odds of being in a toxic document exceed those of all words by this much, with two standard
@@ -35,6 +35,8 @@ KEEP = 0.5
 #: Fixed bounds of a document's evidence, in log odds.
 MOST = 30.0
 _WORD = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Runs that ordinary prose has few of: capitals in a row, digits, symbols.
+_MARKED = r"[A-ZÀ-Þ]{2,}|[0-9]+|[$%&*#@~^_+=<>/\\\[\]{}]+"
 FORMAT = ("log_words", "shouting", "marks", "columns", "doubled", "distinct", "symbols", "digits", "word_size", "listed", "any_listed")
 
 
@@ -69,23 +71,30 @@ def with_features(rows: DataFrame, lexicon: dict[str, float]) -> DataFrame:
     n, chars = F.greatest(F.size("_words"), F.lit(1)).cast("double"), F.greatest(F.length(text), F.lit(1)).cast("double")
     listed = F.size(F.array_intersect("_distinct", F.array(*[F.lit(w) for w in sorted(lexicon)]).cast("array<string>")))
 
-    def count(pattern: str) -> Column:
-        return F.regexp_count(text, F.lit(pattern)).cast("double")
+    marked = F.regexp_extract_all(text, F.lit(_MARKED), F.lit(0))
+    read = read.withColumn("_marked", marked)
+    pairs = F.zip_with("_words", F.slice("_words", F.lit(2), F.greatest(F.size("_words"), F.lit(1))), lambda a, b: F.coalesce(a == b, F.lit(False)))
+
+    def of(sign: str) -> Column:
+        return (F.length(text) - F.length(F.replace(text, F.lit(sign), F.lit("")))).cast("double")
+
+    def length_of(first: str) -> Column:
+        return F.aggregate(F.filter("_marked", lambda run: run.rlike(first)), F.lit(0), lambda total, run: total + F.length(run)).cast("double")
 
     columns = {
         "log_words": F.ln(n),
-        "shouting": count("[A-ZÀ-Þ]{2}") * 2 / chars,
-        "marks": count(r"!|\?\?") / n,
-        "columns": count(r"\|") / n,
-        "doubled": count(r"(?<!\S)(\S++)(?=\s+\1(?!\S))") / n,
+        "shouting": length_of("^[A-ZÀ-Þ]") / chars,
+        "marks": (of("!") + of("?")) / n,
+        "columns": of("|") / n,
+        "doubled": F.size(F.filter(pairs, lambda same: same)) / n,
         "distinct": F.size("_distinct") / n,
-        "symbols": count(r"[^\p{L}\s.,;:'\"()!?|0-9-]") / chars,
-        "digits": count("[0-9]") / chars,
+        "symbols": length_of("^[^A-ZÀ-Þ0-9]") / chars,
+        "digits": length_of("^[0-9]") / chars,
         "word_size": F.least(chars / n, F.lit(50.0)),
         "listed": F.least(listed, F.lit(8)),
         "any_listed": F.least(listed, F.lit(1)),
     }
-    return read.withColumns({k: v.cast("double") for k, v in columns.items()}).drop("_words", "_distinct")
+    return read.withColumns({k: v.cast("double") for k, v in columns.items()}).drop("_words", "_distinct", "_marked")
 
 
 def _sampled(rows: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
@@ -150,19 +159,23 @@ def _logit(p: Column | float) -> Column:
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang",
-          sample: int = SAMPLE, keep: float = KEEP) -> DataFrame:
+          sample: int = SAMPLE, keep: float = KEEP, carry: bool = True) -> DataFrame:
     """original (the whole input row), doc_id, evidence, host_share, path_share, posterior, kept for every row of ``docs``.
 
+    Without ``carry`` the input row is left out (null), and the evidence is kept so that texts are read once; with it they are
+    read again for the second use, which costs time but no copy of the texts.
+
     ``host_col`` and ``path_col`` name the site levels. A null text counts as empty; null hosts or paths are sites of their
     own. Labels without an id or without both verdicts are not used; repeated labels of one id count as bad if one of them
     is. Without labels of both kinds, evidence is 0 and every row is kept. Repeated rows are judged one by one. An empty
     table gives an empty result.
     """
     ensure_checkpoint_dir(docs.sparkSession)
-    rows = docs.select(F.struct(*docs.columns).alias("original"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"),
+    rows = docs.select((F.struct(*docs.columns) if carry else F.lit(None).cast("string")).alias("original"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"),
                        F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"))
     model, lexicon = fit(rows, labels, sample)
-    scored = with_evidence(rows, model, lexicon)
+    scored = with_evidence(rows, model, lexicon).drop("text")
+    scored = scored if carry else scored.checkpoint()
     sites, whole = site_posteriors(scored.select("host", "path", "evidence"))
     sites = sites.select(F.col("host").alias("_host"), F.col("path").alias("_path"), "host_share", F.col("share").alias("path_share"))
     joined = scored.join(sites, F.col("host").eqNullSafe(F.col("_host")) & F.col("path").eqNullSafe(F.col("_path")), "left")

@@ -147,7 +147,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op7_quality")
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=False)
     return judged.select("doc_id", "evidence", "host_share", "path_share", "posterior", "kept")
 
 
