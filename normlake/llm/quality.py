@@ -53,7 +53,7 @@ def fit_lexicon(known: DataFrame, limit: int = LEXICON) -> DataFrame:
     """
     words = known.select("toxic", _words(F.col("text")).alias("w"))
     pairs = F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", F.lit(2), F.size("w")), lambda a, b: F.struct(a.alias("before"), b.alias("word")))
-    contexts = words.select("toxic", F.explode(F.array_distinct(pairs)).alias("p")).groupBy("p.word", "p.before").agg(F.avg("toxic").alias("toxic"))
+    contexts = words.select("toxic", F.explode(pairs).alias("p")).groupBy("p.word", "p.before").agg(F.avg("toxic").alias("toxic"))
     counts = contexts.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("b")).checkpoint()
     total = counts.agg(F.sum("n").alias("n"), F.sum("b").alias("b")).first()
     if not total["b"] or total["b"] == total["n"]:
