@@ -3,9 +3,10 @@
 Base kinds (email, ip, card, phone) are found by their patterns and checks, and always stay. Beside them, high-recall
 generators propose further spans, overlapping where they will: anything that looks like an address, a long number, a
 separated number, a key or a secret. Boosted trees judge each candidate from its format (length, digits, capitals, variety,
-separators) and from its context (words before it, letters around it). They are fitted on a bounded sample of candidates:
-those a check proves (Luhn, octets, mod 97, a named secret) against those a check refutes. The cut-off of each kind is
-calibrated on held-out candidates of the sample so that the wanted precision is met; a kind that never meets it adds nothing.
+separators) and from its context (words before it, letters around it). They are fitted on distinct candidates, a bounded
+number of each kind and label: those a check proves (Luhn, octets, mod 97, a named secret) against those a check refutes. The
+cut-off of each kind is calibrated on all its labelled candidates that the trees did not learn from, so that the wanted
+precision is met; a kind that never meets it adds nothing.
 """
 
 from __future__ import annotations
@@ -20,8 +21,11 @@ from pyspark.sql import functions as F
 
 from normlake.session import ensure_checkpoint_dir
 
-#: Candidates that the trees are fitted and the cut-offs calibrated on, at most (the smallest by a hash of text and place).
+#: Distinct candidates that the trees are fitted on, about this many at most: a sixteenth of it (1,250) per kind and label, so
+#: that no kind crowds out another. Cut-offs are calibrated on all labelled candidates.
 SAMPLE = 20_000
+#: Steps of the score in which cut-offs are counted.
+BUCKETS = 10_000
 PRECISION = 0.95
 CONTEXT = 24
 SEED = 7
@@ -152,27 +156,49 @@ def scored_by(model, rows: DataFrame) -> DataFrame:
     return model.transform(_assembled(rows)).withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def _sampled(spans: DataFrame, sample: int) -> DataFrame:
-    judged = spans.where("kind IS NOT NULL").withColumn("label", proven(spans)).where("label IS NOT NULL")
-    order = F.xxhash64("kind", "hit", "before")
-    return judged.withColumn("order", order).orderBy("order", "kind", "hit", "before").limit(sample)
+def _known(spans: DataFrame) -> DataFrame:
+    """The distinct (kind, hit, before) that a check proves or refutes: kind, label, order (a hash of the three), features."""
+    distinct = spans.where("kind IS NOT NULL").groupBy("kind", "hit", "before").count()
+    judged = distinct.withColumn("label", proven(distinct)).where("label IS NOT NULL")
+    return features(judged.withColumn("order", F.xxhash64("kind", "hit", "before"))).select("kind", "label", "order", *FEATURES)
+
+
+def _learned(sizes: dict[tuple[str, float], int], sample: int) -> Column:
+    """Whether the trees learn from a row of ``_known``: three quarters of at most about ``sample`` / 16 rows per kind and label."""
+    most, draw = max(sample // (2 * len(KINDS)), 1), F.pmod(F.shiftrightunsigned("order", 2), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    share = reduce(lambda a, item: a.when((F.col("kind") == item[0][0]) & (F.col("label") == item[0][1]), most / item[1]), sorted(sizes.items()), F.when(F.lit(False), 0.0))
+    return (draw < F.coalesce(share, F.lit(0.0))) & (F.pmod("order", F.lit(4)) != 0)
+
+
+def _bucket(score: Column) -> Column:
+    return F.floor(score * BUCKETS)
 
 
 def fit(spans: DataFrame, sample: int = SAMPLE, precision: float = PRECISION):
-    """(model, {kind: cut-off}) from a bounded sample of candidates; (None, {}) where only one class is seen.
+    """(model, {kind: cut-off as a bucket of the score}); (None, {}) where the rows to learn from show one class only.
 
-    Three quarters of the sample fit the trees, the rest calibrates: per kind the lowest score at which the candidates that
-    score as much reach ``precision``.
+    The trees learn from a bounded share of the distinct labelled candidates, drawn per kind and label: a kind with few of
+    them is learned from as it would be in a small table. The cut-off of a kind is counted over all its distinct labelled
+    candidates that were not learned from, however many: the lowest score at which those that score as much reach
+    ``precision``. Where none of these is proven, all labelled candidates of the kind are counted.
     """
-    known = features(_sampled(spans, sample)).select("kind", "label", "order", *FEATURES).checkpoint()
-    learn, held = known.where("pmod(order, 4) != 0"), known.where("pmod(order, 4) = 0")
+    known = _known(spans).checkpoint()
+    sizes = {(r["kind"], r["label"]): r["count"] for r in known.groupBy("kind", "label").count().collect()}
+    known = known.withColumn("learned", _learned(sizes, sample))
+    learn = known.where("learned")
     if learn.select("label").distinct().count() < 2:
         return None, {}
     model = GBTClassifier(maxIter=12, maxDepth=4, seed=SEED, stepSize=0.3).fit(_assembled(learn))
-    scored = scored_by(model, held)
-    down = Window.partitionBy("kind").orderBy(F.col("score").desc()).rangeBetween(Window.unboundedPreceding, 0)
-    reached = scored.withColumn("precision", F.avg("label").over(down)).where(F.col("precision") >= precision)
-    return model, {r["kind"]: r["cut"] for r in reached.groupBy("kind").agg(F.min("score").alias("cut")).collect()}
+    counted = scored_by(model, known).withColumn("at", _bucket(F.col("score"))).groupBy("kind", "at").agg(
+        F.count("*").alias("n_all"), F.sum("label").alias("good_all"), F.count_if(~F.col("learned")).alias("n_new"), F.sum(F.when(F.col("learned"), 0.0).otherwise(F.col("label"))).alias("good_new"))
+    down = Window.partitionBy("kind").orderBy(F.col("at").desc()).rangeBetween(Window.unboundedPreceding, 0)
+
+    def lowest(of: str) -> Column:
+        return F.min(F.when((F.col(f"n_{of}") > 0) & (F.col(f"reach_{of}") >= precision), F.col("at")))
+
+    reach = {f"reach_{of}": F.try_divide(F.sum(f"good_{of}").over(down), F.sum(f"n_{of}").over(down)) for of in ("all", "new")}
+    cut = counted.withColumns(reach).groupBy("kind").agg(F.when(F.sum("good_new") > 0, lowest("new")).otherwise(lowest("all")).alias("cut"))
+    return model, {r["kind"]: r["cut"] for r in cut.where("cut IS NOT NULL").collect()}
 
 
 def judged_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, precision: float = PRECISION) -> DataFrame:
@@ -187,7 +213,7 @@ def judged_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     begun = F.max(F.when(F.col("base"), F.col("last"))).over(order.rangeBetween(Window.unboundedPreceding, 0))
     to_come = F.min(F.when(F.col("base"), F.col("first"))).over(order.rangeBetween(0, Window.unboundedFollowing))
     clear = F.coalesce(begun <= F.col("first"), F.lit(True)) & F.coalesce(to_come >= F.col("last"), F.lit(True))
-    wide = reduce(lambda a, b: a | b, [(F.col("kind") == kind) & (F.col("score") >= F.lit(cut[kind])) for kind in WIDE if kind in cut], F.lit(False))
+    wide = reduce(lambda a, b: a | b, [(F.col("kind") == kind) & (_bucket(F.col("score")) >= F.lit(cut[kind])) for kind in WIDE if kind in cut], F.lit(False))
     return rows.withColumn("clear", clear).withColumn("chosen", F.coalesce(F.col("base") | (wide & F.col("clear")), F.lit(False))).drop("clear")
 
 

@@ -1,7 +1,7 @@
 import re
 
 from conftest_llm import ODD, frame
-from normlake.llm.pii import BASE, WIDE, find, judged_spans
+from normlake.llm.pii import BASE, WIDE, _known, _learned, candidates, find, judged_spans
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
          "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -57,3 +57,22 @@ def test_trees_add_named_secrets_and_nothing_to_prose(spark):
     assert all(got[i] == "" for i in range(3, 400, 4))
     kinds = {r.kind for r in judged_spans(frame(spark, rows)).where("chosen").select("kind").distinct().collect()}
     assert kinds <= {*BASE, *WIDE}
+
+
+def test_a_rare_kind_keeps_its_cut_off_among_many_numbers(spark):
+    rare = [(i, f"ids {i % 90 + 100}-{i % 80 + 10}-{i + 1000} and 000-12-{i + 1000} of people", "en", "s") for i in range(60)]
+    crowd = [(1000 + i, " ".join(f"{(i * 97 + k) * 7919 % 10**9} x" for k in range(60)), "en", "s") for i in range(400)]
+    copies = [(5000 + i, "call 123456789 now", "en", "s") for i in range(300)]
+    small = judged_spans(frame(spark, rare + crowd[:5]), sample=800)
+    large = judged_spans(frame(spark, rare + crowd + copies), sample=800)
+    assert small.where("chosen AND kind = 'national_id'").count() > 0
+    assert large.where("chosen AND kind = 'national_id'").count() > 0
+
+
+def test_sample_is_bounded_per_kind_and_label_and_distinct(spark):
+    spans = candidates(frame(spark, [(i, f"n {i // 3 + 100} and ssn 123-45-{i // 3 + 1000}", "en", "s") for i in range(3000)])).checkpoint()
+    known = _known(spans)
+    assert known.count() == known.select("order").distinct().count()
+    sizes = {(r["kind"], r["label"]): r["count"] for r in known.groupBy("kind", "label").count().collect()}
+    learned = {(r["kind"], r["label"]): r["count"] for r in known.where(_learned(sizes, 1600)).groupBy("kind", "label").count().collect()}
+    assert learned.keys() == sizes.keys() and all(40 < n < 120 for n in learned.values()), learned
