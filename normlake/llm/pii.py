@@ -39,12 +39,12 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Generators beyond the base kinds. A span of one kind may overlap one of another.
+#: Generators beyond the base kinds. A span of one kind may overlap one of another. A key or secret is a whole run of any length.
 WIDE = {
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "key": r"(?<![A-Za-z0-9])(?=[A-Z0-9]*[0-9])(?=[A-Z0-9]*[A-Z])[A-Z0-9]{16,128}(?![A-Za-z0-9])",
+    "key": r"(?<![A-Za-z0-9])(?=[A-Z]*+[0-9])(?=[0-9]*+[A-Z])[A-Z0-9]{16,}+(?![A-Za-z0-9])",
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "secret": r"(?<![A-Za-z0-9])(?=[A-Za-z]{0,128}[0-9])(?=[0-9]{0,128}[A-Za-z])[A-Za-z0-9+/_-]{16,512}={0,2}(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9])",
 }
 KINDS = (*BASE, *WIDE)
 #: A text without any of these has no candidate of any kind.

@@ -76,3 +76,9 @@ def test_sample_is_bounded_per_kind_and_label_and_distinct(spark):
     sizes = {(r["kind"], r["label"]): r["count"] for r in known.groupBy("kind", "label").count().collect()}
     learned = {(r["kind"], r["label"]): r["count"] for r in known.where(_learned(sizes, 1600)).groupBy("kind", "label").count().collect()}
     assert learned.keys() == sizes.keys() and all(40 < n < 120 for n in learned.values()), learned
+
+
+def test_long_runs_are_candidates_whole(spark):
+    texts = ["A1" * 65, "ab" * 300 + "1", "x " + "0123456789abcdef" * 4096, "a" * 200 + "7" + "b" * 20, "A" * 200 + "7" * 3, "a" * 600, "7" * 600]
+    got = {(r.doc_id, r.kind, r.first, r.last) for r in candidates(frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).where("kind IN ('key', 'secret')").collect()}
+    assert got == {(0, "key", 0, 130), (0, "secret", 0, 130), (1, "secret", 0, 601), (2, "secret", 2, 65538), (3, "secret", 0, 221), (4, "key", 0, 203), (4, "secret", 0, 203)}
