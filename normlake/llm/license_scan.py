@@ -2,8 +2,8 @@
 
 A rule is a label, a priority, a keyword and a regex over the words of a text. The rules are a list of licenses, each with
 its names written as word regexes, put through a few sentence forms (bare name, name with version, grant, identifier tag),
-and a list of single phrases from license bodies. A text is searched only if it holds a word stem that every rule needs,
-and a rule is tried only on texts that hold its keyword. Overlaps are settled by interval containment: a detection goes
+and a list of single phrases from license bodies. A text is searched only if it holds words that some rule needs (read off the
+rules), and a rule is tried only on texts that hold its keyword. Overlaps are settled by interval containment: a detection goes
 when one of at least its priority covers its whole interval (of equal intervals the earlier rule stays).
 
 Words are set between blanks of their own (``" mit  license "``), so a regex made of whole words needs no look-around and
@@ -20,10 +20,6 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words before lower-casing.
 _ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Every rule needs one of these in the text as it stands (any case; a blank stands for whatever parts two words).
-STEMS = tuple(stem.replace(" ", _BETWEEN) for stem in (
-    "licen", "gpl", "asl 2", "wtfpl", "0bsd", "cc0", "cc zero", "cc by", "creative commons", "permission", "redistribut", "misrepresented",
-    "unencumbered", "public domain", "warrant", "rights reserved", "proprietary", "copyright"))
 #: Phrases that count as base places, with their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
@@ -136,12 +132,45 @@ def keyword_of(phrase: str) -> str:
     return max(words, key=len)
 
 
-def rules() -> list[tuple[int, str, int, str, str, bool]]:
-    """(number, label, priority, keyword, regex, base) in order; the base phrases come first."""
+def stem_of(phrase: str) -> str:
+    """Words that every match of a phrase holds side by side: 'license' in either spelling, or else the longest such run."""
+    if "licen[cs]e" in phrase.split():
+        return "licen[cs]e"
+    runs, depth = [[]], 0
+    for word in phrase.split():
+        depth += (word == "(?:") - word.startswith(")")
+        if not depth and word.isalnum():
+            runs[-1].append(word)
+        else:
+            runs.append([])
+    return " ".join(max(runs, key=lambda run: len(" ".join(run))))
+
+
+def _made() -> list[tuple[str, int, str, bool]]:
+    """(label, priority, phrase, base) in order; the base phrases come first."""
     made = [(label, 2, phrase, True) for phrase, label in BASE]
     made += [(label, priority, form.format(name), False) for form, priority in FORMS for label, names in LICENSES.items() for name in names]
-    made += [(label, priority, phrase, False) for label, phrase, priority in PHRASES]
-    return [(number, label, priority, keyword_of(phrase), word_regex(phrase), base) for number, (label, priority, phrase, base) in enumerate(made)]
+    return made + [(label, priority, phrase, False) for label, phrase, priority in PHRASES]
+
+
+def _stems() -> tuple[str, ...]:
+    """One regex of a text as it stands that every rule needs: the stems of all names (every form holds its name) and phrases,
+    without those that hold another one."""
+    phrases = [phrase for phrase, _ in BASE] + [name for names in LICENSES.values() for name in names] + [phrase for _, phrase, _ in PHRASES]
+    least: list[str] = []
+    for stem in sorted({stem_of(phrase) for phrase in phrases}, key=lambda stem: (len(stem.split()), stem)):
+        if not any(f" {other} " in f" {stem} " for other in least):
+            least.append(stem)
+    return (rf"(?:^|{_BETWEEN})(?:{'|'.join(stem.replace(' ', _BETWEEN) for stem in least)})(?:{_BETWEEN}|$)",)
+
+
+def rules() -> list[tuple[int, str, int, str, str, bool]]:
+    """(number, label, priority, keyword, regex, base) in order; the base phrases come first."""
+    return [(number, label, priority, keyword_of(phrase), word_regex(phrase), base) for number, (label, priority, phrase, base) in enumerate(_made())]
+
+
+#: Every rule needs this in the text as it stands (any case); read off the rules.
+STEMS = _stems()
 
 
 def _rule_array() -> Column:

@@ -54,3 +54,27 @@ def test_prefilter_loses_nothing():
 
 def test_empty_table(nothing):
     assert scan(nothing).collect() == []
+
+
+def shortest(regex):
+    """A text that a rule's regex matches, with optional words left out and the first of alternatives."""
+    while (left := re.sub(r"\(\?:[^()]*\)[?*]", "", regex)) != regex:
+        regex = left
+    while (left := re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)?\)", r"\1", regex)) != regex:
+        regex = left
+    return re.sub(r"\[(.)[^\]]*\]\+?", r"\1", regex.replace("v?", "")).strip()
+
+
+def test_gate_lets_the_shortest_text_of_every_rule_through():
+    gate = re.compile("(?i)" + "|".join(STEMS))
+    for *_, regex, _ in rules():
+        text = re.sub(" +", "-", shortest(regex)).upper()
+        body = " " + "  ".join(words(text)) + " "
+        assert re.search(regex, body), (regex, text)
+        assert gate.search(text) and gate.search(f"see {text}."), text
+
+
+def test_names_without_the_word_license(spark):
+    texts = {"Released under BSD-3-Clause.": "bsd-3", "BSD 2-Clause": "bsd-2", "two clause BSD": "bsd-2", "MIT No Attribution": "mit-0"}
+    got = {r.doc_id: r.labels for r in scan(frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
