@@ -2,7 +2,7 @@
 
 A rule is a label, a priority, a keyword and a regex over the words of a text. The rules are a list of licenses, each with
 its names written as word regexes, put through a few sentence forms (bare name, name with version, grant, identifier tag),
-and a list of single phrases from license bodies. A text is searched only if it holds words that some rule needs (read off the
+a list of SPDX identifiers (after the tag, and after another identifier with 'or' or 'and'), and a list of single phrases from license bodies. A text is searched only if it holds words that some rule needs (read off the
 rules), and a rule is tried only on texts that hold its keyword. Overlaps are settled by interval containment: a detection goes
 when one of at least its priority covers its whole interval (of equal intervals the earlier rule stays).
 
@@ -29,9 +29,9 @@ LICENSES = {
     "mit-0": ("mit no attribution licen[cs]e?", "mit 0 licen[cs]e"),
     "x11": ("x11 licen[cs]e",),
     "apache": ("apache software? licen[cs]e", "asl 2 0?"),
-    "gpl": ("gnu? general public licen[cs]e", "gpl v?[0-9]+"),
-    "lgpl": ("gnu? lesser general public licen[cs]e", "gnu? library general public licen[cs]e"),
-    "agpl": ("gnu? affero general public licen[cs]e", "agpl v?[0-9]+"),
+    "gpl": ("gnu? general public licen[cs]e", "gpl v?[0-9]+", "gplv1", "gplv2", "gplv3", "gpl1", "gpl2", "gpl3"),
+    "lgpl": ("gnu? lesser general public licen[cs]e", "gnu? library general public licen[cs]e", "lgpl v?[0-9]+", "lgplv2", "lgplv3", "lgpl2", "lgpl3"),
+    "agpl": ("gnu? affero general public licen[cs]e", "agpl v?[0-9]+", "agplv1", "agplv3", "agpl3"),
     "gfdl": ("gnu? free documentation licen[cs]e",),
     "bsd": ("bsd licen[cs]e", "bsd style licen[cs]e", "berkeley software distribution licen[cs]e"),
     "bsd-2": ("bsd 2 clause licen[cs]e?", "simplified bsd licen[cs]e", "two clause bsd licen[cs]e?", "freebsd licen[cs]e"),
@@ -87,6 +87,28 @@ FORMS = (
     ("{} version v?[0-9]+ [0-9]?", 3),
     ("{}", 2),
 )
+#: (label, identifier as words): SPDX identifiers as they stand in a tag, without the word license.
+IDENTIFIERS = (
+    ("mit", "mit"), ("mit-0", "mit 0"), ("mit", "mit modern variant"), ("mit", "mit cmu"), ("x11", "x11"), ("isc", "isc"), ("zero-bsd", "0bsd"),
+    ("apache", "apache [12] [0-9]"), ("apache", "asl [12] [0-9]"),
+    ("gpl", "gpl [1-3] 0? (?: only | or later | plus )?"), ("gpl", "gpl 2 0 with classpath exception"), ("gpl", "gplv1"), ("gpl", "gplv2"), ("gpl", "gplv3"),
+    ("lgpl", "lgpl [23] [01]? (?: only | or later | plus )?"), ("lgpl", "lgpllr"), ("lgpl", "lgplv2 1?"), ("lgpl", "lgplv3"),
+    ("agpl", "agpl [13] 0? (?: only | or later | plus )?"), ("agpl", "agplv3"), ("gfdl", "gfdl 1 [1-3] (?: no invariants | invariants )? (?: only | or later )?"),
+    ("bsd", "bsd"), ("bsd", "bsd source code"), ("bsd-2", "bsd 2 clause (?: patent | views | freebsd | netbsd )?"), ("bsd-3", "bsd 3 clause (?: clear | lbnl | attribution | modification | open mpi )?"),
+    ("bsd-4", "bsd 4 clause uc?"), ("bsd", "bsd 1 clause"), ("zlib", "zlib"), ("zlib", "zlib acknowledgement"), ("zlib", "libpng 2 0"),
+    ("mpl", "mpl [12] [01] (?: no copyleft exception )?"), ("epl", "epl [12] 0"), ("cpl", "cpl 1 0"), ("cddl", "cddl 1 [01]"), ("eupl", "eupl 1 [0-2]"),
+    ("cecill", "cecill [12] [01]"), ("cecill", "cecill [bc]"), ("artistic", "artistic [12] 0 (?: perl | cl8 )?"), ("boost", "bsl 1 0"), ("bsl", "busl 1 1"),
+    ("psf", "psf 2 0"), ("psf", "python 2 0 1?"), ("ruby", "ruby"), ("php", "php 3 0?1?"), ("openssl", "openssl"), ("unlicense", "unlicense"), ("wtfpl", "wtfpl"),
+    ("ms-pl", "ms pl"), ("ms-rl", "ms rl"), ("ofl", "ofl 1 [01] (?: rfn | no rfn )?"), ("odbl", "odbl 1 0"), ("odc-by", "odc by 1 0"), ("ncsa", "ncsa"), ("upl", "upl 1 0"),
+    ("osl", "osl [123] [01]"), ("afl", "afl [123] [012]"), ("sspl", "sspl 1 0"), ("elastic", "elastic 2 0"), ("cc0", "cc0 1 0"),
+    ("cc-by", "cc by [1-4] [05]"), ("cc-by-sa", "cc by sa [1-4] [05]"), ("cc-by-nc", "cc by nc [1-4] [05]"), ("cc-by-nd", "cc by nd [1-4] [05]"),
+    ("cc-by-nc-sa", "cc by nc sa [1-4] [05]"), ("cc-by-nc-nd", "cc by nc nd [1-4] [05]"),
+)
+#: What may stand before a further identifier of an expression ('MIT OR Apache-2.0'): the first word of one, its rest, an exception.
+_BEFORE = ("(?: " + " | ".join(sorted({words.split()[0] for _, words in IDENTIFIERS}))
+           + " )" + " (?: [0-9]+ | 0? clause | only | or later | plus | by | sa | nc | nd | pl | rl )?" * 5 + " (?: with [a-z]+ [a-z]+? [a-z]+? [0-9]+? [0-9]+? )?")
+#: (form, priority) of an identifier: the tag's first one, and a further one of an expression. A rule of ``IDENTIFIERS`` needs no more words.
+IDENTIFIER_FORMS = (("spdx licen[cs]e identifier {}", 5), (_BEFORE + " (?: or | and ) {}", 5))
 #: (label, phrase, priority): sentences of license bodies and notices.
 PHRASES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy", 4),
@@ -150,17 +172,20 @@ def _made() -> list[tuple[str, int, str, bool]]:
     """(label, priority, phrase, base) in order; the base phrases come first."""
     made = [(label, 2, phrase, True) for phrase, label in BASE]
     made += [(label, priority, form.format(name), False) for form, priority in FORMS for label, names in LICENSES.items() for name in names]
+    made += [(label, priority, form.format(words), False) for form, priority in IDENTIFIER_FORMS for label, words in IDENTIFIERS]
     return made + [(label, priority, phrase, False) for label, phrase, priority in PHRASES]
 
 
 def _stems() -> tuple[str, ...]:
     """One regex of a text as it stands that every rule needs: the stems of all names (every form holds its name) and phrases,
-    without those that hold another one."""
+    without those that hold another one, and the joint of an expression. A tag holds 'license'."""
     phrases = [phrase for phrase, _ in BASE] + [name for names in LICENSES.values() for name in names] + [phrase for _, phrase, _ in PHRASES]
     least: list[str] = []
     for stem in sorted({stem_of(phrase) for phrase in phrases}, key=lambda stem: (len(stem.split()), stem)):
         if not any(f" {other} " in f" {stem} " for other in least):
             least.append(stem)
+    further = sorted({words.split()[0] for _, words in IDENTIFIERS})
+    least.append(f"(?:or|and) (?:{'|'.join(further)})")
     return (rf"(?:^|{_BETWEEN})(?:{'|'.join(stem.replace(' ', _BETWEEN) for stem in least)})(?:{_BETWEEN}|$)",)
 
 

@@ -78,3 +78,17 @@ def test_names_without_the_word_license(spark):
     texts = {"Released under BSD-3-Clause.": "bsd-3", "BSD 2-Clause": "bsd-2", "two clause BSD": "bsd-2", "MIT No Attribution": "mit-0"}
     got = {r.doc_id: r.labels for r in scan(frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
     assert [got[i] for i in range(len(texts))] == list(texts.values())
+
+
+TAGS = [("SPDX-License-Identifier: MIT", "mit"), ("// SPDX-License-Identifier: Apache-2.0 */", "apache"), ("SPDX-License-Identifier: MPL-2.0", "mpl"), ("SPDX-License-Identifier: ISC", "isc"),
+        ("SPDX-License-Identifier: EPL-2.0", "epl"), ("SPDX-License-Identifier: GPL-2.0-or-later", "gpl"), ("SPDX-License-Identifier: LGPL-2.1+", "lgpl"), ("SPDX-License-Identifier: BSD-3-Clause", "bsd-3"),
+        ("GPLv3", "gpl"), ("LGPLv2.1 or later", "lgpl"), ("under AGPLv3", "agpl"), ("SPDX-License-Identifier: (MIT OR Apache-2.0)", "apache,mit"), ("SPDX-License-Identifier: CC-BY-SA-4.0", "cc-by-sa"),
+        ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 OR MIT AND ISC OR BSD-2-Clause", "bsd-2,gpl,isc,mit"), ("mit Rat und Tat or mit Kaffee, isc", "")]
+
+
+def test_identifiers_in_tags(spark):
+    rows = [(i, text, "en", "s") for i, (text, _) in enumerate(TAGS)]
+    got = {r.doc_id: r.labels for r in scan(frame(spark, rows)).collect()}
+    for i, text, *_ in rows:
+        assert got[i] == brute(text)[5], text
+    assert [got[i] for i in range(len(TAGS))] == [labels for _, labels in TAGS]
