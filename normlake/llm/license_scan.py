@@ -108,7 +108,7 @@ IDENTIFIERS = (
 _BEFORE = ("(?: " + " | ".join(sorted({words.split()[0] for _, words in IDENTIFIERS}))
            + " )" + " (?: [0-9]+ | 0? clause | only | or later | plus | by | sa | nc | nd | pl | rl )?" * 5 + " (?: with [a-z]+ [a-z]+? [a-z]+? [0-9]+? [0-9]+? )?")
 #: (form, priority) of an identifier: the tag's first one, and a further one of an expression. A rule of ``IDENTIFIERS`` needs no more words.
-IDENTIFIER_FORMS = (("spdx licen[cs]e identifier {}", 5), (_BEFORE + " (?: or | and ) {}", 5))
+IDENTIFIER_FORMS = (("spdx licen[cs]e identifier {}", 5), (_BEFORE + " or {}", 5), (_BEFORE + " and {}", 5))
 #: (label, phrase, priority): sentences of license bodies and notices.
 PHRASES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy", 4),
@@ -144,28 +144,28 @@ def word_regex(phrase: str) -> str:
     return "".join(out)
 
 
-def keyword_of(phrase: str) -> str:
-    """The longest word that every match of a phrase holds."""
-    words, depth = [], 0
+def _run_of(phrase: str) -> list[str]:
+    """The longest run of words that every match of a phrase holds side by side."""
+    runs, depth = [[]], 0
     for word in phrase.split():
         depth += (word == "(?:") - word.startswith(")")
         if not depth and word.isalnum():
-            words.append(word)
-    return max(words, key=len)
+            runs[-1].append(word)
+        else:
+            runs.append([])
+    return max(runs, key=lambda run: len(" ".join(run)))
+
+
+def keyword_of(phrase: str) -> str:
+    """The longest run of words of a phrase, as it stands between the blanks of a searched text."""
+    return "  ".join(_run_of(phrase))
 
 
 def stem_of(phrase: str) -> str:
     """Words that every match of a phrase holds side by side: 'license' in either spelling, or else the longest such run."""
     if "licen[cs]e" in phrase.split():
         return "licen[cs]e"
-    runs, depth = [[]], 0
-    for word in phrase.split():
-        depth += (word == "(?:") - word.startswith(")")
-        if not depth and word.isalnum():
-            runs[-1].append(word)
-        else:
-            runs.append([])
-    return " ".join(max(runs, key=lambda run: len(" ".join(run))))
+    return " ".join(_run_of(phrase))
 
 
 def _made() -> list[tuple[str, int, str, bool]]:
