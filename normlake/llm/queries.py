@@ -11,6 +11,7 @@ from normlake.llm import kneser_ney, license_scan, pii, quality
 from normlake.llm.common import table
 from normlake.llm.decontaminate import contamination
 from normlake.llm.exact_dedup import exact_dedup
+from normlake.llm.importance_resampling import resample
 from normlake.llm.jaccard_join import jaccard_join
 from normlake.llm.sentencepiece_codec import encode
 from normlake.llm.substring_dedup import substring_dedup
@@ -170,3 +171,25 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(low) AS low FROM r GROUP BY doc_id) m USING (doc_id)""")
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@register("op11_importance_resampling", sql=r"""
+    WITH poly AS (SELECT list(v ORDER BY n) AS t FROM (SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v FROM range(256) r(n))),
+    raw AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+    w AS MATERIALIZED (SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM raw),
+    f AS MATERIALIZED (SELECT side, id, feature, count(*) AS n FROM (SELECT side, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS feature FROM w) GROUP BY ALL),
+    x AS (SELECT feature, hex(encode(feature)) AS h FROM (SELECT DISTINCT feature FROM f)),
+    c AS MATERIALIZED (SELECT feature, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(h) // 2 + 1), lambda i: ('0x' || substr(h, 2 * i - 1, 2))::BIGINT)),
+                       lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket FROM x, poly),
+    k AS MATERIALIZED (SELECT side, id, bucket, sum(n)::BIGINT AS n FROM f JOIN c USING (feature) GROUP BY ALL),
+    z AS (SELECT coalesce(sum(n) FILTER (side = 'd'), 0)::DOUBLE AS s_all, coalesce(sum(n) FILTER (side = 'b'), 0)::DOUBLE AS t_all FROM k),
+    g AS (SELECT bucket, floor(1000 * ln((t + 1) * (t_s + 10000) / ((s + 1) * (t_t + 10000))))::BIGINT AS gain
+          FROM (SELECT bucket, coalesce(sum(n) FILTER (side = 'd'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (side = 'b'), 0)::DOUBLE AS t FROM k GROUP BY bucket), (SELECT s_all AS t_s, t_all AS t_t FROM z)),
+    m AS (SELECT id, floor(sum(k.n * gain)::DOUBLE / sum(k.n)::DOUBLE)::BIGINT AS weight, sum(k.n)::BIGINT AS n_features FROM k JOIN g USING (bucket) WHERE side = 'd' GROUP BY id),
+    o AS (SELECT w.id AS doc_id, len(w.w) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+          coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || w.id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+          FROM w LEFT JOIN m USING (id) WHERE side = 'd'),
+    q AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, 25 * count(*) OVER () // 100 AS quota FROM o WHERE n_words >= 20)
+    SELECT doc_id, n_features, weight, score, CASE WHEN place <= quota THEN place END AS rank FROM o LEFT JOIN q USING (doc_id)""")
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
