@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from hashlib import sha256
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normlake.llm import kneser_ney, license_scan, pii, quality
+from normlake.llm import bpe_codec, kneser_ney, license_scan, pii, quality
 from normlake.llm.common import table
 from normlake.llm.decontaminate import contamination
 from normlake.llm.exact_dedup import exact_dedup
@@ -193,3 +196,25 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, n_features, weight, score, CASE WHEN place <= quota THEN place END AS rank FROM o LEFT JOIN q USING (doc_id)""")
 def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def _digests(batches):
+    """SHA-256 of a row's ids as little-endian unsigned 32-bit integers and of its decoded text."""
+    for batch in batches:
+        ids = batch.column(2)
+        flat, size = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4"), pc.list_value_length(ids).to_pylist()
+        out, at = [], 0
+        for n in size:
+            out.append(sha256(flat[at : at + n].tobytes()).hexdigest())
+            at += n
+        text = [sha256(t.encode()).hexdigest() for t in batch.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out), pa.array(text)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+@register("op12_bpe")
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    both = bpe_codec.decode(bpe_codec.encode(table(spark, sf_dir, "documents"), path), path)
+    return both.select("doc_id", "n_tokens", "ids", "decoded").mapInArrow(_digests, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
