@@ -14,6 +14,7 @@ from normlake.llm import bpe_codec, kneser_ney, license_scan, pii, quality
 from normlake.llm.common import table
 from normlake.llm.decontaminate import contamination
 from normlake.llm.exact_dedup import exact_dedup
+from normlake.llm.hard_negatives import mine
 from normlake.llm.importance_resampling import resample
 from normlake.llm.jaccard_join import jaccard_join
 from normlake.llm.sentencepiece_codec import encode
@@ -218,3 +219,17 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     both = bpe_codec.decode(bpe_codec.encode(table(spark, sf_dir, "documents"), path), path)
     return both.select("doc_id", "n_tokens", "ids", "decoded").mapInArrow(_digests, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+
+
+@register("op13_hard_negatives", sql=r"""
+    WITH v AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+          FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score
+          FROM v a JOIN v b ON a.vec_id != b.vec_id WHERE a.vec_id % 100 = 0),
+    p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+    SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, other_id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+    QUALIFY rank <= 5 WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)""")
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(table(spark, sf_dir, "embeddings").withColumn("label", label))
