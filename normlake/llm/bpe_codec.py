@@ -399,11 +399,17 @@ def _hand_out(key, sent, coded):
     return _rows(rows, _GIVEN)
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
-_OUT_SQL = "doc_id bigint, n_tokens bigint, ids array<int>"
+def _texts(tool: Codec, ids: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The text of each run of ids; bytes that are no UTF-8 become the replacement character."""
+    known = np.where((ids >= 0) & (ids < len(tool.lengths)), tool.lengths[np.clip(ids, 0, len(tool.lengths) - 1)], 0)
+    ends = np.concatenate([[0], np.cumsum(known)])[np.concatenate([[0], np.cumsum(size)])].tolist()
+    letters = tool.bytes_of(ids)
+    return pa.array([letters[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(ends, ends[1:])], pa.string())
 
 
-def _encoded(path: str):
+def _encoded(path: str, as_bytes: bool, with_text: bool):
+    names = ["doc_id", "n_tokens", "ids", *(["decoded"] if with_text else [])]
+
     def encoded(key, table, given):
         tool, got = codec(path), _unpacked(given)
         parts = []
@@ -426,15 +432,23 @@ def _encoded(path: str):
                 first[~here] = len(got[1]) + np.cumsum(lengths[~here]) - lengths[~here]
                 ids, size = _assemble(tool, chunks, Store(tool, wanted, _ranges(both, first, first + lengths), lengths))
                 offsets = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
-                parts.append(pa.Table.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(size.astype(np.int64)),
-                                                   pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))], schema=_OUT))
-        return pa.concat_tables(parts) if parts else _OUT.empty_table()
+                if as_bytes:
+                    out = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((offsets.to_numpy() * 4).tobytes()), pa.py_buffer(ids.astype("<u4").tobytes())])
+                else:
+                    out = pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))
+                texts = [_texts(tool, ids.astype(np.int64), size)] if with_text else []
+                parts.append(pa.Table.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(size.astype(np.int64)), out, *texts], names=names))
+        empty = [pa.int64(), pa.int64(), pa.binary() if as_bytes else pa.list_(pa.int32()), pa.string()]
+        return pa.concat_tables(parts) if parts else pa.table({n: pa.array([], t) for n, t in zip(names, empty)})
 
     return encoded
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids (array of int) of every row of ``docs``, as the tokenizers library encodes its whole text without adding special tokens.
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", as_bytes: bool = False, with_text: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids of every row of ``docs``, as the tokenizers library encodes its whole text without adding special tokens.
+
+    ids are an array of int, or with ``as_bytes`` little-endian unsigned 32-bit integers in a binary column. ``with_text`` adds
+    what ``decode`` gives for them, without a second Python worker per task.
 
     ``path`` names a byte-level BPE file that every worker can read; another kind is refused. Strings of added tokens in a text
     become those tokens, as in the library. Null and empty texts have no ids. Rows are encoded each for itself, so repeated
@@ -449,7 +463,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     told = sent.applyInArrow(_appoint, _TOLD_SQL).groupBy("place")
     coded = by_place.cogroup(told).applyInArrow(_encode_shared(path, shares), _CODED_SQL).groupBy("share")
     given = sent.cogroup(coded).applyInArrow(_hand_out, _GIVEN_SQL).groupBy("place")
-    return by_place.cogroup(given).applyInArrow(_encoded(path), _OUT_SQL)
+    ids = f"ids {'binary' if as_bytes else 'array<int>'}{', decoded string' if with_text else ''}"
+    return by_place.cogroup(given).applyInArrow(_encoded(path, as_bytes, with_text), f"doc_id bigint, n_tokens bigint, {ids}")
 
 
 def _decoded(path: str, column: str, names: list[str]):
@@ -461,10 +476,7 @@ def _decoded(path: str, column: str, names: list[str]):
                 part = lists.slice(row, 256)
                 flat = part.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
                 size = np.array([0 if n is None else n for n in pc.list_value_length(part).to_pylist()], dtype=np.int64)
-                known = np.where((flat >= 0) & (flat < len(tool.lengths)), tool.lengths[np.clip(flat, 0, len(tool.lengths) - 1)], 0)
-                ends = np.concatenate([[0], np.cumsum(known)])[np.concatenate([[0], np.cumsum(size)])].tolist()
-                letters = tool.bytes_of(flat)
-                texts = pa.array([letters[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(ends, ends[1:])], pa.string())
+                texts = _texts(tool, flat.astype(np.int64), size)
                 yield pa.RecordBatch.from_arrays([*batch.slice(row, 256).columns, texts], names=[*names, "decoded"])
 
     return decoded

@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from hashlib import sha256
 
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -199,26 +196,13 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
 
 
-def _digests(batches):
-    """SHA-256 of a row's ids as little-endian unsigned 32-bit integers and of its decoded text."""
-    for batch in batches:
-        ids = batch.column(2)
-        flat, size = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4"), pc.list_value_length(ids).to_pylist()
-        out, at = [], 0
-        for n in size:
-            out.append(sha256(flat[at : at + n].tobytes()).hexdigest())
-            at += n
-        text = [sha256(t.encode()).hexdigest() for t in batch.column(3).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out), pa.array(text)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-
 @register("op12_bpe")
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    both = bpe_codec.decode(bpe_codec.encode(table(spark, sf_dir, "documents"), path), path)
-    return both.select("doc_id", "n_tokens", "ids", "decoded").mapInArrow(_digests, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    both = bpe_codec.encode(table(spark, sf_dir, "documents"), path, as_bytes=True, with_text=True)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 @register("op13_hard_negatives", sql=r"""
@@ -229,7 +213,7 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
     SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, other_id AS negative_id, positive_score, score AS negative_score
     FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
-    QUALIFY rank <= 5 WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)""")
+    WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) QUALIFY rank <= 5""")
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return mine(table(spark, sf_dir, "embeddings").withColumn("label", label))

@@ -70,6 +70,11 @@ def test_rows(spark):
         assert got[doc_id]["ids"] == ids and got[doc_id]["n_tokens"] == len(ids) and got[doc_id]["decoded"] == text
 
 
+def test_bytes_and_text_at_once(odd):
+    plainly = {(str(r["doc_id"]), r["n_tokens"], np.array(r["ids"], dtype="<u4").tobytes(), r["decoded"]) for r in decode(encode(odd, PATH), PATH).collect()}
+    assert {(str(r["doc_id"]), r["n_tokens"], bytes(r["ids"]), r["decoded"]) for r in encode(odd, PATH, as_bytes=True, with_text=True).collect()} == plainly
+
+
 def test_odd_rows(odd):
     got = sorted((str(r["doc_id"]), r["ids"], r["decoded"]) for r in decode(encode(odd, PATH), PATH).collect())
     assert got == sorted((str(i), ids, t or "") for (i, t, *_), ids in zip(ODD, plain([t or "" for _, t, *_ in ODD])))
