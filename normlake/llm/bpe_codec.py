@@ -4,27 +4,30 @@ Chunks. A rolling hash over the last REACH bytes cuts a text wherever its leadin
 wherever it stands, whatever is in front of it. Cuts lie between characters and are not closer than LEAST bytes.
 
 Once each. Texts are dealt into places (that exchange is read again at each step). A place sends the distinct hashes of its
-chunks, one sorted difference-coded array per share of the hash space; a share tells each place which of them other places
-have too, and names the place of smallest number as the one to encode. Those places send the codes to the shares, the shares
+chunks, one sorted difference-coded array per share of the hash space; a share tells each place which of them it is to encode
+for others too (several places have them, none of a smaller number). Those places send the codes to the shares, the shares
 hand them to whoever asked. Chunks of one place only are encoded there. What travels is a hash per distinct chunk and place
 and the codes of shared chunks, so a passage that a third of all texts hold costs one entry per place.
 
-Joins. The tokenizer cuts a text into words from left to right, and where a word ends depends on the word's start and on the
-text up to MARGIN bytes behind its end (a blank belongs to what follows it, and a special token cuts a word). So of a chunk's own word
-borders those at least MARGIN before its end hold in any text in which the chunk's first border holds. A join is encoded
-anew from the last such border of the left chunk to some words into the right one. The first border at or behind the join
-that this window and the right chunk's own encoding agree on is a border of the whole text, and from there on the right
-chunk's own codes are exact. Where a window shows no such border it is doubled, over further chunks if need be, until it
-does or the text ends. Joins of the same two chunks are repaired once per place.
+Joins. The tokenizer cuts a text into words first, and no word holds a blank behind another character: between a visible
+ASCII character and a blank there is a word border in the text and in every piece of it. So the codes of a chunk's own
+encoding are exact between two such borders. A join is encoded anew from the nearest border before it to the nearest one
+behind it, over further chunks if there is none in the next one; there both sides agree, which is checked on the codes'
+lengths. Equal windows are encoded once per slice.
 
 Hashes are 64 bits wide and never trusted: byte-level codes hold their bytes, so every assembled text is compared with the
 original bytes and encoded whole should a chunk of equal hash have been another one.
+
+Plain chunks go through tiktoken where the file's merges rank as its ids do, which makes both libraries merge alike; a chunk
+with an added token, with long runs, or with characters outside long-settled Unicode blocks (the libraries' tables could
+differ) goes through the tokenizers library itself.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 from functools import cache
 
 import numpy as np
@@ -41,14 +44,14 @@ REACH = 32
 #: Leading bits of the rolling hash that must be zero: a cut each 1,024 bytes or so.
 BITS = 10
 LEAST = 128
-#: Bytes of the right chunk in a join's first window.
-AHEAD = 48
-#: Texts encoded in one call of the library.
+#: Bytes of text encoded in one call of the library.
 CALL_BYTES = 1 << 20
 #: Parquet bytes a place stands for.
 PLACE_BYTES = 24 << 20
-_START = np.uint32(1 << 31)
-_ID = np.uint32((1 << 31) - 1)
+#: Fixed value: how byte-level BPE cuts a text into words.
+WORD = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: What tiktoken is not given: runs that it merges in quadratic time, and characters outside the blocks from Latin to Cyrillic, punctuation, kana and ideographs.
+_UNSETTLED = re.compile("\\S{400}|\\s{400}|[^\t-\r -~\xa0-\u02af\u0391-\u03a9\u03b1-\u03c9\u0410-\u044f\u2010-\u2027\u2030-\u205e\u20ac\u3001-\u3003\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5]")
 _GEAR = (mix(np.arange(1, 257, dtype=WIDE) * WIDE(0xD1B54A32D192ED03)) >> WIDE(32)).astype(np.uint32)
 
 
@@ -77,27 +80,43 @@ class Codec:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        if any(re.search(r"\s", t["content"]) for t in added):
+            raise ValueError(f"{path}: added tokens with blanks would hide word borders")
         byte, special = _byte_of_letter(), {t["id"]: t["content"].encode() for t in added}
         size = max(self.library.get_vocab().values()) + 1
         tokens = [special[i] if i in special else bytes(byte[c] for c in self.library.id_to_token(i) or "") for i in range(size)]
         self.lengths = np.array([len(t) for t in tokens], dtype=np.int64)
         self.begins = np.cumsum(self.lengths) - self.lengths
         self.letters = np.frombuffer(b"".join(tokens), dtype=np.uint8)
-        #: The longest added token and one character before it.
-        self.margin = max([len(c) for c in special.values()], default=4) + 8
+        self.special = [c.decode() for c in special.values()]
+        self.plain = self._plain(spec, {t: i for i, t in enumerate(tokens) if t and i not in special})
+
+    def _plain(self, spec: dict, ranks: dict[bytes, int]):
+        """The same merges for tiktoken; None where ids do not rise with the merges or the words are cut otherwise."""
+        vocab = spec["model"]["vocab"]
+        made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in spec["model"]["merges"]]
+        singles = [i for t, i in vocab.items() if len(t) == 1 and i not in set(made)]
+        other = any(spec["model"].get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        if other or not spec["pre_tokenizer"].get("use_regex", True) or len(singles) != 256 or any(a >= b for a, b in zip(made, made[1:])) or max(singles) >= min(made, default=256):
+            return None
+        import tiktoken
+
+        return tiktoken.Encoding("chunks", pat_str=WORD, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def _settled(self, text: str) -> bool:
+        return self.plain is not None and not _UNSETTLED.search(text) and not any(c in text for c in self.special)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text; the highest bit marks the first token of a word."""
-        out, at = [], 0
-        while at < len(texts):
+        """Ids of each text."""
+        out = [np.array(self.plain(t), dtype=np.uint32) if self._settled(t) else None for t in texts]
+        rest, at = [n for n, ids in enumerate(out) if ids is None], 0
+        while at < len(rest):
             to, size = at, 0
-            while to < len(texts) and (to == at or size < CALL_BYTES):
-                size += len(texts[to])
+            while to < len(rest) and (to == at or size < CALL_BYTES):
+                size += len(texts[rest[to]])
                 to += 1
-            for found in self.library.encode_batch(texts[at:to], add_special_tokens=False):
-                ids, word = np.array(found.ids, dtype=np.uint32), np.array(found.word_ids, dtype=np.int64)
-                ids[np.diff(word, prepend=-1) != 0] |= _START
-                out.append(ids)
+            for n, found in zip(rest[at:to], self.library.encode_batch([texts[n] for n in rest[at:to]], add_special_tokens=False)):
+                out[n] = np.array(found.ids, dtype=np.uint32)
             at = to
         return out
 
@@ -171,157 +190,71 @@ class Chunks:
         return tool.encode([self.string(a, b) for a, b in zip(self.first[at].tolist(), self.last[at].tolist())])
 
 
-class Store:
-    """Codes of distinct chunks, one after another, ordered by hash, with the place of each token in its chunk."""
-
-    def __init__(self, tool: Codec, hashes: np.ndarray, codes: np.ndarray, lengths: np.ndarray):
-        self.hashes, self.codes = hashes, codes
-        self.token = np.concatenate([[0], np.cumsum(lengths)])
-        size = tool.lengths[codes & _ID]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        self.base = ends[self.token]
-        self.begin = ends[:-1] - np.repeat(self.base[:-1], lengths)
-        self.size = np.diff(self.base)
-        self.border = np.flatnonzero(codes & _START)
-        place = ends[self.border]
-        #: Token at the last own border that holds whatever follows the chunk.
-        self.safe = np.empty(0, dtype=np.int64)
-        if len(hashes):
-            at = np.searchsorted(place, self.base[:-1] + np.maximum(self.size - tool.margin, 0), side="right") - 1
-            self.safe = np.maximum(self.border[np.maximum(at, 0)], self.token[:-1]) if len(place) else self.token[:-1].copy()
-
-    def borders(self, chunk: int, below: int | None = None) -> dict[int, int]:
-        """Own word borders of a chunk (up to a place) -> the token that begins there."""
-        a, b = np.searchsorted(self.border, self.token[chunk : chunk + 2])
-        if below is not None:
-            b = min(b, a + below)
-        return dict(zip(self.begin[self.border[a:b]].tolist(), self.border[a:b].tolist()))
-
-
-def _agreed(tool: Codec, codes: np.ndarray, join: int, limit: int, known) -> tuple[int, int, int] | None:
-    """First border of a window at or behind the join that the chunks' own codes share: tokens before it, its place, its token there."""
-    begin = np.cumsum(tool.lengths[codes & _ID]) - tool.lengths[codes & _ID]
-    for n, at in zip(np.flatnonzero(codes & _START).tolist(), begin[codes & _START != 0].tolist()):
-        if join <= at <= limit:
-            token = known(at - join)
-            if token is not None:
-                return n, at, token
-    return None
-
-
-def _repair(tool: Codec, text: bytes, edges: list[int], chunk: list[int], store: Store) -> np.ndarray:
-    """One text, join after join, each window doubled until the codes agree."""
-    out, j, token = [], 0, int(store.token[chunk[0]])
-    owns = {}
-    while j + 1 < len(chunk):
-        own = chunk[j]
-        since = max(token, int(store.safe[own]))
-        out.append(store.codes[token:since])
-        low, join = edges[j] + int(store.begin[since]) if since < store.token[own + 1] else edges[j + 1], edges[j + 1]
-        reach, next_at = AHEAD + tool.margin, None
-        while next_at is None:
-            high = min(join + reach, len(text))
-            while high < len(text) and text[high] & 0xC0 == 0x80:
-                high += 1
-            codes = tool.encode([text[low:high].decode()])[0]
-
-            def known(offset, join=join):
-                m = int(np.searchsorted(edges, join + offset, side="right")) - 1
-                if m >= len(chunk):
-                    return None
-                if m not in owns:
-                    owns.clear()
-                    owns[m] = store.borders(chunk[m])
-                found = owns[m].get(join + offset - edges[m])
-                return None if found is None else (m, found)
-
-            next_at = _agreed(tool, codes, join - low, high - low - (0 if high == len(text) else tool.margin), known)
-            if next_at is None and high == len(text):
-                return np.concatenate([*out, codes])
-            reach *= 2
-        out.append(codes[: next_at[0]])
-        j, token = next_at[2]
-    out.append(store.codes[token : store.token[chunk[j] + 1]])
-    return np.concatenate(out)
-
-
 def _ranges(source: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     size = last - first
     ends = np.cumsum(size)
     return source[np.repeat(first - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
-def _assemble(tool: Codec, chunks: Chunks, store: Store) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts one after another, and how many each has."""
-    of = np.searchsorted(store.hashes, chunks.hashes)
+#: The left and the right byte of a place that is a word border in any text.
+_VISIBLE, _BLANK = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_VISIBLE[33:127] = True
+_BLANK[[9, 10, 13, 32]] = True
+
+
+def assemble(tool: Codec, chunks: Chunks, hashes: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts one after another, and how many each has, from the codes of their distinct chunks (ordered by hash)."""
     counts = np.diff(chunks.starts)
+    if not len(chunks.first):
+        return np.zeros(0, dtype=np.uint32), counts
     text = np.repeat(np.arange(len(counts)), counts)
-    left = np.flatnonzero(text[1:] == text[:-1]) if len(text) else np.zeros(0, dtype=np.int64)
-    pair, pair_of = np.unique(np.stack([of[left], of[left + 1]], axis=1), axis=0, return_inverse=True) if len(left) else (np.zeros((0, 2), dtype=np.int64), left)
-    pair_of = pair_of.reshape(-1)
-    # Where each pair's window ends in its right chunk: an own border some words on, or the chunk's end.
-    a, b = pair[:, 0], pair[:, 1]
-    sample = np.zeros(len(pair), dtype=np.int64)
-    sample[pair_of] = left
-    since = store.begin[store.safe[a]] if len(pair) else a
-    low, join = chunks.first[sample] + since, chunks.last[sample]
-    high = np.minimum(join + AHEAD + tool.margin, chunks.last[sample + 1]) if len(pair) else join
-    high = high.tolist()
-    for n, last in enumerate((chunks.last[sample + 1] if len(pair) else join).tolist()):
-        while high[n] < last and chunks.data[high[n]] & 0xC0 == 0x80:
-            high[n] += 1
-    windows = tool.encode([chunks.string(x, y) for x, y in zip(low.tolist(), high)])
-    resume, repaired = np.full(len(pair), -1, dtype=np.int64), []
-    for n, (codes, x, j, y, right) in enumerate(zip(windows, low.tolist(), join.tolist(), high, b.tolist())):
-        found = _agreed(tool, codes, j - x, y - x - tool.margin, store.borders(right, AHEAD + tool.margin).get)
-        if found is not None:
-            resume[n] = found[2]
-            codes = codes[: found[0]]
-        repaired.append(codes)
-    mended = np.concatenate([[0], np.cumsum([len(c) for c in repaired])]).astype(np.int64) + len(store.codes)
-    source = np.concatenate([store.codes, *repaired])
-    # Each chunk's own codes, from where the join before it agreed to the last border that holds before the next join.
-    first, last = store.token[of], store.token[of + 1]
-    first[left + 1] = resume[pair_of]
-    last[left] = store.safe[of[left]]
-    slow = np.zeros(len(counts), dtype=bool)
-    slow[text[left[resume[pair_of] < 0]]] = True
-    slow[text[first > last]] = True
-    # A chunk's own codes and the mended join behind it, in the order of the text.
-    begin, end = np.stack([first, np.zeros_like(first)], axis=1), np.stack([last, np.zeros_like(last)], axis=1)
-    begin[left, 1], end[left, 1] = mended[pair_of], mended[pair_of + 1]
-    begin[slow[text]], end[slow[text]] = 0, 0
-    size = np.bincount(text, weights=(end - begin).sum(axis=1), minlength=len(counts)).astype(np.int64) if len(text) else counts.astype(np.int64)
-    ids = _ranges(source, begin.reshape(-1), end.reshape(-1)) & _ID
-    whole = tool.bytes_of(ids)
-    # Texts in which something is still to be done, and texts whose bytes are not the original ones.
-    places = np.concatenate([[0], np.cumsum(np.bincount(np.repeat(np.arange(len(size)), size), weights=tool.lengths[ids], minlength=len(size)).astype(np.int64))])
-    other = {}
-    for n in np.flatnonzero(slow | (np.diff(places) != np.diff(chunks.borders))).tolist():
-        span = chunks.data[chunks.borders[n] : chunks.borders[n + 1]].tobytes()
-        own = slice(chunks.starts[n], chunks.starts[n + 1])
-        edges = [*(chunks.first[own] - chunks.borders[n]).tolist(), len(span)]
-        exact = bool((store.size[of[own]] == chunks.last[own] - chunks.first[own]).all())
-        other[n] = _repair(tool, span, edges, of[own].tolist(), store) & _ID if exact else None
-    if not other and not np.array_equal(whole, chunks.data):
-        wrong = np.flatnonzero(np.add.reduceat(np.append(whole != chunks.data, False).astype(np.int64), chunks.borders[:-1]) > 0)
-        other = dict.fromkeys(wrong[np.diff(chunks.borders)[wrong] > 0].tolist())
-    elif other:
-        for n in range(len(size)):
-            if n not in other and not np.array_equal(whole[places[n] : places[n + 1]], chunks.data[chunks.borders[n] : chunks.borders[n + 1]]):
-                other[n] = None
-    if not other:
+    of = np.searchsorted(hashes, chunks.hashes)
+    ends = np.concatenate([[0], np.cumsum(tool.lengths[codes])])  # bytes before each token of the store, and after the last
+    base = ends[np.concatenate([[0], np.cumsum(lengths)])]
+    # Word borders that hold in any text: behind a visible character, before a blank. The ends of a text are borders too.
+    sure = np.flatnonzero(_VISIBLE[chunks.data[:-1]] & _BLANK[chunks.data[1:]]) + 1
+    sure = np.unique(np.concatenate([sure, chunks.borders]))
+    inner = np.flatnonzero(text[1:] == text[:-1])
+    join = chunks.last[inner]
+    low, high = sure[np.searchsorted(sure, join, side="right") - 1], sure[np.searchsorted(sure, join)]
+    # A chunk's own codes hold from the border behind its first join to the border before its last one.
+    own_first, own_last = chunks.first.copy(), chunks.last.copy()
+    own_first[inner + 1], own_last[inner] = high, low
+    used = own_first < own_last
+    wanted = [base[of] + (place - chunks.first) for place in (own_first, own_last)]
+    first, last = (np.searchsorted(ends, w) for w in wanted)
+    wrong = used & ((base[of + 1] - base[of] != chunks.last - chunks.first) | (ends[np.minimum(first, len(codes))] != wanted[0]) | (ends[np.minimum(last, len(codes))] != wanted[1]))
+    # Windows, each once though several joins may share it.
+    window = np.flatnonzero((np.diff(low, prepend=-1) != 0) & (low < high))
+    strings = [chunks.string(a, b) for a, b in zip(low[window].tolist(), high[window].tolist())]
+    distinct = {t: n for n, t in enumerate(dict.fromkeys(strings))}
+    mended = tool.encode(list(distinct))
+    mended_at = len(codes) + np.concatenate([[0], np.cumsum([len(c) for c in mended])]).astype(np.int64)
+    number = np.array([distinct[t] for t in strings], dtype=np.int64)
+    source = np.concatenate([codes, *mended])
+    # Both kinds of pieces in the order of the text.
+    place = np.concatenate([own_first[used], low[window]])
+    begin, end = np.concatenate([first[used], mended_at[number]]), np.concatenate([last[used], mended_at[number + 1]])
+    owner = np.concatenate([text[used], text[inner[window]]])
+    order = np.argsort(place, kind="stable")
+    begin, end, owner = begin[order], end[order], owner[order]
+    bad = np.zeros(len(counts), dtype=bool)
+    bad[text[wrong]] = True
+    end = np.where(bad[owner] | (end < begin), begin, end)
+    size = np.bincount(owner, weights=end - begin, minlength=len(counts)).astype(np.int64)
+    ids = _ranges(source, begin, end)
+    made = tool.bytes_of(ids)
+    at = np.concatenate([[0], np.cumsum(size)])
+    bytes_at = np.concatenate([[0], np.cumsum(tool.lengths[ids])])[at]
+    bad |= np.diff(bytes_at) != np.diff(chunks.borders)
+    if not bad.any() and np.array_equal(made, chunks.data):
         return ids, size
-    parts, at = [], np.concatenate([[0], np.cumsum(size)])
-    for n in range(len(size)):
-        part = ids[at[n] : at[n + 1]]
-        if n in other:
-            text_bytes = chunks.data[chunks.borders[n] : chunks.borders[n + 1]]
-            part = other[n]
-            if part is None or not np.array_equal(tool.bytes_of(part), text_bytes):
-                part = tool.encode([text_bytes.tobytes().decode()])[0] & _ID
-        parts.append(part)
-        size[n] = len(part)
+    for n in np.flatnonzero(~bad).tolist():
+        bad[n] = not np.array_equal(made[bytes_at[n] : bytes_at[n + 1]], chunks.data[chunks.borders[n] : chunks.borders[n + 1]])
+    parts = [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+    for n in np.flatnonzero(bad).tolist():
+        parts[n] = tool.encode([chunks.string(chunks.borders[n], chunks.borders[n + 1])])[0]
+        size[n] = len(parts[n])
     return np.concatenate(parts), size
 
 
@@ -430,7 +363,7 @@ def _encoded(path: str, as_bytes: bool, with_text: bool):
                 first = np.zeros(len(wanted), dtype=np.int64)
                 first[here] = (ends - got[2])[at]
                 first[~here] = len(got[1]) + np.cumsum(lengths[~here]) - lengths[~here]
-                ids, size = _assemble(tool, chunks, Store(tool, wanted, _ranges(both, first, first + lengths), lengths))
+                ids, size = assemble(tool, chunks, wanted, _ranges(both, first, first + lengths), lengths)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
                 if as_bytes:
                     out = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((offsets.to_numpy() * 4).tobytes()), pa.py_buffer(ids.astype("<u4").tobytes())])

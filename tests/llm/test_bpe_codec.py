@@ -7,7 +7,7 @@ from conftest_llm import LONG, ODD, frame
 from tokenizers import Tokenizer
 
 from normlake.llm import bpe_codec
-from normlake.llm.bpe_codec import Chunks, Store, _assemble, codec, decode, encode
+from normlake.llm.bpe_codec import Chunks, assemble, codec, decode, encode
 
 PATH = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
 WORDS = ["the", "quick", "don't", "we'll", "I've", "  ", "\n\n", "\t", " \n ", "!!!", "...", "123", "4567", "日本語", "Ünïcode", "🙂", "<|endoftext|>", "<|endof", "text|>", "<|", " ", "　",
@@ -22,8 +22,8 @@ def assembled(texts, tool):
     chunks = Chunks(pa.chunked_array([texts], pa.string()))
     hashes = np.unique(chunks.hashes)
     codes = chunks.encode(tool, hashes)
-    store = Store(tool, hashes, np.concatenate(codes) if codes else np.zeros(0, dtype=np.uint32), np.array([len(c) for c in codes], dtype=np.int64))
-    ids, size = _assemble(tool, chunks, store)
+    flat = np.concatenate(codes) if codes else np.zeros(0, dtype=np.uint32)
+    ids, size = assemble(tool, chunks, hashes, flat, np.array([len(c) for c in codes], dtype=np.int64))
     at = np.concatenate([[0], np.cumsum(size)])
     return [ids[a:b].tolist() for a, b in zip(at, at[1:])], chunks
 
@@ -93,6 +93,16 @@ def test_decode_as_the_library(spark):
     assert [got[i] for i in range(len(lists))] == [library.decode(ids, skip_special_tokens=False) for ids in lists]
 
 
+def test_both_libraries_agree_on_settled_texts():
+    """Every character that is left to tiktoken, among letters, digits, signs and blanks; and long words of random letters."""
+    tool, r = codec(PATH), random.Random(8)
+    settled = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000 and not bpe_codec._UNSETTLED.search(chr(c))]
+    texts = [f"a{c}1{c} {c}b {c}{c}!{c}\n{c} 'll{c}'s {c} 2{c}z" for c in settled]
+    texts += ["".join(r.choice("abcdeinrst") for _ in range(r.randint(1, 300))) for _ in range(3000)]
+    assert tool.plain is not None and all(tool._settled(t) for t in texts)
+    assert [ids.tolist() for ids in tool.encode(texts)] == plain(texts)
+
+
 def test_other_kinds_are_refused():
     with pytest.raises(ValueError, match="byte-level"):
         codec(pytest.importorskip("public_tokenizers").path("word_bpe_49k.json"))
