@@ -5,6 +5,8 @@ Every stage but the last returns the columns of ``documents`` and works on all t
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 
 from normlake.llm.common import table
@@ -13,7 +15,7 @@ from normlake.llm.exact_dedup import drop_copies
 from normlake.llm.jaccard_join import drop_near_copies
 from normlake.llm.quality import keep_good
 from normlake.llm.sentencepiece_codec import encode
-from normlake.session import ensure_checkpoint_dir
+from normlake.session import checkpoint_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,10 +49,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another; what each keeps is written to the shared folder once, as the next reads it more than once."""
-    ensure_checkpoint_dir(spark)
+    """The stages one after another; each one's rows are written as Parquet below the shared folder and reread as the next one's input."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/corpus-pipeline-{uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        docs = docs if name == STAGES[-1][0] else docs.checkpoint()
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
     return docs

@@ -106,24 +106,37 @@ class Chunk:
         return np.concatenate([unplanes(r["counts"], np.uint32).reshape(STATS, -1).T for r in told]).astype(np.float64)
 
 
-def _stored(folder: str, name: str, hashes: np.ndarray, counts: np.ndarray) -> np.memmap:
-    """Writes a share's sorted hashes and counts once (a rerun replaces the file by the same bytes) and maps the counts."""
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """Counts in the narrowest of 8, 16 and 32 bits."""
+    most = int(values.max(initial=0))
+    return values.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32)
+
+
+def _stored(folder: str, name: str, hashes: np.ndarray, counts: np.ndarray) -> list[np.memmap]:
+    """Writes a share's sorted hashes and counts once (a rerun replaces the file by the same bytes) and maps the counts, column by column.
+
+    Hashes are differences as byte planes without the high planes that are all zero, counts are as narrow as they can be.
+    """
     path = os.path.join(folder, name)
     part = f"{path}.{uuid.uuid4().hex}"
-    packed = pack_sorted(hashes)
-    head = np.asarray([len(hashes), counts.shape[1], len(packed)], dtype=np.int64)
+    gaps = pack_sorted(hashes)
+    while len(gaps) > len(hashes) and not any(gaps[len(gaps) - len(hashes) :]):
+        gaps = gaps[: len(gaps) - len(hashes)]
+    columns = [_narrow(c) for c in counts.T]
+    head = np.asarray([len(hashes), len(gaps), *(c.itemsize for c in columns)], dtype=np.int64)
     with open(part, "wb") as file:
-        for block in (head.tobytes(), np.ascontiguousarray(counts.T).tobytes(), packed):
+        for block in (head.tobytes(), *(c.tobytes() for c in columns), gaps):
             file.write(block)
     os.replace(part, path)
-    return np.memmap(path, dtype=np.uint32, mode="r", offset=head.nbytes, shape=(counts.shape[1], len(hashes)))
+    at = head.nbytes + np.cumsum([0, *(c.nbytes for c in columns)])
+    return [np.memmap(path, dtype=c.dtype, mode="r", offset=int(o), shape=(len(hashes),)) for c, o in zip(columns, at)]
 
 
 def _answer(level: int, columns: int, folder: str):
     """Merges a share's blocks, stores the sorted array, and answers each block from it."""
 
     def answer(key, table):
-        sent = table.to_pylist()
+        sent = sorted(table.to_pylist(), key=lambda r: r["chunk"])  # blocks arrive in any order; who speaks for a bigram must not depend on it
         parts = [unpack_sorted(r["hashes"]) for r in sent]
         merged = np.concatenate(parts)
         counts = np.concatenate([unplanes(r["counts"], np.uint32).reshape(columns, -1).T for r in sent])
@@ -151,7 +164,7 @@ def _answer(level: int, columns: int, folder: str):
             rows["chunk"].append(row["chunk"])
             rows["level"].append(level)
             rows["share"].append(key[0].as_py())
-            rows["counts"].append(planes(np.ascontiguousarray(mapped[:, group[at:to]].reshape(-1))))
+            rows["counts"].append(planes(np.concatenate([m[group[at:to]].astype(np.uint32) for m in mapped])))
             rows["own"].append(np.packbits(own[at:to]).tobytes() if level == 1 else None)
             rows["sums"].append(sums if number == 0 else None)
             at = to

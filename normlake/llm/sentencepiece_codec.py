@@ -27,15 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from normlake.llm.common import by_size
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Piece kinds and model kinds of the model file (fixed values of the format).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Distinct words whose pieces a task remembers; beyond it the memory is emptied and words are encoded again.
-REMEMBERED = 400_000
-#: Characters encoded, and yielded, at a time (one text at least).
-BATCH_CHARS = 1 << 20
+#: Bytes of distinct words (ENTRY more for each) whose pieces a task remembers; beyond it the memory is emptied and words are encoded again.
+REMEMBERED_BYTES, ENTRY = 24 << 20, 150
+#: Bytes of text encoded, and yielded, at a time (one text at least).
+SLICE_BYTES = 1 << 20
 _CUT = re.compile(rf"{MARK}*[^{MARK}]+|{MARK}+\Z")
 _ARROW = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("parity", pa.bool_()), ("round_trip", pa.bool_())])
 _SCHEMA = "doc_id bigint, ids array<int>, parity boolean, round_trip boolean"
@@ -197,6 +199,7 @@ class ByWord(ByText):
 
     def _forget(self) -> None:
         self.number: dict[str, int] = {}
+        self.held = 0
         self.flat, self.start = np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
         self.same, self.back = np.zeros(0, dtype=bool), np.zeros(0, dtype=bool)
 
@@ -213,11 +216,12 @@ class ByWord(ByText):
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bool], list[bool]]:
         words = [_CUT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.number) > REMEMBERED:
+        if self.held > REMEMBERED_BYTES:
             self._forget()
         fresh = list(set().union(*words).difference(self.number))
         if fresh:
             self._learn(fresh)
+            self.held += sum(map(len, fresh)) + ENTRY * len(fresh)
         count = _starts(words)
         number = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=int(count[-1]))
         size = self.start[number + 1] - self.start[number]
@@ -234,16 +238,6 @@ def _codec(path: str, threads: int) -> ByText:
     return (ByWord if by_word else ByText)(model, tokenizer, reference)
 
 
-def _parts(ids: list, texts: list):
-    """Rows in runs of about BATCH_CHARS characters."""
-    at = held = 0
-    for place, text in enumerate(texts):
-        held += len(text)
-        if held >= BATCH_CHARS or place == len(texts) - 1:
-            yield ids[at : place + 1], texts[at : place + 1]
-            at, held = place + 1, 0
-
-
 def encode(docs: DataFrame, model: str = MODEL, threads: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids, n_tokens, parity, round_trip for every row of ``docs``; no begin or end pieces are added.
 
@@ -255,13 +249,15 @@ def encode(docs: DataFrame, model: str = MODEL, threads: int = 1, id_col: str =
     def run(batches):
         codec = _codec(model, threads)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for own_ids, own in _parts(batch.column(0).to_pylist(), texts):
-                flat, starts, same, back = codec.encode(own)
+            for part in by_size(batch, "text", SLICE_BYTES):
+                flat, starts, same, back = codec.encode([t or "" for t in part.column("text").to_pylist()])
                 lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([pa.array(own_ids, pa.int64()), lists.cast(_ARROW.field("ids").type), pa.array(same, pa.bool_()), pa.array(back, pa.bool_())], schema=_ARROW)
+                ids = part.column("doc_id").combine_chunks().cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([ids, lists.cast(_ARROW.field("ids").type), pa.array(same, pa.bool_()), pa.array(back, pa.bool_())], schema=_ARROW)
+        if isinstance(codec, ByWord):  # the worker lives on after the task
+            codec._forget()
 
-    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(run, _SCHEMA).select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"), "parity", "round_trip")
 
 

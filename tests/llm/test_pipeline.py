@@ -25,5 +25,5 @@ def test_stages(spark, tmp_path):
 
 
 def test_registered():
-    assert [int(n[2:].split("_")[0]) for n in sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == list(range(1, 14))
     assert set(SQL) <= set(QUERIES)
