@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("retrieval", "scoring", "versions", "routing", "gaps", "documents", "analysis", "reading", "streams", "details")
+MODULES = ("retrieval", "scoring", "versions", "routing", "gaps", "documents", "analysis", "reading", "streams", "details", "wording")
 
 
 def load_all():

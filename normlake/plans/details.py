@@ -90,19 +90,6 @@ def src27_reading_units(spark, sf):
         "doc_id", "line_no", (F.col("i") + 1).cast("bigint").alias("seq"), F.when(F.col("n") == 1, "SENTENCE").otherwise("ITEM").alias("kind"), F.md5(unit).alias("unit"))
 
 
-@query("fun15_grounding_ladder", "FUN15", sql=f"""
-WITH q AS (SELECT conv_id, turn, text, CASE turn % 4 WHEN 0 THEN substring(text, 11, 30) WHEN 1 THEN lower(substring(text, 1, 25)) WHEN 2 THEN replace(substring(text, 1, 40), ',', ' ;') ELSE 'Zq ' || substring(text, 1, 60) END AS quote FROM conversations),
-w AS (SELECT *, array_to_string({sq.words('text')}, ' ') AS pt, array_to_string({sq.words('quote')}, ' ') AS pq, list_distinct({sq.words('quote')}) AS dq, list_distinct({sq.words('text')}) AS dt FROM q)
-SELECT conv_id, turn, CASE WHEN contains(text, quote) THEN 'EXACT' WHEN contains({sq.fold('text')}, {sq.fold('quote')}) THEN 'FOLD' WHEN len(dq) > 0 AND contains(pt, pq) THEN 'WORDS' WHEN len(dq) > 0 AND len(list_intersect(dq, dt))::DOUBLE / len(dq) >= 0.8 THEN 'OVERLAP' ELSE 'NOT_FOUND' END AS rung FROM w""")
-def fun15_grounding_ladder(spark, sf):
-    turn = F.col("turn") % 4
-    quote = (
-        F.when(turn == 0, F.substring("text", 11, 30)).when(turn == 1, F.lower(F.substring("text", 1, 25)))
-        .when(turn == 2, F.replace(F.substring("text", 1, 40), F.lit(","), F.lit(" ;"))).otherwise(F.concat(F.lit("Zq "), F.substring("text", 1, 60))))
-    rows = table(spark, sf, "conversations").withColumn("quote", quote)
-    return rows.select("conv_id", "turn", dc.grounding_ladder(F.col("quote"), F.col("text")).alias("rung"))
-
-
 @query("fun21_conflict_gate", "FUN21", sql=f"""
 WITH {RELATE_SQL}, gt AS (SELECT version_id, number, ov >= 0.5 AS obj, split_part(dt, ' ', 2) = split_part(pt, ' ', 2) AS act, (dm = 'MUST_NOT') <> (pm = 'MUST_NOT') OR coalesce(pd > dd, false) OR coalesce(pl > dl, false) AS opp, ok FROM m)
 SELECT CASE WHEN NOT obj THEN 'OBJECT' WHEN NOT act THEN 'ACTOR' WHEN NOT opp THEN 'EFFECT' WHEN NOT ok THEN 'SCOPE' END AS stage, count(*)::BIGINT AS pairs FROM gt GROUP BY 1""")

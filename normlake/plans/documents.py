@@ -403,19 +403,6 @@ def win10_latest_notes(spark, sf):
         F.when(added, "NEW").otherwise("CHANGED_OLD_WORDING_UNKNOWN").alias("duty"))
 
 
-@query("fun14_source_spans", "FUN14", "JON28", sql=f"""
-WITH q AS (SELECT conv_id, turn, text, CASE WHEN turn % 3 = 0 THEN substring(text, 11, 30) WHEN turn % 3 = 1 THEN regexp_replace(substring(text, 3, 40), '[ \\n]+', '  ', 'g') ELSE upper(substring(text, 5, 20)) || '#' END AS quote FROM conversations)
-SELECT conv_id, turn, CASE WHEN instr(text, quote) > 0 THEN instr(text, quote) WHEN instr({sq.squash('text')}, {sq.squash('quote')}) > 0 THEN instr({sq.squash('text')}, {sq.squash('quote')}) END::BIGINT AS start,
-  CASE WHEN instr(text, quote) > 0 THEN 'EXACT' WHEN instr({sq.squash('text')}, {sq.squash('quote')}) > 0 THEN 'WHITESPACE' ELSE 'NOT_FOUND' END AS rung FROM q""")
-def fun14_source_spans(spark, sf):
-    turn = F.col("turn") % 3
-    quote = (
-        F.when(turn == 0, F.substring("text", 11, 30)).when(turn == 1, F.regexp_replace(F.substring("text", 3, 40), "[ \\n]+", "  "))
-        .otherwise(F.concat(F.upper(F.substring("text", 5, 20)), F.lit("#"))))
-    rows = table(spark, sf, "conversations").withColumn("quote", quote).withColumn("s", dc.source_span(F.col("quote"), F.col("text")))
-    return rows.select("conv_id", "turn", "s.start", "s.rung")
-
-
 @query("fun16_identity", "FUN16", "FIL14", sql="""
 SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS page_no, regexp_extract(url, '/([a-z]{2})/[0-9]+', 1) AS lang,
   CASE WHEN url LIKE '%.example.org/%' THEN 'REGULATOR' WHEN url LIKE '%.example.com/%' THEN 'GAZETTE' ELSE 'NOT_ALLOWED' END AS institution FROM pages""")
@@ -454,24 +441,6 @@ def quantities(spark, sf):
     return ad.provisions(spark, sf).select("version_id", "number", "section", "text", F.explode(qt.quantities(F.col("text"))).alias("q"))
 
 
-@query("fun09_quantities", "FUN09", "UDTF02", sql=f"WITH {QUANT_SQL} SELECT version_id, number, unit_class, unit, amount, days, count(*)::BIGINT AS n FROM quant GROUP BY ALL")
-def fun09_quantities(spark, sf):
-    return quantities(spark, sf).groupBy("version_id", "number", "q.unit_class", "q.unit", "q.amount", "q.days").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("fun10_compare_quantities", "FUN10", "JON39", sql=f"""
-WITH {QUANT_SQL},
-a AS (SELECT version_id, min(days) AS need, min(amount) AS amount FROM quant WHERE section = 'A' GROUP BY ALL), b AS (SELECT version_id, number, section, unit_class, unit, amount, days FROM quant WHERE unit_class <> 'money')
-SELECT b.version_id, b.number, b.unit, b.amount, CASE WHEN unit_class <> 'duration' THEN 'INCOMPARABLE' WHEN days = need THEN 'SAME' WHEN days < need THEN 'STRICTER' ELSE 'WEAKER' END AS verdict, count(*)::BIGINT AS n
-FROM b JOIN a USING (version_id) GROUP BY ALL""")
-def fun10_compare_quantities(spark, sf):
-    q = quantities(spark, sf)
-    duty = q.filter("section = 'A' AND q.unit_class = 'duration'").groupBy("version_id").agg(F.min_by("q", F.col("q.days")).alias("d"))
-    offered = q.filter("q.unit_class <> 'money'").join(duty, "version_id")
-    verdict = qt.compare(F.col("d"), F.col("q"), F.lit("max"))
-    return offered.groupBy("version_id", "number", "q.unit", "q.amount", verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("agg30_best_verdicts", "AGG30", sql=f"""
 WITH {QUANT_SQL},
 a AS (SELECT version_id, min(days) AS need FROM quant WHERE section = 'A' GROUP BY ALL),

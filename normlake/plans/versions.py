@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import versions as vs
+from ..operators.alignment import clause_changes
 from ..sources.tables import table
+from ..functions import vocabulary as vc
 from . import adapters as ad
 from . import sqltext as sq
+from . import statutes as st
 from .registry import query
 
 ORIGIN_SQL = f"""{sq.CAPTURES},
@@ -122,46 +125,96 @@ def set10_hash_changes(spark, sf):
         F.count(F.lit(1)).alias("copies"), (F.min(h) != F.max(h)).alias("changed")).filter("copies > 1")
 
 
-DIFF_SQL = f"""{sq.provisions('old_p')}, {sq.provisions('new_p', later=True)},
-oc AS (SELECT version_id, section, text, count(*) AS c FROM old_p GROUP BY ALL), nc AS (SELECT version_id, section, text, count(*) AS c FROM new_p GROUP BY ALL),
-e AS (SELECT version_id, section, text, coalesce(oc.c, 0) - coalesce(nc.c, 0) AS excess FROM oc FULL JOIN nc USING (version_id, section, text)),
-ol AS (SELECT version_id, section, text, row_number() OVER (PARTITION BY version_id, section ORDER BY number, text) AS place FROM (
-   SELECT o.*, row_number() OVER (PARTITION BY version_id, section, text ORDER BY number DESC) AS back, excess FROM old_p o JOIN e USING (version_id, section, text) WHERE excess > 0)
-   WHERE back <= excess),
-nl AS (SELECT version_id, section, text, row_number() OVER (PARTITION BY version_id, section ORDER BY number, text) AS place FROM (
-   SELECT o.*, row_number() OVER (PARTITION BY version_id, section, text ORDER BY number DESC) AS back, -excess AS excess FROM new_p o JOIN e USING (version_id, section, text) WHERE excess < 0)
-   WHERE back <= excess),
-d AS (SELECT version_id, section, ol.text AS old_text, nl.text AS new_text,
-        CASE WHEN ol.text IS NULL THEN 'ADDED' WHEN nl.text IS NULL THEN 'REMOVED' ELSE 'MODIFIED' END AS kind
-      FROM ol FULL JOIN nl USING (version_id, section, place))"""
+def _blocks_sql(name: str, key: str, sizes: str, matches: str) -> str:
+    """Longest equal run first, then the same before and behind it, as SQL rounds over ranges of two sequences.
+
+    ``sizes(key, na, nb)``, ``matches(key, i, j)`` give table ``name(key, i, j, k)``: equal runs of length k.
+    """
+    return f"""
+{name}_d AS (SELECT {key}, i, j, i - row_number() OVER (PARTITION BY {key}, i - j ORDER BY i) AS isle FROM {matches}),
+{name}_m AS MATERIALIZED (SELECT {key}, i, j, row_number() OVER (PARTITION BY {key}, i - j, isle ORDER BY i DESC) AS run FROM {name}_d),
+{name}_t AS (SELECT {key}, 0::BIGINT AS a0, na AS a1, 0::BIGINT AS b0, nb AS b1, 0::BIGINT AS k FROM {sizes} WHERE na > 0 AND nb > 0
+  UNION ALL
+  SELECT {key}, r.a0, r.a1, r.b0, r.b1, r.k FROM (
+    SELECT {key}, unnest([{{a0: a0, a1: best.i, b0: b0, b1: best.j, k: 0}}, {{a0: best.i + best.k, a1: a1, b0: best.j + best.k, b1: b1, k: 0}},
+                          {{a0: best.i, a1: best.i, b0: best.j, b1: best.j, k: best.k}}]) AS r
+    FROM (SELECT {key}, a0, a1, b0, b1, arg_min({{i: i, j: j, k: k}}, {{k: -k, i: i, j: j}}) AS best
+          FROM (SELECT t.{key}, a0, a1, b0, b1, i, j, least(run, a1 - i, b1 - j) AS k FROM {name}_t t JOIN {name}_m m
+                ON t.{key} = m.{key} AND m.i >= a0 AND m.i < a1 AND m.j >= b0 AND m.j < b1 WHERE t.k = 0) GROUP BY {key}, a0, a1, b0, b1))
+  WHERE r.k > 0 OR (r.a1 > r.a0 AND r.b1 > r.b0)),
+{name} AS MATERIALIZED (SELECT {key}, a0 AS i, b0 AS j, k FROM {name}_t WHERE k > 0)"""
+
+
+#: An order is an article; its clauses are worded freely, so replaced stretches hold like and unlike ones.
+DIFF_SQL = rf"""RECURSIVE {st.clauses_sql('old_p')}, {st.clauses_sql('new_p', later=True)},
+side AS MATERIALIZED (SELECT version_id, s, number, text, regexp_replace(text, '^\s*(?:\([0-9]{{1,2}}\)|[a-zçğıöşü]{{1,2}}\)|[0-9]{{1,2}}\))\s+', '') AS body,
+    row_number() OVER (PARTITION BY version_id, s ORDER BY number, sha256(text)) - 1 AS p
+  FROM (SELECT version_id, 'o' AS s, number, text FROM old_p UNION ALL SELECT version_id, 'n', number, text FROM new_p)),
+size AS (SELECT version_id, count(*) FILTER (s = 'o') AS na, count(*) FILTER (s = 'n') AS nb FROM side GROUP BY ALL),
+same AS (SELECT o.version_id, o.p AS i, n.p AS j FROM side o JOIN side n ON o.version_id = n.version_id AND o.body = n.body WHERE o.s = 'o' AND n.s = 'n'),
+{_blocks_sql('fixed', 'version_id', 'size', 'same')},
+kept AS (SELECT version_id, unnest(range(i, i + k)) AS i, unnest(range(j, j + k)) AS j FROM fixed),
+lone AS MATERIALIZED (SELECT side.*, (SELECT count(*) FROM kept k WHERE k.version_id = side.version_id AND CASE s WHEN 'o' THEN k.i ELSE k.j END < p) AS stretch
+  FROM side WHERE NOT EXISTS (FROM kept k WHERE k.version_id = side.version_id AND CASE s WHEN 'o' THEN k.i ELSE k.j END = p)),
+meet AS MATERIALIZED (SELECT o.version_id, o.stretch, o.p AS op, n.p AS np, o.body AS ob, n.body AS nb FROM lone o JOIN lone n USING (version_id, stretch) WHERE o.s = 'o' AND n.s = 'n'),
+words AS MATERIALIZED (SELECT row_number() OVER () AS pair, ob, nb FROM (SELECT DISTINCT ob, nb FROM meet)),
+wsize AS (SELECT pair, length(ob) AS na, length(nb) AS nb FROM words),
+oc AS (SELECT pair, c.p AS i, c.c FROM (SELECT pair, unnest(list_transform(range(length(ob)), lambda x: {{p: x, c: substr(ob, x + 1, 1)}})) AS c FROM words)),
+nc AS (SELECT pair, c.p AS j, c.c FROM (SELECT pair, unnest(list_transform(range(length(nb)), lambda x: {{p: x, c: substr(nb, x + 1, 1)}})) AS c FROM words)),
+letters AS (SELECT pair, i, j FROM oc JOIN nc USING (pair, c)),
+{_blocks_sql('alike', 'pair', 'wsize', 'letters')},
+ratio AS MATERIALIZED (SELECT ob, nb, 2.0::DOUBLE * m / (length(ob) + length(nb)) AS similarity FROM (SELECT pair, sum(k)::BIGINT AS m FROM alike GROUP BY pair) JOIN words USING (pair)),
+score AS MATERIALIZED (SELECT version_id, stretch, op, np, similarity, dense_rank() OVER (PARTITION BY version_id, stretch ORDER BY np) AS turn FROM meet JOIN ratio USING (ob, nb)
+  WHERE similarity >= 0.6),
+pick AS (SELECT version_id, stretch, 0::BIGINT AS turn, []::BIGINT[] AS gone, NULL::BIGINT AS op, NULL::BIGINT AS np, NULL::DOUBLE AS similarity FROM (SELECT DISTINCT version_id, stretch FROM score)
+  UNION ALL
+  SELECT version_id, stretch, turn, CASE WHEN best IS NULL THEN gone ELSE list_append(gone, best.op) END, best.op, best.np, best.similarity FROM (
+    SELECT p.version_id, p.stretch, p.turn + 1 AS turn, gone, arg_max({{op: s.op, np: s.np, similarity: s.similarity}}, {{r: s.similarity, op: s.op}})
+        FILTER (NOT list_contains(gone, s.op)) AS best
+    FROM pick p JOIN score s ON p.version_id = s.version_id AND p.stretch = s.stretch AND s.turn = p.turn + 1 GROUP BY p.version_id, p.stretch, p.turn, gone)),
+paired AS MATERIALIZED (SELECT version_id, op, np, similarity FROM pick WHERE op IS NOT NULL),
+d AS (SELECT p.version_id, 'MODIFIED' AS kind, o.number AS old_number, n.number AS new_number, o.text AS old_text, n.text AS new_text, similarity
+      FROM paired p JOIN lone o ON o.version_id = p.version_id AND o.s = 'o' AND o.p = op JOIN lone n ON n.version_id = p.version_id AND n.s = 'n' AND n.p = np
+      UNION ALL SELECT version_id, 'REMOVED', number, NULL, text, NULL, NULL FROM lone o WHERE s = 'o' AND NOT EXISTS (FROM paired p WHERE p.version_id = o.version_id AND op = o.p)
+      UNION ALL SELECT version_id, 'ADDED', NULL, number, NULL, text, NULL FROM lone n WHERE s = 'n' AND NOT EXISTS (FROM paired p WHERE p.version_id = n.version_id AND np = n.p))"""
 
 
 def provision_changes(spark, sf):
-    old, new = ad.provisions(spark, sf), ad.provisions(spark, sf, later=True)
-    return vs.text_changes(old, new, ["version_id", "section"])
+    return clause_changes(st.clauses(spark, sf), st.clauses(spark, sf, later=True), ["version_id"])
 
 
-@query("jon19_provision_changes", "JON19", sql=f"WITH {DIFF_SQL} SELECT version_id, section, kind, old_text, new_text FROM d")
+@query("jon19_provision_changes", "JON19", sql=f"WITH {DIFF_SQL} SELECT version_id, kind, old_number, new_number, old_text, new_text, similarity FROM d")
 def jon19_provision_changes(spark, sf):
-    return provision_changes(spark, sf).select("version_id", "section", "kind", "old_text", "new_text")
-
-
-KINDS_SQL = r"""
-CASE WHEN old_text = new_text THEN NULL ELSE coalesce(nullif(array_to_string(list_filter([
-  CASE WHEN list_sort(list_distinct(regexp_extract_all(lower(old_text), '(?:gbp|eur|usd|tl) ?[0-9][0-9.,]*')))
-         <> list_sort(list_distinct(regexp_extract_all(lower(new_text), '(?:gbp|eur|usd|tl) ?[0-9][0-9.,]*'))) THEN 'THRESHOLD_CHANGED' END,
-  CASE WHEN list_sort(list_distinct(regexp_extract_all(lower(old_text), '[0-9]+ (?:business days?|working days?|days?|months?|years?|weeks?|hours?)')))
-         <> list_sort(list_distinct(regexp_extract_all(lower(new_text), '[0-9]+ (?:business days?|working days?|days?|months?|years?|weeks?|hours?)'))) THEN 'DEADLINE_CHANGED' END,
-  CASE WHEN list_sort(regexp_extract_all(lower(old_text), '(?:does not apply|unless|exceptions?|except|other than|exemptions?|exempted|exempts?)'))
-         <> list_sort(regexp_extract_all(lower(new_text), '(?:does not apply|unless|exceptions?|except|other than|exemptions?|exempted|exempts?)')) THEN 'EXEMPTION_CHANGED' END
-  ], lambda x: x IS NOT NULL), '; '), ''), 'TEXT_CHANGED') END"""
+    return provision_changes(spark, sf)
+
+
+def _kinds_sql(old: str, new: str) -> str:
+    """The five classes written for RE2, which has no look-around: words stand between doubled blanks, units are spelled out."""
+    spaced = lambda t: f"(' ' || replace(regexp_replace(lower({t}), '[^a-zçğıöşüâîû0-9.,]+', ' ', 'g'), ' ', '  ') || ' ')"
+    amounts = lambda t: rf"list_sort(list_distinct(regexp_extract_all({t}, '(?i)[0-9][0-9.,]*\s*(?:TL|EUR|USD|GBP)|(?:[£€$]|\b(?:TL|EUR|USD|GBP)\b)\s*[0-9](?:[0-9.,]*[0-9])?')))"
+    words = "|".join(sorted(vc.CHANGE_NUMBERS, key=len, reverse=True))
+    units = "(?:business|working) days?|days?|months?|years?|weeks?|hours?|iş gün|gün|saat|hafta|ay|yıl"
+    ends = "(?:ü|ünde|de|a|da|lık|lük)?"
+    periods = lambda t: (rf"list_sort(list_distinct(list_transform(regexp_extract_all({spaced(t)}, ' (?:[0-9]+|(?:{words})(?:  (?:{words}))*)  (?:{units.replace(' ', '  ')}){ends}[.,]? '), "
+                         rf"lambda x: regexp_replace(trim(x, ' .,'), '(gün|saat|hafta|ay|yıl)(?:ü|ünde|de|a|da|lık|lük)$', '\1'))))")
+    kinds = (("FOREIGN_ASSOCIATION_BRANCH", "yabancı (?:dernek|vakıf)"), ("ASSOCIATION", " dernek"), ("FOUNDATION", " vak[ıi]f"), ("UNION", " sendika"), ("NON_RESIDENT", " non-resident"),
+             ("INDIVIDUAL", " gerçek kişi| retail client| consumers?[ .,]| individuals?[ .,]"), ("LEGAL_ENTITY", " tüzel kişi| şirketler| şirketin| compan(?:y|ies)[ .,]"),
+             ("BANK", " bankalar | banka | banks?[ .,]"), ("PAYMENT_INSTITUTION", "ödeme kuruluş|payment institution"), ("EMONEY_INSTITUTION", "e-?money institution"),
+             ("INSURANCE", "sigorta şirket| insurers?[ .,]"), ("BROKER", " investment firms?[ .,]"), ("FINANCIAL_GENERIC", "finansal kuruluş|financial institution"))
+    single = lambda t: f"(' ' || regexp_replace(lower({t}), '\\s+', ' ', 'g') || ' ')"
+    parties = lambda t: "list_sort(list_filter([" + ", ".join(f"CASE WHEN regexp_matches({single(t)}, '{p}') THEN '{k}' END" for k, p in kinds) + "], lambda x: x IS NOT NULL))"
+    out = "uygulanmaz|hariç|istisna[a-zçğıöşü]*|saklıdır|kapsamaz|muaf[a-zçğıöşü]*|does  not  apply|unless|except|exceptions?|other  than|exempt|exemptions?|exempted|exempts"
+    exclusions = lambda t: f"list_sort(list_transform(regexp_extract_all({spaced(t)}, ' (?:{out})[.,]? '), lambda x: trim(x, ' .,')))"
+    changed = ", ".join(f"CASE WHEN {f(old)} <> {f(new)} THEN '{k}' END" for k, f in
+                        (("THRESHOLD_CHANGED", amounts), ("DEADLINE_CHANGED", periods), ("ENTITY_SCOPE_CHANGED", parties), ("EXEMPTION_CHANGED", exclusions)))
+    return f"CASE WHEN {old} = {new} THEN NULL ELSE coalesce(nullif(array_to_string(list_filter([{changed}], lambda x: x IS NOT NULL), '; '), ''), 'TEXT_CHANGED') END"
 
 
 @query("set02_change_kinds", "SET02", sql=f"""
-WITH {DIFF_SQL} SELECT version_id, section, old_text, new_text, {KINDS_SQL} AS kinds FROM d WHERE kind = 'MODIFIED'""")
+WITH {DIFF_SQL} SELECT version_id, new_number, old_text, new_text, {_kinds_sql('old_text', 'new_text')} AS kinds FROM d WHERE kind = 'MODIFIED'""")
 def set02_change_kinds(spark, sf):
     return provision_changes(spark, sf).filter("kind = 'MODIFIED'").select(
-        "version_id", "section", "old_text", "new_text", vs.change_kinds(F.col("old_text"), F.col("new_text")).alias("kinds"))
+        "version_id", "new_number", "old_text", "new_text", vs.change_kinds(F.col("old_text"), F.col("new_text")).alias("kinds"))
 
 
 LABELS_SQL = f"""{sq.provisions('old_p')}, {sq.provisions('new_p', later=True)},
