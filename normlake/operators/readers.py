@@ -13,9 +13,13 @@ from pyspark.sql import functions as F
 
 from ..functions.grounding import locate, quote_span
 from ..functions.numerals import read_quantities
+from ..functions.segmentation import reading_units, sentence_spans, split_clauses
 
 QUANTITY = ("seq int, quantity string, start int, end int, amount double, unit string, unit_class string, days double, comparator string, lead string, trail string, "
             "parenthetical boolean, phrase_start int, phrase_end int")
+SENTENCE = "seq int, start int, end int, sentence string"
+CLAUSE = ("seq int, ref string, paragraph int, item string, sentence_no int, start int, end int, clause string, lead_start int, lead_end int, closing_start int, closing_end int")
+UNIT = "seq int, ref string, kind string, segments array<struct<start: int, end: int>>, unit string"
 FOUND = "start int, end int, rung string, reason string"
 
 
@@ -27,18 +31,43 @@ class ReadQuantities:
             yield (n, *quantity)
 
 
-def _table_function(handler, schema: str):
-    return F.udtf(handler, returnType=schema)
+class SplitSentences:
+    """Sentences of a text."""
+
+    def eval(self, text: str):
+        for n, (start, end) in enumerate(sentence_spans(text or "")):
+            yield n, start, end, text[start:end]
+
+
+class SplitClauses:
+    """Paragraphs, items and sentences of an article under a label."""
+
+    def eval(self, text: str, label: str):
+        for n, clause in enumerate(split_clauses(text, label)):
+            yield (n, *clause)
+
+
+class ReadingUnits:
+    """What of an article is read as one statement."""
+
+    def eval(self, text: str, label: str):
+        for n, (ref, kind, segments, unit) in enumerate(reading_units(text, label)):
+            yield n, ref, kind, [tuple(s) for s in segments], unit
+
+
+TABLE_FUNCTIONS = {"read_quantities": (ReadQuantities, QUANTITY), "split_sentences": (SplitSentences, SENTENCE), "split_clauses": (SplitClauses, CLAUSE), "reading_units": (ReadingUnits, UNIT)}
 
 
-def quantities(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with a row for each quantity of its text (see QUANTITY); rows without one go."""
-    return df.lateralJoin(_table_function(ReadQuantities, QUANTITY)(F.col(text).outer()))
+def laterally(df: DataFrame, function: str, *columns: str) -> DataFrame:
+    """``df`` with a row for each row the table function gives for its columns; rows without one go."""
+    handler, schema = TABLE_FUNCTIONS[function]
+    return df.lateralJoin(F.udtf(handler, returnType=schema)(*[F.col(c).outer() for c in columns]))
 
 
 def register(spark: SparkSession) -> None:
     """The table functions under the names SQL calls them by."""
-    spark.udtf.register("read_quantities", _table_function(ReadQuantities, QUANTITY))
+    for name, (handler, schema) in TABLE_FUNCTIONS.items():
+        spark.udtf.register(name, F.udtf(handler, returnType=schema))
 
 
 def _spans(read):

@@ -79,17 +79,6 @@ def src22_two_leg_comparison(spark, sf):
     return wide.select("metric", "a", "b", better.alias("better"), F.when(F.col("metric") == "wall_seconds", "relative").otherwise("points").alias("delta_kind"))
 
 
-@query("src27_reading_units", "SRC27", sql=f"""
-WITH {sq.PASSAGES}, s AS (SELECT doc_id, line_no, string_split(text, ', ') AS parts FROM passages), e AS (SELECT doc_id, line_no, parts[1] AS lead, generate_subscripts(parts, 1) AS i, unnest(parts) AS item, len(parts) AS n FROM s)
-SELECT doc_id, line_no, i::BIGINT AS seq, CASE WHEN n = 1 THEN 'SENTENCE' ELSE 'ITEM' END AS kind, md5(CASE WHEN n = 1 THEN item ELSE lead || ' ' || item END) AS unit FROM e WHERE n = 1 OR i > 1""")
-def src27_reading_units(spark, sf):
-    parts = F.split("text", ", ")
-    rows = ad.passages(spark, sf).select("doc_id", "line_no", F.get(parts, F.lit(0)).alias("lead"), F.size(parts).alias("n"), F.posexplode(parts).alias("i", "item"))
-    unit = F.when(F.col("n") == 1, F.col("item")).otherwise(F.concat_ws(" ", "lead", "item"))
-    return rows.filter("n = 1 OR i > 0").select(
-        "doc_id", "line_no", (F.col("i") + 1).cast("bigint").alias("seq"), F.when(F.col("n") == 1, "SENTENCE").otherwise("ITEM").alias("kind"), F.md5(unit).alias("unit"))
-
-
 @query("fun21_conflict_gate", "FUN21", sql=f"""
 WITH {RELATE_SQL}, gt AS (SELECT version_id, number, ov >= 0.5 AS obj, split_part(dt, ' ', 2) = split_part(pt, ' ', 2) AS act, (dm = 'MUST_NOT') <> (pm = 'MUST_NOT') OR coalesce(pd > dd, false) OR coalesce(pl > dl, false) AS opp, ok FROM m)
 SELECT CASE WHEN NOT obj THEN 'OBJECT' WHEN NOT act THEN 'ACTOR' WHEN NOT opp THEN 'EFFECT' WHEN NOT ok THEN 'SCOPE' END AS stage, count(*)::BIGINT AS pairs FROM gt GROUP BY 1""")

@@ -357,26 +357,6 @@ def jon08_relevant_definitions(spark, sf):
     return kept.withColumn("rank", F.row_number().over(first).cast("bigint")).filter("rank <= 5").select("item_id", "term", "rank")
 
 
-@query("fun13_sentences", "FUN13", "UDTF01", sql=f"""
-WITH {sq.PASSAGES}, s AS (SELECT doc_id, line_no, regexp_extract_all(text, '[^.!?]*[.!?]+|[^.!?]+') AS parts FROM passages),
-e AS (SELECT doc_id, line_no, generate_subscripts(parts, 1) AS seq, unnest(parts) AS sentence FROM s)
-SELECT doc_id, line_no, seq::BIGINT AS seq, coalesce(sum(length(sentence)) OVER (PARTITION BY doc_id, line_no ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, sentence FROM e""")
-def fun13_sentences(spark, sf):
-    return ad.passages(spark, sf).select("doc_id", "line_no", F.posexplode(dc.sentences(F.col("text"))).alias("seq", "s")).select(
-        "doc_id", "line_no", (F.col("seq") + 1).cast("bigint").alias("seq"), F.col("s.start").cast("bigint").alias("start"), "s.sentence")
-
-
-@query("win07_clauses", "WIN07", "SRC27", sql=f"""
-WITH {sq.PASSAGES}, s AS (SELECT doc_id, line_no, unnest(string_split(text, '; ')) AS item, len(string_split(text, '; ')) AS n, generate_subscripts(string_split(text, '; '), 1) AS i FROM passages)
-SELECT doc_id, line_no || CASE WHEN n > 1 THEN '.' || i ELSE '' END AS ref, CASE WHEN n = 1 THEN 'SENTENCE' WHEN i = 1 THEN 'LEAD_IN' ELSE 'ITEM' END AS kind, length(item)::BIGINT AS chars FROM s""")
-def win07_clauses(spark, sf):
-    parts = F.split("text", "; ")
-    rows = ad.passages(spark, sf).select("doc_id", "line_no", F.size(parts).alias("n"), F.posexplode(parts).alias("i", "item"))
-    kind = F.when(F.col("n") == 1, "SENTENCE").when(F.col("i") == 0, "LEAD_IN").otherwise("ITEM")
-    ref = F.when(F.col("n") > 1, F.concat_ws(".", "line_no", F.col("i") + 1)).otherwise(F.col("line_no").cast("string"))
-    return rows.select("doc_id", ref.alias("ref"), kind.alias("kind"), F.length("item").cast("bigint").alias("chars"))
-
-
 @query("win08_neighbours", "WIN08", sql=f"""
 WITH {sq.provisions('p')}, o AS (SELECT version_id, number, max(text) AS text FROM p GROUP BY ALL),
 w AS (SELECT version_id, number, lag(number) OVER x AS before, lead(number) OVER x AS after, lead(text) OVER x AS next_text FROM o WINDOW x AS (PARTITION BY version_id ORDER BY number))

@@ -73,3 +73,34 @@ def clauses_sql(name: str, later: bool = False) -> str:
                   "FROM lineitem WHERE l_partkey % 10 <> 0)")
     return f"""{name} AS MATERIALIZED (SELECT version_id, number, CASE WHEN k_lang = 3 THEN 'tr' ELSE 'en' END AS lang, CASE WHEN k_lang = 3 THEN {text(True)} ELSE {text(False)} END AS text
   FROM (SELECT l_orderkey AS version_id, l_linenumber::BIGINT AS number, {_keys(later)} FROM {source}))"""
+
+
+#: Every third clause in English opens a list with these items and this closing line.
+ITEMS, CLOSING = ("a) the first copy,", "b) the second copy; and"), "at all times."
+
+
+def articles(spark: SparkSession, sf: str) -> DataFrame:
+    """(version_id, text): the clauses of an order as numbered paragraphs, one under another; a list is as long as an order."""
+    opened = (F.col("number") % 3 == 0) & (F.col("lang") == "en")
+    lines = F.concat(F.lit("("), "number", F.lit(") "), "text", F.when(opened, F.lit("\n" + "\n".join((*ITEMS, CLOSING)))).otherwise(""))
+    listed = F.array_sort(F.collect_list(F.struct("number", "text", lines.alias("lines"))))
+    return clauses(spark, sf).groupBy("version_id").agg(F.array_join(F.transform(listed, lambda c: c["lines"]), "\n").alias("text"))
+
+
+def lines_sql(name: str, source: str) -> str:
+    """Where each clause of ``source`` stands in its article: (version_id, number, text, tail, opened, pos), ``pos`` its bracket's place."""
+    return f"""{name} AS MATERIALIZED (SELECT *, coalesce(sum(size + 1) OVER (PARTITION BY version_id ORDER BY number, text, copy ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
+  FROM (SELECT *, number % 3 = 0 AND lang = 'en' AS opened, length(number::VARCHAR) + 3 AS mark, row_number() OVER () AS copy,
+          length(number::VARCHAR) + 3 + length(text) + CASE WHEN number % 3 = 0 AND lang = 'en' THEN {sum(map(len, (*ITEMS, CLOSING))) + len(ITEMS) + 1} ELSE 0 END AS size FROM {source}))"""
+
+
+def sentences_sql(name: str, source: str) -> str:
+    """The sentences of a clause's text, from what its parts are known to end: (.., i, n, a, b)."""
+    ends = [t for t in TAILS if t] + [TR_CONDS[3]]
+    inner = {" The records must be kept for 7 years. A copy may be given to the customer.": " The records must be kept for 7 years."}
+    tail = "CASE " + " ".join(f"WHEN ends_with(text, '{t}') THEN {len(t) - (1 if t.startswith('. ') else 0)}" for t in ends) + " ELSE 0 END"
+    second = " ".join(f"WHEN ends_with(text, '{t}') THEN length(text) - {len(t) - len(first)}" for t, first in inner.items())
+    return f"""{name}_c AS (SELECT *, length(text) - {tail} AS base FROM {source}),
+{name}_l AS (SELECT *, list_filter([CASE WHEN base < length(text) AND NOT regexp_matches(left(text, base), '[0-9][.]$') THEN base END, CASE {second} END], lambda x: x IS NOT NULL) AS cuts FROM {name}_c),
+{name} AS MATERIALIZED (SELECT *, (CASE WHEN i = 1 THEN 0 ELSE cuts[i - 1] + 1 END)::BIGINT AS a, (CASE WHEN i = n THEN length(text) ELSE cuts[i] END)::BIGINT AS b
+  FROM (SELECT *, len(cuts) + 1 AS n, unnest(range(1, len(cuts) + 2)) AS i FROM {name}_l))"""

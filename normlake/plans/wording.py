@@ -79,8 +79,8 @@ SELECT version_id, number, was, now, way, CASE WHEN higher IS NULL THEN 'INCOMPA
 def fun10_compare_quantities(spark, sf):
     """Each number of a clause against each one of the clause of the same number in the next snapshot."""
     fields = ["version_id", "number", "quantity", "unit", "unit_class", "amount", "days", "comparator"]
-    was = rd.quantities(st.clauses(spark, sf)).select(*fields, rd.direction(F.col("comparator"), F.col("lead")).alias("way")).distinct()
-    now = rd.quantities(st.clauses(spark, sf, later=True)).select(*fields).distinct()
+    was = rd.laterally(st.clauses(spark, sf), "read_quantities", "text").select(*fields, rd.direction(F.col("comparator"), F.col("lead")).alias("way")).distinct()
+    now = rd.laterally(st.clauses(spark, sf, later=True), "read_quantities", "text").select(*fields).distinct()
     number = lambda: F.struct(*fields[2:])
     both = was.select("version_id", "number", "way", number().alias("a")).join(now.select("version_id", "number", number().alias("b")), ["version_id", "number"])
     verdict = qt.compare(F.col("a"), F.col("b"), F.col("way"), F.col("a.comparator"), F.col("b.comparator"))
@@ -140,3 +140,40 @@ def fun14_source_spans(spark, sf):
         F.when(slip == 0, F.array_join(F.slice("w", 1, 8), "\n ")).when(slip == 1, F.concat(part(1, 3), F.lit(" ... "), part(6, 3))).when(slip == 2, F.concat_ws(" ", part(7, 1), part(1, 6)))
         .when(slip == 3, F.upper(part(1, 8))).when(slip == 4, F.concat(part(1, 4), part(5, 4))).otherwise(F.concat(part(1, 2), F.lit(" qqqq qqqq qqqqq "), part(3, 1))))
     return t.select("doc_id", rd.quoted(quote, F.col("text")).alias("f")).select("doc_id", "f.*")
+
+
+@query("fun13_sentences", "FUN13", "UDTF01", sql=f"""
+WITH {st.clauses_sql('c')}, {st.sentences_sql('s', 'c')}
+SELECT version_id, number, (i - 1)::INTEGER AS seq, a::INTEGER AS start, b::INTEGER AS "end", substring(text, a + 1, b - a) AS sentence FROM s""")
+def fun13_sentences(spark, sf):
+    return rd.laterally(st.clauses(spark, sf), "split_sentences", "text").select("version_id", "number", "seq", "start", "end", "sentence")
+
+
+ITEM_STARTS = [sum(len(i) + 1 for i in st.ITEMS[:n]) for n in range(len(st.ITEMS) + 1)]
+CLAUSES_SQL = f"""{st.clauses_sql('c')}, {st.lines_sql('l', 'c')}, {st.sentences_sql('s', 'l')},
+p AS (SELECT *, pos + CASE WHEN i = 1 THEN 0 ELSE mark + a END AS sa, pos + mark + b AS sb, pos + mark + length(text) + 1 AS list_at FROM s),
+e AS (SELECT version_id, number, substring(text, a + 1, b - a) AS said, sa AS x, sb AS y, NULL AS item, CASE WHEN n > 1 THEN i END AS k, NULL AS la, NULL AS lb, NULL AS ca, NULL AS cb FROM p WHERE NOT (opened AND i = n)
+  UNION ALL SELECT version_id, number, substring(text, a + 1, b - a), list_at + it.o, list_at + it.o + it.n, it.m, NULL, sa, sb, list_at + {ITEM_STARTS[-1]}, list_at + {ITEM_STARTS[-1] + len(st.CLOSING)}
+    FROM p, (VALUES {', '.join(f"('{t[0]}', {o}, {len(t)})" for t, o in zip(st.ITEMS, ITEM_STARTS))}) it(m, o, n) WHERE opened AND i = p.n),
+r AS (SELECT *, 'art. ' || version_id || '/f.' || number || coalesce('/b.' || item, '') || coalesce('/c.' || k, '') AS bare FROM e),
+cl AS MATERIALIZED (SELECT *, CASE WHEN row_number() OVER w = 1 THEN bare ELSE bare || '(' || row_number() OVER w || ')' END AS ref FROM r WINDOW w AS (PARTITION BY version_id, bare ORDER BY x))"""
+
+
+@query("win07_clauses", "WIN07", "UDTF01", sql=f"""
+WITH {CLAUSES_SQL}
+SELECT version_id, ref, number::INTEGER AS paragraph, item, k::INTEGER AS sentence_no, x::INTEGER AS start, y::INTEGER AS "end", la::INTEGER AS lead_start, lb::INTEGER AS lead_end,
+  ca::INTEGER AS closing_start, cb::INTEGER AS closing_end FROM cl""")
+def win07_clauses(spark, sf):
+    rd.register(spark)
+    st.articles(spark, sf).createOrReplaceTempView("statute_articles")
+    return spark.sql("""SELECT version_id, ref, paragraph, item, sentence_no, start, end, lead_start, lead_end, closing_start, closing_end
+                        FROM statute_articles a, LATERAL split_clauses(a.text, concat('art. ', a.version_id))""")
+
+
+@query("src27_reading_units", "SRC27", sql=f"""
+WITH {CLAUSES_SQL}
+SELECT version_id, ref, CASE WHEN item IS NULL THEN 'SENTENCE' ELSE 'ITEM' END AS kind, CASE WHEN item IS NULL THEN 1 ELSE 3 END AS segments,
+  said || CASE item WHEN 'a' THEN ' {st.ITEMS[0][3:]} {st.CLOSING}' WHEN 'b' THEN ' {st.ITEMS[1][3:]} {st.CLOSING}' ELSE '' END AS unit FROM cl""")
+def src27_reading_units(spark, sf):
+    units = rd.laterally(st.articles(spark, sf).withColumn("label", F.concat(F.lit("art. "), "version_id")), "reading_units", "text", "label")
+    return units.select("version_id", "ref", "kind", F.size("segments").alias("segments"), "unit")
