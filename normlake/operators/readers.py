@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import duties as du
 from ..functions.grounding import locate, quote_span
 from ..functions.numerals import read_quantities
 from ..functions.segmentation import reading_units, sentence_spans, split_clauses
@@ -20,6 +21,9 @@ QUANTITY = ("seq int, quantity string, start int, end int, amount double, unit s
 SENTENCE = "seq int, start int, end int, sentence string"
 CLAUSE = ("seq int, ref string, paragraph int, item string, sentence_no int, start int, end int, clause string, lead_start int, lead_end int, closing_start int, closing_end int")
 UNIT = "seq int, ref string, kind string, segments array<struct<start: int, end: int>>, unit string"
+MARKER = "seq int, start int, end int, marker string, mode string, binding boolean, turkish boolean, alone boolean"
+DUTY = "seq int, status string, subject string, modality string, action string, start int, end int, conditions array<string>, exceptions array<string>"
+ELEMENT = "duty int, id string, kind string, element string, critical boolean"
 FOUND = "start int, end int, rung string, reason string"
 
 
@@ -55,7 +59,53 @@ class ReadingUnits:
             yield n, ref, kind, [tuple(s) for s in segments], unit
 
 
-TABLE_FUNCTIONS = {"read_quantities": (ReadQuantities, QUANTITY), "split_sentences": (SplitSentences, SENTENCE), "split_clauses": (SplitClauses, CLAUSE), "reading_units": (ReadingUnits, UNIT)}
+class DutyMarkers:
+    """Markers of duty, net of delegating sentences and of soft markers that state none."""
+
+    def eval(self, text: str):
+        for n, (start, end, word, mode, binding, turkish, alone) in enumerate(du.markers(text)):
+            yield n, start, end, word, mode, binding, turkish, alone
+
+
+class ReadDuties:
+    """Every duty of a text; one row with the status alone where there is none."""
+
+    def eval(self, text: str):
+        status, found = du.read_duties(text)
+        for n, duty in enumerate(found):
+            yield n, status, *duty
+        if not found:
+            yield 0, status, None, None, None, None, None, [], []
+
+
+class DutyElements:
+    """The parts of every duty of a text."""
+
+    def eval(self, text: str):
+        for n, duty in enumerate(du.read_duties(text)[1]):
+            for element in du.elements(text, duty):
+                yield n, *element
+
+
+class MissingQualifiers:
+    """Conditions and exceptions of a text that the carried spans lack."""
+
+    def eval(self, text: str, carried: list):
+        for n, span in enumerate(du.missing_qualifiers(text, carried)):
+            yield n, span
+
+
+class UncoveredSentences:
+    """Sentences with a marker of duty in which no given act stands."""
+
+    def eval(self, text: str, actions: list):
+        for n, (start, end) in enumerate(du.uncovered(text, actions)):
+            yield n, start, end
+
+
+TABLE_FUNCTIONS = {"duty_markers": (DutyMarkers, MARKER), "read_duties": (ReadDuties, DUTY), "duty_elements": (DutyElements, ELEMENT), "missing_qualifiers": (MissingQualifiers, "seq int, span string"),
+                   "uncovered_sentences": (UncoveredSentences, "seq int, start int, end int"),
+                   "read_quantities": (ReadQuantities, QUANTITY), "split_sentences": (SplitSentences, SENTENCE), "split_clauses": (SplitClauses, CLAUSE), "reading_units": (ReadingUnits, UNIT)}
 
 
 def laterally(df: DataFrame, function: str, *columns: str) -> DataFrame:

@@ -28,27 +28,6 @@ def duties(spark, sf):
     return ex.read_duties(ad.provisions(spark, sf))
 
 
-@query("fun29_extract_duties", "FUN29", "FUN45", sql=f"""
-WITH {DUTIES_SQL} SELECT version_id, number, status, subject, modality, action, cond AS condition, exc AS exception,
-  CASE WHEN status <> 'EXTRACTED' THEN status WHEN NOT contains(text, subject) THEN 'SUBJECT_NOT_IN_SOURCE' WHEN NOT contains(text, action) THEN 'ACTION_NOT_IN_SOURCE'
-       WHEN NOT contains(text, coalesce(cond, '')) OR NOT contains(text, coalesce(exc, '')) THEN 'QUALIFIER_NOT_IN_SOURCE' END AS problem, count(*)::BIGINT AS n FROM duty GROUP BY ALL""")
-def fun29_extract_duties(spark, sf):
-    d = duties(spark, sf).withColumn("problem", ex.grounded(F.col("d"), F.col("text")))
-    return d.groupBy("version_id", "number", "d.status", "d.subject", "d.modality", "d.action", "d.condition", "d.exception", "problem").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("fun28_duty_elements", "FUN28", "FUN12", sql=f"""
-WITH {DUTIES_SQL},
-e AS (SELECT version_id, number, unnest([{{'id': 'subject', 'text': subject, 'critical': false}}, {{'id': 'act_1', 'text': nullif(split_part(action, ' ', 1), ''), 'critical': true}},
-  {{'id': 'deadline_1', 'text': nullif(regexp_extract(action, '([0-9]+ (?:days|months|years))', 1), ''), 'critical': true}}, {{'id': 'threshold_1', 'text': nullif(regexp_extract(action, '([0-9]+%|GBP [0-9]+)', 1), ''), 'critical': true}},
-  {{'id': 'condition', 'text': cond, 'critical': false}}, {{'id': 'exception', 'text': exc, 'critical': false}}], recursive := true) FROM duty WHERE status = 'EXTRACTED')
-SELECT version_id, number, id, text, critical, count(*)::BIGINT AS n FROM e WHERE text IS NOT NULL GROUP BY ALL""")
-def fun28_duty_elements(spark, sf):
-    d = duties(spark, sf).filter("d.status = 'EXTRACTED'")
-    return d.select("version_id", "number", F.explode(ex.elements(F.col("d"))).alias("e")).groupBy(
-        "version_id", "number", "e.id", "e.text", "e.critical").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("fun30_clause_frames", "FUN30", "FUN31", sql=f"""
 WITH {DUTIES_SQL},
 kind AS (SELECT version_id, number, CASE modality WHEN 'MUST_NOT' THEN 'PROHIBITION' WHEN 'MUST' THEN 'OBLIGATION' WHEN 'MAY' THEN 'PERMISSION' ELSE 'OTHER' END AS kind, count(*)::BIGINT AS clauses FROM duty GROUP BY ALL),
@@ -65,26 +44,6 @@ def fun30_clause_frames(spark, sf):
     return frames.join(cited, ["version_id", "number"], "left").fillna(0, ["exceptions_elsewhere"])
 
 
-@query("fun40_missing_qualifiers", "FUN40", "FIL02", sql=f"""
-WITH {DUTIES_SQL}, q AS (SELECT version_id, number, exc AS span FROM duty WHERE exc IS NOT NULL UNION ALL SELECT version_id, number, cond FROM duty WHERE cond IS NOT NULL),
-c AS (SELECT DISTINCT version_id, number, exc AS span FROM duty WHERE status = 'EXTRACTED' AND l_suppkey % 2 = 0 AND exc IS NOT NULL)
-SELECT q.version_id, q.number, q.span, count(*)::BIGINT AS n FROM q WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.version_id = q.version_id AND c.number = q.number AND c.span = q.span) GROUP BY ALL""")
-def fun40_missing_qualifiers(spark, sf):
-    d = duties(spark, sf)
-    spans = d.select("version_id", "number", F.explode(F.array_compact(F.array("d.exception", "d.condition"))).alias("span"))
-    carried = d.filter("d.status = 'EXTRACTED' AND l_suppkey % 2 = 0").select("version_id", "number", F.col("d.exception").alias("span")).filter("span IS NOT NULL")
-    return spans.join(carried, ["version_id", "number", "span"], "left_anti").groupBy("version_id", "number", "span").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("fun41_uncovered_sentences", "FUN41", sql=f"""
-WITH {DUTIES_SQL}, k AS (SELECT DISTINCT version_id, number FROM duty WHERE status = 'EXTRACTED' AND l_suppkey % 3 = 0)
-SELECT version_id, number, count(*)::BIGINT AS sentences FROM duty WHERE m <> '' AND NOT EXISTS (SELECT 1 FROM k WHERE k.version_id = duty.version_id AND k.number = duty.number) GROUP BY ALL""")
-def fun41_uncovered_sentences(spark, sf):
-    d = duties(spark, sf)
-    kept = d.filter("d.status = 'EXTRACTED' AND l_suppkey % 3 = 0")
-    return ex.uncovered(d, kept, ["version_id", "number"]).groupBy("version_id", "number").agg(F.count(F.lit(1)).alias("sentences"))
-
-
 @query("fun42_second_reading", "FUN42", sql=f"""
 WITH {DUTIES_SQL}, dec AS (SELECT s_suppkey AS l_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'UNSUPPORTED' WHEN 1 THEN 'UNCERTAIN' ELSE 'SUPPORTED' END AS decision FROM supplier WHERE s_suppkey % 5 <> 0)
 SELECT version_id, number, CASE WHEN decision = 'UNCERTAIN' THEN 'SECOND_READING_UNCERTAIN' END AS flag, count(*)::BIGINT AS n FROM duty LEFT JOIN dec USING (l_suppkey) WHERE status = 'EXTRACTED' AND coalesce(decision, '') <> 'UNSUPPORTED' GROUP BY ALL""")

@@ -10,33 +10,33 @@ from ..sources.tables import table
 from . import statutes as st
 from .registry import query
 
-#: What the parts of a clause state: part, quantity as written, amount, unit, class, days, comparator, lead, trail.
+#: What the parts of a clause state: part, quantity as written, whole phrase, amount, unit, class, days, comparator, lead, trail.
 FACTS = (
-    (" within 10 business days", "10 business days", 10, "iş günü", "duration", 14, None, "within", None),
-    (" within five working days of the event", "five working days", 5, "iş günü", "duration", 7, None, "within", None),
-    (" no later than 3 months after the request", "3 months", 3, "ay", "duration", 90, None, "no later than", None),
-    (" for at least eight years", "eight years", 8, "yıl", "duration", 2920, ">=", "for", None),
-    (" within twenty-four hours", "twenty-four hours", 24, "saat", "duration", 1, None, "within", None),
-    (" every two years", "two years", 2, "yıl", "duration", 730, None, None, None),
-    (" for 5 years and six months", "5 years", 5, "yıl", "duration", 1825, None, "for", None),
-    (" for 5 years and six months", "six months", 6, "ay", "duration", 180, None, None, None),
-    (" not later than thirty-one days before the transfer", "thirty-one days", 31, "gün", "duration", 31, None, "not later than", None),
-    (" for transfers of EUR 15,000 or more", "EUR 15,000", 15000, "EUR", "money", None, ">=", None, None),
-    (" where the amount is at least GBP 1,000.50", "GBP 1,000.50", 1000.5, "GBP", "money", None, ">=", None, None),
-    (" up to 2.5%", "2.5%", 2.5, "%", "percent", None, "<=", None, None),
-    (" for payments exceeding two million TL", "two million TL", 2000000, "TL", "money", None, ">", None, None),
-    (" in excess of $250 thousand", "$250 thousand", 250000, "USD", "money", None, ">", None, None),
-    (" of less than 150 euros", "150 euros", 150, "EUR", "money", None, "<", None, None),
-    (" at a rate of seven percent", "seven percent", 7, "%", "percent", None, None, None, None),
-    (" above 185.000 TL", "185.000 TL", 185000, "TL", "money", None, ">", None, None),
-    (" The records must be kept for 7 years.", "7 years", 7, "yıl", "duration", 2555, None, "for", None),
-    ("yüzseksenbeşbin TL ve üzerindeki işlemleri", "yüzseksenbeşbin TL", 185000, "TL", "money", None, ">=", None, None),
-    ("15.000 TL'yi aşan ödemeleri", "15.000 TL'yi", 15000, "TL", "money", None, ">", None, None),
-    (" on iş günü içinde", "on iş günü", 10, "iş günü", "duration", 14, None, "içinde", "içinde"),
-    (" en geç beş gün içinde", "beş gün", 5, "gün", "duration", 5, None, "en geç", "içinde"),
-    (" sekiz yıl süre ile", "sekiz yıl", 8, "yıl", "duration", 2920, None, "süre ile", "süre ile"),
-    (" en az iki buçuk yıl", "iki buçuk yıl", 2.5, "yıl", "duration", 912.5, ">=", None, None),
-    (" üç ayda bir", "üç ayda", 3, "ay", "duration", 90, None, None, None),
+    (" within 10 business days", "10 business days", "within 10 business days", 10, "iş günü", "duration", 14, None, "within", None),
+    (" within five working days of the event", "five working days", "within five working days", 5, "iş günü", "duration", 7, None, "within", None),
+    (" no later than 3 months after the request", "3 months", "no later than 3 months", 3, "ay", "duration", 90, None, "no later than", None),
+    (" for at least eight years", "eight years", "for at least eight years", 8, "yıl", "duration", 2920, ">=", "for", None),
+    (" within twenty-four hours", "twenty-four hours", "within twenty-four hours", 24, "saat", "duration", 1, None, "within", None),
+    (" every two years", "two years", "two years", 2, "yıl", "duration", 730, None, None, None),
+    (" for 5 years and six months", "5 years", "for 5 years", 5, "yıl", "duration", 1825, None, "for", None),
+    (" for 5 years and six months", "six months", "six months", 6, "ay", "duration", 180, None, None, None),
+    (" not later than thirty-one days before the transfer", "thirty-one days", "not later than thirty-one days", 31, "gün", "duration", 31, None, "not later than", None),
+    (" for transfers of EUR 15,000 or more", "EUR 15,000", "EUR 15,000 or more", 15000, "EUR", "money", None, ">=", None, None),
+    (" where the amount is at least GBP 1,000.50", "GBP 1,000.50", "at least GBP 1,000.50", 1000.5, "GBP", "money", None, ">=", None, None),
+    (" up to 2.5%", "2.5%", "up to 2.5%", 2.5, "%", "percent", None, "<=", None, None),
+    (" for payments exceeding two million TL", "two million TL", "exceeding two million TL", 2000000, "TL", "money", None, ">", None, None),
+    (" in excess of $250 thousand", "$250 thousand", "in excess of $250 thousand", 250000, "USD", "money", None, ">", None, None),
+    (" of less than 150 euros", "150 euros", "less than 150 euros", 150, "EUR", "money", None, "<", None, None),
+    (" at a rate of seven percent", "seven percent", "seven percent", 7, "%", "percent", None, None, None, None),
+    (" above 185.000 TL", "185.000 TL", "above 185.000 TL", 185000, "TL", "money", None, ">", None, None),
+    (" The records must be kept for 7 years.", "7 years", "for 7 years", 7, "yıl", "duration", 2555, None, "for", None),
+    ("yüzseksenbeşbin TL ve üzerindeki işlemleri", "yüzseksenbeşbin TL", "yüzseksenbeşbin TL ve üzerindeki", 185000, "TL", "money", None, ">=", None, None),
+    ("15.000 TL'yi aşan ödemeleri", "15.000 TL'yi", "15.000 TL'yi aşan", 15000, "TL", "money", None, ">", None, None),
+    (" on iş günü içinde", "on iş günü", "on iş günü içinde", 10, "iş günü", "duration", 14, None, "içinde", "içinde"),
+    (" en geç beş gün içinde", "beş gün", "en geç beş gün içinde", 5, "gün", "duration", 5, None, "en geç", "içinde"),
+    (" sekiz yıl süre ile", "sekiz yıl", "sekiz yıl süre ile", 8, "yıl", "duration", 2920, None, "süre ile", "süre ile"),
+    (" en az iki buçuk yıl", "iki buçuk yıl", "en az iki buçuk yıl", 2.5, "yıl", "duration", 912.5, ">=", None, None),
+    (" üç ayda bir", "üç ayda", "üç ayda", 3, "ay", "duration", 90, None, None, None),
 )
 
 
@@ -44,7 +44,7 @@ def _cell(value) -> str:
     return "NULL" if value is None else str(value) if isinstance(value, (int, float)) else "'" + value.replace("'", "''") + "'"
 
 
-FACTS_SQL = "facts(part, quantity, amount, unit, unit_class, days, comparator, lead, trail) AS (VALUES " + ", ".join("(" + ", ".join(map(_cell, f)) + ")" for f in FACTS) + ")"
+FACTS_SQL = "facts(part, quantity, phrase, amount, unit, unit_class, days, comparator, lead, trail) AS (VALUES " + ", ".join("(" + ", ".join(map(_cell, f)) + ")" for f in FACTS) + ")"
 
 
 def _stated(name: str, source: str) -> str:
@@ -177,3 +177,97 @@ SELECT version_id, ref, CASE WHEN item IS NULL THEN 'SENTENCE' ELSE 'ITEM' END A
 def src27_reading_units(spark, sf):
     units = rd.laterally(st.articles(spark, sf).withColumn("label", F.concat(F.lit("art. "), "version_id")), "reading_units", "text", "label")
     return units.select("version_id", "ref", "kind", F.size("segments").alias("segments"), "unit")
+
+
+def _starting(column: str, words) -> str:
+    """The longest of the words that a text begins with."""
+    return "CASE " + " ".join(f"WHEN starts_with({column}, '{w} ') THEN '{w}'" for w in sorted(words, key=len, reverse=True)) + " END"
+
+
+def _tails(pattern: str) -> str:
+    """From each match of the pattern to the end of the text."""
+    cut, hit = f"string_split_regex(text, '(?i){pattern}')", f"regexp_extract_all(text, '(?i){pattern}')"
+    return (f"list_transform(range(1, len({hit}) + 1), lambda k: substring(text, 1 + list_sum(list_transform({cut}[:k], lambda x: length(x)))::BIGINT"
+            f" + coalesce(list_sum(list_transform({hit}[:k - 1], lambda x: length(x))), 0)::BIGINT))")
+
+
+TR_ACTS_SQL = "bildirmek zorundadır|saklar|ibraz eder|başkasına veremez|Başkanlığa sunmakla yükümlüdür"
+#: What the parts say: an English clause has one marker, its last sentence perhaps two more of which one is a bare power; a Turkish
+#: one ends in an act whose verb counts where it closes the sentence.
+DUTIES_SQL = rf"""{st.clauses_sql('c')},
+en AS (SELECT *, {_starting('text', st.ACTORS)} AS subject FROM (SELECT *, row_number() OVER () AS copy FROM c) WHERE lang = 'en'),
+em AS (SELECT *, {_starting('substring(text, length(subject) + 2)', st.MODALS)} AS modal FROM en),
+ea AS (SELECT *, substring(text, length(subject) + length(modal) + 3) AS rest FROM em),
+tm AS (SELECT *, regexp_extract(text, '^(.*? )({TR_ACTS_SQL})', 1) AS head, regexp_extract(text, '^(.*? )({TR_ACTS_SQL})', 2) AS act FROM (SELECT *, -row_number() OVER () AS copy FROM c) WHERE lang = 'tr'),
+ta AS (SELECT *, regexp_extract(text, '^[^ ]+') AS subject, substring(text, length(head) + length(act) + 1, 1) AS after, string_split(act, ' ')[-1] AS verb FROM tm),
+tb AS (SELECT *, act IN ('saklar', 'ibraz eder') AND after NOT IN ('.', ';') AS none FROM ta),
+du AS MATERIALIZED (
+  SELECT version_id, number, copy, text, lang, contains(text, ' The records must be kept') AS insufficient, false AS none, subject,
+    CASE modal WHEN 'must' THEN 'MUST' WHEN 'shall' THEN 'MUST' WHEN 'is required to' THEN 'MUST' WHEN 'must not' THEN 'MUST_NOT' WHEN 'may' THEN 'MAY' WHEN 'may not' THEN 'MAY_NOT' ELSE 'SHOULD' END AS modality, modal AS marker,
+    coalesce(nullif(regexp_extract(rest, '^(.*?[.;!?])\s+[A-Z]', 1), ''), rest) AS action,
+    {_tails(r'\b(?:if|where|when|provided\s+that|subject\s+to)\b')} AS conditions,
+    {_tails(r'\b(?:unless|except(?:\s+where)?|other\s+than|save\s+where|without|does\s+not\s+apply|do\s+not\s+apply)\b')} AS exceptions FROM ea
+  UNION ALL
+  SELECT version_id, number, copy, text, lang, false, none, subject, CASE WHEN verb = 'veremez' THEN 'MUST_NOT' ELSE 'MUST' END, verb,
+    substring(head, length(subject) + 2) || CASE WHEN verb IN ('zorundadır', 'yükümlüdür') THEN string_split(act, ' ' || verb)[1] ELSE act END,
+    [], list_filter([CASE WHEN contains(text, 'gerçek kişiler hariç') THEN 'gerçek kişiler hariç' END, CASE WHEN contains(text, 'istisnalar saklıdır') THEN 'istisnalar saklıdır' END,
+      CASE WHEN contains(text, 'uygulanmaz') THEN 'Bu hüküm muaf olanlara uygulanmaz' END], lambda x: x IS NOT NULL) FROM tb)"""
+
+
+@query("fun29_extract_duties", "FUN29", "FUN45", sql=f"""
+WITH {DUTIES_SQL}
+SELECT version_id, number, CASE WHEN insufficient THEN 'INSUFFICIENT_EVIDENCE' WHEN none THEN 'NO_EXPLICIT_OBLIGATION' ELSE 'EXTRACTED' END AS status,
+  CASE WHEN NOT insufficient AND NOT none THEN subject END AS subject, CASE WHEN NOT insufficient AND NOT none THEN modality END AS modality, CASE WHEN NOT insufficient AND NOT none THEN action END AS action,
+  CASE WHEN insufficient OR none THEN '' ELSE array_to_string(conditions, ' | ') END AS conditions, CASE WHEN insufficient OR none THEN '' ELSE array_to_string(exceptions, ' | ') END AS exceptions FROM du""")
+def fun29_extract_duties(spark, sf):
+    rd.register(spark)
+    st.clauses(spark, sf).createOrReplaceTempView("statute_clauses")
+    return spark.sql("""SELECT version_id, number, status, subject, modality, action, array_join(conditions, ' | ') AS conditions, array_join(exceptions, ' | ') AS exceptions
+                        FROM statute_clauses c, LATERAL read_duties(c.text)""")
+
+
+@query("fun28_duty_elements", "FUN28", sql=f"""
+WITH {FACTS_SQL}, {DUTIES_SQL},
+ok AS (SELECT *, instr(text, action) + length(action) AS until FROM du WHERE NOT insufficient AND NOT none),
+n AS (SELECT version_id, number, copy, CASE WHEN unit_class = 'duration' THEN 'DEADLINE' ELSE 'THRESHOLD' END AS kind, phrase, instr(text, part) + instr(part, phrase) AS at_char FROM ok JOIN facts ON contains(text, part) WHERE instr(text, part) < until),
+e AS (SELECT version_id, number, 'subject' AS id, 'SUBJECT' AS kind, subject AS element, false AS critical FROM ok UNION ALL SELECT version_id, number, 'modal', 'MODAL', modality, false FROM ok UNION ALL SELECT version_id, number, 'act', 'ACT', action, true FROM ok
+  UNION ALL SELECT version_id, number, lower(kind) || '_' || row_number() OVER (PARTITION BY copy, kind ORDER BY at_char), kind, phrase, true FROM n
+  UNION ALL SELECT version_id, number, 'condition_' || i, 'CONDITION', conditions[i], false FROM (SELECT *, unnest(range(1, len(conditions) + 1)) AS i FROM ok)
+  UNION ALL SELECT version_id, number, 'exception_' || i, 'EXCEPTION', exceptions[i], false FROM (SELECT *, unnest(range(1, len(exceptions) + 1)) AS i FROM ok))
+SELECT version_id, number, id, kind, element, critical FROM e""")
+def fun28_duty_elements(spark, sf):
+    return rd.laterally(st.clauses(spark, sf), "duty_elements", "text").select("version_id", "number", "id", "kind", "element", "critical")
+
+
+@query("fil02_duty_markers", "FIL02", "UDTF02", sql=f"""
+WITH {DUTIES_SQL},
+m AS (SELECT version_id, number, marker, modality AS mode, lang, text, none, instr(text, CASE WHEN lang = 'en' THEN subject || ' ' || marker ELSE marker END) - 1 + CASE WHEN lang = 'en' THEN length(subject) + 1 ELSE 0 END AS start FROM du WHERE NOT none
+  UNION ALL SELECT version_id, number, 'must', 'MUST', lang, text, none, instr(text, ' must be kept') FROM du WHERE insufficient
+  UNION ALL SELECT version_id, number, 'may', 'MAY', lang, text, none, instr(text, ' may be given') FROM du WHERE insufficient)
+SELECT version_id, number, start::INTEGER AS start, marker, mode, marker NOT IN ('saklar', 'eder') AS binding FROM m""")
+def fil02_duty_markers(spark, sf):
+    return rd.laterally(st.clauses(spark, sf), "duty_markers", "text").select("version_id", "number", "start", "marker", "mode", "binding")
+
+
+@query("fun40_missing_qualifiers", "FUN40", sql=f"""
+WITH {DUTIES_SQL},
+k AS (SELECT *, CASE WHEN number % 2 = 0 AND NOT insufficient AND NOT none THEN exceptions ELSE [] END AS carried FROM du),
+q AS (SELECT version_id, number, carried, unnest(list_concat(conditions, exceptions)) AS span FROM k)
+SELECT version_id, number, span FROM q WHERE len(list_filter(carried, lambda c: contains(c, span))) = 0""")
+def fun40_missing_qualifiers(spark, sf):
+    """Of every second clause the exceptions were carried; what else a clause says is missing."""
+    read = rd.laterally(st.clauses(spark, sf), "read_duties", "text").where("seq = 0")
+    carried = F.when(F.col("number") % 2 == 0, F.col("exceptions")).otherwise(F.array().cast("array<string>"))
+    return rd.laterally(read.select("version_id", "number", "text", carried.alias("carried")), "missing_qualifiers", "text", "carried").select("version_id", "number", "span")
+
+
+@query("fun41_uncovered_sentences", "FUN41", sql=f"""
+WITH {DUTIES_SQL},
+n AS (SELECT version_id, number, CASE WHEN none OR (number % 3 = 0 AND NOT insufficient) THEN 0 ELSE 1 END + CASE WHEN insufficient THEN 2 ELSE 0 END AS sentences FROM du)
+SELECT version_id, number, sum(sentences)::BIGINT AS sentences FROM n GROUP BY ALL HAVING sum(sentences) > 0""")
+def fun41_uncovered_sentences(spark, sf):
+    """Of every third clause the first act was kept; the sentences with a marker of duty and no act kept."""
+    read = rd.laterally(st.clauses(spark, sf), "read_duties", "text").where("seq = 0")
+    actions = F.when(F.col("number") % 3 == 0, F.array("action")).otherwise(F.array().cast("array<string>"))
+    open_ones = rd.laterally(read.select("version_id", "number", "text", F.array_compact(actions).alias("actions")), "uncovered_sentences", "text", "actions")
+    return open_ones.groupBy("version_id", "number").agg(F.count(F.lit(1)).alias("sentences"))
