@@ -280,15 +280,6 @@ def agg38_operator_packet(spark, sf):
     return new.join(old, ["version_id", "number"], "left").groupBy(status.alias("status"), change.alias("change")).agg(F.count(F.lit(1)).alias("packets"))
 
 
-@query("win11_changes_since", "WIN11", sql=f"""
-WITH {sq.provisions('p')}, n AS (SELECT version_id, section, max(dated) AS latest, arg_max(l_linestatus, (dated, l_linestatus)) AS kind FROM p WHERE dated >= TIMESTAMP '2000-06-01' GROUP BY ALL)
-SELECT version_id, section, latest::DATE::VARCHAR AS since, CASE WHEN kind = 'O' THEN 'ADDED' ELSE 'MODIFIED' END AS kind FROM n""")
-def win11_changes_since(spark, sf):
-    recent = ad.provisions(spark, sf).filter("dated >= '2000-06-01'")
-    n = recent.groupBy("version_id", "section").agg(F.max("dated").alias("_at"), F.max_by("l_linestatus", F.struct("dated", "l_linestatus")).alias("_k"))
-    return n.select("version_id", "section", F.to_date("_at").cast("string").alias("since"), F.when(F.col("_k") == "O", "ADDED").otherwise("MODIFIED").alias("kind"))
-
-
 @query("src31_rewritten_catalogue", "SRC31", sql=f"""
 WITH {sq.CAPTURES}, h AS (SELECT regulation_id, arg_max(content_hash, (fetched_at, capture_id)) AS hash, max(fetched_at)::DATE AS effective, count(*)::BIGINT AS versions FROM captures GROUP BY ALL)
 SELECT c_custkey AS regulation_id, CASE WHEN h.hash IS NULL THEN 'UNVERIFIED' WHEN c_custkey % 6 = 0 THEN 'TITLE_DIFFERS' ELSE 'VERIFIED' END AS status, hash, effective::VARCHAR AS effective, coalesce(versions, 0) AS versions FROM customer LEFT JOIN h ON regulation_id = c_custkey""")

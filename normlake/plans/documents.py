@@ -369,20 +369,6 @@ def win08_neighbours(spark, sf):
         F.coalesce(F.lead("text").over(order).rlike("unless|except"), F.lit(False)).alias("needs_next"))
 
 
-@query("win10_latest_notes", "WIN10", "WIN11", sql=f"""
-WITH {sq.provisions('p')},
-n AS (SELECT version_id, number, arg_max(l_linestatus, (dated, l_linestatus)) AS kind, max(dated) AS latest, count(*)::BIGINT AS notes FROM p GROUP BY ALL)
-SELECT version_id, number, latest::DATE::VARCHAR AS latest, notes, CASE WHEN kind = 'O' THEN 'ADDED' ELSE 'MODIFIED' END AS kind, CASE WHEN kind = 'O' THEN 'NEW' ELSE 'CHANGED_OLD_WORDING_UNKNOWN' END AS duty
-FROM n WHERE latest >= TIMESTAMP '1999-01-01'""")
-def win10_latest_notes(spark, sf):
-    n = ad.provisions(spark, sf).groupBy("version_id", "number").agg(
-        F.max_by("l_linestatus", F.struct("dated", "l_linestatus")).alias("_k"), F.max("dated").alias("_at"), F.count(F.lit(1)).alias("notes"))
-    added = F.col("_k") == "O"
-    return n.filter("_at >= '1999-01-01'").select(
-        "version_id", "number", F.to_date("_at").cast("string").alias("latest"), "notes", F.when(added, "ADDED").otherwise("MODIFIED").alias("kind"),
-        F.when(added, "NEW").otherwise("CHANGED_OLD_WORDING_UNKNOWN").alias("duty"))
-
-
 @query("fun16_identity", "FUN16", "FIL14", sql="""
 SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS page_no, regexp_extract(url, '/([a-z]{2})/[0-9]+', 1) AS lang,
   CASE WHEN url LIKE '%.example.org/%' THEN 'REGULATOR' WHEN url LIKE '%.example.com/%' THEN 'GAZETTE' ELSE 'NOT_ALLOWED' END AS institution FROM pages""")

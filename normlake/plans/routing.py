@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import routing as ro
+from ..operators.cycles import cycles
 from ..sources.tables import table
 from . import adapters as ad
 from . import sqltext as sq
@@ -299,6 +300,25 @@ def set05_registry_checks(spark, sf):
     return found.groupBy("problem").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("item").alias("items"))
 
 
+#: Which pack includes which: rings of five, chains, some packs that include themselves, and steps between groups of a block of 25.
+INCLUDES = (
+    "SELECT c_custkey AS pack_id, CASE WHEN (c_custkey - 1) % 5 = 4 THEN c_custkey - 4 ELSE c_custkey + 1 END AS included FROM customer WHERE CAST(floor((c_custkey - 1) / 5) AS BIGINT) % 3 = 0 "
+    "UNION ALL SELECT c_custkey, c_custkey + 1 FROM customer WHERE CAST(floor((c_custkey - 1) / 5) AS BIGINT) % 3 <> 0 AND (c_custkey - 1) % 5 < 4 "
+    "UNION ALL SELECT c_custkey, c_custkey FROM customer WHERE c_custkey % 41 = 0 "
+    "UNION ALL SELECT c_custkey, c_custkey + 5 FROM customer WHERE c_custkey % 7 = 0 AND (c_custkey - 1) % 25 < 20 "
+    "UNION ALL SELECT c_custkey, c_custkey - 5 FROM customer WHERE c_custkey % 6 = 0 AND (c_custkey - 1) % 25 >= 5")
+
+
+@query("set05_include_cycles", "SET05", sql=f"""
+WITH RECURSIVE e AS ({INCLUDES}),
+r(a, b) AS (SELECT pack_id, included FROM e UNION SELECT r.a, e.included FROM r JOIN e ON r.b = e.pack_id),
+s AS (SELECT x.a AS node, min(x.b) AS cycle FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a)
+SELECT node, cycle, count(*) OVER (PARTITION BY cycle) AS size FROM s""")
+def set05_include_cycles(spark, sf):
+    table(spark, sf, "customer").createOrReplaceTempView("customer")
+    return cycles(spark.sql(INCLUDES), "pack_id", "included")
+
+
 @query("set06_profile_graph", "SET06", sql="""
 WITH f AS (SELECT s_suppkey AS facility_id, s_suppkey * 13 AS entity_id FROM supplier)
 SELECT facility_id::VARCHAR AS item, 'FACILITY_OF_UNKNOWN_ENTITY' AS problem FROM f WHERE entity_id NOT IN (SELECT c_custkey FROM customer)

@@ -104,3 +104,21 @@ def sentences_sql(name: str, source: str) -> str:
 {name}_l AS (SELECT *, list_filter([CASE WHEN base < length(text) AND NOT regexp_matches(left(text, base), '[0-9][.]$') THEN base END, CASE {second} END], lambda x: x IS NOT NULL) AS cuts FROM {name}_c),
 {name} AS MATERIALIZED (SELECT *, (CASE WHEN i = 1 THEN 0 ELSE cuts[i - 1] + 1 END)::BIGINT AS a, (CASE WHEN i = n THEN length(text) ELSE cuts[i] END)::BIGINT AS b
   FROM (SELECT *, len(cuts) + 1 AS n, unnest(range(1, len(cuts) + 2)) AS i FROM {name}_l))"""
+
+
+#: Notes of the consolidated text: one over a whole article, one at the head of a paragraph, one before an added sentence.
+ADDED = "Ek hüküm uygulanır."
+DATES = ("number % 28 + 1", "version_id % 12 + 1", "2000 + (version_id + number) % 25")
+
+
+def noted_articles(spark: SparkSession, sf: str) -> DataFrame:
+    """``articles`` with amendment notes."""
+    c = clauses(spark, sf).withColumns({"day": F.expr(DATES[0]), "month": F.expr(DATES[1]), "year": F.expr(DATES[2])})
+    dated = F.concat_ws("/", "day", "month", "year")
+    opened = (F.col("number") % 3 == 0) & (F.col("lang") == "en")
+    lines = F.concat(F.lit("("), "number", F.lit(") "), F.when((F.col("version_id") + F.col("number")) % 3 == 1, F.concat(F.lit("(Değişik:RG-"), dated, F.lit("-28769) "))).otherwise(""), "text",
+                     F.when(F.col("number") % 4 == 2, F.concat(F.lit(" (Ek cümle:"), dated, F.lit("-7584/2 md.) " + ADDED))).otherwise(""), F.when(opened, F.lit("\n" + "\n".join((*ITEMS, CLOSING)))).otherwise(""))
+    listed = F.array_sort(F.collect_list(F.struct("number", "text", lines.alias("lines"))))
+    joined = c.groupBy("version_id").agg(F.array_join(F.transform(listed, lambda x: x["lines"]), "\n").alias("text"))
+    head = F.when(F.col("version_id") % 4 == 0, "(Yeniden düzenleme: 24/5/2013-6487/2 md.)\n").otherwise("")
+    return joined.select("version_id", F.concat(head, "text").alias("text"), F.concat(F.lit("art. "), "version_id").alias("label"))

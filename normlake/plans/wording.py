@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import quantity as qt
+from ..operators import amendments as am
 from ..operators import readers as rd
 from ..sources.tables import table
 from . import statutes as st
@@ -271,3 +272,48 @@ def fun41_uncovered_sentences(spark, sf):
     actions = F.when(F.col("number") % 3 == 0, F.array("action")).otherwise(F.array().cast("array<string>"))
     open_ones = rd.laterally(read.select("version_id", "number", "text", F.array_compact(actions).alias("actions")), "uncovered_sentences", "text", "actions")
     return open_ones.groupBy("version_id", "number").agg(F.count(F.lit(1)).alias("sentences"))
+
+
+#: Where the notes of an article lead: to the article, to a paragraph from its head, to the sentence they precede, or to the items of
+#: the list whose lead-in holds them. An added sentence joins the one before where a figure ends that.
+NOTES_SQL = f"""{st.clauses_sql('c')}, {st.lines_sql('l', 'c')}, {st.sentences_sql('s', 'l')},
+g AS MATERIALIZED (SELECT version_id, number, copy, pos, opened, (version_id + number) % 3 = 1 AS lead, number % 4 = 2 AS added, make_date({st.DATES[2]}, {st.DATES[1]}, {st.DATES[0]}) AS dated,
+    max(n) + CASE WHEN number % 4 = 2 AND NOT regexp_matches(any_value(text), '[0-9][.]$') THEN 1 ELSE 0 END AS n FROM s GROUP BY version_id, number, copy, pos, opened),
+e AS (SELECT *, NULL AS item, i AS ord FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM g) WHERE NOT (opened AND i = n)
+  UNION ALL SELECT w.*, it AS item, 1000 AS ord FROM (SELECT *, NULL AS i FROM g WHERE opened) w, (VALUES ('a'), ('b')) v(it)),
+r AS (SELECT *, 'art. ' || version_id || '/f.' || number || coalesce('/b.' || item, '') || CASE WHEN item IS NULL AND n > 1 THEN '/c.' || i ELSE '' END AS bare FROM e),
+cl AS MATERIALIZED (SELECT *, CASE WHEN row_number() OVER w = 1 THEN bare ELSE bare || '(' || row_number() OVER w || ')' END AS ref FROM r WINDOW w AS (PARTITION BY version_id, bare ORDER BY pos, ord)),
+nt AS (SELECT version_id, ref, 'REENACTED' AS action, 'UNSPECIFIED' AS unit, DATE '2013-05-24' AS dated, '6487/2 md' AS instrument, 'ARTICLE' AS level, -1 AS note_at FROM cl WHERE version_id % 4 = 0
+  UNION ALL SELECT t.version_id, t.ref, 'CHANGED', 'UNSPECIFIED', o.dated, '28769', CASE WHEN o.opened AND o.n = 1 THEN 'LIST' WHEN t.copy = o.copy AND t.i = 1 THEN 'OWN' ELSE 'PARAGRAPH' END, o.pos * 2
+    FROM g o JOIN cl t ON o.version_id = t.version_id AND o.number = t.number AND (t.copy = o.copy OR NOT (o.opened AND o.n = 1)) WHERE o.lead
+  UNION ALL SELECT t.version_id, t.ref, 'ADDED', 'SENTENCE', o.dated, '7584/2 md', CASE WHEN o.opened THEN 'LIST' ELSE 'OWN' END, o.pos * 2 + 1
+    FROM g o JOIN cl t ON o.copy = t.copy AND CASE WHEN o.opened THEN t.item IS NOT NULL ELSE t.i = o.n END WHERE o.added)"""
+
+
+@query("win10_clause_notes", "WIN10", sql=f"WITH {NOTES_SQL} SELECT version_id, ref, action, unit, dated::VARCHAR AS dated, instrument, level FROM nt")
+def win10_clause_notes(spark, sf):
+    return am.clause_notes(st.noted_articles(spark, sf)).select("version_id", "ref", "action", "unit", F.col("dated").cast("string").alias("dated"), "instrument", "level")
+
+
+@query("win10_latest_notes", "WIN10", sql=f"""
+WITH {NOTES_SQL}
+SELECT version_id, ref, count(*)::BIGINT AS notes, count(*) FILTER (level = 'OWN') AS own, arg_max(action, {{d: dated, p: -note_at}}) AS action, arg_max(level, {{d: dated, p: -note_at}}) AS level, max(dated)::VARCHAR AS dated FROM nt GROUP BY ALL""")
+def win10_latest_notes(spark, sf):
+    return am.latest_notes(am.clause_notes(st.noted_articles(spark, sf))).withColumn("dated", F.col("dated").cast("string"))
+
+
+@query("win11_changes_since", "WIN11", sql=rf"""
+WITH {NOTES_SQL},
+f AS (SELECT copy, i, regexp_matches(substring(text, a + 1, b - a), '\b(must|shall|may|should|is required to)\b')
+    OR (lang = 'tr' AND i = 1 AND NOT regexp_matches(text, '(saklar|ibraz eder),')) AS duty FROM s
+  UNION ALL SELECT copy, n, true FROM g WHERE added),
+k AS (SELECT copy, i, bool_or(duty) AS duty FROM f GROUP BY ALL),
+d AS (SELECT cl.version_id, cl.ref FROM cl JOIN k ON cl.copy = k.copy AND k.i = CASE WHEN cl.item IS NULL THEN cl.i ELSE cl.n END WHERE k.duty),
+t AS (SELECT version_id, ref, arg_max({{a: action, d: dated, i: instrument}}, {{d: dated, p: -note_at}}) AS x FROM nt WHERE dated >= DATE '2012-01-01' GROUP BY ALL)
+SELECT version_id, ref, CASE WHEN x.a = 'ADDED' THEN 'ADDED' ELSE 'MODIFIED' END AS kind, x.d::VARCHAR AS dated, x.i AS instrument,
+  CASE WHEN d.ref IS NULL THEN 'NO_DUTY_AFFECTED' WHEN x.a = 'ADDED' THEN 'NEW_DUTY' ELSE 'DUTY_CHANGED_OLD_WORDING_UNKNOWN' END AS impact FROM t LEFT JOIN d USING (version_id, ref)""")
+def win11_changes_since(spark, sf):
+    articles = st.noted_articles(spark, sf)
+    units = rd.laterally(articles, "reading_units", "text", "label").select("version_id", "ref", "unit")
+    stated = rd.laterally(units, "duty_markers", "unit").select("version_id", "ref")
+    return am.changes_since(am.clause_notes(articles), stated, "2012-01-01").withColumn("dated", F.col("dated").cast("string"))
