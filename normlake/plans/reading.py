@@ -96,8 +96,8 @@ def set03_structured_changes(spark, sf):
     return out.withColumn("pairing", pairing)
 
 
-CAND_SQL = f"""{GRAMS_SQL.format(name='a', key='query_id', source='(SELECT item_id AS query_id, text FROM benchmark JOIN embeddings ON item_id = vec_id)')},
-{GRAMS_SQL.format(name='b', key='passage_id', source='(SELECT doc_id AS passage_id, text FROM documents JOIN embeddings ON doc_id = vec_id)')},
+CAND_SQL = f"""{GRAMS_SQL.format(name='a', key='query_id', source='(SELECT item_id AS query_id, text FROM benchmark)')},
+{GRAMS_SQL.format(name='b', key='passage_id', source='(SELECT doc_id AS passage_id, text FROM documents)')},
 lex AS (SELECT query_id, passage_id, round_even(sum(a.w * b.w), 4) AS lexical FROM a JOIN b USING (gram) GROUP BY ALL HAVING round_even(sum(a.w * b.w), 4) >= 0.3),
 q AS (SELECT item_id AS query_id, embedding::DOUBLE[] AS e, {sq.stems('text')} AS st FROM benchmark JOIN embeddings ON item_id = vec_id), p AS (SELECT doc_id AS passage_id, embedding::DOUBLE[] AS e, {sq.stems('text')} AS st FROM documents JOIN embeddings ON doc_id = vec_id),
 sem AS (SELECT query_id, passage_id, round(list_dot_product(q.e, p.e), 4) AS cosine, len(list_intersect(q.st, p.st)) AS shared FROM q, p WHERE round(list_dot_product(q.e, p.e), 4) >= 0.55),
@@ -110,11 +110,13 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(cosin
 WITH {CAND_SQL} SELECT query_id, passage_id, lexical, cosine, channels, rank::BIGINT AS rank FROM r WHERE rank <= 3 OR EXISTS (SELECT 1 FROM labels WHERE doc_id = passage_id AND toxic = 1)""")
 def jon16_candidates(spark, sf):
     q, p = ad.vector_duties(spark, sf), ad.vector_passages(spark, sf)
-    lexical = rt.gram_similarity(q, p, "query_id", "passage_id", rt.LEXICAL_FLOOR)
+    # the lexical channel reads every duty and document, the semantic one those that have a vector
+    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("passage_id"), "text")
+    lexical = rt.gram_similarity(ad.duties(spark, sf).withColumnRenamed("item_id", "query_id"), texts, "query_id", "passage_id", rt.LEXICAL_FLOOR)
     semantic = rt.vector_pairs(q.select("query_id", "vector"), p.select("passage_id", "vector"), rt.ANCHOR_FLOOR)
     anchors = semantic.join(q.select("query_id", tx.stems(F.col("text")).alias("a")), "query_id").join(
         p.select("passage_id", tx.stems(F.col("text")).alias("b")), "passage_id").select("query_id", "passage_id", tx.shared(F.col("a"), F.col("b")).alias("shared"))
-    related = q.select("query_id", F.col("query_id").alias("passage_id"))
+    related = ad.duties(spark, sf).select(F.col("item_id").alias("query_id"), F.col("item_id").alias("passage_id"))
     lexical = lexical.withColumnRenamed("similarity", "lexical")
     toxic = table(spark, sf, "labels").filter("toxic = 1").select(F.col("doc_id").alias("passage_id"))
     pairs = lexical.select("query_id", "passage_id").unionByName(semantic.select("query_id", "passage_id"))
