@@ -3,7 +3,7 @@ storage, written per micro-batch, so a replayed batch overwrites its own output
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,9 +14,14 @@ from ..session import checkpoint_dir
 from ..sources.tables import SCHEMAS
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder on the shared storage of the session."""
-    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def feed_folder(spark: SparkSession, name: str, source: str, stream: DataFrame) -> str:
+    """The folder of a feed on the shared storage: the same one for the same name, source and result columns.
+
+    A feed that runs again goes on from its log, so only what has arrived since is read and added; a feed whose columns have
+    changed begins anew beside the old one. In a local session that names no shared folder every run begins anew.
+    """
+    key = hashlib.sha256(f"{source.rstrip('/')}|{stream.schema.json()}".encode()).hexdigest()[:16]
+    return f"{checkpoint_dir(spark).rstrip('/')}/feeds/{name}-{key}"
 
 
 def read_feed(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
@@ -28,25 +33,17 @@ def read_feed(spark: SparkSession, folder: str, name: str, files_per_batch: int
 
 
 def run_append(stream: DataFrame, folder: str) -> DataFrame:
-    """Drains the stream into a parquet table and reads it back."""
+    """Drains the stream into a parquet table and reads it back.
+
+    The sink notes which files belong to which batch, so a batch that is replayed adds nothing twice. Of an aggregation a
+    row appears once its window has closed and stays; the state keeps open windows only.
+    """
     query = (stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/log")
              .outputMode("append").trigger(availableNow=True).start())
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
-def run_complete(stream: DataFrame, folder: str) -> DataFrame:
-    """Drains an aggregation (its result table is rewritten by every batch) and reads the last table."""
-
-    def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/rows")
-
-    query = (stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/log")
-             .outputMode("complete").trigger(availableNow=True).start())
-    query.awaitTermination()
-    return stream.sparkSession.read.parquet(f"{folder}/rows")
-
-
 Step = Callable[[DataFrame, "DataFrame | None"], "tuple[DataFrame, DataFrame]"]
 
 
@@ -117,12 +114,18 @@ def continuity_step(batch: DataFrame, state: DataFrame | None) -> tuple[DataFram
 
 
 def windowed(stream: DataFrame, at: str, delay: str, width: str, slide: str | None, by: list[str], *aggregates: Column) -> DataFrame:
-    """Counts per event-time window.
+    """Aggregates per event-time window, for the append mode: a window comes out when the newest row is ``delay`` past its end.
 
-    In complete mode, which the reports here use, every window stays in the state and late rows are counted, so the state
-    grows with the number of windows; in append or update mode rows more than ``delay`` behind the newest are dropped once
-    their window has closed.
+    Rows of windows that have come out are dropped as late, so the state holds the windows of the last ``delay`` and no others.
     """
-    window = F.window(at, width, slide) if slide else F.window(at, width)
-    counted = stream.withWatermark(at, delay).groupBy(window.alias("w"), *by).agg(*aggregates)
-    return counted.select(F.col("w.start").alias("window_start"), *[c for c in counted.columns if c != "w"])
+    return _closed(stream.withWatermark(at, delay), F.window(at, width, slide) if slide else F.window(at, width), by, aggregates)
+
+
+def sessions(stream: DataFrame, at: str, delay: str, gap: str, by: list[str], *aggregates: Column) -> DataFrame:
+    """Aggregates per session: rows of one key of which none lies ``gap`` or more behind the one before. Otherwise as ``windowed``."""
+    return _closed(stream.withWatermark(at, delay), F.session_window(at, gap), by, aggregates)
+
+
+def _closed(stream: DataFrame, window: Column, by: list[str], aggregates: tuple[Column, ...]) -> DataFrame:
+    counted = stream.groupBy(window.alias("w"), *by).agg(*aggregates)
+    return counted.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *[c for c in counted.columns if c != "w"])

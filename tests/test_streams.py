@@ -1,5 +1,7 @@
 """Feeds that arrive in several files give what the batch twin gives, also when files are replayed."""
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import functions as F
@@ -52,3 +54,46 @@ def test_late_captures_open_no_version(spark):
     assert all((r.change_origin == "LATE") == (r.regulation_id in known) for r in out.collect())
     heads = {r.regulation_id: (r.capture_id, r.version_no) for r in after.collect()}
     assert all(heads[k] == v for k, v in known.items())
+
+
+def daily(spark, folder, per_batch=None):
+    feed = ad.with_utc(fd.read_feed(spark, folder, "events", per_batch), "ts")
+    return fd.windowed(feed, "ts", "1 hour", "1 day", None, [], F.count(F.lit(1)).alias("n"))
+
+
+def test_a_late_file_is_dropped(spark):
+    """A file that arrives after its days have come out adds nothing; without the delay's order the same rows count."""
+    folder, late = parts(spark, "events", ["ts", "event_id"]), tempfile.mkdtemp(prefix="normlake-late-")
+    events = spark.read.schema(SCHEMAS["events"]).parquet(folder).toPandas().sort_values("ts")
+    half, more = len(events) // 2, 3 * len(events) // 4
+    for n, rows in enumerate((events.iloc[half:more], events.iloc[more:], events.iloc[:half])):  # what is late is known one batch after the newest row
+        rows.to_parquet(f"{late}/events-{n}.parquet", index=False, coerce_timestamps="us")
+        os.utime(f"{late}/events-{n}.parquet", (n + 1, n + 1))
+    run = lambda source: {r.window_start: r.n for r in fd.run_append(daily(spark, source, 1), tempfile.mkdtemp(prefix="normlake-run-") + "/x").collect()}
+    in_order, out_of_order = run(folder), run(late)
+    first_day = min(out_of_order)
+    assert sum(in_order.values()) > sum(out_of_order.values()) and min(in_order) < first_day
+    assert all(in_order[d] == n for d, n in out_of_order.items() if d != first_day)
+
+
+def test_a_feed_that_runs_again_adds_only_what_is_new(spark):
+    source, folder = parts(spark, "events", ["ts", "event_id"]), tempfile.mkdtemp(prefix="normlake-grow-")
+    target = tempfile.mkdtemp(prefix="normlake-run-") + "/x"
+    seen = []
+    for i in range(4):
+        shutil.copy(f"{source}/events-{i}.parquet", folder)
+        seen.append({(r.window_start, r.n) for r in fd.run_append(daily(spark, folder), target).collect()})
+        again = {(r.window_start, r.n) for r in fd.run_append(daily(spark, folder), target).collect()}
+        assert again == seen[-1]
+    assert all(a < b for a, b in zip(seen, seen[1:]))
+    whole = {(r.window_start, r.n) for r in fd.run_append(daily(spark, source), tempfile.mkdtemp(prefix="normlake-run-") + "/x").collect()}
+    assert seen[-1] == whole
+
+
+def test_a_folder_follows_name_source_and_columns(spark):
+    class Named:
+        conf = type("C", (), {"get": staticmethod(lambda *a: "/shared/")})
+
+    a, b = spark.createDataFrame([], "x int"), spark.createDataFrame([], "x bigint")
+    names = [fd.feed_folder(Named, n, s, f) for n, s, f in (("n", "/in", a), ("n", "/in/", a), ("n", "/in", b), ("m", "/in", a), ("n", "/on", a))]
+    assert names[0] == names[1] and len(set(names)) == 4 and names[0].startswith("/shared/feeds/n-")
