@@ -122,3 +122,15 @@ def noted_articles(spark: SparkSession, sf: str) -> DataFrame:
     joined = c.groupBy("version_id").agg(F.array_join(F.transform(listed, lambda x: x["lines"]), "\n").alias("text"))
     head = F.when(F.col("version_id") % 4 == 0, "(Yeniden düzenleme: 24/5/2013-6487/2 md.)\n").otherwise("")
     return joined.select("version_id", F.concat(head, "text").alias("text"), F.concat(F.lit("art. "), "version_id").alias("label"))
+
+
+#: What a company's profile says it is, and whom it serves.
+DESCRIPTIONS = ("A licensed bank in three countries", "Ödeme kuruluşu ve sanal POS hizmeti", "General insurer", "Goldsmith and jeweller", "An investment firm with two branches", "E-money wallets", "A software house", "",
+                "Bank headquartered outside Türkiye")
+CUSTOMERS = ("retail consumers and SMEs", "dernek ve vakıflar", "all customers", "legal entities", "corporate customers, merchants", "", "non-resident individuals", "financial institutions")
+
+
+def described(spark: SparkSession, sf: str) -> DataFrame:
+    """(c_custkey, description, customers, jurisdictions_stated) of every customer."""
+    pick = lambda values, shift: F.element_at(F.array(*map(F.lit, values)), ((F.col("c_custkey") + shift) % len(values) + 1).cast("int"))
+    return table(spark, sf, "customer").select("c_custkey", pick(DESCRIPTIONS, 0).alias("description"), pick(CUSTOMERS, F.floor(F.col("c_custkey") / 9)).alias("customers"), (F.col("c_custkey") % 2 == 0).alias("jurisdictions_stated"))

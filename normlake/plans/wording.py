@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import quantity as qt
 from ..operators import amendments as am
+from ..operators import entities as en
 from ..operators import readers as rd
 from ..sources.tables import table
 from . import statutes as st
@@ -317,3 +318,47 @@ def win11_changes_since(spark, sf):
     units = rd.laterally(articles, "reading_units", "text", "label").select("version_id", "ref", "unit")
     stated = rd.laterally(units, "duty_markers", "unit").select("version_id", "ref")
     return am.changes_since(am.clause_notes(articles), stated, "2012-01-01").withColumn("dated", F.col("dated").cast("string"))
+
+
+def _named(text: str, kinds) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches({text}, '{p}') THEN '{k}' END" for k, p in kinds) + "], lambda x: x IS NOT NULL)"
+
+
+#: Kinds by the words of the parts, written for RE2 over blank-padded lower case.
+OBLIGED_KINDS = (("BANK", " banks? | bankalar "), ("PAYMENT_INSTITUTION", "payment institution|ödeme kuruluş"), ("EMONEY_INSTITUTION", "e-?money institution"), ("INSURANCE", " insurers? |sigorta şirket"),
+                 ("BROKER", " investment firms? "), ("FINANCIAL_GENERIC", "financial institution|finansal kuruluş"))
+PARTY_KINDS = (("ASSOCIATION", " dernek"), ("FOUNDATION", " vak[ıi]f"), ("NON_RESIDENT", " non-resident"), ("INDIVIDUAL", " retail client| consumers?[ .,;]| gerçek kişi"), ("LEGAL_ENTITY", " compan(?:y|ies)[ .,;]| şirketler| şirketin"))
+SELF_KINDS = (("BANK", " bank "), ("BROKER", "investment firm"), ("PAYMENT_INSTITUTION", "ödeme kuruluş|sanal pos"), ("EMONEY_INSTITUTION", " e-?money"), ("INSURANCE", " insur"), ("PRECIOUS_METALS", "jewel"))
+FAMILY_KINDS = (("ANY", " all customers"), ("INDIVIDUAL", " retail| consumer| individual"), ("BUSINESS", " smes? | merchant| corporate"), ("LEGAL_ENTITY_GENERIC", " legal entit"), ("ASSOCIATION", " dernek"),
+                ("FOUNDATION", " vak[ıi]f"), ("NON_RESIDENT", " non-resident"), ("CORRESPONDENT", " financial institution"))
+_LOW = lambda t: f"(' ' || regexp_replace(lower(translate({t}, 'İI', 'iı')), '\\s+', ' ', 'g') || ' ')"
+_PICK = lambda values, n: "([" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + f"])[({n}) % {len(values)} + 1]"
+GATE_PARTIES_SQL = rf"""
+h AS (SELECT version_id, number, subject, CASE WHEN regexp_matches(text, '(?s)^(.{{0,220}}?)(?:[;:]|kimlik tespitinde|kimlik tespiti|\bmust\b|\bshall\b|zorundadır|yükümlüdür|$)')
+    THEN regexp_extract(text, '(?s)^(.{{0,220}}?)(?:[;:]|kimlik tespitinde|kimlik tespiti|\bmust\b|\bshall\b|zorundadır|yükümlüdür|$)', 1) ELSE left(text, 220) END AS head FROM du),
+rq AS (SELECT version_id, number, subject, {_named(_LOW('subject'), OBLIGED_KINDS)} AS obliged, {_named(_LOW("CASE WHEN subject = 'Any person' THEN head ELSE subject || ' ' || head END"), PARTY_KINDS)} AS parties FROM h),
+cp AS (SELECT c_custkey, {_PICK(st.DESCRIPTIONS, 'c_custkey')} AS description, {_PICK(st.CUSTOMERS, 'c_custkey + floor(c_custkey / 9)::BIGINT')} AS customers FROM customer),
+pf AS (SELECT c_custkey, {_named(_LOW('description'), SELF_KINDS)} AS kinds, {_named(_LOW('customers'), FAMILY_KINDS)} AS families, customers <> '' AS stated FROM cp)"""
+
+
+@query("fun24_entity_gate", "FUN24", sql=f"""
+WITH {DUTIES_SQL}, {GATE_PARTIES_SQL},
+j AS (SELECT rq.*, c_custkey, kinds, families,
+    list_transform(obliged, lambda k: CASE WHEN k = 'FINANCIAL_GENERIC' THEN CASE WHEN list_has_any(kinds, ['BANK', 'BROKER', 'PAYMENT_INSTITUTION', 'EMONEY_INSTITUTION', 'INSURANCE']) THEN 'MATCH' WHEN kinds = ['PRECIOUS_METALS'] THEN 'MISMATCH' ELSE 'UNDETERMINED' END
+      WHEN list_contains(kinds, k) THEN 'MATCH' WHEN len(kinds) > 0 THEN 'MISMATCH' ELSE 'UNDETERMINED' END) AS o,
+    list_transform(parties, lambda k: CASE WHEN list_contains(families, 'ANY') OR list_contains(families, k) OR (k = 'LEGAL_ENTITY' AND list_has_any(families, ['BUSINESS', 'LEGAL_ENTITY_GENERIC', 'ASSOCIATION', 'FOUNDATION'])) THEN 'MATCH'
+      WHEN k = 'NON_RESIDENT' OR NOT stated THEN 'UNDETERMINED' WHEN k IN ('ASSOCIATION', 'FOUNDATION') AND list_contains(families, 'LEGAL_ENTITY_GENERIC') THEN 'UNDETERMINED'
+      WHEN len(list_filter(families, lambda f: f <> 'CORRESPONDENT')) > 0 THEN 'MISMATCH' ELSE 'UNDETERMINED' END) AS c
+  FROM rq JOIN orders ON o_orderkey = version_id JOIN pf ON c_custkey = o_custkey),
+a AS (SELECT *, CASE WHEN len(o) = 0 THEN NULL WHEN list_unique(o) = 1 AND o[1] = 'MISMATCH' THEN 'MISMATCH' WHEN list_contains(o, 'MATCH') THEN 'MATCH' ELSE 'UNDETERMINED' END AS addressed FROM j)
+SELECT version_id, number, c_custkey, array_to_string(obliged, '; ') AS obliged, array_to_string(parties, '; ') AS counterparties,
+  CASE WHEN len(o) = 0 AND len(c) = 0 THEN 'NOT_RESTRICTED' WHEN addressed = 'MISMATCH' OR (list_unique(c) = 1 AND c[1] = 'MISMATCH') THEN 'MISMATCH'
+       WHEN (list_contains(o, 'MATCH') OR list_contains(c, 'MATCH')) AND coalesce(addressed, 'MATCH') = 'MATCH' AND (len(c) = 0 OR list_contains(c, 'MATCH')) THEN 'MATCH' ELSE 'UNDETERMINED' END AS gate FROM a""")
+def fun24_entity_gate(spark, sf):
+    """Every clause of an order against the profile of its customer; the subject is the clause's opening party."""
+    c = st.clauses(spark, sf)
+    english = F.regexp_extract("text", "^(" + "|".join(sorted(st.ACTORS, key=len, reverse=True)) + ") ", 1)
+    parties = en.required_parties(c.withColumn("subject", F.when(F.col("lang") == "en", english).otherwise(F.substring_index("text", " ", 1))))
+    profiles = en.company_profiles(st.described(spark, sf))
+    asked = parties.join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("version_id"), F.col("o_custkey").alias("c_custkey")), "version_id").join(profiles, "c_custkey")
+    return en.entity_gate(asked).select("version_id", "number", "c_custkey", F.array_join("obliged", "; ").alias("obliged"), F.array_join("counterparties", "; ").alias("counterparties"), "gate")
