@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -192,3 +194,34 @@ def inside(sorted_set: np.ndarray, values: np.ndarray) -> np.ndarray:
         return np.zeros(len(values), dtype=bool)
     place = np.minimum(np.searchsorted(sorted_set, values), len(sorted_set) - 1)
     return sorted_set[place] == values
+
+
+def release() -> None:
+    """Gives memory that is free back to the system: a Python worker lives on after its task and would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def released(fn):
+    """A worker function on groups (of a key and one table or two) or on batches that leaves no free memory behind."""
+    if fn.__code__.co_argcount == 1:
+        def on_batches(batches):
+            yield from fn(batches)
+            release()
+
+        return on_batches
+
+    def on_group(key, table):
+        out = fn(key, table)
+        release()
+        return out
+
+    def on_groups(key, table, other):
+        out = fn(key, table, other)
+        release()
+        return out
+
+    return on_group if fn.__code__.co_argcount == 2 else on_groups

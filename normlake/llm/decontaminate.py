@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from normlake.llm.common import LOWER_WORDS
+from normlake.llm.common import LOWER_WORDS, released
 from normlake.session import ensure_checkpoint_dir
 
 WINDOW = 10
@@ -206,7 +206,7 @@ def scan_texts(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_c
         if number:
             ensure_checkpoint_dir(docs.sparkSession)
             found = found.checkpoint()
-        found = found.mapInArrow(_pass(block, window), _SCHEMA)
+        found = found.mapInArrow(released(_pass(block, window)), _SCHEMA)
     return found
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from normlake.llm.common import spread, tasks_for
+from normlake.llm.common import spread, tasks_for, released
 from normlake.session import ensure_checkpoint_dir
 
 BLOCK_BYTES = 4096
@@ -84,7 +84,7 @@ def name_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     n = 8 * tasks_for(docs)
     longest = source.agg(F.max(F.length("text"))).first()[0] or 0
-    first = _named(source.mapInArrow(_blocks(block_bytes), _SCHEMA), ["block"], n).checkpoint()
+    first = _named(source.mapInArrow(released(_blocks(block_bytes)), _SCHEMA), ["block"], n).checkpoint()
     done = first.where("blocks = 1").select("rep", "blocks", "name", "members")
     if longest <= block_bytes:
         return done

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from normlake.llm.common import NO_ID, WIDE, by_size, cuts, ids_of, mix, pack_sorted, planes, room, spread, tasks_for, text_of_word, unpack_sorted, unplanes, window_hash, words_of
+from normlake.llm.common import NO_ID, WIDE, by_size, cuts, ids_of, mix, pack_sorted, planes, room, spread, tasks_for, text_of_word, unpack_sorted, unplanes, window_hash, words_of, released
 from normlake.llm.components import components
 from normlake.session import ensure_checkpoint_dir
 
@@ -319,7 +319,7 @@ def _divide_large(large: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]
     pivots = large.groupBy("region").agg(F.min_by(F.struct(F.col("id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("shingles").alias("pivot_shingles")), "id").alias("p"))
     pivots = pivots.select("region", "p.*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = large.withColumn("salt", spread(F.col("id"), SALTS)).join(pivots, ["region", "salt"]).where("id != pivot").drop("salt")
-    measured = salted.mapInArrow(_to_pivot(percent), "region bigint, id bigint, n bigint, shingles binary, pivot bigint, apart double, near boolean").checkpoint()
+    measured = salted.mapInArrow(released(_to_pivot(percent)), "region bigint, id bigint, n bigint, shingles binary, pivot bigint, apart double, near boolean").checkpoint()
     links = measured.where("near").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
     nearest = measured.where("NOT near").groupBy("region").agg(F.min("apart").alias("nearest"))
     left = measured.join(nearest, "region").where(~F.col("near") | (F.col("apart") >= F.col("nearest") - (1 - percent / 100) - 1e-9))
@@ -330,11 +330,11 @@ def _links(sets: DataFrame, n: int, percent: int, local_shingles: int) -> DataFr
     shares, found = 2 * n, None
     while True:
         dealt = sets.withColumn("chunk", spread(F.struct("region", "id"), 2 * n)).repartition(n, "chunk").groupBy("chunk")
-        rulers = dealt.applyInArrow(_send_ids(shares), _SENT_SQL).groupBy("share").applyInArrow(_tell_rulers, _BACK_SQL)
-        placed = dealt.cogroup(rulers.groupBy("chunk")).applyInArrow(_place(percent), _SETS_SQL).checkpoint()
+        rulers = dealt.applyInArrow(released(_send_ids(shares)), _SENT_SQL).groupBy("share").applyInArrow(released(_tell_rulers), _BACK_SQL)
+        placed = dealt.cogroup(rulers.groupBy("chunk")).applyInArrow(released(_place(percent)), _SETS_SQL).checkpoint()
         sizes = placed.groupBy("region").agg(F.count(F.lit(1)).alias("sets"), F.sum(F.length("shingles") / 8).alias("weight")).where("sets > 1")
         known = placed.join(sizes, "region")
-        own = known.where(F.col("weight") <= local_shingles).select("region", "id", "n", "shingles").groupBy("region").applyInArrow(_join_region(percent), _LINKS_SQL)
+        own = known.where(F.col("weight") <= local_shingles).select("region", "id", "n", "shingles").groupBy("region").applyInArrow(released(_join_region(percent)), _LINKS_SQL)
         large = known.where(F.col("weight") > local_shingles).select("region", "id", "n", "shingles")
         found = own if found is None else found.unionByName(own)
         if large.isEmpty():
@@ -357,12 +357,12 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     dealt = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     dealt = dealt.withColumn("chunk", spread(F.struct("doc_id", F.length("text")), chunks))
     by_chunk = dealt.repartition(n, "chunk").groupBy("chunk")
-    signed = dealt.mapInArrow(_sign(shingle), _SIGNED_SQL).checkpoint()
+    signed = dealt.mapInArrow(released(_sign(shingle)), _SIGNED_SQL).checkpoint()
     classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("one", "two").agg(F.min(F.struct("doc_id", "chunk")).alias("low"))
     stand = classes.select("low.chunk", "low.doc_id", F.lit(None).cast("int").alias("share"), F.lit(None).cast("binary").alias("answer"))
-    asked = by_chunk.cogroup(stand.groupBy("chunk")).applyInArrow(_send_shingles(shingle, shares), _SENT_SQL)
-    back = asked.groupBy("share").applyInArrow(_tell_shared, _BACK_SQL).unionByName(stand)
-    sets = by_chunk.cogroup(back.groupBy("chunk")).applyInArrow(_survive(shingle, percent, shares), _SETS_SQL).checkpoint()
+    asked = by_chunk.cogroup(stand.groupBy("chunk")).applyInArrow(released(_send_shingles(shingle, shares)), _SENT_SQL)
+    back = asked.groupBy("share").applyInArrow(released(_tell_shared), _BACK_SQL).unionByName(stand)
+    sets = by_chunk.cogroup(back.groupBy("chunk")).applyInArrow(released(_survive(shingle, percent, shares)), _SETS_SQL).checkpoint()
     found = components(_links(sets, n, percent, local_shingles))
     named = classes.select("one", "two", F.col("low.doc_id").alias("class_id")).join(found, F.col("class_id") == found["node"], "left")
     named = named.select(F.col("one").alias("_one"), F.col("two").alias("_two"), "class_id", F.coalesce("component", "class_id").alias("component_id"))

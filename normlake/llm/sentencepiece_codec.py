@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from normlake.llm.common import by_size
+from normlake.llm.common import by_size, released
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -258,7 +258,7 @@ def encode(docs: DataFrame, model: str = MODEL, threads: int = 1, id_col: str =
             codec._forget()
 
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, _SCHEMA).select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"), "parity", "round_trip")
+    return source.mapInArrow(released(run), _SCHEMA).select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"), "parity", "round_trip")
 
 
 def decode(rows: DataFrame, model: str = MODEL, threads: int = 1, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -271,4 +271,4 @@ def decode(rows: DataFrame, model: str = MODEL, threads: int = 1, id_col: str =
             out = [None if i is None else next(texts) for i in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
 
-    return rows.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id bigint, text string")
+    return rows.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(released(run), "doc_id bigint, text string")
