@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import duties as du
 from ..functions.amendments import notes_in
 from ..functions.grounding import locate, quote_span
+from ..functions.limits import read_limits
 from ..functions.numerals import read_quantities
 from ..functions.segmentation import reading_units, sentence_spans, split_clauses
 
@@ -25,6 +26,7 @@ UNIT = "seq int, ref string, kind string, segments array<struct<start: int, end:
 MARKER = "seq int, start int, end int, marker string, mode string, binding boolean, turkish boolean, alone boolean"
 DUTY = "seq int, status string, subject string, modality string, action string, start int, end int, conditions array<string>, exceptions array<string>"
 ELEMENT = "duty int, id string, kind string, element string, critical boolean"
+LIMIT = "seq int, limit string, start int, end int, attribute string, value double, unit string, comparator string, role string"
 NOTE = "seq int, start int, end int, action string, unit string, dated date, instrument string, on_own_line boolean"
 FOUND = "start int, end int, rung string, reason string"
 
@@ -113,7 +115,15 @@ class AmendmentNotes:
             yield n, *note
 
 
-TABLE_FUNCTIONS = {"amendment_notes": (AmendmentNotes, NOTE), "duty_markers": (DutyMarkers, MARKER), "read_duties": (ReadDuties, DUTY), "duty_elements": (DutyElements, ELEMENT), "missing_qualifiers": (MissingQualifiers, "seq int, span string"),
+class ReadLimits:
+    """Limits and conditions on a property of a product or place."""
+
+    def eval(self, text: str):
+        for n, limit in enumerate(read_limits(text)):
+            yield n, *limit
+
+
+TABLE_FUNCTIONS = {"read_limits": (ReadLimits, LIMIT), "amendment_notes": (AmendmentNotes, NOTE), "duty_markers": (DutyMarkers, MARKER), "read_duties": (ReadDuties, DUTY), "duty_elements": (DutyElements, ELEMENT), "missing_qualifiers": (MissingQualifiers, "seq int, span string"),
                    "uncovered_sentences": (UncoveredSentences, "seq int, start int, end int"),
                    "read_quantities": (ReadQuantities, QUANTITY), "split_sentences": (SplitSentences, SENTENCE), "split_clauses": (SplitClauses, CLAUSE), "reading_units": (ReadingUnits, UNIT)}
 

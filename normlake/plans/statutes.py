@@ -134,3 +134,15 @@ def described(spark: SparkSession, sf: str) -> DataFrame:
     """(c_custkey, description, customers, jurisdictions_stated) of every customer."""
     pick = lambda values, shift: F.element_at(F.array(*map(F.lit, values)), ((F.col("c_custkey") + shift) % len(values) + 1).cast("int"))
     return table(spark, sf, "customer").select("c_custkey", pick(DESCRIPTIONS, 0).alias("description"), pick(CUSTOMERS, F.floor(F.col("c_custkey") / 9)).alias("customers"), (F.col("c_custkey") % 2 == 0).alias("jurisdictions_stated"))
+
+
+#: Sentences on properties of products and places; N stands for a number of the row.
+PROPERTY_RULES = ("Kafein miktarı en fazla N mg/L olabilir.", "Etil alkol miktarı N,5 g/L den fazla olamaz.", "Meyve oranı en az %N olmalıdır.", "Taurin miktarı N mg/L den fazla olan ürünler etiketlenir.",
+                  "Kinin miktarı N mg/L’yi geçemez.", "Okullara N metre mesafeden yakın satış yapılamaz.", "Hacmen % N ve daha fazla alkol içeren içecekler ayrıca işaretlenir.", "pH değeri N’i geçemez.",
+                  "-İnositol N mg/L -Taurin 800 mg/L den fazla olamaz.", "Etiket yazısı N mm den azdır.", "Kayıtlar saklanır.", "Okullara yüz elli metre mesafeden yakın satış yapılamaz.")
+
+
+def property_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """(p_partkey, text): what is required of each part."""
+    pattern = F.element_at(F.array(*map(F.lit, PROPERTY_RULES)), (F.col("p_partkey") % len(PROPERTY_RULES) + 1).cast("int"))
+    return table(spark, sf, "part").select("p_partkey", F.regexp_replace(pattern, F.lit(r"\bN\b"), (F.floor(F.col("p_partkey") / 7) % 900 + 2).cast("string")).alias("text"))

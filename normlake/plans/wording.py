@@ -362,3 +362,18 @@ def fun24_entity_gate(spark, sf):
     profiles = en.company_profiles(st.described(spark, sf))
     asked = parties.join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("version_id"), F.col("o_custkey").alias("c_custkey")), "version_id").join(profiles, "c_custkey")
     return en.entity_gate(asked).select("version_id", "number", "c_custkey", F.array_join("obliged", "; ").alias("obliged"), F.array_join("counterparties", "; ").alias("counterparties"), "gate")
+
+
+#: By the number of the sentence: written limit, property, value, unit, comparator, role; N is the row's number.
+LIMIT_FACTS = ((0, "N mg/L", "caffeine_mg_per_l", "n", "mg/L", "le", "LIMIT"), (1, "N,5 g/L", "ethanol_g_per_l", "n + 0.5", "g/L", "le", "LIMIT"), (2, "%N", "fruit_percent", "n", "%", "ge", "LIMIT"),
+               (3, "N mg/L", "taurine_mg_per_l", "n", "mg/L", "gt", "CONDITION"), (4, "N mg/L", "property:kinin", "n", "mg/L", "le", "LIMIT"), (5, "N metre", "distance_m", "n", "m", "eq", "LIMIT"),
+               (6, "% N", "abv_percent", "n", "%", "ge", "CONDITION"), (7, "pH değeri N", "ph", "n", "pH", "le", "LIMIT"), (8, "N mg/L", "inositol_mg_per_l", "n", "mg/L", "le", "LIMIT"),
+               (8, "800 mg/L", "taurine_mg_per_l", "800", "mg/L", "le", "LIMIT"), (9, "N mm", None, "n", "mm", "lt", "CONDITION"), (11, "yüz elli metre", "distance_m", "150", "m", "eq", "LIMIT"))
+
+
+@query("fun12_limits", "FUN12", "UDTF02", sql=f"""
+WITH p AS (SELECT p_partkey, p_partkey % {len(st.PROPERTY_RULES)} AS k, (p_partkey // 7) % 900 + 2 AS n FROM part),
+f AS ({' UNION ALL '.join(f"SELECT p_partkey, replace('{w}', 'N', n::VARCHAR) AS written, {_cell(a)}::VARCHAR AS attribute, ({v})::DOUBLE AS value, '{u}' AS unit, '{c}' AS comparator, '{r}' AS role FROM p WHERE k = {k}" for k, w, a, v, u, c, r in LIMIT_FACTS)})
+SELECT p_partkey, written AS "limit", attribute, value, unit, comparator, role FROM f""")
+def fun12_limits(spark, sf):
+    return rd.laterally(st.property_rules(spark, sf), "read_limits", "text").select("p_partkey", "limit", "attribute", "value", "unit", "comparator", "role")
