@@ -115,21 +115,33 @@ def _narrow(values: np.ndarray) -> np.ndarray:
 def _stored(folder: str, name: str, hashes: np.ndarray, counts: np.ndarray) -> list[np.memmap]:
     """Writes a share's sorted hashes and counts once (a rerun replaces the file by the same bytes) and maps the counts, column by column.
 
-    Hashes are differences as byte planes without the high planes that are all zero, counts are as narrow as they can be.
+    Behind a head (how many, the first hash, bytes of the gaps, width of each column) stand the counts, as narrow as they can
+    be, and the gaps between hashes as byte planes without the high planes that are all zero.
     """
     path = os.path.join(folder, name)
     part = f"{path}.{uuid.uuid4().hex}"
-    gaps = pack_sorted(hashes)
-    while len(gaps) > len(hashes) and not any(gaps[len(gaps) - len(hashes) :]):
+    gaps = planes(np.diff(hashes, prepend=hashes[:1]))
+    while gaps and not any(gaps[len(gaps) - len(hashes) :]):
         gaps = gaps[: len(gaps) - len(hashes)]
     columns = [_narrow(c) for c in counts.T]
-    head = np.asarray([len(hashes), len(gaps), *(c.itemsize for c in columns)], dtype=np.int64)
+    first = hashes[:1].view(np.int64)[0] if len(hashes) else 0
+    head = np.asarray([len(hashes), first, len(gaps), len(columns), *(c.itemsize for c in columns)], dtype=np.int64)
     with open(part, "wb") as file:
         for block in (head.tobytes(), *(c.tobytes() for c in columns), gaps):
             file.write(block)
     os.replace(part, path)
-    at = head.nbytes + np.cumsum([0, *(c.nbytes for c in columns)])
-    return [np.memmap(path, dtype=c.dtype, mode="r", offset=int(o), shape=(len(hashes),)) for c, o in zip(columns, at)]
+    return read_share(path)[1]
+
+
+def read_share(path: str) -> tuple[np.ndarray, list[np.memmap]]:
+    """Sorted hashes of a stored share, and its counts mapped column by column."""
+    n, first, gaps, columns = (int(v) for v in np.fromfile(path, dtype=np.int64, count=4))
+    widths = np.fromfile(path, dtype=np.int64, count=columns, offset=32).tolist()
+    at = 32 + 8 * columns + n * np.cumsum([0, *widths])
+    mapped = [np.memmap(path, dtype=f"u{w}", mode="r", offset=int(o), shape=(n,)) if n else np.zeros(0, dtype=f"u{w}") for w, o in zip(widths, at)]
+    raw = np.fromfile(path, dtype=np.uint8, count=gaps, offset=int(at[-1])).tobytes()
+    steps = unplanes(raw + bytes(8 * n - gaps), WIDE) if n else np.zeros(0, dtype=WIDE)
+    return np.cumsum(steps, dtype=WIDE) + np.int64(first).astype(WIDE), mapped
 
 
 def _answer(level: int, columns: int, folder: str):

@@ -3,8 +3,11 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 from conftest_llm import ODD, frame
-from normlake.llm.kneser_ney import discounts, score
+from normlake.llm.common import pack_sorted, planes
+from normlake.llm.kneser_ney import _answer, _stored, discounts, read_share, score
 from pyspark.sql import functions as F
 
 
@@ -65,3 +68,24 @@ def test_probabilities_of_a_context_add_up(spark):
 def test_without_training_rows_or_rows(odd, nothing):
     assert all(r.train_tokens == 0 and abs(r.score) < 1e-12 for r in score(odd, F.lit(False)).collect())
     assert score(nothing, F.lit(True)).collect() == []
+
+
+def test_a_stored_share_comes_back(tmp_path):
+    r = np.random.default_rng(3)
+    for n, low in ((0, 0), (1, 2**63 + 5), (2000, 2**62)):
+        hashes = np.unique(r.integers(low, low + 2**40 + 1, n, dtype=np.uint64))
+        counts = np.stack([np.ones(len(hashes)), r.integers(0, 300, len(hashes)), r.integers(0, 2**20, len(hashes))], axis=1).astype(np.uint32)
+        mapped = _stored(str(tmp_path), f"share-{n}", hashes, counts)
+        again, columns = read_share(str(tmp_path / f"share-{n}"))
+        assert np.array_equal(again, hashes) and all(np.array_equal(c, m) for c, m in zip(counts.T, columns)) and len(mapped) == 3
+        assert n < 2000 or (tmp_path / f"share-{n}").stat().st_size < len(hashes) * (5 + 1 + 2 + 4) + 100
+
+
+def test_who_speaks_for_a_bigram_does_not_depend_on_the_order_of_blocks(tmp_path):
+    hashes = [np.array([3, 5, 9], dtype=np.uint64), np.array([5, 9, 11], dtype=np.uint64)]
+    rows = [{"share": 0, "chunk": c, "hashes": pack_sorted(h), "counts": planes(np.array([1, 2, 1], dtype=np.uint32))} for c, h in zip((4, 2), hashes)]
+    told = []
+    for order in (rows, rows[::-1]):
+        table = pa.Table.from_pylist(order, schema=pa.schema([("share", pa.int32()), ("chunk", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())]))
+        told.append(sorted((r["chunk"], r["own"]) for r in _answer(1, 1, str(tmp_path))((pa.scalar(0),), table).to_pylist()))
+    assert told[0] == told[1]
