@@ -9,7 +9,7 @@ from ..functions import quantity as qt
 from ..functions import scan
 from ..functions import text as tx
 from ..operators import documents as dc
-from ..sources.html import page_paragraphs
+from ..sources.html import page_heads, page_paragraphs
 from ..sources.tables import table
 from . import adapters as ad
 from . import sqltext as sq
@@ -25,11 +25,49 @@ def src01_corpus_scan(spark, sf):
     return stored.select("doc_id", (F.sha2("text", 256) == F.col("raw_hash")).alias("verified"), F.size(F.split("text", "\n")).cast("bigint").alias("provisions"))
 
 
-@query("src02_page_paragraphs", "SRC02")
+def _unescaped(text: str) -> str:
+    for entity, letter in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        text = f"replace({text}, '{entity}', '{letter}')"
+    return f"trim(regexp_replace(replace({text}, chr(160), ' '), '\\s+', ' ', 'g'))"
+
+
+#: The article's tokens in order; a paragraph is open from its tag to the end tag that closes it, paragraphs in between are part of it.
+PARAGRAPHS_SQL = f"""
+a AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS body FROM pages),
+t AS (SELECT page_id, generate_subscripts(w, 1) AS i, unnest(w) AS tok FROM (SELECT page_id, regexp_extract_all(body, '(?s)<!--.*?-->|</?[a-zA-Z][^>]*>|[^<]+') AS w FROM a)),
+d AS (SELECT *, sum(CASE tok WHEN '<p>' THEN 1 WHEN '</p>' THEN -1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS open, sum(CASE tok WHEN '<h1>' THEN 1 WHEN '</h1>' THEN -1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS heading FROM t),
+b AS (SELECT *, sum(CASE WHEN open = 1 AND tok = '<p>' THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS no FROM d),
+h AS (SELECT page_id, {_unescaped("string_agg(tok, ' ' ORDER BY i)")} AS title FROM b WHERE heading > 0 AND NOT starts_with(tok, '<') GROUP BY page_id),
+x AS (SELECT page_id, no, {_unescaped("string_agg(tok, ' ' ORDER BY i)")} AS text FROM b WHERE open > 0 AND NOT starts_with(tok, '<') GROUP BY page_id, no)"""
+
+
+@query("src02_page_paragraphs", "SRC02", sql=f"""
+WITH {PARAGRAPHS_SQL}
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY no) - 1 AS ordinal, title AS section, (row_number() OVER (PARTITION BY page_id ORDER BY no))::VARCHAR AS number, text, NULL::VARCHAR AS problem
+FROM x JOIN h USING (page_id) WHERE text <> ''""")
 def src02_page_paragraphs(spark, sf):
     return page_paragraphs(table(spark, sf, "pages")).select("page_id", "ordinal", "section", "number", "text", "problem")
 
 
+#: The given pages state no dates; every other one gets the metadata that pages of this kind carry.
+@query("src02_page_heads", "SRC02", sql=f"""
+WITH {PARAGRAPHS_SQL}
+SELECT page_id, title, CASE WHEN page_id % 2 = 0 THEN CASE WHEN page_id % 6 = 0 THEN '2024-05-' ELSE '2023-04-' END || lpad((page_id % 28 + 1)::VARCHAR, 2, '0') END AS published,
+  CASE WHEN page_id % 3 = 0 THEN '2025-01-01' END AS effective, CASE WHEN page_id % 5 = 4 THEN 'NO_MAIN_CONTENT' END AS problem FROM h""")
+def src02_page_heads(spark, sf):
+    key, day = F.col("page_id"), F.lpad((F.col("page_id") % 28 + 1).cast("string"), 2, "0")
+    metas = F.concat(
+        F.when(key % 2 == 0, F.concat(F.lit('<meta property="article:published_time" content="2023-04-'), day, F.lit('T10:00:00Z">'))).otherwise(""),
+        F.when(key % 6 == 0, F.concat(F.lit('<meta property="funnelback:published-date" content="2024/05/'), day, F.lit('">'))).otherwise(""),
+        F.when(key % 3 == 0, F.lit('<meta name="effective-date" content="2025-01-01">')).otherwise(F.lit('<meta name="effective-date" content="2025-13-01">')))
+    html = F.replace(F.col("html"), F.lit("</head>"), F.concat(metas, F.lit("</head>")))
+    # pages without an article keep their title and are refused; of the others some hold their text in a role instead
+    html = F.when(key % 5 == 4, F.replace(html, F.lit("article>"), F.lit("section>"))).when(
+        key % 5 == 3, F.replace(F.replace(html, F.lit("<article>"), F.lit('<div role="main">')), F.lit("</article>"), F.lit("</div>"))).otherwise(html)
+    heads = page_heads(table(spark, sf, "pages").withColumn("html", html))
+    return heads.select("page_id", "title", F.col("published").cast("string").alias("published"), F.col("effective").cast("string").alias("effective"), "problem")
+
+
 @query("src02_page_counts", "SRC02", sql="""
 WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS body FROM pages)
 SELECT page_id, (len(regexp_extract_all(body, '<p>')) > 0) AS has_paragraphs, contains(body, '<script') AS has_script FROM a""")

@@ -1,8 +1,11 @@
-"""Raw pages -> ordered paragraph rows. Spark partitions the pages; the parser reads one page at a time."""
+"""Raw pages -> ordered paragraph rows. Spark partitions the pages; the parser reads one page at a time, twice: once for what
+holds the text, the title and the dates, once for the paragraphs."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from datetime import date
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -11,104 +14,183 @@ from pyspark.sql import functions as F
 
 # What holds no text of the page itself, what is one paragraph, which titles mean a challenge page.
 DROPPED = {"script", "style", "nav", "header", "footer", "form", "aside", "noscript", "button", "iframe"}
-WHOLE = {"li", "tr", "blockquote"}
+BLOCKS = {"p", "li", "tr", "blockquote"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 CHALLENGES = ("access denied", "just a moment", "captcha")
 VOID = {"br", "img", "meta", "link", "input", "hr", "area", "base", "col", "embed", "source", "track", "wbr"}
+#: Where a page says when it was published and takes effect, the more trusted last.
+PUBLISHED, EFFECTIVE = ("date", "article:published_time", "funnelback:published-date"), "effective-date"
 SCHEMA = ("page_id bigint, ordinal bigint, section string, number string, heading_path array<string>, text string, "
           "locator_kind string, problem string")
+HEAD_SCHEMA = "page_id bigint, title string, published date, effective date, problem string"
 
 
-class _Page(HTMLParser):
-    """Collects (section, id, heading path, text) of the main part of one page."""
+def _plain(pieces: list[str]) -> str:
+    return " ".join(" ".join(pieces).split())
 
-    def __init__(self, container: str):
+
+def stated_date(value: str | None) -> date | None:
+    """The first day written year-month-day, if it exists."""
+    found = re.search(r"(?<![0-9])([0-9]{4}-[0-9]{2}-[0-9]{2})(?![0-9])", (value or "").replace("/", "-"))
+    try:
+        return date.fromisoformat(found.group(1)) if found else None
+    except ValueError:
+        return None
+
+
+class _Elements(HTMLParser):
+    """Open elements as a stack: an end tag closes the last one of its name and all inside it, one without a beginning nothing."""
+
+    def __init__(self):
         super().__init__(convert_charrefs=True)
+        self.open: list[str] = []
+        self.started = 0
+
+    def handle_starttag(self, tag, attrs):
+        self.started += 1
+        self.begin(tag, dict(attrs))
+        if tag not in VOID:
+            self.open.append(tag)
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
+            self.handle_endtag(tag)
+
+    def handle_endtag(self, tag):
+        closed = None
+        while tag in self.open and closed != tag:
+            closed = self.open.pop()
+            self.end(closed)
+
+    def finish(self):
+        self.close()
+        while self.open:
+            self.end(self.open.pop())
+
+
+class _Head(_Elements):
+    """Which element holds the text, the title and the dates."""
+
+    def __init__(self):
+        super().__init__()
+        self.found: dict[str, int] = {}
+        self.meta: dict[str, str] = {}
+        self.h1: list[str] | None = None
+        self.title: list[str] | None = None
+        self.collecting: list[str] | None = None
+
+    def begin(self, tag, attrs):
+        kinds = [k for k, holds in (("history", tag == "article" and "data-history-node-id" in attrs), ("main", tag == "main"), ("role", attrs.get("role") == "main"), ("article", tag == "article")) if holds]
+        for kind in kinds:
+            self.found.setdefault(kind, self.started)
+        if tag == "meta":
+            for key in (attrs.get("property"), attrs.get("name")):
+                if key:
+                    self.meta.setdefault(key, attrs.get("content") or "")
+        if tag == "h1" and self.h1 is None:
+            self.h1 = self.collecting = []
+        elif tag == "title" and self.title is None:
+            self.title = self.collecting = []
+
+    def end(self, tag):
+        if tag in ("h1", "title"):
+            self.collecting = None
+
+    def handle_data(self, data):
+        if self.collecting is not None:
+            self.collecting.append(data)
+
+
+class _Page(_Elements):
+    """(section, id, heading path, text) of every paragraph inside the element of a number."""
+
+    def __init__(self, container: int):
+        super().__init__()
         self.container = container
-        self.inside = self.skipped = 0
-        self.title: list[str] = []
-        self.in_title = False
+        self.inside = self.hidden = self.blocks = 0
         self.headings: list[tuple[int, str]] = []
         self.section = "preamble"
-        self.block: str | None = None
-        self.depth = 0
-        self.anchor = None
+        self.anchor: str | None = None
         self.words: list[str] = []
+        self.heading: tuple[int, str | None, list[str]] | None = None
         self.rows: list[tuple[str, str | None, list[str], str]] = []
+        self.depth_of: list[tuple[bool, bool]] = []
 
-    def _close(self):
-        text = " ".join("".join(self.words).split())
-        tag, anchor = self.block, self.anchor
-        self.block, self.words, self.anchor, self.depth = None, [], None, 0
-        if not text or tag is None:
-            return
-        if tag in HEADINGS:
-            level = int(tag[1])
-            self.headings = [h for h in self.headings if h[0] < level] + [(level, text)]
-            self.section = anchor or " / ".join(h for _, h in self.headings)
-        else:
-            self.rows.append((self.section, anchor, [h for _, h in self.headings], text))
-
-    def handle_starttag(self, tag, attrs):
+    def begin(self, tag, attrs):
         if tag in VOID:
-            self.words.append(" ")
             return
-        if tag in DROPPED:
-            self.skipped += 1
-        if tag == "title":
-            self.in_title = True
-        if tag == self.container:
-            self.inside += 1
-        if self.skipped or not self.inside:
-            return
-        if self.block in WHOLE:
-            self.depth += tag == self.block
-            self.words.append(" ")
-        elif tag == "p" or tag in WHOLE or tag in HEADINGS:
-            self._close()
-            self.block, self.anchor = tag, dict(attrs).get("id")
-        else:
-            self.words.append(" ")
-
-    def handle_endtag(self, tag):
-        if tag in DROPPED:
-            self.skipped = max(0, self.skipped - 1)
-        elif tag == "title":
-            self.in_title = False
-        elif tag == self.container:
-            self._close()
-            self.inside = max(0, self.inside - 1)
-        elif tag == self.block:
-            if self.depth:
-                self.depth -= 1
-            else:
-                self._close()
-        else:
-            self.words.append(" ")
+        self.inside += bool(self.inside) or self.started == self.container
+        hides = bool(self.hidden) or (bool(self.inside) and self.started != self.container and (tag in DROPPED or attrs.get("aria-hidden") == "true"))
+        self.hidden += hides
+        block = bool(self.inside) and not self.hidden and tag in BLOCKS
+        if block and not self.blocks:
+            self.anchor, self.words = attrs.get("id"), []
+        self.blocks += block
+        if self.inside and not self.hidden and tag in HEADINGS:
+            self.heading = (int(tag[1]), attrs.get("id"), [])
+        self.depth_of.append((hides, block))
+
+    def end(self, tag):
+        hides, block = self.depth_of.pop()
+        self.hidden -= hides
+        self.blocks -= block
+        if block and not self.blocks:
+            text = _plain(self.words)
+            if text:
+                self.rows.append((self.section, self.anchor, [h for _, h in self.headings], text))
+        if self.heading and tag in HEADINGS:
+            level, anchor, words = self.heading
+            self.heading, text = None, _plain(words)
+            if text:
+                self.headings = [h for h in self.headings if h[0] < level] + [(level, text)]
+                self.section = anchor or " / ".join(h for _, h in self.headings)
+        self.inside -= bool(self.inside)
 
     def handle_data(self, data):
-        if self.in_title:
-            self.title.append(data)
-        if self.inside and not self.skipped and self.block:
-            self.words.append(data)
+        if self.inside and not self.hidden:
+            if self.blocks:
+                self.words.append(data)
+            if self.heading:
+                self.heading[2].append(data)
+
+
+def head_of(html: str) -> tuple[str | None, date | None, date | None, str | None, int | None]:
+    """(title, published, effective, problem, number of the element that holds the text) of a page."""
+    head = _Head()
+    head.feed(html)
+    head.finish()
+    title = head.h1 if head.h1 is not None else head.title
+    published = None
+    for key in PUBLISHED:
+        published = stated_date(head.meta.get(key)) or published
+    container = next((head.found[k] for k in ("history", "main", "role", "article") if k in head.found), None)
+    text = _plain(title) if title is not None else None
+    problem = "NO_TITLE" if text is None else "ACCESS_CHALLENGE" if any(mark in text.lower() for mark in CHALLENGES) else "NO_MAIN_CONTENT" if container is None else None
+    return text, published, stated_date(head.meta.get(EFFECTIVE)), problem, container
 
 
 def paragraphs_of(html: str) -> tuple[list[tuple[str, str | None, list[str], str]], str | None]:
-    """(rows, problem) of one page."""
-    lowered = html.lower()
-    container = next((c for c in ("main", "article") if f"<{c}" in lowered), None)
-    if container is None:
-        return [], "NO_MAIN_CONTENT"
+    """(rows, problem) of one page. A paragraph inside another is part of it."""
+    *_, problem, container = head_of(html)
+    if problem:
+        return [], problem
     page = _Page(container)
     page.feed(html)
-    page.close()
-    page._close()
-    title = " ".join("".join(page.title).split()).lower()
-    if any(mark in title for mark in CHALLENGES):
-        return [], "ACCESS_CHALLENGE"
+    page.finish()
     return page.rows, None if page.rows else "NO_PARAGRAPHS"
 
 
+def page_heads(pages: DataFrame) -> DataFrame:
+    """Title (first h1, else title), dates and problem of every page; dates are what the page's metadata state."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(page_id, *head_of(html or "")[:4]) for page_id, html in zip(batch["page_id"], batch["html"])], columns=["page_id", "title", "published", "effective", "problem"])
+
+    return pages.select("page_id", "html").mapInPandas(read, HEAD_SCHEMA)
+
+
 def page_paragraphs(pages: DataFrame) -> DataFrame:
     """One row per paragraph; a page that gives none is one row with its problem. Repeated locators are numbered ``n~2``."""
 

@@ -1,6 +1,7 @@
 """Truth tables and fixtures written by hand from the rules."""
 
 import itertools
+from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from normlake.operators import relate as rl
 from normlake.operators import routing as ro
 from normlake.operators import versions as vs
 from normlake.operators import workflow as wf
-from normlake.sources.html import paragraphs_of
+from normlake.sources.html import head_of, paragraphs_of
 
 
 @pytest.mark.parametrize("values,complete,ceiling,want", [
@@ -139,7 +140,19 @@ def test_html_paragraphs():
     assert problem is None
     assert [(s, a, t) for s, a, _, t in rows] == [("One", None, "first bold"), ("One", None, "item inside"), ("s2", "p", "a"), ("s2", "p", "b")]
     assert paragraphs_of("<title>Just a moment</title><main><p>x</p></main>")[1] == "ACCESS_CHALLENGE"
-    assert paragraphs_of("<p>x</p>")[1] == "NO_MAIN_CONTENT"
+    assert paragraphs_of("<p>x</p>")[1] == "NO_TITLE" and paragraphs_of("<title>T</title><mainline><p>x</p></mainline>")[1] == "NO_MAIN_CONTENT"
+    assert paragraphs_of("<title>T</title><main></main>")[1] == "NO_PARAGRAPHS"
+
+
+def test_html_containers_hidden_parts_and_dates():
+    of = lambda body: [t for *_, t in paragraphs_of(f"<title>T</title>{body}")[0]]
+    assert of("<article><p>a</p></article><div role='main'><p>b</p></div>") == ["b"] and of("<div role=main><p>b</p></div><main><p>c</p></main>") == ["c"]
+    assert of("<main><p>c</p></main><article data-history-node-id='5'><p>d</p></article>") == ["d"]
+    assert of("<main><div aria-hidden='true'><p>x</p><div><p>y</p></div></div><p aria-hidden='false'>z</p><aside><p>w</p></aside></main><p>v</p>") == ["z"]
+    assert of("<main><p>a<p>b</p>c</main>") == ["a b c"] and of("<main></b><p>a</i>b<br/>c</p></main>") == ["a b c"] and of("<main><table><tr><td>1</td><td>2</td></tr></table></main>") == ["1 2"]
+    meta = "<meta name='date' content='2020-01-02'><meta property='article:published_time' content='x 2021-03-04T1'><meta name='effective-date' content='2022-02-30'>"
+    assert head_of(f"<title>T</title>{meta}<main><h1>Real <i>title</i></h1></main>")[:4] == ("Real title", date(2021, 3, 4), None, None)
+    assert head_of("")[3] == "NO_TITLE"
 
 
 def test_cut_points_cover_the_text():
