@@ -51,7 +51,7 @@ KINDS = (*BASE, *WIDE)
 GATE = "@|[0-9]"
 #: Words that announce a secret or a number (lower case, at the end of the characters before a span).
 CUES = ("token", "password", "passwd", "secret", "api key", "apikey", "access key", "account", "iban", "ssn", "social security", "key", "pin", "card")
-FEATURES = ("size", "digits", "capitals", "lowers", "variety", "separators", "hex", "turns", "cue", "assigned", "quoted", "letters_before", "digits_before", "prose_before", "kind_no")
+FEATURES = ("size", "digits", "capitals", "lowers", "variety", "separators", "hex", "turns", "quoted", "letters_before", "digits_before", "prose_before", "kind_no")
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -122,13 +122,11 @@ def features(spans: DataFrame) -> DataFrame:
     """Adds the format and context features of each candidate, all numbers."""
     hit, before, n = F.col("hit"), F.lower("before"), F.greatest(F.char_length("hit"), F.lit(1)).cast("double")
     share = lambda pattern: F.regexp_count(hit, F.lit(pattern)) / n
-    head = F.rtrim(F.regexp_replace(before, "[^a-z0-9]+", " "))
     columns = {
         "size": n, "digits": share("[0-9]"), "capitals": share("[A-Z]"), "lowers": share("[a-z]"),
         "variety": F.size(F.array_distinct(F.split(hit, ""))) / n, "separators": share("[^A-Za-z0-9]"), "hex": share("[0-9a-f]"),
         "turns": F.regexp_count(hit, F.lit("(?:[0-9](?=[A-Za-z]))|(?:[A-Za-z](?=[0-9]))")) / n,
-        "cue": reduce(lambda a, b: a | b, [F.endswith(head, F.lit(cue)) for cue in CUES]).cast("double"),
-        "assigned": before.rlike(r"[=:]\s?[\"']?$").cast("double"), "quoted": before.rlike("[\"']$").cast("double"),
+        "quoted": before.rlike("[\"']$").cast("double"),
         "letters_before": before.rlike("[a-z]$").cast("double"), "digits_before": before.rlike("[0-9][ .-]?$").cast("double"),
         "prose_before": F.regexp_count(before, F.lit("[a-z]")) / F.lit(float(CONTEXT)),
         "kind_no": kind_number(F.col("kind")),
@@ -147,6 +145,15 @@ def proven(spans: DataFrame) -> Column:
             .when(kind == "national_id", ~hit.rlike("^(000|666|9)|-00-|-0000$"))).cast("double")
 
 
+def decided(spans: DataFrame) -> Column:
+    """What the check alone says of a wide candidate: 1 stays, 0 goes, null is for the trees.
+
+    An account number stands or falls with its check sum, a secret stays where its name and an assignment stand before it, an
+    identity number can only be refuted. So a proven span does not depend on what else is in the table.
+    """
+    return F.when(F.col("kind").isin(*BASE), F.lit(None)).when((F.col("kind") == "national_id") & (proven(spans) == 1), F.lit(None)).otherwise(proven(spans))
+
+
 def _assembled(rows: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
 
@@ -202,7 +209,8 @@ def fit(spans: DataFrame, sample: int = SAMPLE, precision: float = PRECISION):
 
 
 def judged_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, precision: float = PRECISION) -> DataFrame:
-    """The candidates with ``base`` (a base span that holds), ``score`` and ``chosen`` (base, or at its kind's cut-off and clear of base spans)."""
+    """The candidates with ``base`` (a base span that holds), ``score`` and ``chosen``: base, or clear of base spans and proven by
+    its check, or neither proven nor refuted and at its kind's cut-off."""
     ensure_checkpoint_dir(docs.sparkSession)
     spans = candidates(docs, id_col, text_col).checkpoint()
     model, cut = fit(spans, sample, precision)
@@ -214,7 +222,9 @@ def judged_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     to_come = F.min(F.when(F.col("base"), F.col("first"))).over(order.rangeBetween(0, Window.unboundedFollowing))
     clear = F.coalesce(begun <= F.col("first"), F.lit(True)) & F.coalesce(to_come >= F.col("last"), F.lit(True))
     wide = reduce(lambda a, b: a | b, [(F.col("kind") == kind) & (_bucket(F.col("score")) >= F.lit(cut[kind])) for kind in WIDE if kind in cut], F.lit(False))
-    return rows.withColumn("clear", clear).withColumn("chosen", F.coalesce(F.col("base") | (wide & F.col("clear")), F.lit(False))).drop("clear")
+    said = rows.withColumns({"clear": clear, "said": decided(rows)})
+    wide = F.when(F.col("said").isNotNull(), F.col("said") == 1).otherwise(wide)
+    return said.withColumn("chosen", F.coalesce(F.col("base") | (wide & F.col("clear")), F.lit(False))).drop("clear", "said")
 
 
 def _listed(chosen: Column) -> Column:
