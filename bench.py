@@ -15,7 +15,7 @@ HEADLINE = (
     "jon34_export_rows", "jon31_apply_approvals", "src10_append_versions", "jon27_earlier_with_other_bytes", "jon19_provision_changes",
     "jon35_row_fates", "agg10_classification", "agg15_runtime", "agg15_model_switches", "agg23_gate_checks", "agg24_multiset_fingerprint",
     "win09_chain_breaks", "jon16_candidates", "fun05_gram_similarity", "top05_reranked_head", "top02_passages_to_judge", "jon20_pair_predictions",
-    "top01_question_items",
+    "top01_question_items", "fun09_quantities", "fun29_extract_duties", "win07_clauses", "fun24_entity_gate",
 )
 
 
