@@ -86,6 +86,8 @@ def _ends(word: str, endings: str, least: int) -> bool:
 def _turkish_marker(words: list[re.Match], n: int, text: str) -> tuple[str, bool, bool] | None:
     """(mode, binding, alone) of a word, given whether it closes its sentence."""
     word = words[n].group()
+    if word[-1] not in "rz" and word not in TR_BEFORE_OLUP and word not in PERMISSION_CONDITIONS:
+        return None
     before = words[n - 1].group() if n else ""
     closes = re.match(r"\s*(?:[.;]|$)", text[words[n].end() :]) is not None
     if word in TR_MUST:

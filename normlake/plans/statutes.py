@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 ACTORS = ("A firm", "A bank", "An insurer", "The payment institution", "Investment firms", "An e-money institution", "The competent authority", "Any person",
           "Financial institutions", "A company", "The operator of the facility")
@@ -60,7 +60,7 @@ def as_clauses(lineitem: DataFrame, later: bool = False) -> DataFrame:
 
 
 def clauses(spark: SparkSession, sf: str, later: bool = False) -> DataFrame:
-    return as_clauses(table(spark, sf, "lineitem"), later)
+    return as_clauses(spread(table(spark, sf, "lineitem")), later)
 
 
 def clauses_sql(name: str, later: bool = False) -> str:
@@ -145,4 +145,4 @@ PROPERTY_RULES = ("Kafein miktarı en fazla N mg/L olabilir.", "Etil alkol mikta
 def property_rules(spark: SparkSession, sf: str) -> DataFrame:
     """(p_partkey, text): what is required of each part."""
     pattern = F.element_at(F.array(*map(F.lit, PROPERTY_RULES)), (F.col("p_partkey") % len(PROPERTY_RULES) + 1).cast("int"))
-    return table(spark, sf, "part").select("p_partkey", F.regexp_replace(pattern, F.lit(r"\bN\b"), (F.floor(F.col("p_partkey") / 7) % 900 + 2).cast("string")).alias("text"))
+    return spread(table(spark, sf, "part")).select("p_partkey", F.regexp_replace(pattern, F.lit(r"\bN\b"), (F.floor(F.col("p_partkey") / 7) % 900 + 2).cast("string")).alias("text"))
