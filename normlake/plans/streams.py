@@ -29,13 +29,11 @@ def str02_incremental_capture(spark, sf):
 
 
 @query("str03_refresh_report", "STR03", sql="""
-SELECT date_trunc('day', ts)::DATE::VARCHAR AS day, CASE WHEN event_type = 'error' THEN 'FAILED' ELSE 'FETCHED' END AS status, count(*)::BIGINT AS n FROM events
-WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY ALL""")
+SELECT date_trunc('day', ts)::DATE::VARCHAR AS day, CASE WHEN event_type = 'error' THEN 'FAILED' ELSE 'FETCHED' END AS status, count(*)::BIGINT AS n FROM events GROUP BY ALL""")
 def str03_refresh_report(spark, sf):
-    """Days that have closed: the newest row is a day past their end."""
     feed = ad.with_utc(fd.read_feed(spark, sf, "events"), "ts").withColumn("status", F.when(F.col("event_type") == "error", "FAILED").otherwise("FETCHED"))
-    days = fd.windowed(feed, "ts", "1 day", "1 day", None, ["status"], F.count(F.lit(1)).alias("n"))
-    return fd.run_append(days, fd.feed_folder(spark, "refresh", sf, days)).select(F.to_date("window_start").cast("string").alias("day"), "status", "n")
+    days = fd.windowed(feed, "ts", None, "1 day", None, ["status"], F.count(F.lit(1)).alias("n"))
+    return fd.run_updates(days, fd.feed_folder(spark, "refresh-days", sf, days), ["window_start", "window_end", "status"]).select(F.to_date("window_start").cast("string").alias("day"), "status", "n")
 
 
 @query("str04_horizon_windows", "STR04", sql="""

@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from ..functions import scan
 from ..session import checkpoint_dir
@@ -44,6 +45,21 @@ def run_append(stream: DataFrame, folder: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
+def run_updates(stream: DataFrame, folder: str, keys: list[str]) -> DataFrame:
+    """Drains an aggregation and gives every group as it stands, open windows too: a batch writes the groups it has changed, the
+    latest row of a group holds."""
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
+
+    query = (stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/log")
+             .outputMode("update").trigger(availableNow=True).start())
+    query.awaitTermination()
+    written = stream.sparkSession.read.schema(StructType(stream.schema.fields).add("batch", LongType())).parquet(f"{folder}/rows")
+    values = [c for c in stream.columns if c not in keys]
+    return written.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_l")).select(*keys, "_l.*")
+
+
 Step = Callable[[DataFrame, "DataFrame | None"], "tuple[DataFrame, DataFrame]"]
 
 
@@ -113,12 +129,13 @@ def continuity_step(batch: DataFrame, state: DataFrame | None) -> tuple[DataFram
     return broken, last
 
 
-def windowed(stream: DataFrame, at: str, delay: str, width: str, slide: str | None, by: list[str], *aggregates: Column) -> DataFrame:
+def windowed(stream: DataFrame, at: str, delay: str | None, width: str, slide: str | None, by: list[str], *aggregates: Column) -> DataFrame:
     """Aggregates per event-time window, for the append mode: a window comes out when the newest row is ``delay`` past its end.
 
     Rows of windows that have come out are dropped as late, so the state holds the windows of the last ``delay`` and no others.
+    Without a delay, for ``run_updates``, no row is ever late and the state holds one row per window and group.
     """
-    return _closed(stream.withWatermark(at, delay), F.window(at, width, slide) if slide else F.window(at, width), by, aggregates)
+    return _closed(stream.withWatermark(at, delay) if delay else stream, F.window(at, width, slide) if slide else F.window(at, width), by, aggregates)
 
 
 def sessions(stream: DataFrame, at: str, delay: str, gap: str, by: list[str], *aggregates: Column) -> DataFrame:
