@@ -48,13 +48,13 @@ def str04_horizon_windows(spark, sf):
 @query("str05_call_monitor", "STR05", sql=f"""
 WITH {sq.CALLS}
 SELECT date_trunc('day', "at")::DATE::VARCHAR AS day, run_id, count(*)::BIGINT AS calls, count(*) FILTER (status <> 'OK')::BIGINT AS failures, sum(elapsed_ms)::BIGINT AS model_ms,
-  {sq.ratio4("count(*) FILTER (status <> 'OK')", 'count(*)')} AS failure_rate FROM calls WHERE date_trunc('day', "at") + INTERVAL 1 DAY <= (SELECT max("at") - INTERVAL 1 DAY FROM calls) GROUP BY ALL""")
+  {sq.ratio4("count(*) FILTER (status <> 'OK')", 'count(*)')} AS failure_rate FROM calls GROUP BY ALL""")
 def str05_call_monitor(spark, sf):
     calls = ad.with_utc(ad.as_calls(fd.read_feed(spark, sf, "events")), "at")
     failed = F.col("status") != "OK"
     days = fd.windowed(
-        calls, "at", "1 day", "1 day", None, ["run_id"], F.count(F.lit(1)).alias("calls"), F.count_if(failed).alias("failures"), F.sum("elapsed_ms").alias("model_ms"))
-    return fd.run_append(days, fd.feed_folder(spark, "monitor", sf, days)).select(
+        calls, "at", None, "1 day", None, ["run_id"], F.count(F.lit(1)).alias("calls"), F.count_if(failed).alias("failures"), F.sum("elapsed_ms").alias("model_ms"))
+    return fd.run_updates(days, fd.feed_folder(spark, "monitor-days", sf, days), ["window_start", "window_end", "run_id"]).select(
         F.to_date("window_start").cast("string").alias("day"), "run_id", "calls", "failures", "model_ms", ratio4(F.col("failures"), F.col("calls")).alias("failure_rate"))
 
 

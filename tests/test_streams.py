@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from normlake.operators import versions as vs
 from normlake.plans import adapters as ad
+from normlake.plans import load_all
+from normlake.plans.registry import REGISTRY
 from normlake.sources.tables import SCHEMAS
 from normlake.streaming import feeds as fd
 
@@ -90,6 +92,26 @@ def test_a_feed_that_runs_again_adds_only_what_is_new(spark):
     assert seen[-1] == whole
 
 
+def test_open_windows_and_late_files_count(spark):
+    """Every row counts: of the last days too, and of a file that arrives after days that are long over."""
+    source, folder = parts(spark, "events", ["ts", "event_id"]), tempfile.mkdtemp(prefix="normlake-late-")
+    target = tempfile.mkdtemp(prefix="normlake-run-") + "/x"
+    for i in (3, 1, 0, 2):
+        shutil.copy(f"{source}/events-{i}.parquet", folder)
+        feed = ad.with_utc(fd.read_feed(spark, folder, "events"), "ts")
+        days = fd.windowed(feed, "ts", None, "1 day", None, ["event_type"], F.count(F.lit(1)).alias("n"))
+        got = {tuple(r) for r in fd.run_updates(days, target, ["window_start", "window_end", "event_type"]).select("window_start", "event_type", "n").collect()}
+        events = spark.read.schema(SCHEMAS["events"]).parquet(folder)
+        assert got == {tuple(r) for r in ad.with_utc(events, "ts").groupBy(F.date_trunc("day", "ts"), "event_type").count().collect()}
+
+
+def test_the_reports_hold_every_event(spark):
+    load_all()
+    events = spark.read.parquet(f"{SF_DIR}/events.parquet").count()
+    for name, column, times in (("str03_refresh_report", "n", 1), ("str04_horizon_windows", "n", 2), ("str05_call_monitor", "calls", 1)):
+        assert REGISTRY[name].run(spark, SF_DIR).agg(F.sum(column)).first()[0] == times * events
+
+
 def test_a_folder_follows_name_source_and_columns(spark):
     class Named:
         conf = type("C", (), {"get": staticmethod(lambda *a: "/shared/")})
