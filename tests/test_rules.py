@@ -160,3 +160,10 @@ def test_cut_points_cover_the_text():
     cuts = dc.cut_points(text)
     assert [a for a, _ in cuts[1:]] == [b for _, b in cuts[:-1]] and cuts[0][0] == 0 and cuts[-1][1] == len(text)
     assert all(b - a <= dc.CHUNK + dc.TAIL_MIN for a, b in cuts)
+
+
+def test_a_reference_without_its_semicolon_is_text():
+    html = "<html><body><article><h1>a&amp;b and&amp</h1><p>x &lt y&lt;z &copy &#38; &#38</p></article></body></html>"
+    assert head_of(html)[0] == "a&b and&amp"
+    rows, problem = paragraphs_of(html)
+    assert problem is None and [(r[0], r[3]) for r in rows] == [("a&b and&amp", "x &lt y<z &copy & &#38")]
