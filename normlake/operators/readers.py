@@ -1,15 +1,18 @@
 """Readers of wording as table functions: one text in, a row per thing found, with exact spans of the text.
 
-Registered under their names they are used laterally, in SQL (``FROM t, LATERAL read_quantities(t.text)``) or with
-``DataFrame.lateralJoin``; rows travel to Python in Arrow batches and nothing is gathered. Places count characters from 0,
-ends are exclusive. A null text gives no row.
+Registered under their names they are used laterally in SQL (``FROM t, LATERAL read_quantities(t.text)``); ``laterally`` gives
+the same rows of a DataFrame in Arrow batches, reads equal texts once and is the quicker one. Nothing is gathered. Places count
+characters from 0, ends are exclusive. A null text gives no row.
 """
 
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, StructType
 
 from ..functions import duties as du
 from ..functions.amendments import notes_in
@@ -128,10 +131,55 @@ TABLE_FUNCTIONS = {"read_limits": (ReadLimits, LIMIT), "amendment_notes": (Amend
                    "read_quantities": (ReadQuantities, QUANTITY), "split_sentences": (SplitSentences, SENTENCE), "split_clauses": (SplitClauses, CLAUSE), "reading_units": (ReadingUnits, UNIT)}
 
 
-def laterally(df: DataFrame, function: str, *columns: str) -> DataFrame:
-    """``df`` with a row for each row the table function gives for its columns; rows without one go."""
-    handler, schema = TABLE_FUNCTIONS[function]
-    return df.lateralJoin(F.udtf(handler, returnType=schema)(*[F.col(c).outer() for c in columns]))
+#: Rows that are read before their results are handed on, and letters of text whose results a task keeps for when they come again.
+SLICE, KEPT_LETTERS = 1024, 8_000_000
+
+
+def _named(values: list, kind) -> list:
+    """Parts of a struct by name, as Arrow wants them."""
+    if isinstance(kind, ArrayType) and isinstance(kind.elementType, StructType):
+        return [None if v is None else [dict(zip(kind.elementType.names, part)) for part in v] for v in values]
+    return values
+
+
+def laterally(df: DataFrame, function: str, *columns: str, repeated: bool = False) -> DataFrame:
+    """``df`` with a row for each row the table function gives for its columns; rows without one go.
+
+    ``repeated`` deals the rows by those columns, so that a task meets all copies of a text and reads them once; for clauses,
+    whose wording comes again from version to version.
+    """
+    handler, ddl = TABLE_FUNCTIONS[function]
+    fields = StructType.fromDDL(ddl).fields
+    names = df.columns + [f.name for f in fields]
+    if len(set(names)) < len(names):
+        raise ValueError(f"columns of {function} are there already: {sorted({n for n in names if names.count(n) > 1})}")
+
+    def read(batches):
+        reader, kept, letters = handler(), {}, 0
+        for whole in batches:
+            for first in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(first, SLICE)
+                at, rows = [], []
+                for n, values in enumerate(zip(*(batch.column(c).to_pylist() for c in columns))):
+                    key = tuple(tuple(v) if isinstance(v, list) else v for v in values)
+                    found = kept.get(key)
+                    if found is None:
+                        found = list(reader.eval(*values))
+                        letters += sum(len(str(v)) for v in values)
+                        if letters > KEPT_LETTERS:
+                            kept, letters = {}, 0
+                        kept[key] = found
+                    at.extend([n] * len(found))
+                    rows.extend(found)
+                if rows:
+                    taken = batch.take(pa.array(at, pa.int32()))
+                    given = [pa.array(_named(list(v), f.dataType), to_arrow_type(f.dataType)) for v, f in zip(zip(*rows), fields)]
+                    yield pa.RecordBatch.from_arrays([*taken.columns, *given], names=names)
+
+    if repeated:  # a number of parts is given, or few bytes would be put into few tasks, and reading costs more than moving
+        spark = df.sparkSession
+        df = df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *columns)
+    return df.mapInArrow(read, StructType([*df.schema.fields, *fields]))
 
 
 def register(spark: SparkSession) -> None:
