@@ -24,7 +24,7 @@ def clause_notes(articles: DataFrame, key: str = "version_id", text: str = "text
     list's lead-in), PARAGRAPH, ARTICLE. Articles without clauses or notes give no row. ``articles`` has one row per key.
     """
     source = articles.select(key, F.col(text).alias("_text"), F.col(label).alias("_label"))
-    clauses = rd.laterally(source, "split_clauses", "_text", "_label").select(
+    clauses = rd.laterally(source, "split_clauses", "_text", "_label", keep=(key,)).select(
         key, "ref", "paragraph", "item", "sentence_no", F.col("start").alias("c0"), F.col("end").alias("c1"), "lead_start", "lead_end")
     notes = rd.laterally(source, "amendment_notes", "_text").select(
         key, "_text", F.col("seq").alias("note_seq"), F.col("start").alias("n0"), F.col("end").alias("n1"), "action", "unit", "dated", "instrument", "on_own_line")

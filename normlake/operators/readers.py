@@ -142,15 +142,17 @@ def _named(values: list, kind) -> list:
     return values
 
 
-def laterally(df: DataFrame, function: str, *columns: str, repeated: bool = False) -> DataFrame:
+def laterally(df: DataFrame, function: str, *columns: str, repeated: bool = False, keep: tuple[str, ...] | None = None) -> DataFrame:
     """``df`` with a row for each row the table function gives for its columns; rows without one go.
 
     ``repeated`` deals the rows by those columns, so that a task meets all copies of a text and reads them once; for clauses,
-    whose wording comes again from version to version.
+    whose wording comes again from version to version. ``keep`` names the columns of ``df`` that are handed on (all, if none
+    is given): a long text is not to be copied to every row found in it.
     """
     handler, ddl = TABLE_FUNCTIONS[function]
     fields = StructType.fromDDL(ddl).fields
-    names = df.columns + [f.name for f in fields]
+    own = df.columns if keep is None else list(keep)
+    names = own + [f.name for f in fields]
     if len(set(names)) < len(names):
         raise ValueError(f"columns of {function} are there already: {sorted({n for n in names if names.count(n) > 1})}")
 
@@ -172,14 +174,14 @@ def laterally(df: DataFrame, function: str, *columns: str, repeated: bool = Fals
                     at.extend([n] * len(found))
                     rows.extend(found)
                 if rows:
-                    taken = batch.take(pa.array(at, pa.int32()))
+                    taken = batch.select(own).take(pa.array(at, pa.int32()))
                     given = [pa.array(_named(list(v), f.dataType), to_arrow_type(f.dataType)) for v, f in zip(zip(*rows), fields)]
                     yield pa.RecordBatch.from_arrays([*taken.columns, *given], names=names)
 
     if repeated:  # a number of parts is given, or few bytes would be put into few tasks, and reading costs more than moving
         spark = df.sparkSession
         df = df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *columns)
-    return df.mapInArrow(read, StructType([*df.schema.fields, *fields]))
+    return df.mapInArrow(read, StructType([*(df.schema[c] for c in own), *fields]))
 
 
 def register(spark: SparkSession) -> None:

@@ -59,7 +59,7 @@ def _stated(name: str, source: str) -> str:
 WITH {FACTS_SQL}, {st.clauses_sql('c')}, {_stated('q', 'c')}
 SELECT version_id, number, seq::INTEGER AS seq, quantity, start, (start + length(quantity))::INTEGER AS "end", amount::DOUBLE AS amount, unit, unit_class, days::DOUBLE AS days, comparator, lead, trail FROM q""")
 def fun09_quantities(spark, sf):
-    return rd.laterally(st.clauses(spark, sf), "read_quantities", "text", repeated=True).select(
+    return rd.laterally(st.clauses(spark, sf), "read_quantities", "text", repeated=True, keep=("version_id", "number")).select(
         "version_id", "number", "seq", "quantity", "start", "end", "amount", "unit", "unit_class", "days", "comparator", "lead", "trail")
 
 
@@ -79,8 +79,8 @@ SELECT version_id, number, was, now, way, CASE WHEN higher IS NULL THEN 'INCOMPA
 def fun10_compare_quantities(spark, sf):
     """Each number of a clause against each one of the clause of the same number in the next snapshot."""
     fields = ["version_id", "number", "quantity", "unit", "unit_class", "amount", "days", "comparator"]
-    was = rd.laterally(st.clauses(spark, sf), "read_quantities", "text", repeated=True).select(*fields, rd.direction(F.col("comparator"), F.col("lead")).alias("way")).distinct()
-    now = rd.laterally(st.clauses(spark, sf, later=True), "read_quantities", "text", repeated=True).select(*fields).distinct()
+    was = rd.laterally(st.clauses(spark, sf), "read_quantities", "text", repeated=True, keep=("version_id", "number")).select(*fields, rd.direction(F.col("comparator"), F.col("lead")).alias("way")).distinct()
+    now = rd.laterally(st.clauses(spark, sf, later=True), "read_quantities", "text", repeated=True, keep=("version_id", "number")).select(*fields).distinct()
     number = lambda: F.struct(*fields[2:])
     both = was.select("version_id", "number", "way", number().alias("a")).join(now.select("version_id", "number", number().alias("b")), ["version_id", "number"])
     verdict = qt.compare(F.col("a"), F.col("b"), F.col("way"), F.col("a.comparator"), F.col("b.comparator"))
@@ -146,7 +146,7 @@ def fun14_source_spans(spark, sf):
 WITH {st.clauses_sql('c')}, {st.sentences_sql('s', 'c')}
 SELECT version_id, number, (i - 1)::INTEGER AS seq, a::INTEGER AS start, b::INTEGER AS "end", substring(text, a + 1, b - a) AS sentence FROM s""")
 def fun13_sentences(spark, sf):
-    return rd.laterally(st.clauses(spark, sf), "split_sentences", "text", repeated=True).select("version_id", "number", "seq", "start", "end", "sentence")
+    return rd.laterally(st.clauses(spark, sf), "split_sentences", "text", repeated=True, keep=("version_id", "number")).select("version_id", "number", "seq", "start", "end", "sentence")
 
 
 ITEM_STARTS = [sum(len(i) + 1 for i in st.ITEMS[:n]) for n in range(len(st.ITEMS) + 1)]
@@ -165,7 +165,7 @@ SELECT version_id, ref, number::INTEGER AS paragraph, item, k::INTEGER AS senten
   ca::INTEGER AS closing_start, cb::INTEGER AS closing_end FROM cl""")
 def win07_clauses(spark, sf):
     labelled = st.articles(spark, sf).withColumn("label", F.concat(F.lit("art. "), "version_id"))
-    return rd.laterally(labelled, "split_clauses", "text", "label").select(
+    return rd.laterally(labelled, "split_clauses", "text", "label", keep=("version_id",)).select(
         "version_id", "ref", "paragraph", "item", "sentence_no", "start", "end", "lead_start", "lead_end", "closing_start", "closing_end")
 
 
@@ -219,7 +219,7 @@ SELECT version_id, number, CASE WHEN insufficient THEN 'INSUFFICIENT_EVIDENCE' W
   CASE WHEN NOT insufficient AND NOT none THEN subject END AS subject, CASE WHEN NOT insufficient AND NOT none THEN modality END AS modality, CASE WHEN NOT insufficient AND NOT none THEN action END AS action,
   CASE WHEN insufficient OR none THEN '' ELSE array_to_string(conditions, ' | ') END AS conditions, CASE WHEN insufficient OR none THEN '' ELSE array_to_string(exceptions, ' | ') END AS exceptions FROM du""")
 def fun29_extract_duties(spark, sf):
-    return rd.laterally(st.clauses(spark, sf), "read_duties", "text", repeated=True).select(
+    return rd.laterally(st.clauses(spark, sf), "read_duties", "text", repeated=True, keep=("version_id", "number")).select(
         "version_id", "number", "status", "subject", "modality", "action", F.array_join("conditions", " | ").alias("conditions"), F.array_join("exceptions", " | ").alias("exceptions"))
 
 
@@ -233,7 +233,7 @@ e AS (SELECT version_id, number, 'subject' AS id, 'SUBJECT' AS kind, subject AS
   UNION ALL SELECT version_id, number, 'exception_' || i, 'EXCEPTION', exceptions[i], false FROM (SELECT *, unnest(range(1, len(exceptions) + 1)) AS i FROM ok))
 SELECT version_id, number, id, kind, element, critical FROM e""")
 def fun28_duty_elements(spark, sf):
-    return rd.laterally(st.clauses(spark, sf), "duty_elements", "text", repeated=True).select("version_id", "number", "id", "kind", "element", "critical")
+    return rd.laterally(st.clauses(spark, sf), "duty_elements", "text", repeated=True, keep=("version_id", "number")).select("version_id", "number", "id", "kind", "element", "critical")
 
 
 @query("fil02_duty_markers", "FIL02", "UDTF02", sql=f"""
@@ -243,7 +243,7 @@ m AS (SELECT version_id, number, marker, modality AS mode, lang, text, none, ins
   UNION ALL SELECT version_id, number, 'may', 'MAY', lang, text, none, instr(text, ' may be given') FROM du WHERE insufficient)
 SELECT version_id, number, start::INTEGER AS start, marker, mode, marker NOT IN ('saklar', 'eder') AS binding FROM m""")
 def fil02_duty_markers(spark, sf):
-    return rd.laterally(st.clauses(spark, sf), "duty_markers", "text", repeated=True).select("version_id", "number", "start", "marker", "mode", "binding")
+    return rd.laterally(st.clauses(spark, sf), "duty_markers", "text", repeated=True, keep=("version_id", "number")).select("version_id", "number", "start", "marker", "mode", "binding")
 
 
 @query("fun40_missing_qualifiers", "FUN40", sql=f"""
@@ -310,8 +310,8 @@ SELECT version_id, ref, CASE WHEN x.a = 'ADDED' THEN 'ADDED' ELSE 'MODIFIED' END
   CASE WHEN d.ref IS NULL THEN 'NO_DUTY_AFFECTED' WHEN x.a = 'ADDED' THEN 'NEW_DUTY' ELSE 'DUTY_CHANGED_OLD_WORDING_UNKNOWN' END AS impact FROM t LEFT JOIN d USING (version_id, ref)""")
 def win11_changes_since(spark, sf):
     articles = st.noted_articles(spark, sf)
-    units = rd.laterally(articles, "reading_units", "text", "label").select("version_id", "ref", "unit")
-    stated = rd.laterally(units, "duty_markers", "unit", repeated=True).select("version_id", "ref")
+    units = rd.laterally(articles, "reading_units", "text", "label", keep=("version_id",)).select("version_id", "ref", "unit")
+    stated = rd.laterally(units, "duty_markers", "unit", repeated=True, keep=("version_id", "ref")).select("version_id", "ref")
     return am.changes_since(am.clause_notes(articles), stated, "2012-01-01").withColumn("dated", F.col("dated").cast("string"))
 
 

@@ -39,3 +39,11 @@ def test_rows_are_those_of_the_lateral_functions(spark):
 def test_words_that_begin_no_number_are_passed():
     assert nm.may_begin("Twenty") and nm.may_begin("7") and nm.may_begin("Yüzseksenbeşbin") and nm.may_begin("$") and not nm.may_begin("records")
     assert [q.text for q in nm.read_quantities("İki buçuk yıl, twenty-four hours and EUR 15,000")] == ["İki buçuk yıl", "twenty-four hours", "EUR 15,000"]
+
+
+def test_only_kept_columns_are_handed_on(spark):
+    df = spark.createDataFrame([(n, TEXTS[n % 5]) for n in range(10)], "row int, text string")
+    whole = rd.laterally(df, "read_duties", "text")
+    kept = rd.laterally(df, "read_duties", "text", repeated=True, keep=("row",))
+    assert kept.columns == [c for c in whole.columns if c != "text"]
+    assert sorted(map(repr, kept.collect())) == sorted(map(repr, whole.drop("text").collect()))
