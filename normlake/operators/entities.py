@@ -77,15 +77,16 @@ def required_parties(clauses: DataFrame, text: str = "text", subject: str = "sub
     """``clauses`` with obliged (kinds the subject names), counterparties (kinds that subject and opening name) and universal."""
     universal = universal_addressees(F.col(text))
     body = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), LEADING_NOTE, "")
-    head = F.regexp_extract(body, HEAD, 1)
-    head = F.trim(F.when(body.rlike(HEAD), head).otherwise(F.substring(body, 1, 220)))
+    opened = lambda body: F.when(body.rlike(HEAD), F.regexp_extract(body, HEAD, 1)).otherwise(F.substring(body, 1, 220))
+    head = F.trim(tx.once(body, opened))
     named = F.coalesce(F.col(subject), F.lit(""))
     everyone = F.col("_universal") != ""
     read = clauses.withColumns({"_universal": universal, "_head": head})
     left = F.when(everyone, F.replace(F.col("_head"), F.col("_universal"), F.lit(""))).otherwise(F.col("_head"))
     who = F.when(everyone, F.regexp_replace(named, rf"(?iU)(?:{'|'.join((*EVERYONE, *SOME))})(?!\w)", "")).otherwise(named)
-    obliged = F.array_remove(vc.kinds_named(who, vc.OBLIGED), "GENERIC")
-    obliged = F.when((F.size(vc.kinds_named(who, vc.OBLIGED)) == 0) & F.array_contains(vc.kinds_named(left, vc.OBLIGED), "FOREIGN_HQ_OBLIGED"), F.array(F.lit("FOREIGN_HQ_OBLIGED"))).otherwise(obliged)
+    abroad = "FOREIGN_HQ_OBLIGED"
+    opening = vc.kinds_named(left, [(kind, pattern) for kind, pattern in vc.OBLIGED if kind == abroad])
+    obliged = tx.once(vc.kinds_named(who, vc.OBLIGED), lambda kinds: F.when((F.size(kinds) == 0) & F.array_contains(opening, abroad), F.array(F.lit(abroad))).otherwise(F.array_remove(kinds, "GENERIC")))
     return read.withColumns({"obliged": obliged, "counterparties": vc.kinds_named(F.concat_ws(" ", who, left), vc.COUNTERPARTIES), "universal": everyone}).drop("_universal", "_head")
 
 

@@ -3,6 +3,11 @@
 import random
 from difflib import SequenceMatcher
 
+from pyspark.sql import functions as F
+
+from normlake.functions import vocabulary as vc
+from normlake.operators import entities as en
+from normlake.operators import versions as vs
 from normlake.operators.alignment import clause_changes, likeness
 
 
@@ -32,3 +37,44 @@ def test_articles_by_nan_and_null(spark):
     new = spark.createDataFrame([(nan, 1, "one"), (None, 1, "one"), (None, 2, "three"), (0.5, 1, "one")], "v double, number bigint, text string")
     got = clause_changes(old, new, ["v"]).collect()
     assert sorted((str(g.v), g.kind, g.old_text, g.new_text) for g in got) == [("None", "ADDED", None, "three"), ("nan", "REMOVED", "two", None)]
+
+
+def readings(df):
+    """How often the words for an insurer are looked for in a plan."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("insurers?")
+
+
+def test_a_text_is_read_for_its_kinds_once(spark):
+    texts = spark.createDataFrame([("Any insurer must report.", "Insurers in 5 days must report.")], "old_text string, new_text string")
+    assert readings(texts.select(vs.change_kinds(F.col("old_text"), F.col("new_text")).alias("kinds"))) == 1
+    assert readings(en.required_parties(texts, "old_text", "new_text")) == 1
+
+
+def test_words_looked_for_first_stand_in_every_match():
+    assert vc.needed(r"\be-?money|\bvak[ıi]f") == ["money", "vak"] and vc.needed(r"\bcompan(?:y|ies)\b") == ["compan"] and vc.needed(r"\b[a-z]+\b") is None
+    for table in (vc.COUNTERPARTIES, vc.OBLIGED, en.COMPANY_KINDS, en.CUSTOMER_FAMILIES):
+        for _, pattern in table:
+            words = vc.needed(pattern)
+            assert words and all(any(w in sample for w in words) for sample in samples(pattern))
+
+
+def samples(pattern):
+    """A text for each way through a pattern of words, groups, classes and absent letters."""
+    import re._parser as parser
+
+    def ways(parts):
+        out = [""]
+        for kind, value in parts:
+            if str(kind) == "LITERAL":
+                out = [o + chr(value) for o in out]
+            elif str(kind) == "IN":
+                out = [o + chr(v) for o in out for _, v in value]
+            elif str(kind) == "BRANCH":
+                out = [o + w for o in out for branch in value[1] for w in ways(branch)]
+            elif str(kind) == "SUBPATTERN":
+                out = [o + w for o in out for w in ways(value[3])]
+            elif str(kind) == "MAX_REPEAT":
+                out = [o + w for o in out for w in ("", *ways(value[2]))]
+        return out
+
+    return ways(parser.parse(pattern))
