@@ -300,8 +300,7 @@ def jon04_implied_books(spark, sf):
     citations = p.select(
         "version_id", F.coalesce(printed, F.col("section")).alias("section"),
         cited_numbers().alias("number"))
-    counted = citations.groupBy("version_id", "section", "number").agg(F.count(F.lit(1)).alias("citations"))
-    return dc.resolve_references(counted, p, ["version_id", "section", "number"], "text").select("version_id", "section", "number", "citations", "status")
+    return dc.resolve_counted(citations, p, ["version_id", "section", "number"])
 
 
 AMEND_SQL = f"""{sq.provisions('p')},

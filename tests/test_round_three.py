@@ -88,3 +88,16 @@ def test_texts_are_not_taken_apart_for_short_needles(spark):
     assert "zip_with" not in found._jdf.queryExecution().optimizedPlan().toString()
     flat = lambda s: " ".join((s or "").split())
     assert {tuple(r) for r in found.collect()} == {(i, j) for i, a in needles for j, b in texts if flat(a) and flat(a) in flat(b)}
+
+
+def test_citations_are_resolved_without_a_join(spark):
+    from normlake.plans import load_all
+    from normlake.plans.registry import REGISTRY
+
+    load_all()
+    plan = REGISTRY["jon04_implied_books"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    cited = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("b", 1), (None, 1), ("c", None)], "book string, number bigint")
+    there = spark.createDataFrame([("a", 1), ("a", 2), ("a", 2), (None, 1), ("c", None), ("z", 9)], "book string, number bigint")
+    got = {tuple(r) for r in dc.resolve_counted(cited, there, ["book", "number"]).collect()}
+    assert got == {("a", 1, 2, "RESOLVED"), ("a", 2, 1, "AMBIGUOUS"), ("b", 1, 1, "MISSING"), (None, 1, 1, "MISSING"), ("c", None, 1, "MISSING")}
