@@ -127,11 +127,11 @@ def latest_decisions(entries: DataFrame, key: str, order: list[Column]) -> DataF
 def chain_breaks(log: DataFrame, key: str, block: str, order: list[Column], content: Column) -> DataFrame:
     """Rows of an append-only log whose link to the row before, own hash or sequence is wrong."""
     linked = scan.previous(log, [key], block, order, "entry_hash", "_before")
-    numbered = scan.row_number(linked, [key], block, order, "_place")
-    problem = (
-        F.when(F.sha2(content, 256) != F.col("entry_hash"), "CONTENT_CHANGED")
-        .when(~F.col("previous_hash").eqNullSafe(F.col("_before")), "LINK_BROKEN").when(F.col("seq") != F.col("_place"), "SEQUENCE_GAP"))
-    return numbered.withColumn("problem", problem).filter("problem IS NOT NULL").drop("_before", "_place")
+    # judged before the rows are numbered, so that content and hashes need not travel with them again
+    broken = F.when(F.sha2(content, 256) != F.col("entry_hash"), "CONTENT_CHANGED").when(~F.col("previous_hash").eqNullSafe(F.col("_before")), "LINK_BROKEN")
+    numbered = scan.row_number(linked.withColumn("_broken", broken).drop("_before"), [key], block, order, "_place")
+    problem = F.coalesce("_broken", F.when(F.col("seq") != F.col("_place"), "SEQUENCE_GAP"))
+    return numbered.withColumn("problem", problem).filter("problem IS NOT NULL").drop("_broken", "_place")
 
 
 def ledger_problems(events: DataFrame, key: str, order: Column) -> DataFrame:

@@ -101,3 +101,13 @@ def test_citations_are_resolved_without_a_join(spark):
     there = spark.createDataFrame([("a", 1), ("a", 2), ("a", 2), (None, 1), ("c", None), ("z", 9)], "book string, number bigint")
     got = {tuple(r) for r in dc.resolve_counted(cited, there, ["book", "number"]).collect()}
     assert got == {("a", 1, 2, "RESOLVED"), ("a", 2, 1, "AMBIGUOUS"), ("b", 1, 1, "MISSING"), (None, 1, 1, "MISSING"), ("c", None, 1, "MISSING")}
+
+
+def test_a_log_is_judged_before_its_rows_are_numbered(spark):
+    from normlake.plans import load_all
+    from normlake.plans.registry import REGISTRY
+
+    load_all()
+    lines = REGISTRY["win09_chain_breaks"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    above = lines[: next(n for n, line in enumerate(lines) if "row_number" in line)]
+    assert not [line for line in above if "sha2(" in line]
