@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from normlake.functions import vocabulary as vc
 from normlake.operators import documents as dc
 from normlake.operators import entities as en
+from normlake.operators import routing as ro
 from normlake.operators import versions as vs
 from normlake.operators.alignment import clause_changes, likeness
 
@@ -111,3 +112,20 @@ def test_a_log_is_judged_before_its_rows_are_numbered(spark):
     lines = REGISTRY["win09_chain_breaks"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
     above = lines[: next(n for n, line in enumerate(lines) if "row_number" in line)]
     assert not [line for line in above if "sha2(" in line]
+
+
+def test_a_groups_documents_meet_its_entities_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ro, "BLOCK_IDS", 3)
+    r = random.Random(16)
+    classes = [None, [], ["SELL"], ["IMPORT"]]
+    docs = [(d if d else None, r.choice(("GROUP", "GROUP", "LEGAL_ENTITY")), r.choice((1, 2, None)), r.random() < 0.8, r.choice(([], ["SELL"]))) for d in range(40)]
+    targets = [(t if t else None, r.choice((1, 2, None)), r.choice(classes), r.random() < 0.5) for t in range(30)]
+    want = []
+    for doc, level, owner, inherits, limited in docs:
+        for target, group, acts, complete in targets:
+            if owner is not None and (owner == group and inherits if level == "GROUP" else owner == target):
+                want.append((target, doc, level, "YES" if not limited or "SELL" in (acts or []) else "NO" if complete else "UNKNOWN"))
+    got = ro.documents_in_force(spark.createDataFrame(docs, "document_id bigint, owner_level string, owner_id bigint, inherits boolean, limited_to array<string>"),
+                                spark.createDataFrame(targets, "target_id bigint, group_id bigint, activity_classes array<string>, activities_complete boolean"))
+    assert sorted(map(str, want)) == sorted(str(tuple(g)) for g in got.collect())
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Generate inline") == 2  # activities are compared before ids are paired
