@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,37 +18,61 @@ CONDITION = "(?i)(?:^|[ ,])((?:if|where|when|in accordance with) [^,;.]+)"
 EXCEPTION = "(?i)(?:^|[ ,])((?:unless|except) [^,;.]+)"
 
 
-DUTY = re.compile(f"^(.*?) ?(?:^|[^A-Za-z])({MARKER}) (.*?)[.]?$", re.S)
+MARKED = re.compile(f"(?:^|[^A-Za-z])({MARKER}) ")
 OPENED = re.compile("^(if|where|when) ", re.I)
 VAGUE = re.compile("^([0-9]|be |have |result |cause )", re.I)
+WRITTEN = re.compile(AUTHOR)
+PUNCTUATED = re.compile("[.;:?!]")
+# A tail's pattern, and the words of which one stands in every match; text beyond ASCII folds in other ways and goes to the pattern.
+TAILS = tuple((re.compile(p.replace("(?:^|[ ,])", "(?<![^ ,])")), words) for p, words in (
+    (CONDITION, ("if ", "where ", "when ", "in accordance with ")), (EXCEPTION, ("unless ", "except "))))
 DUTY_TYPE = "status string, subject string, modality string, action string, condition string, exception string"
+DUTY_FIELDS = tuple(c.split(" ")[0] for c in DUTY_TYPE.split(", "))
 
 
-def _read(text: str) -> tuple:
-    found = DUTY.match(text or "")
+def _read(text: str, stands: dict[str, bool]) -> tuple:
+    """``stands`` remembers which subjects may be one."""
+    found = MARKED.search(text or "")
     if found is None:
         return ("NO_EXPLICIT_OBLIGATION", None, None, None, None, None)
-    before, marker, action = found.group(1), found.group(2), found.group(3).strip()
+    before, marker = text[: found.start()].removesuffix(" "), found[1]
+    action = text[found.end() :].removesuffix("\n").removesuffix(".").strip()
     subject = (before.rsplit(",", 1)[-1] if OPENED.match(before) else before).strip()
-    vague = marker in ("may", "may not") and VAGUE.match(action)
-    if not subject or len(subject) > SUBJECT_MAX or re.search("[.;:?!]", subject) or re.search(AUTHOR, subject) or vague or not action:
+    if subject not in stands:
+        stands[subject] = 0 < len(subject) <= SUBJECT_MAX and not PUNCTUATED.search(subject) and not WRITTEN.search(subject)
+    if not stands[subject] or not action or marker in ("may", "may not") and VAGUE.match(action):
         return ("INSUFFICIENT_EVIDENCE", None, None, None, None, None)
-    tails = [m.group(1) if m else None for m in (re.search(CONDITION, text), re.search(EXCEPTION, text))]
+    folded, tails = text.lower() if text.isascii() else None, []
+    for pattern, words in TAILS:
+        tail = None
+        if folded is None or [w for w in words if w in folded]:
+            tail = pattern.search(text)
+        tails.append(tail and tail[1])
     return ("EXTRACTED", subject, marker.upper().replace(" ", "_"), action, *tails)
 
 
-def _read_batch(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_read(t) for t in texts], columns=[c.split(" ")[0] for c in DUTY_TYPE.split(", ")])
+def _reader(fields: tuple[str, ...]):
+    places = [DUTY_FIELDS.index(f) for f in fields]
 
+    def read(texts: pa.Array) -> pa.Array:
+        coded, stands = texts.dictionary_encode(), {}
+        rows = [_read(t, stands) for t in [*coded.dictionary.to_pylist(), None]]
+        columns = [pa.array([r[p] for r in rows], pa.string()) for p in places]
+        return pa.StructArray.from_arrays(columns, names=list(fields)).take(coded.indices.fill_null(len(rows) - 1))
 
-def read_duties(units: DataFrame) -> DataFrame:
-    """Adds ``d``: struct(status, subject, modality, action, condition, exception) read from the sentence in ``text``.
+    return read
+
+
+def read_duties(units: DataFrame, *fields: str) -> DataFrame:
+    """Adds ``d``: struct(status, subject, modality, action, condition, exception), or those ``fields`` of it, read from the sentence in ``text``.
 
     The subject runs from the start of the sentence (after the last comma when it opens with a condition) to the marker, the
     action from the marker to the end; a subject that is missing, too long, punctuated or the author is no evidence. Batches
-    go through Arrow: as nested expressions a filter on the status would be pushed below and read every sentence many times.
+    go through Arrow, equal texts of one are read once: as nested expressions a filter on the status would be pushed below and
+    read every sentence many times.
     """
-    return units.withColumn("d", F.pandas_udf(_read_batch, DUTY_TYPE)("text"))
+    fields = fields or DUTY_FIELDS
+    return units.withColumn("d", F.arrow_udf(_reader(fields), ", ".join(f"{f} string" for f in fields))("text"))
 
 
 def grounded(duty: Column, sentence: Column) -> Column:

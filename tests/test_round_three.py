@@ -3,11 +3,13 @@
 import random
 from difflib import SequenceMatcher
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from normlake.functions import vocabulary as vc
 from normlake.operators import documents as dc
 from normlake.operators import entities as en
+from normlake.operators import extraction as ex
 from normlake.operators import routing as ro
 from normlake.operators import versions as vs
 from normlake.operators.alignment import clause_changes, likeness
@@ -129,3 +131,17 @@ def test_a_groups_documents_meet_its_entities_in_blocks(spark, monkeypatch):
                                 spark.createDataFrame(targets, "target_id bigint, group_id bigint, activity_classes array<string>, activities_complete boolean"))
     assert sorted(map(str, want)) == sorted(str(tuple(g)) for g in got.collect())
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Generate inline") == 2  # activities are compared before ids are paired
+
+
+def test_equal_sentences_of_a_batch_are_read_once(monkeypatch):
+    read, seen = ex._read, []
+    monkeypatch.setattr(ex, "_read", lambda text, stands: seen.append(text) or read(text, stands))
+    got = ex._reader(("modality", "exception"))(pa.array(["A firm must pay, unless exempt.", None, "A firm must pay, unless exempt."])).to_pylist()
+    duty = {"modality": "MUST", "exception": "unless exempt"}
+    assert got == [duty, {"modality": None, "exception": None}, duty] and len(seen) == 2
+
+
+def test_only_the_named_parts_of_a_duty_come_back(spark):
+    units = spark.createDataFrame([("A firm must pay.",), ("",), (None,)], "text string")
+    assert ex.read_duties(units, "status", "subject").schema["d"].dataType.names == ["status", "subject"]
+    assert [tuple(r.d) for r in ex.read_duties(units, "status", "subject").collect()] == [("EXTRACTED", "A firm")] + [("NO_EXPLICIT_OBLIGATION", None)] * 2
