@@ -97,7 +97,7 @@ j AS (SELECT l.version_id, l.number, l.s AS s1, r.s AS s2, l.m AS m1, r.m AS m2,
 SELECT version_id, number, concat_ws('; ', CASE WHEN s1 <> s2 THEN 'ACTOR' END, CASE WHEN m1 <> m2 THEN 'EFFECT' END, CASE WHEN x1 <> x2 THEN 'EXCEPTION' END) AS mismatches,
   CASE WHEN s1 <> s2 OR m1 <> m2 OR coalesce(x1 <> x2, false) THEN 'MISMATCH' WHEN a1 = a2 THEN 'MATCH' ELSE 'UNRESOLVED' END AS overall FROM j""")
 def fun27_anchor_audit(spark, sf):
-    read = duties(spark, sf).filter("d.status = 'EXTRACTED'").groupBy("version_id", "number").agg(
+    read = duties(spark, sf, "status", "subject", "modality", "action", "exception").filter("d.status = 'EXTRACTED'").groupBy("version_id", "number").agg(
         F.min("d.subject").alias("s"), F.min("d.modality").alias("m"), F.min(F.substring_index("d.action", " ", 1)).alias("a"), F.min("d.exception").alias("x"),
         F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
     after = read.select("version_id", (F.col("number") - 1).alias("number"), *[F.col(c).alias(c + "2") for c in "smax"])
@@ -115,8 +115,9 @@ SELECT version_id, number, coalesce(own, scope_article, 'UNCLEAR') AS scope, CAS
 def fun31_scoped_duties(spark, sf):
     from ..operators.workflow import fingerprint
 
-    d = duties(spark, sf)
-    article = d.filter("number = 1").groupBy("version_id").agg(F.array_join(F.array_sort(F.collect_set("section")), ",").alias("scope_article"))
+    d = duties(spark, sf, "status", "subject")
+    # of the first articles only the section counts, which is there unread
+    article = ad.provisions(spark, sf).filter("number = 1").groupBy("version_id").agg(F.array_join(F.array_sort(F.collect_set("section")), ",").alias("scope_article"))
     x = d.filter("d.status = 'EXTRACTED'").select(
         "version_id", "number", "d.subject", F.when(F.col("l_suppkey") % 3 == 0, F.col("section")).alias("own")).join(article, "version_id", "left").distinct()
     scope = F.coalesce("own", "scope_article", F.lit("UNCLEAR"))
