@@ -58,11 +58,17 @@ def export_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     original = F.col("fingerprint") == F.col("_first")
     exported = named.select(
         F.when(original, F.col("row_id")).otherwise(F.concat_ws(":", "row_id", "_first_pack")).alias("export_id"), "row_id", "fingerprint", "packs")
-    marked = rows.join(named.select("row_id", "fingerprint", "_first", "_seq"), ["row_id", "fingerprint"], "left")
+    # a covered row is told by itself; the others travel once, by their row id, and are sorted once, equal readings in reading order
+    alike = Window.partitionBy("row_id", "fingerprint").orderBy(F.col("covered_auto").isNull(), "seq")
+    turned = rows.filter("covered_auto IS NOT TRUE").repartition("row_id").withColumn("_turn", F.row_number().over(alike))
+    leads = F.when((F.col("_turn") == 1) & ~F.col("covered_auto"), F.col("seq"))
+    told = turned.withColumn("_first", F.min_by("fingerprint", leads).over(Window.partitionBy("row_id")))
     outcome = (
-        F.when(F.col("covered_auto"), "EXCLUDED_COVERED_AUTO").when(F.col("seq") != F.col("_seq"), "MERGED_SAME_DUTY_AND_TARGET")
-        .when(F.col("fingerprint") == F.col("_first"), "EXPORTED").otherwise("EXPORTED_PACKS_DISAGREE"))
-    return exported, marked.select("seq", "pack", "row_id", outcome.alias("outcome"))
+        F.when(F.col("row_id").isNull() | F.col("fingerprint").isNull(), "EXPORTED_PACKS_DISAGREE").when(F.col("_turn") > 1, "MERGED_SAME_DUTY_AND_TARGET")
+        .when((F.col("fingerprint") == F.col("_first")) & ~F.col("covered_auto"), "EXPORTED").otherwise("EXPORTED_PACKS_DISAGREE"))
+    covered = rows.filter("covered_auto").select("seq", "pack", "row_id", F.lit("EXCLUDED_COVERED_AUTO").alias("outcome"))
+    ledger = told.select("seq", "pack", "row_id", outcome.alias("outcome")).unionByName(covered)
+    return exported, ledger
 
 
 def group_reviews(items: DataFrame) -> DataFrame:
