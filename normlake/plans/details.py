@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -97,11 +98,12 @@ j AS (SELECT l.version_id, l.number, l.s AS s1, r.s AS s2, l.m AS m1, r.m AS m2,
 SELECT version_id, number, concat_ws('; ', CASE WHEN s1 <> s2 THEN 'ACTOR' END, CASE WHEN m1 <> m2 THEN 'EFFECT' END, CASE WHEN x1 <> x2 THEN 'EXCEPTION' END) AS mismatches,
   CASE WHEN s1 <> s2 OR m1 <> m2 OR coalesce(x1 <> x2, false) THEN 'MISMATCH' WHEN a1 = a2 THEN 'MATCH' ELSE 'UNRESOLVED' END AS overall FROM j""")
 def fun27_anchor_audit(spark, sf):
-    read = duties(spark, sf, "status", "subject", "modality", "action", "exception").filter("d.status = 'EXTRACTED'").groupBy("version_id", "number").agg(
-        F.min("d.subject").alias("s"), F.min("d.modality").alias("m"), F.min(F.substring_index("d.action", " ", 1)).alias("a"), F.min("d.exception").alias("x"),
-        F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
-    after = read.select("version_id", (F.col("number") - 1).alias("number"), *[F.col(c).alias(c + "2") for c in "smax"])
-    both = read.join(after, ["version_id", "number"])
+    read = duties(spark, sf, "status", "subject", "modality", "action", "exception").filter("d.status = 'EXTRACTED' AND version_id IS NOT NULL AND number IS NOT NULL")
+    facts = read.select("version_id", "number", F.col("d.subject").alias("s"), F.col("d.modality").alias("m"), F.substring_index("d.action", " ", 1).alias("a"), F.col("d.exception").alias("x"))
+    # the articles of a version travel and are sorted once; the next one is the row behind
+    alone = facts.repartition("version_id").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("version_id", "number"))).filter("n = 1").drop("n")
+    after = F.lead(F.struct("number", *"smax")).over(Window.partitionBy("version_id").orderBy("number"))
+    both = alone.withColumn("after", after).filter("after.number = number + 1").select("*", *[F.col(f"after.{c}").alias(c + "2") for c in "smax"])
     pair = lambda c: (F.col(c), F.col(c + "2"))
     audit = rl.anchor_audit({"ACTOR": pair("s"), "EFFECT": pair("m"), "EXCEPTION": pair("x")}, F.col("a") == F.col("a2"))
     return both.withColumn("v", audit).select("version_id", "number", "v.mismatches", "v.overall")

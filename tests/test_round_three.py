@@ -14,6 +14,7 @@ from normlake.operators import routing as ro
 from normlake.operators import versions as vs
 from normlake.operators import workflow as wf
 from normlake.operators.alignment import clause_changes, likeness
+from normlake.plans import details
 
 
 def exchanges(df):
@@ -158,3 +159,8 @@ def test_ledger_rows_travel_once(spark):
     assert sorted((r.seq, r.outcome) for r in ledger.collect()) == [
         (0, "MERGED_SAME_DUTY_AND_TARGET"), (1, "EXPORTED"), (1, "MERGED_SAME_DUTY_AND_TARGET"), (2, "EXPORTED_PACKS_DISAGREE"), (3, "EXCLUDED_COVERED_AUTO"),
         (4, "EXPORTED"), (5, "EXPORTED"), (6, "EXPORTED_PACKS_DISAGREE"), (7, "EXPORTED_PACKS_DISAGREE")]
+
+
+def test_clauses_of_the_anchor_audit_are_read_and_travel_once(spark):
+    audit = details.fun27_anchor_audit(spark, "/root/testdata/sf0.001")
+    assert exchanges(audit) == 1 and audit._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
