@@ -68,11 +68,11 @@ def read_duties(units: DataFrame, *fields: str) -> DataFrame:
 
     The subject runs from the start of the sentence (after the last comma when it opens with a condition) to the marker, the
     action from the marker to the end; a subject that is missing, too long, punctuated or the author is no evidence. Batches
-    go through Arrow, equal texts of one are read once: as nested expressions a filter on the status would be pushed below and
-    read every sentence many times.
+    go through Arrow, equal texts of one are read once.
     """
     fields = fields or DUTY_FIELDS
-    return units.withColumn("d", F.arrow_udf(_reader(fields), ", ".join(f"{f} string" for f in fields))("text"))
+    read = F.arrow_udf(_reader(fields), ", ".join(f"{f} string" for f in fields)).asNondeterministic()  # else a filter on the status reads once more
+    return units.withColumn("d", read("text"))
 
 
 def grounded(duty: Column, sentence: Column) -> Column:
