@@ -24,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from normlake.llm.common import NO_ID, WIDE, by_size, cuts, ids_of, mix, pack_sorted, planes, room, spread, tasks_for, text_of_word, unpack_sorted, unplanes, window_hash, words_of, released
+from normlake.llm.common import NO_ID, WIDE, by_size, cuts, ids_of, mix, pack_sorted, planes, room, scanned_bytes, spread, tasks_for, text_of_word, unpack_sorted, unplanes, window_hash, words_of, released
 from normlake.llm.components import components
 from normlake.session import ensure_checkpoint_dir
 
 SHINGLE, PERCENT = 5, 80
 #: A region is joined in one task up to this many shingles (8 bytes each), and beyond it divided.
 LOCAL_SHINGLES = 2_000_000
+#: Bytes of files that a chunk is made of at least.
+CHUNK_BYTES = 512 << 10
 #: Parts that a region beyond that is dealt into, each with a copy of its pivot.
 SALTS = 64
 
@@ -326,10 +328,19 @@ def _divide_large(large: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]
     return links, left.select("region", "id", "n", "shingles")
 
 
-def _links(sets: DataFrame, n: int, percent: int, local_shingles: int) -> DataFrame:
-    shares, found = 2 * n, None
+def chunks_for(df: DataFrame, n: int) -> int:
+    """Chunks, and shares of the hash space, for ``n`` tasks: two a task, but none of fewer than CHUNK_BYTES of the files read.
+
+    Chunks and shares exchange an array for each pair of them, so on small files their number follows the bytes, not the partitions.
+    """
+    read = scanned_bytes(df)
+    return min(2 * n, -(-read // CHUNK_BYTES)) if read else 2 * n
+
+
+def _links(sets: DataFrame, n: int, chunks: int, percent: int, local_shingles: int) -> DataFrame:
+    shares, found = chunks, None
     while True:
-        dealt = sets.withColumn("chunk", spread(F.struct("region", "id"), 2 * n)).repartition(n, "chunk").groupBy("chunk")
+        dealt = sets.withColumn("chunk", spread(F.struct("region", "id"), chunks)).repartition(n, "chunk").groupBy("chunk")
         rulers = dealt.applyInArrow(released(_send_ids(shares)), _SENT_SQL).groupBy("share").applyInArrow(released(_tell_rulers), _BACK_SQL)
         placed = dealt.cogroup(rulers.groupBy("chunk")).applyInArrow(released(_place(percent)), _SETS_SQL).checkpoint()
         sizes = placed.groupBy("region").agg(F.count(F.lit(1)).alias("sets"), F.sum(F.length("shingles") / 8).alias("weight")).where("sets > 1")
@@ -353,7 +364,7 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     """
     ensure_checkpoint_dir(docs.sparkSession)
     n = tasks_for(docs)
-    chunks = shares = 2 * n
+    chunks = shares = chunks_for(docs, n)
     dealt = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     dealt = dealt.withColumn("chunk", spread(F.struct("doc_id", F.length("text")), chunks))
     by_chunk = dealt.repartition(n, "chunk").groupBy("chunk")
@@ -363,7 +374,7 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     asked = by_chunk.cogroup(stand.groupBy("chunk")).applyInArrow(released(_send_shingles(shingle, shares)), _SENT_SQL)
     back = asked.groupBy("share").applyInArrow(released(_tell_shared), _BACK_SQL).unionByName(stand)
     sets = by_chunk.cogroup(back.groupBy("chunk")).applyInArrow(released(_survive(shingle, percent, shares)), _SETS_SQL).checkpoint()
-    found = components(_links(sets, n, percent, local_shingles))
+    found = components(_links(sets, n, chunks, percent, local_shingles))
     named = classes.select("one", "two", F.col("low.doc_id").alias("class_id")).join(found, F.col("class_id") == found["node"], "left")
     named = named.select(F.col("one").alias("_one"), F.col("two").alias("_two"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
     joined = signed.join(named, (signed["one"] == F.col("_one")) & (signed["two"] == F.col("_two")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left")

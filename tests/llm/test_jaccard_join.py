@@ -4,7 +4,7 @@ import random
 import pytest
 from conftest_llm import ODD, frame
 from normlake.llm.components import components
-from normlake.llm.jaccard_join import drop_near_copies, jaccard_join
+from normlake.llm.jaccard_join import chunks_for, drop_near_copies, jaccard_join
 
 
 def shingles(text):
@@ -63,3 +63,11 @@ def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert set(got[i] for i in range(41)) == {0} and set(got[i] for i in range(100, 130)) == {100}
+
+
+def test_chunks_follow_the_bytes_of_small_files(spark, tmp_path):
+    rows = [(i, " ".join(f"w{(i // 2) * 7 + k}" for k in range(12)), "en", "s") for i in range(40)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/few")
+    docs = spark.read.parquet(f"{tmp_path}/few")
+    assert chunks_for(docs, 211) == 1 and chunks_for(frame(spark, rows), 211) == 422
+    assert answers(jaccard_join(docs)) == brute(rows)
