@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from normlake.llm.common import WIDE, cuts, mix, pack_sorted, planes, spread, tasks_for, text_of_word, unpack_sorted, unplanes, words_of
+from normlake.llm.common import WIDE, cuts, mix, pack_sorted, planes, released, spread, tasks_for, text_of_word, unpack_sorted, unplanes, words_of
 from normlake.session import ensure_checkpoint_dir
 
 BEGIN, END = WIDE(0xB5297A4D3F84D5B5), WIDE(0x68E31DA4C2B2AE35)
@@ -44,6 +44,19 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known",
 _OUT_SQL = "doc_id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
+#: Counts from here on stand beside a stored column of bytes.
+_MARK = 255
+
+
+def squeezed(raw: bytes) -> bytes:
+    """Byte planes under an entropy code, behind their size: a block codec without one leaves small counts and the top planes of gaps as they are."""
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
+
+
+def unsqueezed(block: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(block[8:], decompressed_size=int.from_bytes(block[:8], "little"), asbytes=True) if any(block[:8]) else b""
+
+
 class Chunk:
     """A chunk's texts as numbers: its words (sorted hashes), its distinct bigrams (sorted hashes), and its tokens."""
 
@@ -79,14 +92,14 @@ class Chunk:
             a, b = borders[share], borders[share + 1]
             rows["share"].append(int(share))
             rows["chunk"].append(key[0].as_py())
-            rows["hashes"].append(pack_sorted(hashes[a:b]))
-            rows["counts"].append(planes(np.ascontiguousarray(counts[a:b].T.reshape(-1))))
+            rows["hashes"].append(squeezed(pack_sorted(hashes[a:b])))
+            rows["counts"].append(squeezed(planes(np.ascontiguousarray(counts[a:b].T.reshape(-1)))))
         return pa.Table.from_pydict(rows, schema=_SENT)
 
     def bigram_counts(self, told: list[dict]) -> tuple[np.ndarray, np.ndarray]:
         """Corpus counts of the bigrams, and which ones this chunk speaks for."""
         told = sorted((r for r in told if r["level"] == 1), key=lambda r: r["share"])
-        counts = [unplanes(r["counts"], np.uint32) for r in told]
+        counts = [unplanes(unsqueezed(r["counts"]), np.uint32) for r in told]
         own = [np.unpackbits(np.frombuffer(r["own"], dtype=np.uint8), count=len(c)).astype(bool) for r, c in zip(told, counts)]
         return np.concatenate(counts).astype(np.int64), np.concatenate(own)
 
@@ -103,55 +116,86 @@ class Chunk:
 
     def told_stats(self, told: list[dict]) -> np.ndarray:
         told = sorted((r for r in told if r["level"] == 2), key=lambda r: r["share"])
-        return np.concatenate([unplanes(r["counts"], np.uint32).reshape(STATS, -1).T for r in told]).astype(np.float64)
+        return np.concatenate([unplanes(unsqueezed(r["counts"]), np.uint32).reshape(STATS, -1).T for r in told]).astype(np.float64)
+
 
+def _narrow(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts in the narrowest of 8, 16 and 32 bits; or in 8 with the places and values of the few that need more, if that is less."""
+    most, large = int(values.max(initial=0)), np.flatnonzero(values >= _MARK)
+    width = 1 if most < _MARK else 2 if most < 1 << 16 else 4
+    if len(values) + 8 * len(large) < width * len(values):
+        return np.minimum(values, _MARK).astype(np.uint8), large.astype(np.uint32), values[large].astype(np.uint32)
+    return values.astype(f"u{width}"), large[:0].astype(np.uint32), values[:0].astype(np.uint32)
 
-def _narrow(values: np.ndarray) -> np.ndarray:
-    """Counts in the narrowest of 8, 16 and 32 bits."""
-    most = int(values.max(initial=0))
-    return values.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32)
 
+class Counts:
+    """A mapped column of a stored share: ``low``, and where that is all ones the value that stands beside it."""
 
-def _stored(folder: str, name: str, hashes: np.ndarray, counts: np.ndarray) -> list[np.memmap]:
+    def __init__(self, low: np.ndarray, large: np.ndarray, values: np.ndarray):
+        self.low, self.large, self.values = low, large, values
+
+    def __getitem__(self, places: np.ndarray) -> np.ndarray:
+        out = self.low[places].astype(np.uint32)
+        if len(self.large):
+            marked = np.flatnonzero(out == _MARK)
+            out[marked] = self.values[np.searchsorted(self.large, places[marked])]
+        return out
+
+    def __array__(self, dtype=None, copy=None) -> np.ndarray:
+        return self[np.arange(len(self.low))].astype(dtype or np.uint32)
+
+
+def _stored(folder: str, name: str, hashes: np.ndarray, counts: np.ndarray) -> list[Counts]:
     """Writes a share's sorted hashes and counts once (a rerun replaces the file by the same bytes) and maps the counts, column by column.
 
-    Behind a head (how many, the first hash, bytes of the gaps, width of each column) stand the counts, as narrow as they can
-    be, and the gaps between hashes as byte planes without the high planes that are all zero.
+    Behind a head (how many, the first hash, bytes of the gaps, how many columns; of each its width and how many large counts it
+    has) stand the counts, as narrow as they can be, and the gaps between hashes as squeezed byte planes.
     """
     path = os.path.join(folder, name)
     part = f"{path}.{uuid.uuid4().hex}"
-    gaps = planes(np.diff(hashes, prepend=hashes[:1]))
-    while gaps and not any(gaps[len(gaps) - len(hashes) :]):
-        gaps = gaps[: len(gaps) - len(hashes)]
+    gaps = squeezed(planes(np.diff(hashes, prepend=hashes[:1])))
     columns = [_narrow(c) for c in counts.T]
     first = hashes[:1].view(np.int64)[0] if len(hashes) else 0
-    head = np.asarray([len(hashes), first, len(gaps), len(columns), *(c.itemsize for c in columns)], dtype=np.int64)
+    head = np.asarray([len(hashes), first, len(gaps), len(columns), *(v for low, large, _ in columns for v in (low.itemsize, len(large)))], dtype=np.int64)
     with open(part, "wb") as file:
-        for block in (head.tobytes(), *(c.tobytes() for c in columns), gaps):
-            file.write(block)
+        file.write(head.tobytes())
+        for block in (b for column in columns for b in column):
+            file.write(block.tobytes())
+        file.write(gaps)
     os.replace(part, path)
-    return read_share(path)[1]
+    return _mapped(path)[0]
+
+
+def _mapped(path: str) -> tuple[list[Counts], int, np.ndarray]:
+    """Counts of a stored share mapped column by column, where its gaps begin, and its head."""
+    head = np.fromfile(path, dtype=np.int64, count=4)
+    n, wide = int(head[0]), np.fromfile(path, dtype=np.int64, count=2 * int(head[3]), offset=32).reshape(-1, 2).tolist()
+    at, out = 32 + 16 * len(wide), []
+    for width, large in wide:
+        blocks = []
+        for dtype, size in ((f"u{width}", n), ("u4", large), ("u4", large)):
+            blocks.append(np.memmap(path, dtype=dtype, mode="r", offset=at, shape=(size,)) if size else np.zeros(0, dtype=dtype))
+            at += blocks[-1].nbytes
+        out.append(Counts(*blocks))
+    return out, at, head
 
 
-def read_share(path: str) -> tuple[np.ndarray, list[np.memmap]]:
+def read_share(path: str) -> tuple[np.ndarray, list[Counts]]:
     """Sorted hashes of a stored share, and its counts mapped column by column."""
-    n, first, gaps, columns = (int(v) for v in np.fromfile(path, dtype=np.int64, count=4))
-    widths = np.fromfile(path, dtype=np.int64, count=columns, offset=32).tolist()
-    at = 32 + 8 * columns + n * np.cumsum([0, *widths])
-    mapped = [np.memmap(path, dtype=f"u{w}", mode="r", offset=int(o), shape=(n,)) if n else np.zeros(0, dtype=f"u{w}") for w, o in zip(widths, at)]
-    raw = np.fromfile(path, dtype=np.uint8, count=gaps, offset=int(at[-1])).tobytes()
-    steps = unplanes(raw + bytes(8 * n - gaps), WIDE) if n else np.zeros(0, dtype=WIDE)
-    return np.cumsum(steps, dtype=WIDE) + np.int64(first).astype(WIDE), mapped
+    mapped, at, head = _mapped(path)
+    steps = unplanes(unsqueezed(np.fromfile(path, dtype=np.uint8, count=int(head[2]), offset=at).tobytes()), WIDE)
+    return np.cumsum(steps, dtype=WIDE) + head[1].astype(WIDE), mapped
 
 
-def _answer(level: int, columns: int, folder: str):
-    """Merges a share's blocks, stores the sorted array, and answers each block from it."""
+def _answer(level: int, columns: int, folder: str, squeeze: bool = False):
+    """Merges a share's blocks, stores the sorted array, and answers each block from it; with ``squeeze`` arrays come and go squeezed."""
+    opened, closed = (unsqueezed, squeezed) if squeeze else (bytes, bytes)
 
     def answer(key, table):
         sent = sorted(table.to_pylist(), key=lambda r: r["chunk"])  # blocks arrive in any order; who speaks for a bigram must not depend on it
-        parts = [unpack_sorted(r["hashes"]) for r in sent]
+        parts = [unpack_sorted(opened(r.pop("hashes"))) for r in sent]
         merged = np.concatenate(parts)
-        counts = np.concatenate([unplanes(r["counts"], np.uint32).reshape(columns, -1).T for r in sent])
+        counts = np.concatenate([unplanes(opened(r.pop("counts")), np.uint32).reshape(columns, -1).T for r in sent])
         order = np.argsort(merged, kind="stable")
         first = np.ones(len(order), dtype=bool)
         ordered = merged[order]
@@ -176,7 +220,7 @@ def _answer(level: int, columns: int, folder: str):
             rows["chunk"].append(row["chunk"])
             rows["level"].append(level)
             rows["share"].append(key[0].as_py())
-            rows["counts"].append(planes(np.concatenate([m[group[at:to]].astype(np.uint32) for m in mapped])))
+            rows["counts"].append(closed(planes(np.concatenate([m[group[at:to]] for m in mapped]))))
             rows["own"].append(np.packbits(own[at:to]).tobytes() if level == 1 else None)
             rows["sums"].append(sums if number == 0 else None)
             at = to
@@ -268,8 +312,8 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     folder = model_folder(docs.sparkSession)
     dealt = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
     by_chunk = dealt.withColumn("chunk", spread(F.struct("doc_id", F.length("text")), chunks)).repartition(n, "chunk").groupBy("chunk")
-    bigrams = by_chunk.applyInArrow(_send_bigrams(shares), _SENT_SQL).groupBy("share").applyInArrow(_answer(1, 1, folder), _BACK_SQL).repartition(n, "chunk")
-    sent = by_chunk.cogroup(bigrams.groupBy("chunk")).applyInArrow(_send_words(shares), _SENT_SQL)
-    words = sent.groupBy("share").applyInArrow(_answer(2, STATS, folder), _BACK_SQL).repartition(n, "chunk")
+    bigrams = by_chunk.applyInArrow(released(_send_bigrams(shares)), _SENT_SQL).groupBy("share").applyInArrow(released(_answer(1, 1, folder, True)), _BACK_SQL).repartition(n, "chunk")
+    sent = by_chunk.cogroup(bigrams.groupBy("chunk")).applyInArrow(released(_send_words(shares)), _SENT_SQL)
+    words = sent.groupBy("share").applyInArrow(released(_answer(2, STATS, folder, True)), _BACK_SQL).repartition(n, "chunk")
     back = bigrams.unionByName(words).drop("sums").withColumns({"bigram_sums": _sums(bigrams, BIGRAM_SUMS), "word_sums": _sums(words, WORD_SUMS)})
-    return by_chunk.cogroup(back.groupBy("chunk")).applyInArrow(_score(), _OUT_SQL)
+    return by_chunk.cogroup(back.groupBy("chunk")).applyInArrow(released(_score()), _OUT_SQL)

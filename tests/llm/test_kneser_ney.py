@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from conftest_llm import ODD, frame
 from normlake.llm.common import pack_sorted, planes
-from normlake.llm.kneser_ney import _answer, _stored, discounts, read_share, score
+from normlake.llm.kneser_ney import _answer, _stored, discounts, read_share, score, squeezed, unsqueezed
 from pyspark.sql import functions as F
 
 
@@ -89,3 +89,17 @@ def test_who_speaks_for_a_bigram_does_not_depend_on_the_order_of_blocks(tmp_path
         table = pa.Table.from_pylist(order, schema=pa.schema([("share", pa.int32()), ("chunk", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())]))
         told.append(sorted((r["chunk"], r["own"]) for r in _answer(1, 1, str(tmp_path))((pa.scalar(0),), table).to_pylist()))
     assert told[0] == told[1]
+
+
+def test_arrays_cost_what_they_hold(tmp_path):
+    r = np.random.default_rng(5)
+    hashes = np.unique(r.integers(0, 2**57, 100_000, dtype=np.uint64))
+    counts = np.ones((len(hashes), 1), dtype=np.uint32)
+    counts[::5000] = 70_000
+    _stored(str(tmp_path), "share", hashes, counts)
+    again, columns = read_share(str(tmp_path / "share"))
+    assert np.array_equal(again, hashes) and np.array_equal(columns[0], counts[:, 0]) and columns[0][np.array([4999, 5000, 0])].tolist() == [1, 70_000, 70_000]
+    # gaps of some 40 bits and a byte for the count: a few large counts and gaps do not widen the others
+    assert (tmp_path / "share").stat().st_size < 6.4 * len(hashes)
+    block = planes(counts[:, 0])
+    assert unsqueezed(squeezed(block)) == block and len(squeezed(block)) < len(hashes) / 20 and unsqueezed(squeezed(b"")) == b""
