@@ -37,7 +37,10 @@ def squash(text: Column) -> Column:
 
 def words(text: Column, minimum: int = 1) -> Column:
     """Folded runs of at least ``minimum`` letters in order, with repeats."""
-    return F.regexp_extract_all(fold(text), F.lit(f"[{LETTERS}]{{{minimum},}}"), F.lit(0))
+    runs = lambda folded, kind: F.regexp_extract_all(folded, F.lit(f"[{kind}]{{{minimum},}}"), F.lit(0))
+    # most texts are ASCII without a capital that folds otherwise: plain lower case and the short class give the same there, in less than half the time
+    plain = (F.octet_length(text) == F.char_length(text)) & ~F.contains(text, F.lit("I"))
+    return F.when(plain, runs(F.lower(text), "a-z")).otherwise(runs(fold(text), LETTERS))
 
 
 def _without(found: Column, stopwords) -> Column:

@@ -39,18 +39,19 @@ v AS (SELECT *, CASE WHEN NOT ok THEN 'UNRELATED|OTHER_PRODUCT' WHEN bo AND pl >
 def related(spark, sf):
     """Duties of the stored text against the statements of the next one with the same number."""
     old, new = ad.provisions(spark, sf), ad.provisions(spark, sf, later=True)
-    part, text = F.col("l_partkey") % 3, F.col("text")
+    part, text, key = F.col("_part"), F.col("text"), ["version_id", "number"]
     number_in = lambda section, pattern: F.when(F.col("section") == section, F.regexp_extract("text", pattern, 1).cast("double"))
     classes = lambda when_any: F.when(when_any, F.array().cast("array<string>")).otherwise(F.array(part.cast("string")))
-    duty = old.filter("section <> 'R'").select(
-        "version_id", "number", text.alias("duty"), F.array(part.cast("string")).alias("duty_classes"), tx.stems(text).alias("wanted"),
+    # equal duties and equal statements are related once; rows travel once, dealt as they will meet, and only then are their texts read
+    once = lambda df: df.select(*key, "section", "text", (F.col("l_partkey") % 3).alias("_part")).repartition(*key).distinct()
+    duty = once(old.filter("section <> 'R'")).select(
+        *key, text.alias("duty"), F.array(part.cast("string")).alias("duty_classes"), tx.stems(text).alias("wanted"),
         dc.modality(text).alias("duty_modality"), number_in("N", "([0-9]+)%").alias("duty_limit"), number_in("A", "([0-9]+) days").alias("duty_days"))
-    statement = new.select(
-        "version_id", "number", text.alias("statement"), classes(part == 0).alias("statement_classes"), tx.stems(text).alias("offered"),
+    statement = once(new).select(
+        *key, text.alias("statement"), classes(part == 0).alias("statement_classes"), tx.stems(text).alias("offered"),
         dc.modality(text).alias("statement_modality"), number_in("N", "([0-9]+)%").alias("statement_limit"),
         number_in("A", "([0-9]+) days").alias("statement_days"))
-    # equal duties and equal statements are related once
-    pairs = duty.distinct().join(statement.distinct(), ["version_id", "number"]).withColumn("cap", F.lit(True)).withColumn(
+    pairs = duty.join(statement, key).withColumn("cap", F.lit(True)).withColumn(
         "similarity", F.lit(None).cast("double")).withColumn("compatible", rl.products_compatible(F.col("duty_classes"), F.col("statement_classes")))
     return rl.relate(pairs)
 
