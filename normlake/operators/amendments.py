@@ -1,8 +1,6 @@
 """Which notes hold for which clause: a note's own clause, and what clauses inherit from their item, paragraph and article.
 
-Notes and clauses of an article are rows; a note is placed by the interval of the clause it stands in, or the next one behind
-it, and spreads by level: to the clause alone, to an item, to the items of a list, to a paragraph, to the article. All joins are on the
-article, within which clauses and notes are as many as its text holds.
+An article is read in one pass, its clauses and its notes together, so nothing of it travels but what is found.
 """
 
 from __future__ import annotations
@@ -10,48 +8,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.segmentation import NOTE
 from . import readers as rd
 
-#: A paragraph or item mark, perhaps with other notes around it, is all that may stand before a note that leads its clause.
-MARK_ONLY = r"^\s*(?:\([0-9]{1,2}\)|[a-zçğıöşü]{1,2}\))?\s*$"
-
 
 def clause_notes(articles: DataFrame, key: str = "version_id", text: str = "text", label: str = "label") -> DataFrame:
     """(key, ref, note_seq, action, unit, dated, instrument, level): every note with every clause it holds for.
 
     ``level`` is OWN where the note stands in or before the clause itself, else how it is inherited: ITEM, LIST (from the
-    list's lead-in), PARAGRAPH, ARTICLE. Articles without clauses or notes give no row. ``articles`` has one row per key.
+    list's lead-in), PARAGRAPH, ARTICLE. Articles without clauses or notes give no row. ``articles`` has one row per key; a null key is none.
     """
-    source = articles.select(key, F.col(text).alias("_text"), F.col(label).alias("_label"))
-    clauses = rd.laterally(source, "split_clauses", "_text", "_label", keep=(key,)).select(
-        key, "ref", "paragraph", "item", "sentence_no", F.col("start").alias("c0"), F.col("end").alias("c1"), "lead_start", "lead_end")
-    notes = rd.laterally(source, "amendment_notes", "_text").select(
-        key, "_text", F.col("seq").alias("note_seq"), F.col("start").alias("n0"), F.col("end").alias("n1"), "action", "unit", "dated", "instrument", "on_own_line")
-    note = [key, "note_seq"]
-    both = notes.join(clauses, key)
-    # where each note stands: the clause it is inside of, else the first one behind it
-    inside = (F.col("c0") <= F.col("n0")) & (F.col("n0") < F.col("c1"))
-    candidate = F.struct(F.when(inside, 0).otherwise(1).alias("far"), "c0", "ref", "paragraph", "item", "sentence_no")
-    within = (F.col("lead_start") <= F.col("n0")) & (F.col("n0") < F.col("lead_end"))
-    placed = both.groupBy(*note).agg(
-        F.min(F.when(inside | (F.col("c0") >= F.col("n1")), candidate)).alias("at"), F.min("c0").alias("first"), F.min(F.when(within, F.col("lead_start"))).alias("lead"))
-    known = notes.join(placed, note)
-    before = F.regexp_replace(F.substring(F.col("_text"), F.col("at.c0") + 1, F.col("n0") - F.col("at.c0")), NOTE.pattern, " ")
-    leading = (F.col("at.far") == 1) | before.rlike(MARK_ONLY)
-    spread = (
-        F.when(F.col("on_own_line") & (F.col("n0") < F.col("first")), "ARTICLE").when(F.col("at").isNull(), F.lit(None)).when((F.col("at.far") == 1) & F.col("lead").isNotNull(), "LIST")
-        .when(F.col("unit").isin("SENTENCE", "PHRASE", "HEADING") | ~leading | (F.coalesce(F.col("at.sentence_no"), F.lit(1)) != 1), "OWN")
-        .when(F.col("at.item").isNotNull() & (F.col("unit") != "FIKRA"), "ITEM").otherwise("PARAGRAPH"))
-    known = known.select(key, "note_seq", "action", "unit", "dated", "instrument", "lead", F.col("at.ref").alias("at_ref"), F.col("at.paragraph").alias("at_paragraph"),
-                         F.col("at.item").alias("at_item"), spread.alias("spread"))
-    given = known.join(clauses.select(key, "ref", "paragraph", "item", "lead_start"), key)
-    own = F.col("ref") == F.col("at_ref")
-    reaches = (
-        (F.col("spread") == "ARTICLE") | ((F.col("spread") == "LIST") & (F.col("lead_start") == F.col("lead"))) | ((F.col("spread") == "OWN") & own)
-        | ((F.col("spread") == "ITEM") & (F.col("paragraph") == F.col("at_paragraph")) & (F.col("item") == F.col("at_item"))) | ((F.col("spread") == "PARAGRAPH") & (F.col("paragraph") == F.col("at_paragraph"))))
-    level = F.when(F.col("spread").isin("OWN", "ITEM", "PARAGRAPH") & own, "OWN").otherwise(F.col("spread"))
-    return given.where(reaches).select(key, "ref", "note_seq", "action", "unit", "dated", "instrument", level.alias("level"))
+    known = articles.where(F.col(key).isNotNull()).select(key, F.col(text).alias("_text"), F.col(label).alias("_label"))
+    return rd.laterally(known, "clause_notes", "_text", "_label", keep=(key,), again=False)
 
 
 def latest_notes(notes: DataFrame, key: str = "version_id") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, StructType
 
 from ..functions import duties as du
-from ..functions.amendments import notes_in
+from ..functions.amendments import clause_notes, notes_in
 from ..functions.grounding import locate, quote_span
 from ..functions.limits import read_limits
 from ..functions.numerals import read_quantities
@@ -31,6 +31,7 @@ DUTY = "seq int, status string, subject string, modality string, action string,
 ELEMENT = "duty int, id string, kind string, element string, critical boolean"
 LIMIT = "seq int, limit string, start int, end int, attribute string, value double, unit string, comparator string, role string"
 NOTE = "seq int, start int, end int, action string, unit string, dated date, instrument string, on_own_line boolean"
+HELD = "ref string, note_seq int, action string, unit string, dated date, instrument string, level string"
 FOUND = "start int, end int, rung string, reason string"
 
 
@@ -118,6 +119,13 @@ class AmendmentNotes:
             yield n, *note
 
 
+class ClauseNotes:
+    """Dated notes with the clauses of the article they hold for."""
+
+    def eval(self, text: str, label: str):
+        yield from clause_notes(text, label)
+
+
 class ReadLimits:
     """Limits and conditions on a property of a product or place."""
 
@@ -126,7 +134,7 @@ class ReadLimits:
             yield n, *limit
 
 
-TABLE_FUNCTIONS = {"read_limits": (ReadLimits, LIMIT), "amendment_notes": (AmendmentNotes, NOTE), "duty_markers": (DutyMarkers, MARKER), "read_duties": (ReadDuties, DUTY), "duty_elements": (DutyElements, ELEMENT), "missing_qualifiers": (MissingQualifiers, "seq int, span string"),
+TABLE_FUNCTIONS = {"read_limits": (ReadLimits, LIMIT), "amendment_notes": (AmendmentNotes, NOTE), "clause_notes": (ClauseNotes, HELD), "duty_markers": (DutyMarkers, MARKER), "read_duties": (ReadDuties, DUTY), "duty_elements": (DutyElements, ELEMENT), "missing_qualifiers": (MissingQualifiers, "seq int, span string"),
                    "uncovered_sentences": (UncoveredSentences, "seq int, start int, end int"),
                    "read_quantities": (ReadQuantities, QUANTITY), "split_sentences": (SplitSentences, SENTENCE), "split_clauses": (SplitClauses, CLAUSE), "reading_units": (ReadingUnits, UNIT)}
 
@@ -142,17 +150,18 @@ def _named(values: list, kind) -> list:
     return values
 
 
-def laterally(df: DataFrame, function: str, *columns: str, repeated: bool = False, keep: tuple[str, ...] | None = None) -> DataFrame:
+def laterally(df: DataFrame, function: str, *columns: str, repeated: bool = False, keep: tuple[str, ...] | None = None, give: tuple[str, ...] | None = None, again: bool = True) -> DataFrame:
     """``df`` with a row for each row the table function gives for its columns; rows without one go.
 
     ``repeated`` deals the rows by those columns, so that a task meets all copies of a text and reads them once; for clauses,
     whose wording comes again from version to version. ``keep`` names the columns of ``df`` that are handed on (all, if none
-    is given): a long text is not to be copied to every row found in it.
+    is given): a long text is not to be copied to every row found in it; ``give`` names those of the table function likewise.
+    Without ``again`` results are not kept for a text that comes again, for whole articles, which hardly do.
     """
     handler, ddl = TABLE_FUNCTIONS[function]
-    fields = StructType.fromDDL(ddl).fields
+    fields = [(n, f) for n, f in enumerate(StructType.fromDDL(ddl).fields) if give is None or f.name in give]
     own = df.columns if keep is None else list(keep)
-    names = own + [f.name for f in fields]
+    names = own + [f.name for _, f in fields]
     if len(set(names)) < len(names):
         raise ValueError(f"columns of {function} are there already: {sorted({n for n in names if names.count(n) > 1})}")
 
@@ -163,11 +172,12 @@ def laterally(df: DataFrame, function: str, *columns: str, repeated: bool = Fals
                 batch = whole.slice(first, SLICE)
                 at, rows = [], []
                 for n, values in enumerate(zip(*(batch.column(c).to_pylist() for c in columns))):
-                    key = tuple(tuple(v) if isinstance(v, list) else v for v in values)
-                    found = kept.get(key)
+                    key = tuple(tuple(v) if isinstance(v, list) else v for v in values) if again else None
+                    found = kept.get(key) if again else None
                     if found is None:
                         found = list(reader.eval(*values))
-                        letters += sum(len(str(v)) for v in values)
+                    if again and key not in kept:
+                        letters += sum(len(v if isinstance(v, str) else str(v)) for v in values)
                         if letters > KEPT_LETTERS:
                             kept, letters = {}, 0
                         kept[key] = found
@@ -175,13 +185,14 @@ def laterally(df: DataFrame, function: str, *columns: str, repeated: bool = Fals
                     rows.extend(found)
                 if rows:
                     taken = batch.select(own).take(pa.array(at, pa.int32()))
-                    given = [pa.array(_named(list(v), f.dataType), to_arrow_type(f.dataType)) for v, f in zip(zip(*rows), fields)]
+                    parts = list(zip(*rows))
+                    given = [pa.array(_named(list(parts[n]), f.dataType), to_arrow_type(f.dataType)) for n, f in fields]
                     yield pa.RecordBatch.from_arrays([*taken.columns, *given], names=names)
 
     if repeated:  # a number of parts is given, or few bytes would be put into few tasks, and reading costs more than moving
         spark = df.sparkSession
         df = df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *columns)
-    return df.mapInArrow(read, StructType([*(df.schema[c] for c in own), *fields]))
+    return df.mapInArrow(read, StructType([*(df.schema[c] for c in own), *(f for _, f in fields)]))
 
 
 def register(spark: SparkSession) -> None:
