@@ -34,7 +34,7 @@ def changes_since(notes: DataFrame, duties: DataFrame, since: str, key: str = "v
     ``duties(key, ref)`` names the clauses that state one. The old wording is unknown, so a changed duty may be new or changed.
     """
     recent = notes.where((F.col("dated") >= F.lit(since).cast("date")) & F.col("action").isin("ADDED", "CHANGED", "REENACTED"))
-    last = recent.groupBy(key, "ref").agg(F.max_by(F.struct("action", "dated", "instrument"), F.struct("dated", -F.col("note_seq"))).alias("n"))
+    last = recent.groupBy(key, "ref").agg(F.max(F.struct("dated", -F.col("note_seq"), "action", "instrument")).alias("n"))
     kind = F.when(F.col("n.action") == "ADDED", "ADDED").otherwise("MODIFIED")
     stated = last.join(duties.select(key, "ref", F.lit(True).alias("_duty")).distinct(), [key, "ref"], "left")
     impact = F.when(F.col("_duty").isNull(), "NO_DUTY_AFFECTED").when(kind == "ADDED", "NEW_DUTY").otherwise("DUTY_CHANGED_OLD_WORDING_UNKNOWN")

@@ -310,8 +310,8 @@ SELECT version_id, ref, CASE WHEN x.a = 'ADDED' THEN 'ADDED' ELSE 'MODIFIED' END
   CASE WHEN d.ref IS NULL THEN 'NO_DUTY_AFFECTED' WHEN x.a = 'ADDED' THEN 'NEW_DUTY' ELSE 'DUTY_CHANGED_OLD_WORDING_UNKNOWN' END AS impact FROM t LEFT JOIN d USING (version_id, ref)""")
 def win11_changes_since(spark, sf):
     articles = st.noted_articles(spark, sf)
-    units = rd.laterally(articles, "reading_units", "text", "label", keep=("version_id",)).select("version_id", "ref", "unit")
-    stated = rd.laterally(units, "duty_markers", "unit", repeated=True, keep=("version_id", "ref")).select("version_id", "ref")
+    units = rd.laterally(articles, "reading_units", "text", "label", keep=("version_id",), give=("ref", "unit"), again=False)
+    stated = rd.laterally(units, "duty_markers", "unit", keep=("version_id", "ref"), give=())
     return am.changes_since(am.clause_notes(articles), stated, "2012-01-01").withColumn("dated", F.col("dated").cast("string"))
 
 
