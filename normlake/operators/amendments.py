@@ -23,9 +23,9 @@ def clause_notes(articles: DataFrame, key: str = "version_id", text: str = "text
 
 def latest_notes(notes: DataFrame, key: str = "version_id") -> DataFrame:
     """The last note of each clause by date (the first of equal dates), and how many it has of its own and in all."""
-    order = F.struct("dated", -F.col("note_seq"))
-    return notes.groupBy(key, "ref").agg(
-        F.count(F.lit(1)).alias("notes"), F.count_if(F.col("level") == "OWN").alias("own"), F.max_by("action", order).alias("action"), F.max_by("level", order).alias("level"), F.max("dated").alias("dated"))
+    last = F.max(F.struct("dated", -F.col("note_seq"), "action", "level"))
+    counted = notes.groupBy(key, "ref").agg(F.count(F.lit(1)).alias("notes"), F.count_if(F.col("level") == "OWN").alias("own"), last.alias("n"))
+    return counted.select(key, "ref", "notes", "own", "n.action", "n.level", "n.dated")
 
 
 def changes_since(notes: DataFrame, duties: DataFrame, since: str, key: str = "version_id") -> DataFrame:

@@ -47,6 +47,13 @@ def test_articles_travel_as_keys(spark, tmp_path):
     assert plan.count("Exchange") == 1 and "Exchange hashpartitioning(l_orderkey" in plan  # wording is put together behind it
 
 
+def test_latest_notes_sort_one_value(spark):
+    rows = [(1, "a", 0, "CHANGED", date(2010, 1, 1), "OWN"), (1, "a", 1, "ADDED", date(2011, 1, 1), "PARAGRAPH"), (1, "a", 2, "REPEALED", date(2011, 1, 1), "OWN"), (1, "b", 3, "ADDED", None, "OWN")]
+    latest = am.latest_notes(spark.createDataFrame(rows, "version_id bigint, ref string, note_seq int, action string, dated date, level string"))
+    assert latest.columns == ["version_id", "ref", "notes", "own", "action", "level", "dated"] and "max_by" not in _plan(latest)
+    assert sorted(map(tuple, latest.collect())) == [(1, "a", 3, 2, "ADDED", "PARAGRAPH", date(2011, 1, 1)), (1, "b", 1, 1, "ADDED", "OWN", None)]
+
+
 def test_readers_hand_on_what_is_asked_for(spark):
     df = spark.createDataFrame([(1, "A firm must keep it. It may sell."), (2, "A firm must keep it. It may sell."), (3, "Nothing.")], "id int, text string")
     for again in (True, False):
