@@ -9,6 +9,7 @@ from normlake.functions import segmentation as sg
 from normlake.functions.amendments import clause_notes
 from normlake.operators import amendments as am
 from normlake.operators import readers as rd
+from normlake.operators import routing as ro
 from normlake.plans import statutes as st
 
 ARTICLE = ("(Yeniden düzenleme: 24/5/2013-6487/2 md.)\n(1) (Değişik:RG-3/4/2011-28769) A firm must keep it. A bank may sell. (Ek cümle:5/6/2012-7584/2 md.) Ek hüküm uygulanır.\n"
@@ -79,3 +80,14 @@ def test_sentences_without_a_stop_are_not_walked(monkeypatch):
     monkeypatch.setattr(sg, "_SIGNS", Signs())
     text = "(1) A firm must keep it, for 5 years (see Art. 5 no. 3). "
     assert sg.sentence_spans(text) == [(0, len(text) - 1)] and sg.sentence_spans(" (Ek:1/2/2010-5 md.)") == []
+
+
+def test_a_pair_of_blocks_gives_few_rows(spark):
+    rows = spark.range(4000).selectExpr("7L AS owner_id", "id AS document_id")
+    blocks, n = ro._blocks(rows, ["owner_id"], "document_id")
+    sizes = [len(r["_document_ids"]) for r in blocks.collect()]
+    assert len(sizes) == n and sum(sizes) == 4000 and max(sizes) ** 2 < 65_536
+    docs = rows.selectExpr("document_id", "'GROUP' AS owner_level", "owner_id", "true AS inherits", "CASE WHEN document_id % 2 = 0 THEN array('SELL') ELSE array() END AS limited_to").where("document_id < 700")
+    targets = spark.range(600).selectExpr("id AS target_id", "7L AS group_id", "array('SELL') AS activity_classes", "true AS activities_complete")
+    got = ro.documents_in_force(docs, targets)
+    assert (got.count(), got.distinct().count(), got.where("covers <> 'YES'").count()) == (420_000, 420_000, 0)
