@@ -113,8 +113,10 @@ DATES = ("number % 28 + 1", "version_id % 12 + 1", "2000 + (version_id + number)
 
 def noted_articles(spark: SparkSession, sf: str) -> DataFrame:
     """``articles`` with amendment notes."""
-    # line items are dealt by article before their wording is put together, so keys travel instead of texts, and once
-    c = as_clauses(table(spark, sf, "lineitem").repartition("l_orderkey")).withColumns({"day": F.expr(DATES[0]), "month": F.expr(DATES[1]), "year": F.expr(DATES[2])})
+    # line items are dealt by article before their wording is put together, so keys travel instead of texts, and once; a number of
+    # parts is given, or few bytes of keys would be put into few tasks, whose texts do not fit their memory
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    c = as_clauses(table(spark, sf, "lineitem").repartition(parts, "l_orderkey")).withColumns({"day": F.expr(DATES[0]), "month": F.expr(DATES[1]), "year": F.expr(DATES[2])})
     dated = F.concat_ws("/", "day", "month", "year")
     opened = (F.col("number") % 3 == 0) & (F.col("lang") == "en")
     lines = F.concat(F.lit("("), "number", F.lit(") "), F.when((F.col("version_id") + F.col("number")) % 3 == 1, F.concat(F.lit("(Değişik:RG-"), dated, F.lit("-28769) "))).otherwise(""), "text",

@@ -46,6 +46,7 @@ def test_articles_travel_as_keys(spark, tmp_path):
     spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
     plan = st.noted_articles(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Exchange hashpartitioning(l_orderkey" in plan  # wording is put together behind it
+    assert "REPARTITION_BY_NUM" in plan  # and not in fewer tasks because keys are few bytes
 
 
 def test_latest_notes_sort_one_value(spark):
